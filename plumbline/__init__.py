@@ -1,0 +1 @@
+"""Paired-experiment and code-graph analytics on Spark."""

@@ -1,0 +1 @@
+"""Scalar functions: hashing, statistics, text, diffs and JSON salvage."""

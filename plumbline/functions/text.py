@@ -1,0 +1,213 @@
+"""Paths, diffs, dirty JSON and review comments.  Regular expressions and higher-order functions where they can say
+it; Arrow UDFs for salvage of broken JSON and for diff numbering, which is sequential within a row."""
+
+from __future__ import annotations
+
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Patterns of test files, of phrases that point elsewhere, and words that are no names.
+TEST_PATH = r"(^|/)(tests?|testing)/|(^|/)test_[^/]*\.py$|_test\.py$|(^|/)conftest\.py$"
+TEST_PATH_ANY = r"(^|/)(tests?|testing)/|(^|/)test_[^/]*$|_test\.[a-z]+$|(^|/)conftest\.py$"
+ELSEWHERE = r"(?i)called by|callers? of|consistent with|defined in|base class|in the parent|look at the|other (file|module|place)s?|elsewhere"
+_S, _I = T.StringType(), T.IntegerType()
+FINDINGS = T.StructType().add("findings", T.ArrayType(T.StructType().add("finding_id", _S).add("path", _S).add("line", _I).add("message", _S))).add("parse_failed", T.BooleanType())
+DIFF_LINES = T.ArrayType(T.StructType().add("path", _S).add("kind", _S).add("old_line", _I).add("new_line", _I).add("content", _S))
+
+
+def normalise_path(p: Column) -> Column:
+    """Trim, forward slashes, no leading ./ characters, one a/ and one b/ off, no empty or dot segments."""
+    p = F.regexp_replace(F.replace(F.trim(p), F.lit("\\"), F.lit("/")), r"^[./]+", "")
+    p = F.regexp_replace(F.regexp_replace(p, r"^a/", ""), r"^b/", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"(^|/)(\./)+", "$1"), r"//+", "/"), r"/\.?$", "")
+
+
+def paths_match(a: Column, b: Column) -> Column:
+    """Equal after normalisation; an empty path matches nothing, itself included."""
+    return (normalise_path(a) == normalise_path(b)) & (normalise_path(a) != "")
+
+
+def line_distance(a: Column, b: Column) -> Column:
+    return F.abs(a - b)
+
+
+def repo_of(task_id: Column) -> Column:
+    """The cluster key: second field of a::b::c; an error if there is none."""
+    parts = F.split(task_id, "::")
+    return F.when(F.size(parts) >= 2, F.get(parts, F.lit(1))).otherwise(F.raise_error(F.concat(F.lit("no repository in "), task_id)).cast("string"))
+
+
+def repo_prefix(task_id: Column) -> Column:
+    return F.substring_index(task_id, "-", 1)
+
+
+def comment_key(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def squeeze_name(name: Column) -> Column:
+    return F.translate(F.lower(name), " -_", "")
+
+
+def is_test_path(path: Column, any_suffix: bool = False) -> Column:
+    return path.rlike(TEST_PATH_ANY if any_suffix else TEST_PATH)
+
+
+def estimate_tokens(text: Column) -> Column:
+    """A quarter of the characters, rounded up; empty and null are 0."""
+    return F.coalesce(F.ceil(F.length(text) / 4), F.lit(0)).cast("bigint")
+
+
+def query_terms(name: Column) -> Column:
+    """Lower-case terms of the last path::type::name field: camel case and snake case split, distinct."""
+    tail = F.element_at(F.split(name, "::"), -1)
+    spaced = F.regexp_replace(F.regexp_replace(tail, r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+", " ")
+    return F.array_distinct(F.filter(F.split(F.lower(F.trim(spaced)), " "), lambda t: F.length(t) > 1))
+
+
+def names_in(comment: Column) -> Column:
+    """Names that a comment mentions: file names, quoted tokens, snake_case and CamelCase words of three or more."""
+    found = [
+        F.regexp_extract_all(comment, F.lit(r"[\w/]+\.(?:py|js|java|c)\b"), 0),
+        F.regexp_extract_all(comment, F.lit(r"`([A-Za-z_][\w.]*)`"), 1),
+        F.regexp_extract_all(comment, F.lit(r"\b[a-z0-9]+(?:_[a-z0-9]+)+\b"), 0),
+        F.regexp_extract_all(comment, F.lit(r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b"), 0),
+    ]
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.array(*found)), lambda n: F.length(n) >= 3)))
+
+
+def diff_files(diff: Column) -> Column:
+    """File names in the headers of a diff, as full paths and base names."""
+    heads = F.filter(F.split(diff, "\n"), lambda l: l.rlike(r"^(diff --git|\+\+\+ |--- )"))
+    paths = F.flatten(F.transform(heads, lambda l: F.regexp_extract_all(l, F.lit(r"(?:^| )[ab]/(\S+)"), 1)))
+    return F.array_distinct(F.concat(paths, F.transform(paths, lambda p: F.substring_index(p, "/", -1))))
+
+
+def hunk_headers(diff: Column) -> Column:
+    """New-side start line of each hunk, in order."""
+    return F.transform(F.regexp_extract_all(diff, F.lit(r"(?m)^@@ -\d+(?:,\d+)? \+(\d+)"), 1), lambda x: x.cast("int"))
+
+
+def changed_ranges(diff: Column) -> Column:
+    """array<struct<path, first, last>> of the new-side hunk ranges; a missing count is 1, /dev/null is skipped."""
+    files = F.filter(F.split(diff, r"(?m)(?=^diff --git )"), lambda f: F.length(F.trim(f)) > 0)
+
+    def ranges(f: Column) -> Column:
+        path = F.coalesce(F.nullif(F.regexp_extract(f, r"(?m)^\+\+\+ (?:b/)?(\S+)", 1), F.lit("")), F.regexp_extract(f, r"(?m)^diff --git \S+ b/(\S+)", 1))
+        heads = F.regexp_extract_all(f, F.lit(r"(?m)^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"), 0)
+
+        def one(h: Column) -> Column:
+            first = F.regexp_extract(h, r"\+(\d+)", 1).cast("int")
+            count = F.regexp_extract(h, r"\+\d+,(\d+)", 1)
+            count = F.when(count == "", 1).otherwise(F.try_to_number(count, F.lit("999999999")).cast("int"))
+            return F.struct(path.alias("path"), first.alias("first"), F.greatest(first, first + count - 1).alias("last"))
+
+        return F.filter(F.transform(heads, one), lambda r: r["path"] != "/dev/null")
+
+    return F.flatten(F.transform(files, ranges))
+
+
+def distractor_lines(diff: Column, defect_line: Column) -> Column:
+    return F.array_sort(F.array_except(hunk_headers(diff), F.array(defect_line.cast("int"))))
+
+
+def scope(comment: Column, diff: Column) -> Column:
+    """struct<outside, strict, reasons>: does a comment need evidence outside the diff?  Files not in the diff, URLs
+    and phrases that point elsewhere are strict reasons; identifiers that the diff lacks alone are not."""
+    files = F.filter(F.regexp_extract_all(comment, F.lit(r"[\w/]+\.(?:py|js|java|c)\b"), 0), lambda f: ~F.array_contains(diff_files(diff), f))
+    names = F.filter(F.regexp_extract_all(F.regexp_replace(comment, r"@\w+", " "), F.lit(r"\b(?:[a-z0-9]+(?:_[a-z0-9]+)+|[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b"), 0), lambda n: ~F.contains(diff, n))
+    strict = F.array_compact(
+        F.array(F.when(F.size(files) > 0, "file"), F.when(comment.rlike(r"https?://"), "url"), F.when(comment.rlike(ELSEWHERE), "phrase"))
+    )
+    reasons = F.concat(strict, F.when(F.size(names) > 0, F.array(F.lit("identifier"))).otherwise(F.array().cast("array<string>")))
+    return F.struct((F.size(reasons) > 0).alias("outside"), (F.size(strict) > 0).alias("strict"), reasons.alias("reasons"))
+
+
+def _balanced(text: str):
+    """Values of the first brace block that parses; string literals are not looked into."""
+    for start in (m.start() for m in re.finditer(r"[{\[]", text)):
+        depth = 0
+        for i in range(start, len(text)):
+            depth += (text[i] in "{[") - (text[i] in "}]")
+            if depth == 0:
+                try:
+                    return json.loads(text[start : i + 1])
+                except ValueError:
+                    break
+    return None
+
+
+def salvage(text: str | None):
+    """JSON of a reply: as it is, without its code fence, or the first balanced block; None if there is none."""
+    if text is None:
+        return None
+    body = re.sub(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$", "", text)
+    try:
+        return json.loads(body)
+    except ValueError:
+        return _balanced(body)
+
+
+def _line(value) -> int | None:
+    try:
+        return None if isinstance(value, bool) or value is None else int(value)
+    except (TypeError, ValueError, OverflowError):
+        return None
+
+
+@F.pandas_udf(FINDINGS)
+def parse_findings(text: pd.Series, task: pd.Series, condition: pd.Series) -> pd.DataFrame:
+    """Findings of a reply.  A bare list is accepted, as are path or file and message or description; items that are
+    no objects are skipped, but their position still counts in the ids."""
+    rows, failed = [], []
+    for reply, t, c in zip(text, task, condition):
+        got = salvage(reply)
+        items = got if isinstance(got, list) else got.get("findings") if isinstance(got, dict) else None
+        failed.append(not isinstance(items, list))
+        rows.append(
+            [
+                {"finding_id": f"{t}:{c}:{i}", "path": str(x.get("path") or x.get("file") or ""), "line": _line(x.get("line")), "message": str(x.get("message") or x.get("description") or "")}
+                for i, x in enumerate(items if isinstance(items, list) else [])
+                if isinstance(x, dict)
+            ]
+        )
+    return pd.DataFrame({"findings": rows, "parse_failed": failed})
+
+
+def parse_confidence(value: Column) -> Column:
+    """Lenient 0 to 100: "80%", "+57" and 70.0 are read, half goes to even, anything else is null."""
+    number = F.regexp_extract(F.trim(value), r"^\+?(\d+(?:\.\d+)?)\s*%?$", 1)
+    number = F.bround(F.nullif(number, F.lit("")).cast("double"), 0).cast("int")
+    return F.when(number.between(0, 100), number)
+
+
+@F.pandas_udf(DIFF_LINES)
+def diff_lines(diff: pd.Series) -> pd.Series:
+    """Every line of a diff's hunks with its old and new line number; a file header ends the hunk before it."""
+
+    def rows(text):
+        out, path, old, new, inside = [], None, 0, 0, False
+        for line in (text or "").split("\n"):
+            if line.startswith("diff --git "):
+                path, inside = line.rsplit(" b/", 1)[-1], False
+            elif not inside and line.startswith("+++ "):
+                path = line[4:].removeprefix("b/") if line[4:] != "/dev/null" else path
+            elif m := re.match(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@", line):
+                old, new, inside = int(m[1]), int(m[2]), True
+            elif inside and line.startswith("+"):
+                out.append({"path": path, "kind": "add", "old_line": None, "new_line": new, "content": line[1:]})
+                new += 1
+            elif inside and line.startswith("-"):
+                out.append({"path": path, "kind": "delete", "old_line": old, "new_line": None, "content": line[1:]})
+                old += 1
+            elif inside and not line.startswith("\\"):
+                out.append({"path": path, "kind": "context", "old_line": old, "new_line": new, "content": line[1:]})
+                old, new = old + 1, new + 1
+        return out
+
+    return diff.map(rows)
