@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,17 +32,48 @@ def normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+#: Queries of one block: what a block broadcasts and a task keeps do not depend on the number of queries.
+QUERY_BLOCK = 2048
+
+
+def _best_of_block(ids: np.ndarray, vectors: np.ndarray, id_: str, vector: str, k: int):
+    """Batches of the pool to the k best rows that the partition has for each query of a block."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = pd.DataFrame({"query_id": np.empty(0, ids.dtype), id_: np.empty(0, ids.dtype), "score": np.empty(0)})
+        for batch in batches:
+            names = batch[id_].to_numpy()
+            for at in range(0, len(batch), 1024):
+                part = slice(at, at + 1024)
+                score = np.round(np.stack(batch[vector].iloc[part].to_numpy()) @ vectors.T, 9)
+                score[names[part, None] == ids[None, :]] = -np.inf
+                least = np.partition(score, -k, axis=0)[-k] if len(score) > k else -np.inf
+                row, query = np.nonzero((score >= least) & (score > -np.inf))
+                found = pd.DataFrame({"query_id": ids[query], id_: names[part][row], "score": score[row, query]})
+                kept = pd.concat([kept, found]).sort_values(["query_id", "score", id_], ascending=[True, False, True]).groupby("query_id").head(k)
+        yield kept
+
+    return run
 
 
 def dense(queries: DataFrame, pool: DataFrame, k: int, vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
-    """Brute-force top k by cosine: a small, bounded query set is broadcast against the pool; each partition keeps
-    its own k per query before the final ranking."""
-    q = queries.select(F.col(id_).alias("query_id"), normalised(F.col(vector)).alias("q"))
-    scored = pool.select(F.col(id_), normalised(F.col(vector)).alias("v")).join(F.broadcast(q), F.col(id_) != F.col("query_id"))
-    scored = scored.select("query_id", id_, dot(F.col("v"), F.col("q")).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.col(id_)], k)
+    """Exact top k by cosine, scores rounded to nine digits and equal ones by id.  Queries go in blocks of
+    QUERY_BLOCK by the hash of their id; a block's vectors are multiplied with each partition of the pool, which
+    hands on k rows a query.  Rows without an id or a vector are left out."""
+    usable = F.col(id_).isNotNull() & F.col(vector).isNotNull()
+    q = queries.where(usable).select(id_, normalised(F.col(vector)).alias(vector))
+    p = pool.where(usable).select(id_, normalised(F.col(vector)).alias(vector))
+    kind, out = dict(pool.dtypes)[id_], None
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    for b in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64(id_), F.lit(blocks)) == b).orderBy(id_).toPandas()
+        if len(rows):
+            run = _best_of_block(rows[id_].to_numpy(), np.stack(rows[vector].to_numpy()), id_, vector, k)
+            best = p.mapInPandas(run, f"query_id {kind}, {id_} {kind}, score double")
+            out = best if out is None else out.union(best)
+    if out is None:
+        out = p.limit(0).select(F.col(id_).alias("query_id"), id_, F.lit(0.0).alias("score"))
+    return top_k(out, ["query_id"], [F.desc("score"), F.col(id_)], k)
 
 
 def seeded_sample(df: DataFrame, by: list[str], key: list[str], n: Column | int, seed: int = 0) -> DataFrame:

@@ -271,16 +271,16 @@ def long_short(spark, d):
 
 # ---------------------------------------------------------------- matching
 
-SPOTS = """with defects as (select o_orderkey as defect_id, o_custkey % 100 as path, date_diff('day', date '1992-01-01', o_orderdate::date) as d_line from orders),
- findings as (select row_number() over (order by l_orderkey, l_linenumber, """ + ", ".join(ORDER) + """) as finding_id, l_suppkey % 100 as path, date_diff('day', date '1992-01-01', l_shipdate::date) as f_line from lineitem where l_linenumber = 1 and l_orderkey % 4 = 0)"""
+SPOTS = f"""with {FIRST}, defects as (select o_orderkey as defect_id, o_custkey as path, date_diff('day', date '1992-01-01', o_orderdate::date) as d_line from orders),
+ findings as (select l_orderkey * 10 + l_linenumber as finding_id, l_partkey as path, date_diff('day', date '1992-01-01', l_shipdate::date) as f_line from first)"""
 
 
 def spots(spark, d):
+    """Orders as defects, all lines as findings: path = customer or part, line = days since 1992."""
     day = lambda c: F.datediff(F.to_date(c), F.lit("1992-01-01").cast("date"))
-    defects = t(spark, d, "orders").select(F.col("o_orderkey").alias("defect_id"), (F.col("o_custkey") % 100).alias("path"), day("o_orderdate").alias("d_line"))
-    lines = t(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 4 = 0")
-    findings = lines.withColumn("finding_id", F.row_number().over(W.orderBy("l_orderkey", "l_linenumber", *ORDER)))
-    return defects, findings.select(F.col("finding_id").cast("bigint").alias("finding_id"), (F.col("l_suppkey") % 100).alias("path"), day("l_shipdate").alias("f_line"))
+    defects = t(spark, d, "orders").select(F.col("o_orderkey").alias("defect_id"), F.col("o_custkey").alias("path"), day("o_orderdate").alias("d_line"))
+    finding_id = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")
+    return defects, first_lines(spark, d).select(finding_id.alias("finding_id"), F.col("l_partkey").alias("path"), day("l_shipdate").alias("f_line"))
 
 
 @query(SPOTS + " select defect_id, count(*) as near, cast(min(abs(d_line - f_line)) as int) as distance from defects join findings using (path) where abs(d_line - f_line) <= 5 group by defect_id")
@@ -335,14 +335,14 @@ def set_compare(spark, d):
 # ---------------------------------------------------------------- graphs
 
 EDGES = """edges as (select 's' || s_suppkey as src, 'n' || s_nationkey as dst, 'in' as label from supplier union all select 'n' || n_nationkey, 'r' || n_regionkey, 'of' from nation
- union all select 'c' || c_custkey, 'n' || c_nationkey, 'in' from customer union all select 'p' || l_partkey, 's' || l_suppkey, 'by' from lineitem where l_orderkey % 50 = 0)"""
+ union all select 'c' || c_custkey, 'n' || c_nationkey, 'in' from customer union all select 'p' || l_partkey, 's' || l_suppkey, 'by' from lineitem)"""
 
 
 def edges(spark, d):
     def e(name, a, akey, b, bkey, label):
         return t(spark, d, name).select(F.concat(F.lit(a), F.col(akey)).alias("src"), F.concat(F.lit(b), F.col(bkey)).alias("dst"), F.lit(label).alias("label"))
 
-    li = t(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"), F.lit("by").alias("label"))
+    li = t(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"), F.lit("by").alias("label"))
     return e("supplier", "s", "s_suppkey", "n", "s_nationkey", "in").union(e("nation", "n", "n_nationkey", "r", "n_regionkey", "of")).union(e("customer", "c", "c_custkey", "n", "c_nationkey", "in")).union(li)
 
 
@@ -387,9 +387,9 @@ def unused_imports(spark, d):
     return graph.used_imports(imports, used)
 
 
-@query("with c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_orderkey % 10 = 0) select l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce((select 'part ' || max(p_brand) from part where p_partkey = l_partkey and p_size > 25), (select 'supplier ' || max(s_nationkey) from supplier where s_suppkey = l_suppkey and s_nationkey < 12)) as target from c")
+@query("with c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem) select l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce((select 'part ' || max(p_brand) from part where p_partkey = l_partkey and p_size > 25), (select 'supplier ' || max(s_nationkey) from supplier where s_suppkey = l_suppkey and s_nationkey < 12)) as target from c")
 def prioritised_resolution(spark, d):
-    calls = t(spark, d, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    calls = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     first = t(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("part "), "p_brand").alias("target"))
     second = t(spark, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit("supplier "), F.col("s_nationkey")).alias("target"))
     return graph.resolve(calls, [first, second], ["l_partkey", "l_suppkey"])
@@ -413,10 +413,10 @@ def lexical_topk(spark, d):
     return retrieve.lexical(t(spark, d, "documents").select("doc_id", "source"), ["src", "1"], "source", "doc_id", 25).select("doc_id", "score")
 
 
-@query("with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), n as (select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from e), s as (select q.vec_id as query_id, p.vec_id, list_sum(list_transform(list_zip(p.v, q.v), lambda z: z[1] * z[2])) as score from n q join n p on q.vec_id <> p.vec_id where q.vec_id < 10) select query_id, vec_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s qualify rank <= 5")
+@query("with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), n as (select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from e), s as (select q.vec_id as query_id, p.vec_id, list_sum(list_transform(list_zip(p.v, q.v), lambda z: z[1] * z[2])) as score from n q join n p on q.vec_id <> p.vec_id where q.vec_id % 100 = 0) select query_id, vec_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from s qualify rank <= 5")
 def dense_topk(spark, d):
     e = t(spark, d, "embeddings")
-    return retrieve.dense(e.where("vec_id < 10"), e, 5).select("query_id", "vec_id", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return retrieve.dense(e.where("vec_id % 100 = 0"), e, 5).select("query_id", "vec_id", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"select lang, doc_id from documents qualify row_number() over (partition by lang order by {_u32(chr(39) + '0|' + chr(39) + ' || doc_id')}, doc_id) <= 7")
@@ -487,17 +487,17 @@ def acl_filter(spark, d):
     return rollup.visible(t(spark, d, "orders").select("o_orderkey", "o_custkey"), [c.where("c_nationkey = 3"), c.where("c_mktsegment = 'BUILDING'")], "o_custkey")
 
 
-@query("select o_orderkey, o_orderstatus, 'db' as source from orders where o_orderkey % 3 = 0 union all select o_orderkey, 'X', 'remote' from orders where o_orderkey % 2 = 0 and o_orderkey % 3 <> 0")
+@query("select o_orderkey, o_orderstatus, 'db' as source from orders where o_orderstatus = 'F' union all select o_orderkey, 'X', 'remote' from orders where o_orderstatus <> 'F'")
 def merge_left_wins(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return rollup.merge_left_wins(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("X")), "o_orderkey")
+    return rollup.merge_left_wins(o.where("o_orderstatus = 'F'"), o.withColumn("o_orderstatus", F.lit("X")), "o_orderkey")
 
 
-@query("with o as (select o_custkey as k, max(o_orderkey) filter (where o_orderkey % 2 = 0) as a, max(o_orderkey) filter (where o_orderkey % 2 = 1) as b from orders group by 1) select k, coalesce(b, a) as ver, case when b is not null and b % 5 <> 0 then b % 5 when a is not null then a % 5 end as note from o")
+@query("with o as (select o_custkey as k, max(o_orderkey) filter (where o_orderstatus = 'F') as a, max(o_orderkey) filter (where o_orderstatus <> 'F') as b from orders group by 1) select k, coalesce(b, a) as ver, case when b is not null and b % 5 <> 0 then b % 5 when a is not null then a % 5 end as note from o")
 def upsert_non_null(spark, d):
     o = t(spark, d, "orders")
-    old = o.where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("ver")).withColumn("note", F.col("ver") % 5)
-    new = o.where("o_orderkey % 2 = 1").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("ver")).withColumn("note", F.when(F.col("ver") % 5 != 0, F.col("ver") % 5))
+    old = o.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("ver")).withColumn("note", F.col("ver") % 5)
+    new = o.where("o_orderstatus != 'F'").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("ver")).withColumn("note", F.when(F.col("ver") % 5 != 0, F.col("ver") % 5))
     return rollup.upsert(old, new, ["k"], "ver")
 
 
@@ -551,10 +551,10 @@ def table_counts(spark, d):
     return spark.range(1).select(*[t(spark, d, table).select(F.count("*")).scalar().alias(name) for name, table in names.items()])
 
 
-@query("select event_id, user_id, event_type from (select * from events union all select * from events where event_id % 3 = 0) qualify row_number() over (partition by event_id order by ts, user_id) = 1")
+@query("select event_id, user_id, event_type from (select * from events union all select * from events) qualify row_number() over (partition by event_id order by ts, user_id) = 1")
 def webhook_dedupe(spark, d):
     e = t(spark, d, "events")
-    return dedupe_events(e.union(e.where("event_id % 3 = 0")), "event_id", ["ts", "user_id"]).select("event_id", "user_id", "event_type")
+    return dedupe_events(e.union(e), "event_id", ["ts", "user_id"]).select("event_id", "user_id", "event_type")
 
 
 @query("select user_id, arg_max(event_type, (ts, event_id)) as last_event, count(*) filter (where event_type in ('opened', 'reopened', 'synchronize')) as triggers, count(*) as events from events group by 1")
@@ -594,9 +594,9 @@ def url_count(spark, d):
     return t(spark, d, "pages").select("page_id", F.size(links).cast("bigint").alias("links"), F.col("url").rlike("(^|/)en/").alias("english"), F.length("html").cast("bigint").alias("chars"))
 
 
-@query(r"select doc_id, trim(regexp_replace(left(text, 200), '\s+', ' ', 'g')) as key, ceil(length(text) / 4)::bigint as tokens from documents")
+@query(r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as key, ceil(length(text) / 4)::bigint as tokens from documents")
 def comment_key(spark, d):
-    return t(spark, d, "documents").select("doc_id", text.comment_key(F.substring("text", 1, 200)).alias("key"), text.estimate_tokens(F.col("text")).alias("tokens"))
+    return t(spark, d, "documents").select("doc_id", text.comment_key(F.col("text")).alias("key"), text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 @query(r"select doc_id, len(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b'))) as camel, regexp_matches(text, 'https?://') as url, contains(lower(text), 'license') as licensed from documents")
@@ -605,36 +605,39 @@ def scope_features(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(camel).cast("bigint").alias("camel"), F.col("text").rlike("https?://").alias("url"), F.contains(F.lower("text"), F.lit("license")).alias("licensed"))
 
 
-DIFF = "diff --git a/foo.py b/foo.py\n--- a/foo.py\n+++ b/foo.py\n@@ -1,3 +1,4 @@\n import os\n-x = 1\n+x = 2\n+y = 3\n z = 0\ndiff --git a/bar.py b/bar.py\n--- /dev/null\n+++ b/bar.py\n@@ -0,0 +1,2 @@\n+a = 1\n+b = 2"
+LINES = "lines as (select doc_id, source, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where text is not null)"
 
 
-@query("select * from (values ('foo.py', 'context', 1, 1, 'import os'), ('foo.py', 'delete', 2, null, 'x = 1'), ('foo.py', 'add', null, 2, 'x = 2'), ('foo.py', 'add', null, 3, 'y = 3'), ('foo.py', 'context', 3, 4, 'z = 0'), ('bar.py', 'add', null, 1, 'a = 1'), ('bar.py', 'add', null, 2, 'b = 2')) t(path, kind, old_line, new_line, content)")
-def diff_lines(spark, d):
-    ship(spark)
-    return spark.createDataFrame([(DIFF,)], "diff string").select(F.explode(text.diff_lines("diff")).alias("r")).select("r.*")
+def diffs(spark, d):
+    """Every document as a diff that replaces one line, the source, by the document's lines."""
+    lines = F.split("text", "\n")
+    path = F.concat(F.lit("d"), F.col("doc_id"), F.lit(".txt"))
+    head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1 +1,"), F.size(lines), F.lit(" @@\n-"), F.coalesce("source", F.lit("")))
+    return t(spark, d, "documents").where("text is not null").select("doc_id", F.concat(head, F.lit("\n+"), F.array_join(lines, "\n+")).alias("diff"))
 
 
-@query("select * from (values ('foo.py', 1, 4), ('bar.py', 1, 2)) t(path, first, last)")
-def changed_ranges(spark, d):
-    ship(spark)
-    return spark.createDataFrame([(DIFF,)], "diff string").select(F.explode(text.changed_ranges(F.col("diff"))).alias("r")).select("r.*")
+@query(f"with {LINES} select 'd' || doc_id || '.txt' as path, 'add' as kind, null::int as old_line, line::int as new_line, content from lines union all select 'd' || doc_id || '.txt', 'delete', 1, null, coalesce(source, '') from documents where text is not null")
+def diff_lines(spark, d):
+    return diffs(spark, d).select(F.explode(text.diff_lines("diff")).alias("r")).select("r.*")
 
 
-REPLIES = [
-    ("t1", '{"findings": [{"path": "a.py", "line": "7", "message": "off by one"}, "noise", {"file": "b.py", "description": "leak"}]}'),
-    ("t2", 'Here you go:\n```json\n[{"path": "c.py", "line": 3, "message": "x"}]\n```'),
-    ("t3", "no json at all"),
-]
+@query(f"with {LINES} select 'd' || doc_id || '.txt' as path, 1 as first, max(line)::int as last from lines group by doc_id")
+def changed_ranges(spark, d):
+    return diffs(spark, d).select(F.explode(text.changed_ranges(F.col("diff"))).alias("r")).select("r.*")
 
 
-@query("select * from (values ('t1:A:0', 'a.py', 7, 'off by one'), ('t1:A:2', 'b.py', null, 'leak'), ('t2:A:0', 'c.py', 3, 'x')) t(finding_id, path, line, message)")
+@query("with r as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn, role, text) - 1 as k from conversations where text is not null) select conv_id || ':A:' || k as finding_id, 'c' || conv_id || '.py' as path, turn::int as line, text as message from r")
 def parse_findings(spark, d):
-    ship(spark)
-    rows = spark.createDataFrame(REPLIES, "task string, reply string")
+    """Every conversation as one fenced JSON reply with a finding a turn."""
+    c = t(spark, d, "conversations").where("text is not null")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    finding = lambda x: F.struct(F.concat(F.lit("c"), F.col("conv_id"), F.lit(".py")).alias("file"), x["turn"].alias("line"), x["text"].alias("description"))
+    rows = c.groupBy("conv_id").agg(turns.alias("turns")).select(F.col("conv_id").cast("string").alias("task"), F.struct(F.transform("turns", finding).alias("findings")).alias("r"))
+    rows = rows.select("task", F.concat(F.lit("```json\n"), F.to_json("r"), F.lit("\n```")).alias("reply"))
     return rows.select(F.explode(text.parse_findings("reply", "task", F.lit("A"))["findings"]).alias("f")).select("f.*")
 
 
-@query("select * from (values ('80%', 80), ('+57', 57), ('70.0', 70), ('2.5', 2), ('101', null), ('high', null), ('true', null)) t(value, confidence)")
+@query("select l_orderkey, l_linenumber, cast(l_linenumber * l_quantity as int) || '.5%' as value, case when round_even(cast(l_linenumber * l_quantity as int) + 0.5, 0) <= 100 then round_even(cast(l_linenumber * l_quantity as int) + 0.5, 0)::int end as confidence from lineitem")
 def parse_confidence(spark, d):
-    rows = spark.createDataFrame([(v,) for v in ("80%", "+57", "70.0", "2.5", "101", "high", "true")], "value string")
-    return rows.select("value", text.parse_confidence(F.col("value")).alias("confidence"))
+    value = F.concat((F.col("l_linenumber") * F.col("l_quantity")).cast("int"), F.lit(".5%"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value")).select("*", text.parse_confidence(F.col("value")).alias("confidence"))

@@ -1,11 +1,12 @@
+import numpy as np
 import pytest
 from plumbline.functions import text
 from plumbline.operators import graph, match, retrieve, roc
-from plumbline.plans.registry import DIFF
 from plumbline.sources import read_jsonl, read_labels, remaining
 from pyspark.sql import functions as F
 
 DEFECT = "path string, defect_id string, d_line int, d_ord int"
+DIFF = "diff --git a/foo.py b/foo.py\n--- a/foo.py\n+++ b/foo.py\n@@ -1,3 +1,4 @@\n import os\n-x = 1\n+x = 2\n+y = 3\n z = 0\ndiff --git a/bar.py b/bar.py\n--- /dev/null\n+++ b/bar.py\n@@ -0,0 +1,2 @@\n+a = 1\n+b = 2"
 FINDING = "path string, finding_id string, f_line int, f_ord int"
 
 
@@ -102,3 +103,19 @@ def test_webhook_stream_drops_replays(spark, tmp_path):
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     rows = streaming.current(spark, str(tmp_path / "out"), ["repository", "number"]).collect()
     assert [(r.number, r.action) for r in rows] == [(17, "closed")]
+
+
+def test_dense_takes_blocks_of_queries_and_breaks_ties_by_id(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    vectors = rnd.normal(size=(300, 6))
+    vectors[40:80] = vectors[7]  # many equal scores
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(None, [1.0] * 6), (999, None)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 7)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieve.dense(rows.where("vec_id % 10 = 0"), rows, 4).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 300, 10):
+        order = sorted((-round(float(unit[q] @ unit[i]), 9), i) for i in range(300) if i != q)[:4]
+        want |= {(q, k + 1): i for k, (_, i) in enumerate(order)}
+    assert got == want
+    assert retrieve.dense(rows.limit(0), rows, 4).count() == 0
