@@ -54,7 +54,7 @@ def luhn(digits: str) -> bool:
 
 def _ips(text: str) -> Iterator[tuple[int, int]]:
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             yield m.span()
 
 
