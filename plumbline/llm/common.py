@@ -52,3 +52,22 @@ def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text, empty for null."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
+
+#: Keys that lookup() treats as hot, at most.
+HOT_KEYS = 64
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, count: str, total: int) -> DataFrame:
+    """rows with `value` from table(key, value, count) by an inner join on `key`; count is a key's number of rows,
+    total at least their sum.
+
+    A key with more than total / HOT_KEYS rows is hot.  There are fewer than HOT_KEYS of these, whatever the input,
+    so their values go along with the tasks and the rows of a hot key stay where they are; only the others are
+    shuffled, and no key brings more than that share of the rows to one task."""
+    hot = table.where(F.col(count) > total / HOT_KEYS).select(key, value).collect()
+    if not hot:
+        return rows.join(table.select(key, value), key)
+    is_hot = F.col(key).isin([r[key] for r in hot])
+    of_key = F.create_map(*[F.lit(x) for r in hot for x in (r[key], r[value])])[F.col(key)]
+    rest = rows.where(~is_hot).join(table.where(~is_hot).select(key, value), key)
+    return rest.unionByName(rows.where(is_hot).withColumn(value, of_key))

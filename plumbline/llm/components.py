@@ -1,32 +1,32 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is two aggregations with map-side combine and two joins; no vertex's neighbours are gathered in one
-task, and what a round leaves is a table in the shared folder."""
+Each round is two aggregations with map-side combine and two joins that leave the pairs of a hot vertex where they
+are, so no vertex's neighbours are gathered in one task.  What a round leaves is a table in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lookup, materialize
 
 MAX_ROUNDS = 60
 
 
-def _hang(pairs: DataFrame) -> DataFrame:
-    """pairs(u, v): join every pair to the smallest of u and its neighbours (column m)."""
-    least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return pairs.join(least, "u")
+def _hang(pairs: DataFrame, total: int) -> DataFrame:
+    """pairs(u, v), at most `total` of them: join every pair to the smallest of u and its neighbours (column m)."""
+    least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    return lookup(pairs, least, "u", "m", "n", total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _hang(both).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _hang(both, 2 * count).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, count: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    hung = _hang(down)
+    hung = _hang(down, 2 * count)
     moved = hung.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(hung.select("u", F.col("m").alias("v"))).distinct()
 
@@ -36,9 +36,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Self loops and repeated edges change nothing; an empty table gives an empty table."""
     now = materialize(edges.where("u != v").select("u", "v").distinct(), "edges")
-    stamp = None
+    stamp, count = None, now.count()
     for _ in range(MAX_ROUNDS):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = materialize(_small_star(_large_star(now, count), count), "edges")
         count, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if (count, total) == stamp or not count:
             break

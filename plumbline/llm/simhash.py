@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes, tune
+from .common import lookup, materialize, text_bytes, tune
 from .components import connected_components
 
 CHUNK = 2048
@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
     A null doc_id never becomes a component's id while another id is in it.  Extra columns are ignored; an empty
     table gives an empty result."""
     marked = materialize(fingerprints(docs, shingle, lanes, bands, rows).withColumn("node", F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")), "fingerprints")
-    nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
+    nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.count("*").alias("n")), "nodes")
     if bands:
         keyed = nodes.select("node", "fp", F.posexplode("bands").alias("t", "key"))
     else:
@@ -297,11 +297,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
         keys = F.array(*[F.col("node").bitwiseAND(F.lit(_signed(m))) for m in masks])
         keyed = nodes.select("node", "fp", F.posexplode(keys).alias("t", "key"))
     part = connected_components(_links(keyed.select("t", "key", "node", "fp"), radius))
-    joined = nodes.select("node", "least").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = materialize(joined.join(ids, "component").select("node", "component_id"), "members")
+    joined = materialize(nodes.select("node", "least", "n").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")), "components")
+    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    sizes = joined.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    of_node = materialize(lookup(joined, ids, "component", "component_id", "nodes", sizes["nodes"]).select("node", "component_id", "n"), "members")
     hexed = F.array_join(F.transform("fp", lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
-    return marked.join(of_node, "node").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return lookup(marked, of_node, "node", "component_id", "n", sizes["rows"]).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 #: The stage of the pipeline: five-word shingles, similarity 0.8.  At 256 bits a similarity of 0.8 gives 39 differing

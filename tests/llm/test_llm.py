@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontaminate, language_id, license_scan, pii, sharding, simhash, sketch, sql, url_filter, warc
+from plumbline.llm.common import lookup
 from plumbline.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, shard int"
@@ -117,6 +118,23 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("hub", [0, 150, 1000])
+def test_components_of_a_star_and_others(spark, hub):
+    leaves = [i for i in range(1, 300) if i != hub]
+    edges = [(hub, i) for i in leaves] + [(2000 + 2 * i, 2001 + 2 * i) for i in range(50)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: min(hub, 1) for i in [hub, *leaves]}, **{2000 + 2 * i + k: 2000 + 2 * i for i in range(50) for k in (0, 1)}}
+
+
+def test_lookup_gives_hot_and_other_keys_their_value(spark):
+    rows = spark.createDataFrame([(0, i) for i in range(900)] + [(k, 0) for k in range(1, 100)], "k long, x long")
+    table = spark.createDataFrame([(k, None if k == 0 else k * k, 900 if k == 0 else 1) for k in range(99)], "k long, v long, n long")
+    got = lookup(rows, table, "k", "v", "n", 999)
+    assert got.dtypes == [("k", "bigint"), ("x", "bigint"), ("v", "bigint")]
+    assert sorted(map(tuple, got.where("k > 0").collect())) == [(k, 0, k * k) for k in range(1, 99)]
+    assert got.where("k = 0 and v is null").count() == 900
+
+
 # ---------------------------------------------------------------- op7
 
 
@@ -281,6 +299,7 @@ def test_base_spans_match_the_patterns():
         t = "".join(rnd.choice("a1@.+- ()25é") for _ in range(rnd.randint(0, 40)))
         assert pii.base_spans(t) == brute_spans(t)
     assert pii.base_spans("9" * 50_000 + "a" * 50_000 + "@" + "." * 1000 + "999." * 20_000) == []
+    assert pii.base_spans("0" * 6000 + "7.1.2.3") == [("ip", 0, 6007)]
 
 
 def test_crf_adds_and_leaves_clean_text_alone():
