@@ -54,7 +54,7 @@ def text_bytes(column: str = "text"):
 
 
 #: Keys that lookup() treats as hot, at most.
-HOT_KEYS = 64
+HOT_KEYS = 512
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, count: str, total: int) -> DataFrame:
@@ -67,7 +67,7 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, count: str,
     hot = table.where(F.col(count) > total / HOT_KEYS).select(key, value).collect()
     if not hot:
         return rows.join(table.select(key, value), key)
+    values = rows.sparkSession.createDataFrame(hot, table.select(key, value).schema)
     is_hot = F.col(key).isin([r[key] for r in hot])
-    of_key = F.create_map(*[F.lit(x) for r in hot for x in (r[key], r[value])])[F.col(key)]
     rest = rows.where(~is_hot).join(table.where(~is_hot).select(key, value), key)
-    return rest.unionByName(rows.where(is_hot).withColumn(value, of_key))
+    return rest.unionByName(rows.where(is_hot).join(F.broadcast(values), key))
