@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash32, uniform
+from ..functions.hashing import hash32, pick, uniform
 
 
 def numbered(clusters: DataFrame, key: str) -> DataFrame:
@@ -97,3 +97,32 @@ def simulate_power(spark: SparkSession, n: int, base: float, lift: float, trials
     total = F.col("p") + F.col("m")
     statistic = F.when(total > 0, F.pow(F.greatest(F.abs(F.col("p") - F.col("m")) - 1, F.lit(0)).cast("double"), 2) / total).otherwise(0.0)
     return per.agg(F.avg((statistic > critical).cast("double")).alias("power"), F.count("*").alias("trials"))
+
+
+def minimum_lift(spark: SparkSession, n: int, base: float, target: float, trials: int, lifts: list[float], critical: float = 3.841458820694124, seed: int = 0) -> DataFrame:
+    """(lift, power) of the smallest of `lifts` whose simulated power reaches the target, no row if none does.  All
+    lifts share the draws of simulate_power, so every cell is drawn once and counted against each lift."""
+    u = lambda arm: uniform(F.lit(seed), F.lit(arm), F.col("id"))
+    cells = spark.range(trials * n).select((F.col("id") / n).cast("bigint").alias("trial"), u("a").alias("a"), u("b").alias("b"))
+    counts = [c for k, lift in enumerate(lifts) for c in (F.count_if((F.col("a") < base + lift) & (F.col("b") >= base)).alias(f"p{k}"), F.count_if((F.col("a") >= base + lift) & (F.col("b") < base)).alias(f"m{k}"))]
+    listed = F.array(*[F.struct(F.lit(lift).alias("lift"), F.col(f"p{k}").alias("p"), F.col(f"m{k}").alias("m")) for k, lift in enumerate(lifts)])
+    per = cells.groupBy("trial").agg(*counts).select(F.explode(listed).alias("r")).select("r.*")
+    total = F.col("p") + F.col("m")
+    statistic = F.when(total > 0, F.pow(F.greatest(F.abs(F.col("p") - F.col("m")) - 1, F.lit(0)).cast("double"), 2) / total).otherwise(0.0)
+    power = per.groupBy("lift").agg(F.avg((statistic > critical).cast("double")).alias("power")).where(F.col("power") >= target)
+    return power.agg(F.min(F.struct("lift", "power")).alias("r")).where("r is not null").select("r.*")
+
+
+def chance_hits(targets: DataFrame, id_: str, line: str, lo: str, hi: str, tolerance: int, trials: int, seed: int = 0) -> DataFrame:
+    """(id, rate): the share of draws in which a uniform line of [lo, hi] falls within the tolerance of the target."""
+    drawn = targets.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    at = F.col(lo) + pick(F.col(hi) - F.col(lo) + 1, F.lit(seed), F.col("draw"), F.col(id_))
+    return drawn.groupBy(id_).agg(F.avg((F.abs(at - F.col(line)) <= tolerance).cast("double")).alias("rate"))
+
+
+def difference_of_differences(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Two runs' pairs (key, cluster, x, y) to (key, cluster, x, y) of the items that both runs scored in both arms,
+    where x and y are now the runs' own differences: their mean difference is the difference of differences."""
+    whole = lambda df: df.where("x is not null and y is not null")
+    other = whole(second).select(key, (F.col("x") - F.col("y")).alias("_d"))
+    return whole(first).join(other, key).select(key, "cluster", (F.col("x") - F.col("y")).alias("x"), F.col("_d").alias("y"))

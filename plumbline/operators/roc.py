@@ -3,11 +3,13 @@ works on at most as many rows as there are scores."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hashing import uniform
 from ..functions.stats import clamp_rate, probit
+from .resample import draws, interval, numbered
 
 
 def score_histogram(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
@@ -56,6 +58,48 @@ def d_prime(df: DataFrame, by: list[str], flagged: Column, positive: Column) ->
     return z.select(*by, "nd", "nt", "h", "f", (F.col("zh") - F.col("zf")).alias("d_prime"), (-(F.col("zh") + F.col("zf")) / 2).alias("criterion"))
 
 
+def _side_difference(curves: DataFrame, by: list[str], side: str, a, b) -> DataFrame:
+    """(by…, e): AUC of side a less that of side b, where both have one."""
+    of = lambda which: F.max(F.when(F.col(side) == which, F.col("auc")))
+    return curves.groupBy(*by).agg((of(a) - of(b)).alias("e")).where("e is not null")
+
+
+def auc_difference(spark: SparkSession, rows: DataFrame, cluster: str, arm: str, a, b, score: str, positive: Column, trials: int = 2000, margin: float = 0.05, seed: int = 0) -> DataFrame:
+    """One row: the AUC difference of arms a and b, its 95% interval over resampled clusters and its reading.
+
+    Only clusters that both arms scored count.  A cluster enters a draw through its score histogram, so that a draw
+    costs (clusters x scores) rows whatever the number of items; both arms share the draws."""
+    hist = score_histogram(rows.where(F.col(arm).isin(a, b)), [cluster, arm], score, positive)
+    shared = numbered(hist.groupBy(cluster).agg(F.countDistinct(arm).alias("_arms")).where("_arms = 2").drop("_arms"), cluster)
+    hist = hist.join(shared.select(cluster), cluster, "left_semi")
+    weights = draws(spark, shared, trials, seed).join(shared, "slot").select("draw", cluster, "m")
+    spread = _side_difference(auc(hist.join(weights, cluster), ["draw", arm], score, "m"), ["draw"], arm, a, b)
+    point = _side_difference(auc(hist, [arm], score).withColumn("_all", F.lit(0)), ["_all"], arm, a, b).select(F.col("e").alias("point"))
+    narrow = interval(spread, "e", 0.90).select(F.col("low").alias("low90"), F.col("high").alias("high90"))
+    out = point.join(interval(spread, "e")).join(narrow)
+    return out.withColumn("reading", reading(F.col("low"), F.col("low90"), F.col("high90"), margin))
+
+
+def auc_permutation(pairs: DataFrame, key: str, positive: str, trials: int = 1000, seed: int = 0) -> DataFrame:
+    """pairs(key, positive, x, y), scores of one item in two arms: the AUC difference and the share of label swaps
+    whose difference is at least as large.  Swapped items are counted into histograms before anything is shuffled."""
+    both = pairs.where("x is not null and y is not null")
+    sides = lambda first, second: F.explode(F.array(F.struct(F.lit(0).alias("side"), first.alias("score")), F.struct(F.lit(1).alias("side"), second.alias("score"))))
+    x, y, swap = F.col("x"), F.col("y"), uniform(F.lit(seed), F.col("draw"), F.col(key)) < 0.5
+    drawn = both.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).select("draw", positive, sides(F.when(swap, y).otherwise(x), F.when(swap, x).otherwise(y)).alias("r"))
+    as_is = both.select(F.lit(-1).alias("draw"), positive, sides(x, y).alias("r"))
+    hist = score_histogram(drawn.union(as_is).select("draw", positive, "r.*"), ["draw", "side"], "score", F.col(positive))
+    d = _side_difference(auc(hist, ["draw", "side"], "score"), ["draw"], "side", 0, 1)
+    seen = d.where("draw = -1").select(F.col("e").alias("observed"))
+    return d.where("draw >= 0").join(F.broadcast(seen)).agg(F.first("observed").alias("observed"), F.avg((F.abs("e") >= F.abs("observed") - 1e-9).cast("double")).alias("p"))
+
+
+def transitions(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """pairs(by…, x, y), flags as 0 or 1 in two arms: the 2 x 2 counts of each class."""
+    n = lambda a, b, name: F.count_if((F.col("x") == a) & (F.col("y") == b)).alias(name)
+    return pairs.where("x is not null and y is not null").groupBy(*by).agg(n(1, 1, "kept"), n(1, 0, "lost"), n(0, 1, "gained"), n(0, 0, "never"))
+
+
 def reading(low95: Column, low90: Column, high90: Column, margin: float) -> Column:
     """Decision from two intervals: equivalence if the 90% one lies within the margin, gain if the 95% one is above
     0, both, or inconclusive."""

@@ -269,6 +269,65 @@ def long_short(spark, d):
     return labelled.groupBy("arm", "class").agg(F.count("*").alias("n"), r6(F.avg(F.col("hit").cast("int"))).alias("rate"))
 
 
+ROC_TRIALS = 200
+_AUC = "sum(hd * (below + 0.5 * ht)) / (sum(hd) * sum(ht)) as auc"
+_BELOW = "coalesce(sum(ht) over (partition by {0} order by score rows between unbounded preceding and 1 preceding), 0) as below"
+
+
+@query(RUNS + f""", hc as (select cluster, arm, score, count(*) filter (where is_defect) as hd, count(*) filter (where not is_defect) as ht from runs where arm in (1, 2) and score is not null group by all),
+ shared as (select cluster from hc group by 1 having count(distinct arm) = 2), {_boot("count(*) as n from hc where cluster in (from shared)").replace(str(TRIALS), str(ROC_TRIALS))},
+ drawn as (select draw, arm, score, hd, ht from picks join num using (slot) join hc using (cluster) union all select -1, arm, score, hd, ht from hc where cluster in (from shared)),
+ w as (select draw, arm, score, sum(hd) as hd, sum(ht) as ht from drawn group by all), c as (select *, {_BELOW.format('draw, arm')} from w), a as (select draw, arm, {_AUC} from c group by draw, arm),
+ e as (select draw, max(auc) filter (where arm = 1) - max(auc) filter (where arm = 2) as e from a group by draw),
+ q as (select quantile_cont(e, 0.025) as low, quantile_cont(e, 0.975) as high, quantile_cont(e, 0.05) as low90, quantile_cont(e, 0.95) as high90 from e where draw >= 0)
+ select round((select e from e where draw = -1), 6) as point, round(low, 6) as low, round(high, 6) as high, case when low90 > -0.05 and high90 < 0.05 and low > 0 then 'gain within margin' when low90 > -0.05 and high90 < 0.05 then 'equivalent' when low > 0 then 'gain' else 'inconclusive' end as reading from q""")
+def auc_difference(spark, d):
+    out = roc.auc_difference(spark, runs(spark, d), "cluster", "arm", 1, 2, "score", F.col("is_defect"), ROC_TRIALS)
+    return out.select(r6("point").alias("point"), r6("low").alias("low"), r6("high").alias("high"), "reading")
+
+
+@query(RUNS + f""", dd as (select task, is_defect, max(score) filter (where arm = 1) as x, max(score) filter (where arm = 2) as y from runs where arm in (1, 2) group by all having x is not null and y is not null),
+ s as (select draw, is_defect, x, y, {_u32("'0|' || draw || '|' || task")} / 4294967296.0 < 0.5 as swap from dd cross join (select unnest(range(0, {PERMUTATIONS})) as draw) union all select -1, is_defect, x, y, false from dd),
+ f as (select draw, 0 as side, is_defect, case when swap then y else x end as score from s union all select draw, 1, is_defect, case when swap then x else y end from s),
+ w as (select draw, side, score, count(*) filter (where is_defect) as hd, count(*) filter (where not is_defect) as ht from f group by all), c as (select *, {_BELOW.format('draw, side')} from w),
+ a as (select draw, side, {_AUC} from c group by draw, side), e as (select draw, max(auc) filter (where side = 0) - max(auc) filter (where side = 1) as e from a group by draw)
+ select round((select e from e where draw = -1), 6) as observed, round(avg((abs(e) >= abs((select e from e where draw = -1)) - 1e-9)::int), 6) as p from e where draw >= 0""")
+def auc_permutation(spark, d):
+    scores = paired.pair_arms(runs(spark, d), "task", "arm", 1, 2, "score", ["is_defect"])
+    return roc.auc_permutation(scores, "task", "is_defect", PERMUTATIONS).select(r6("observed").alias("observed"), r6("p").alias("p"))
+
+
+@query(PAIRS + " select is_defect, count(*) filter (where x = 1 and y = 1) as kept, count(*) filter (where x = 1 and y = 0) as lost, count(*) filter (where x = 0 and y = 1) as gained, count(*) filter (where x = 0 and y = 0) as never from pairs where x is not null and y is not null group by is_defect")
+def transitions(spark, d):
+    return roc.transitions(pairs(spark, d), ["is_defect"])
+
+
+@query(RUNS + ", cells as (select task, cluster, max(case when arm = 1 then hit::int end)::double as x1, max(case when arm = 2 then hit::int end)::double as y1, max(case when arm = 1 then (score > 25)::int end)::double as x2, max(case when arm = 2 then (score > 25)::int end)::double as y2 from runs where arm in (1, 2) group by task, cluster), dd as (select task, cluster, (x1 - y1) - (x2 - y2) as d from cells where x1 + y1 + x2 + y2 is not null), " + _boot("sum(d) as s, count(*) as n from dd") + ", est as (select draw, sum(s) / sum(n) as e from picks join num using (slot) group by draw) select (select round(avg(d), 6) from dd) as point, (select count(*) from dd) as n, round(quantile_cont(e, 0.025), 6) as low, round(quantile_cont(e, 0.975), 6) as high from est")
+def difference_of_differences(spark, d):
+    rows = runs(spark, d).withColumn("long", F.col("score") > 25)
+    first, second = (paired.pair_arms(rows, "task", "arm", 1, 2, metric, ["cluster"]) for metric in ("hit", "long"))
+    out = resample.cluster_bootstrap(spark, resample.difference_of_differences(first, second, "task"), "cluster", TRIALS)
+    return out.select(r6("point").alias("point"), "n", r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query(f"""with c as (select i // 200 as trial, {_u32("'0|a|' || i")} / 4294967296.0 as a, {_u32("'0|b|' || i")} / 4294967296.0 as b from (select unnest(range(0, 20000)) as i)), l as (select unnest(range(1, 31)) / 100.0 as lift),
+ s as (select lift, trial, count(*) filter (where a < 0.35 + lift and b >= 0.35) as p, count(*) filter (where b < 0.35 and a >= 0.35 + lift) as m from c cross join l group by lift, trial),
+ w as (select lift, avg((case when p + m > 0 then power(greatest(abs(p - m) - 1, 0), 2) / (p + m) else 0 end > 3.841458820694124)::int) as power from s group by lift)
+ select lift, round(power, 6) as power from w where power >= 0.8 order by lift limit 1""")
+def minimum_lift(spark, d):
+    return resample.minimum_lift(spark, 200, 0.35, 0.8, 100, [k / 100 for k in range(1, 31)]).select("lift", r6("power").alias("power"))
+
+
+CHANCE_DRAWS = 20
+
+
+@query(f"with d as (select o_orderkey, date_diff('day', date '1992-01-01', o_orderdate::date) as line, o_orderkey % 40 as up, o_orderkey % 25 as down from orders) select o_orderkey, round(avg((abs({_u32(chr(39) + '0|' + chr(39) + ' || draw || ' + chr(39) + '|' + chr(39) + ' || o_orderkey')} % (up + down + 1) - up) <= 5)::int), 6) as rate from d cross join (select unnest(range(0, {CHANCE_DRAWS})) as draw) group by o_orderkey")
+def chance_baseline(spark, d):
+    line = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date"))
+    targets = t(spark, d, "orders").select("o_orderkey", line.alias("line"), (line - F.col("o_orderkey") % 40).alias("lo"), (line + F.col("o_orderkey") % 25).alias("hi"))
+    return resample.chance_hits(targets, "o_orderkey", "line", "lo", "hi", 5, CHANCE_DRAWS).select("o_orderkey", r6("rate").alias("rate"))
+
+
 # ---------------------------------------------------------------- matching
 
 SPOTS = f"""with {FIRST}, defects as (select o_orderkey as defect_id, o_custkey as path, date_diff('day', date '1992-01-01', o_orderdate::date) as d_line from orders),

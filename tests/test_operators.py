@@ -119,3 +119,17 @@ def test_dense_takes_blocks_of_queries_and_breaks_ties_by_id(spark, monkeypatch)
         want |= {(q, k + 1): i for k, (_, i) in enumerate(order)}
     assert got == want
     assert retrieve.dense(rows.limit(0), rows, 4).count() == 0
+
+
+def test_auc_permutation_and_difference_on_a_clear_case(spark):
+    rows = spark.createDataFrame([(i, i % 5, i % 2 == 0, (10 + i % 3) if i % 2 == 0 else i % 3, 1 + i % 3) for i in range(60)], "task long, cluster long, positive boolean, x int, y int")
+    p = roc.auc_permutation(rows, "task", "positive", 50).first()
+    assert p["observed"] == pytest.approx(0.5, abs=1e-9) and p["p"] == 0.0
+    long = rows.select("cluster", "positive", F.explode(F.array(F.struct(F.lit(1).alias("arm"), F.col("x").alias("score")), F.struct(F.lit(2).alias("arm"), F.col("y").alias("score")))).alias("r")).select("cluster", "positive", "r.*")
+    d = roc.auc_difference(spark, long, "cluster", "arm", 1, 2, "score", F.col("positive"), 40).first()
+    assert d["point"] == pytest.approx(0.5, abs=1e-9) and d["low"] <= d["point"] <= d["high"] and d["reading"] == "gain"
+
+
+def test_transitions_leave_out_missing_flags(spark):
+    rows = spark.createDataFrame([("d", 1.0, 0.0), ("d", 1.0, None), ("t", 0.0, 1.0), ("t", 0.0, 0.0)], "side string, x double, y double")
+    assert {r[0]: tuple(r)[1:] for r in roc.transitions(rows, ["side"]).collect()} == {"d": (0, 1, 0, 0), "t": (0, 0, 1, 1)}
