@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lookup, materialize
 
 ROW_OVERHEAD = 16
 #: Rows that a slot bucket holds on average.
@@ -108,9 +108,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     cut = sorted({sizes[r] for r, t in ends if t})
     # A run's first shard: the number of shards that end at or before its start.
     begun = np.searchsorted(sorted(r + (t > 0) for r, t in ends), np.arange(len(sizes)), side="right")
-    table = spark.createDataFrame(pd.DataFrame({"bytes": np.array(sizes, np.int64), "first": begun.astype(np.int64)}), "bytes long, first long")
+    table = pd.DataFrame({"bytes": np.array(sizes, np.int64), "first": begun.astype(np.int64), "groups": runs["groups"].to_numpy(np.int64)})
+    table = spark.createDataFrame(table, "bytes long, first long, groups long")
     inside = [(int(sizes[r]), int(t)) for r, t in ends if t]
-    plain = groups.join(table, "bytes").withColumn("shard", F.col("first"))
+    # Many different texts may have one size, so the runs with most groups are looked up in place.
+    plain = lookup(groups, table, "bytes", "first", "groups", int(runs["groups"].sum())).withColumn("shard", F.col("first"))
     if cut:
         bucket = F.conv(F.substring("key", 1, 3), 16, 10).cast("int")
         split = plain.where(F.col("bytes").isin(cut)).withColumn("bucket", bucket)
