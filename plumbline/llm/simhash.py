@@ -10,7 +10,11 @@ Two ways to cells, each for its own purpose:
 * bands: MinHash bands of the shingles; for radii beyond what blocks can serve (near-dedup at a similarity).
 
 Cells of more than CHUNK members are cut into chunks by hash, and every pair of chunks is a cell of its own, so that
-no task holds more than two chunks and no link is lost.  A cell returns a forest, at most one edge a member."""
+no task holds more than two chunks and no link is lost.  A cell returns a forest, at most one edge a member.
+
+The pipeline's stage takes the pairs within the radius as candidates only: a link is a pair whose shingle sets have
+an exact Jaccard of at least the similarity.  Candidates are verified in rounds: a member's first few in a cell,
+then, in cells that had more, those whose members are not yet in one component, until no cell has any left."""
 
 from __future__ import annotations
 
@@ -82,8 +86,9 @@ def minhash_bands(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, bands: int = 0, rows: int = 0) -> DataFrame:
-    """(doc_id, fp array<long>, bands array<long>) of every document; a null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, bands: int = 0, rows: int = 0, distinct: bool = False) -> DataFrame:
+    """(doc_id, fp array<long>, bands array<long>) of every document; a null text counts as empty.  With distinct, a
+    shingle counts once in the fingerprint however often it is repeated."""
     tune(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +96,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, bands: int =
             fps, keys = [], []
             for text in batch.column(1).to_pylist():
                 h = shingle_hashes(text, shingle)
+                h = np.unique(h) if distinct else h
                 fps.append(simhash(h, lanes).view(np.int64).tolist())
                 keys.append(minhash_bands(h, bands, rows).view(np.int64).tolist() if bands else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "bands"])
@@ -215,32 +221,105 @@ def _forest(ids: np.ndarray, fps: np.ndarray, start: np.ndarray, radius: int) ->
     return ids[moved], ids[root[moved]]
 
 
+def _whole_cells(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Arrow batches sorted by cell -> arrays (cell, fp, *columns) of whole cells.  Holds one batch and the cell that
+    it ends in."""
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = np.stack([batch.column(k).to_numpy() for k in CELL], axis=1)
+        fps = np.asarray(batch.column("fp").flatten()).astype(np.int64).view(np.uint64).reshape(batch.num_rows, -1)
+        now = [cell, fps, *(batch.column(c).to_numpy() for c in columns)]
+        if kept:
+            now = [np.concatenate(x) for x in zip(kept, now)]
+        change = np.flatnonzero((now[0][1:] != now[0][:-1]).any(axis=1))
+        cut = change[-1] + 1 if len(change) else 0
+        if cut:
+            yield [x[:cut] for x in now]
+        kept = [x[cut:] for x in now]
+    if kept:
+        yield kept
+
+
+def _starts(cell: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(axis=1)))
+
+
 def _link_cells(radius: int):
-    """Arrow batches sorted by cell (cell, node, fp) -> edges.  Holds one batch and the cell that it ends in."""
+    """Arrow batches sorted by cell (cell, node, fp) -> edges."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        for cell, fps, ids in _whole_cells(batches, ("node",)):
+            u, v = _forest(ids, fps, _starts(cell), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-        def edges(cell, ids, fps):
-            start = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(axis=1)))
-            u, v = _forest(ids, fps, start, radius)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    return run
+
+
+def large_cell_pairs(fps: np.ndarray, part: np.ndarray, radius: int, limit: int, queries: int = 64) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (i, j), i < j, of one cell within the radius and in different parts, for each i the first `limit`; and
+    whether there were more."""
+    n, more = len(fps), False
+    us, vs = [np.empty(0, int)], [np.empty(0, int)]
+    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little").astype(bool)
+    for s in range(0, n, queries):
+        if (part[s:] == part[s]).all():
+            break
+        planes = planes_of(fps[s:])
+        q = np.where(bits[s : s + queries], ONES, np.uint64(0))
+        mismatch = (planes[p][None, :] ^ q[:, p][:, None] for p in range(planes.shape[0]))
+        hits = within_radius(mismatch, (len(q), planes.shape[1]), radius)
+        if not hits.any():
+            continue
+        for r, found in enumerate(unpack(hits, n - s)):
+            j = s + r + 1 + np.flatnonzero(found[r + 1 :] & (part[s + r + 1 :] != part[s + r]))
+            more |= len(j) > limit
+            us.append(np.full(min(len(j), limit), s + r))
+            vs.append(j[:limit])
+    return np.concatenate(us), np.concatenate(vs), more
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell = np.stack([batch.column(k).to_numpy() for k in ("t", "key", "a", "b")], axis=1)
-            ids = batch.column("node").to_numpy()
-            fps = np.asarray(batch.column("fp").flatten()).astype(np.int64).view(np.uint64).reshape(batch.num_rows, -1)
-            if kept:
-                cell, ids, fps = (np.concatenate(x) for x in zip(kept, (cell, ids, fps)))
-            change = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1))
-            cut = change[-1] + 1 if len(change) else 0
-            if cut:
-                yield edges(cell[:cut], ids[:cut], fps[:cut])
-            kept = cell[cut:], ids[cut:], fps[cut:]
-        if kept:
-            yield edges(*kept)
+
+def small_cell_pairs(fps: np.ndarray, cell: np.ndarray, part: np.ndarray, radius: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many small cells at once; and the cells that had more."""
+    taken, us, vs, more = np.zeros(len(fps), int), [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)]
+    for d in range(1, SMALL_CELL):
+        near = np.flatnonzero(cell[:-d] == cell[d:]) if d < len(cell) else np.empty(0, int)
+        if not len(near):
+            break
+        i = near[part[near] != part[near + d]]
+        for some in np.array_split(i, -(-len(i) // 8192)) if len(i) else ():
+            planes = planes_of(fps[some] ^ fps[some + d])
+            hit = some[unpack(within_radius(planes, planes.shape[1:], radius), len(some))]
+            more.append(cell[hit[taken[hit] >= limit]])
+            hit = hit[taken[hit] < limit]
+            taken[hit] += 1
+            us.append(hit)
+            vs.append(hit + d)
+    return np.concatenate(us), np.concatenate(vs), np.unique(np.concatenate(more))
+
+
+def _candidate_cells(radius: int, limit: int):
+    """Arrow batches sorted by cell (cell, node, fp, part) -> candidates (u, v), and a row with the cell and without
+    u and v for each cell with members that have more than `limit`."""
+    names = ["u", "v", *CELL]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, fps, ids, part in _whole_cells(batches, ("node", "part")):
+            start = _starts(cell)
+            size = np.diff(np.append(start, len(ids)))
+            at = np.flatnonzero(np.repeat(size < SMALL_CELL, size))
+            i, j, open_ = small_cell_pairs(fps[at], np.repeat(np.arange(len(size)), size)[at], part[at], radius, limit)
+            us, vs, left = [ids[at[i]]], [ids[at[j]]], list(start[open_])
+            for s, n in zip(start[size >= SMALL_CELL], size[size >= SMALL_CELL]):
+                i, j, more = large_cell_pairs(fps[s : s + n], part[s : s + n], radius, limit)
+                us.append(ids[s + i])
+                vs.append(ids[s + j])
+                left += [s] * more
+            u, v, of = np.concatenate(us), np.concatenate(vs), cell[left]
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *(pa.nulls(len(u), k) for k in kinds[2:])], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(of), k) for k in kinds[:2]), *(pa.array(of[:, c].astype(np.int64)).cast(k) for c, k in enumerate(kinds[2:]))], names)
 
     return run
 
@@ -258,23 +337,30 @@ def block_masks(radius: int, distinct: int, bits: int = 64) -> list[int]:
     return [sum(c) for c in combinations(block, parts - radius)]
 
 
+CELL = ("t", "key", "a", "b")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _links(keyed: DataFrame, radius: int) -> DataFrame:
-    """keyed(t int, key long, node long, fp) -> edges between nodes of one (t, key) within the radius."""
+def _cells(keyed: DataFrame) -> DataFrame:
+    """keyed(t int, key long, node long, fp) -> (t, key, a, b, node, fp), a row for each cell that a node is in."""
     counts = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "cells")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     other = F.when(chunks == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), chunks - 1), lambda j: j != F.col("own")))
-    cells = (
+    return (
         keyed.join(counts, ["t", "key"])
         .withColumn("own", own)
         .withColumn("other", F.explode(other))
         .select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "fp")
     )
-    return cells.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b").mapInArrow(_link_cells(radius), "u long, v long")
+
+
+def _links(keyed: DataFrame, radius: int) -> DataFrame:
+    """keyed(t int, key long, node long, fp) -> edges between nodes of one (t, key) within the radius."""
+    return _cells(keyed).repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_link_cells(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, bands: int = 0, rows: int = 3) -> DataFrame:
@@ -305,14 +391,83 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
     return lookup(marked, of_node, "node", "component_id", "n", sizes["rows"]).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: The stage of the pipeline: five-word shingles, similarity 0.8.  At 256 bits a similarity of 0.8 gives 39 differing
-#: bits on average (deviation 6); unrelated texts give 128.
-STAGE = {"shingle": 5, "radius": 50, "lanes": 4, "bands": 12, "rows": 3}
+# ---------------------------------------------------------------- the pipeline's stage
+
+
+#: Five-word shingles, similarity 0.8.  At 256 bits a similarity of 0.8 gives 39 differing bits on average (deviation
+#: 6), for the shortest texts 48; unrelated texts give 128.  The radius only chooses what is verified.
+STAGE = {"shingle": 5, "similarity": 0.8, "radius": 72, "lanes": 4, "bands": 12, "rows": 3}
+#: Candidates of a member in a cell in the first round, and their growth from round to round.
+FIRST, GROWTH = 3, 16
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts(node, text) -> (node, shingles array<long>), once a node."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            nodes, sets = [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    sets.append(np.unique(shingle_hashes(text, shingle)).view(np.int64))
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs(u, v) whose shingle sets have a Jaccard of at least `similarity`; two empty sets have 1."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = materialize(_shingle_sets(texts.join(wanted, "node", "left_semi"), shingle), "shingles")
+    left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("u", "v"))
+    both = F.size(F.array_intersect("u_set", "v_set"))
+    either = F.size("u_set") + F.size("v_set") - both
+    return pairs.join(left, "u").join(right, "v").where((either == 0) | (both / either >= similarity)).select("u", "v")
+
+
+def _verified_links(keyed: DataFrame, texts: DataFrame, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """keyed(t, key, node, fp) -> verified edges that connect all nodes that the verified pairs of one (t, key)
+    within the radius connect."""
+    all_cells = _cells(keyed)
+    cells, limit, edges = all_cells.withColumn("part", F.col("node")), FIRST, None
+    while True:
+        dealt = cells.repartition(*CELL).sortWithinPartitions(*CELL, "node")
+        found = materialize(dealt.mapInArrow(_candidate_cells(radius, limit), "u long, v long, t int, key long, a int, b int"), "candidates")
+        pairs = materialize(found.where("u is not null").select("u", "v").distinct(), "pairs")
+        good = materialize(_verified(pairs, texts, shingle, similarity), "verified")
+        edges = good if edges is None else edges.union(good)
+        left = found.where("u is null").select(*CELL)
+        if left.isEmpty():
+            return edges
+        part = connected_components(edges).withColumnRenamed("component", "part")
+        cells = all_cells.join(left, list(CELL), "left_semi").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        limit *= GROWTH
+
+
+def similar_components(docs: DataFrame, shingle: int, similarity: float, radius: int, lanes: int, bands: int, rows: int) -> DataFrame:
+    """(node, component, least) of every distinct text of docs(doc_id, text, _node): the components over pairs of
+    texts with an exact Jaccard of at least `similarity`, and the text's smallest doc_id."""
+    own = docs.select("_node", text_bytes().alias("text"))
+    prints = fingerprints(docs.select(F.col("_node").alias("doc_id"), "text"), shingle, lanes, bands, rows, True)
+    prints = prints.withColumnRenamed("doc_id", "node")
+    nodes = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
+    keyed = nodes.select("node", "fp", F.posexplode("bands").alias("t", "key")).select("t", "key", "node", "fp")
+    edges = _verified_links(keyed, own.withColumnRenamed("_node", "node"), radius, shingle, similarity)
+    least = docs.groupBy(F.col("_node").alias("node")).agg(F.min(F.col("doc_id").cast("long")).alias("least"))
+    part = connected_components(edges)
+    return materialize(least.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "component", "least"), "components")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without near duplicates: of each component the row with the smallest doc_id stays, one row if
     several carry that id, with the columns of docs.  Documents with a null doc_id stay only if alone."""
-    found = near_duplicates(docs, **(STAGE | options))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay"))
+    tune(docs.sparkSession)
+    own = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    parts = similar_components(own, **(STAGE | options))
+    stay = parts.groupBy("component").agg(F.min("least").alias("_stay")).select("_stay")
     return docs.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id"])

@@ -112,6 +112,43 @@ def test_keep_one_takes_near_copies_and_leaves_others(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 4, 5] and out.columns == docs.columns
 
 
+def jaccard(a, b, size=5):
+    x, y = (set(zip(*(t.split()[k:] for k in range(size)))) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("changed,stays", [(20, 1), (33, 1), (34, 2), (42, 2), (52, 2)])
+def test_keep_one_links_at_exactly_the_similarity(spark, changed, stays):
+    # 301 words, 297 shingles; a changed tail of k words changes k shingles: J = (297 - k) / (297 + k), 0.8 at 33
+    pairs = []
+    for seed in range(20):
+        base = [f"w{seed}x{i}" for i in range(301)]
+        pairs.append((" ".join(base), " ".join([*base[:-changed], *(f"z{seed}x{i}" for i in range(changed))])))
+    assert stays == (1 if jaccard(*pairs[0]) >= 0.8 else 2)
+    docs = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
+    got = [r.doc_id for r in simhash.keep_one(docs).collect()]
+    assert sorted(got) == [2 * i + k for i in range(20) for k in range(stays)]
+
+
+def test_keep_one_matches_brute_force_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "FIRST", 1)
+    monkeypatch.setattr(simhash, "GROWTH", 3)
+    rnd, texts = random.Random(8), []
+    for g in range(6):
+        base = prose(700 + g, 120).split()
+        texts += [" ".join("new%d" % rnd.randint(0, 9**9) if rnd.random() < rate else w for w in base) for rate in (0.005, 0.01, 0.02) for _ in range(22 if g < 2 else 4)]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=60, rows=2, radius=110)
+    assert sorted(r.doc_id for r in got.collect()) == [i for i in range(len(texts)) if find(i) == i]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
