@@ -464,10 +464,13 @@ def similar_components(docs: DataFrame, shingle: int, similarity: float, radius:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near duplicates: of each component the row with the smallest doc_id stays, one row if
-    several carry that id, with the columns of docs.  Documents with a null doc_id stay only if alone."""
+    """The documents without near duplicates: of each component one row stays, with the columns of docs: the one with
+    the smallest doc_id, a null one last.  A row is known by its text and doc_id, so rows that share only a doc_id, or
+    only lack one, do not touch each other."""
     tune(docs.sparkSession)
-    own = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    doc_id = F.col("doc_id").cast("long")
+    own = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", F.coalesce(doc_id, F.lit(0))).withColumn("_none", doc_id.isNull())
     parts = similar_components(own, **(STAGE | options))
-    stay = parts.groupBy("component").agg(F.min("least").alias("_stay")).select("_stay")
-    return docs.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id"])
+    first = parts.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("_none"), F.coalesce("least", F.lit(0)).alias("_id"), F.col("node").alias("_node"))).alias("s"))
+    key = ["_node", "_id", "_none"]
+    return own.join(first.select("s.*"), key, "left_semi").dropDuplicates(key).drop(*key)

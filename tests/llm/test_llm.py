@@ -149,6 +149,19 @@ def test_keep_one_matches_brute_force_over_groups(spark, monkeypatch):
     assert sorted(r.doc_id for r in got.collect()) == [i for i in range(len(texts)) if find(i) == i]
 
 
+def test_keep_one_knows_rows_by_text_and_id(spark):
+    near = lambda seed: prose(seed, 400) + " tail"
+    rows = [(None, prose(i, 400)) for i in range(800, 806)]  # clean, without id
+    rows += [(5, prose(i, 400)) for i in range(810, 813)]  # clean, one id
+    rows += [(None, near(800)), (9, near(810)), (5, prose(820, 400)), (4, near(820)), (7, near(801)), (5, prose(811, 400))]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    of_800 = [g for g in got if g[1] in (prose(800, 400), near(800))]
+    assert len(of_800) == 1 and of_800[0][0] is None
+    want = [(7, near(801)), *((None, prose(i, 400)) for i in range(802, 806)), *((5, prose(i, 400)) for i in range(810, 813)), (4, near(820))]
+    assert sorted(map(str, set(got) - set(of_800))) == sorted(map(str, want)) and len(got) == len(want) + 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
