@@ -1,7 +1,7 @@
 """License scans (operator 8) by a positional index of rare words.
 
-The templates' words are indexed as word -> (template, position).  Of each file the licence words with the highest
-IDF are looked up; every occurrence votes for the place at which each template would start, and a template is a
+The templates' words, but for common ones, are indexed as word -> (template, position).  All of them that a file has
+are looked up; every occurrence votes for the place at which each template would start, and a template is a
 candidate where enough of its positions agree.  A candidate stands if its mandatory key phrase is found there."""
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ TEMPLATES = [
 ]
 COMMON = set("a and any are at by for from in is it may not of or that the this to use with you".split())
 
-#: Highest-IDF licence words of a file that are looked up, and the share of a template's indexed positions that agree.
-LOOKED_UP = 12
+#: The share of a template's indexed positions that agree.
 AGREE = 0.5
 
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -77,11 +76,10 @@ class Index:
             back = phrase.index(anchor)
             places += [(i - back, label) for i in at.get(anchor, ()) if i >= back and words[i - back : i - back + len(phrase)] == phrase]
         found: dict[str, float] = {}
-        looked_up = sorted((w for w in at if w in self.idf), key=lambda w: (-self.idf[w], w))[:LOOKED_UP]
         votes: Counter = Counter()
-        # Positions (template, start) of the rarest words; a template counts each of its positions once at a start.
-        for w in looked_up:
-            for t, q in self.postings[w]:
+        # Positions (template, start) of the indexed words; a template counts each of its positions once at a start.
+        for w in at:
+            for t, q in self.postings.get(w, ()):
                 for i in at[w]:
                     votes[t, i - q] += 1
         for (t, start), n in votes.items():

@@ -334,6 +334,17 @@ def test_license_scan(spark):
     assert got[5].labels == "gpl-3" and got[6].labels == "" and got[7].labels == "mit"
 
 
+def test_license_scan_finds_every_template_of_a_file():
+    index, every = license_scan.Index(), [w for _, w, _ in license_scan.TEMPLATES]
+    scan = lambda text: set(index.scan(license_scan.words_of(text.encode()))[1])
+    assert scan(" . and so on . ".join(every)) == {label for label, _, _ in license_scan.TEMPLATES}
+    for a, x, _ in license_scan.TEMPLATES:
+        for b, y, _ in license_scan.TEMPLATES:
+            assert scan(f"{x} or else {y}") >= {a, b}
+    english = "the associated binary charge code conditions file files following form free copy general creative international documentation " * 300
+    assert scan(english) == set() and scan(f"{english} {every[1]} {english} {every[9]} {english} {every[5]} {english}") == {"mit", "mpl-2", "gpl-3"}
+
+
 def brute_spans(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
