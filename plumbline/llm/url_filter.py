@@ -4,8 +4,9 @@ URLs that a rule decides train two smoothed variable-order Markov models, of acc
 that no rule decides is judged by its log-likelihood difference per character, against a threshold calibrated on
 rule-decided URLs that were kept from training.
 
-Counts are kept in hashed tables of SLOTS entries, the same for any input, so what reaches the driver and the
-executors is bounded; they are counted over all URLs."""
+Counts are keyed by the gram itself (up to five bytes and the order fit a long), so none is mixed with another, in
+a table that grows with the URLs' grams.  The distinct keys of a chunk of URLs are joined with that table, and the
+chunk is scored with what comes back; no count reaches the driver, and no key has more rows than there are chunks."""
 
 from __future__ import annotations
 
@@ -13,16 +14,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import lookup, materialize, tune
 
 # The rules (action, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 ORDERS = 5
-SLOTS = 1 << 18
+#: Positions of a chunk of URLs, which are counted or scored together.
+POSITIONS = 1 << 16
 #: Weight of the next lower order.
 BACKOFF = 2.0
 #: One in CALIBRATE of the rule-decided URLs calibrates, the others train.
@@ -56,77 +59,92 @@ def _codes(url: str) -> np.ndarray:
     return np.frombuffer(b"\x02" + (url.split("://", 1)[-1]).lower().encode("utf-8", "replace") + b"\x03", np.uint8).astype(np.uint64)
 
 
-def slots_of(url: str) -> tuple[np.ndarray, np.ndarray]:
-    """(orders, positions) slots of the grams ending at each position but the first, and of their contexts."""
-    c = _codes(url)
-    n = len(c) - 1
-    grams, contexts = np.zeros((ORDERS, n), np.int64), np.zeros((ORDERS, n), np.int64)
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    h = np.zeros(n, np.uint64)
+def keys_of(codes: np.ndarray) -> np.ndarray:
+    """(2 * ORDERS, positions) keys at each position but the first: row k is the gram of order k that ends there,
+    row ORDERS + k its context, the k bytes before.  A key holds the row in its low four bits and then nine bits a
+    byte (the byte plus 1, 0 before the URL's start), so that different grams have different keys."""
+    n = len(codes) - 1
+    out, context = np.zeros((2 * ORDERS, n), np.int64), np.zeros(n, np.int64)
+    byte = codes.astype(np.int64) + 1
     for k in range(ORDERS):
-        # h: hash of the k characters before each position, as far as the URL reaches back
-        salted = (h + np.uint64(k + 1)) * mix
-        contexts[k] = (salted >> np.uint64(46)).astype(np.int64)
-        gram = (salted ^ (c[1:] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * mix
-        grams[k] = (gram >> np.uint64(46)).astype(np.int64)
-        back = np.zeros(n, np.uint64)
-        back[k:] = c[: n - k] + np.uint64(1) if k < n else back[k:]
-        h = (h ^ back * np.uint64(0xFF51AFD7ED558CCD)) * mix
-    return grams, contexts
-
-
-class MarkovRatio:
-    """Counts (2, SLOTS) of grams and contexts for accepted (0) and rejected (1) URLs, and the threshold."""
-
-    def __init__(self, grams: np.ndarray, contexts: np.ndarray, threshold: float = 0.0):
-        self.grams, self.contexts, self.threshold = grams, contexts, threshold
-
-    def difference(self, url: str) -> float:
-        """log P(accepted) - log P(rejected), per character."""
-        g, x = slots_of(url)
-        p = np.full((2, g.shape[1]), 1 / 256)
-        for k in range(ORDERS):
-            p = (self.grams[:, g[k]] + BACKOFF * p) / (self.contexts[:, x[k]] + BACKOFF)
-        return float((np.log(p[0]) - np.log(p[1])).mean()) if g.shape[1] else 0.0
-
-
-def _count(decided: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Gram and context counts of decided(url, verdict): a partition sends one row per used slot at most."""
+        out[k] = (context << 9 | byte[1:]) << 4 | k
+        out[ORDERS + k] = context << 4 | (ORDERS + k)
+        back = np.zeros(n, np.int64)
+        back[k:] = byte[: n - k] if k < n else back[k:]
+        context = context | back << (9 * k)
+    return out
+
+
+def _chunks(urls: Iterable[str]) -> Iterator[tuple[list[str], list[np.ndarray]]]:
+    """URLs and their keys, about POSITIONS positions at a time."""
+    held, keys, size = [], [], 0
+    for url in urls:
+        held.append(url)
+        keys.append(keys_of(_codes(url)))
+        size += keys[-1].shape[1]
+        if size >= POSITIONS:
+            yield held, keys
+            held, keys, size = [], [], 0
+    if held:
+        yield held, keys
+
+
+def count_grams(decided: DataFrame) -> DataFrame:
+    """decided(url, verdict) -> (key, allow, block): occurrences of every gram and context in URLs of each verdict."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, SLOTS), np.int64)
         for batch in batches:
-            for url, verdict in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                side = int(verdict == "block")
-                for kind, slots in enumerate(slots_of(url)):
-                    np.add.at(total[kind, side], slots.ravel(), 1)
-        for kind in range(2):
-            used = np.flatnonzero(total[kind].any(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind)), pa.array(used), pa.array(total[kind, 0, used]), pa.array(total[kind, 1, used])], ["kind", "slot", "allow", "block"])
-
-    sums = decided.mapInArrow(run, "kind long, slot long, allow long, block long").groupBy("kind", "slot").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).toPandas()
-    out = np.zeros((2, 2, SLOTS))
-    for side, name in enumerate(("allow", "block")):
-        out[sums["kind"].to_numpy(int), side, sums["slot"].to_numpy(int)] = sums[name].to_numpy(float)
-    return out[0], out[1]
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for side, name in enumerate(("allow", "block")):
+                for _, found in _chunks(u for u, v in rows if v == name):
+                    keys, n = np.unique(np.concatenate([k.ravel() for k in found]), return_counts=True)
+                    counts = [n, np.zeros_like(n)][:: -1 if side else 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, counts)], ["key", "allow", "block"])
+
+    return decided.mapInArrow(run, "key long, allow long, block long").groupBy("key").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+
+
+def _score(table: pa.Table) -> pa.Table:
+    """A chunk (chunk, url, key, allow, block): URLs, and apart from them the counts of the keys that training has."""
+    known = table.filter(table["key"].is_valid())
+    keys = known["key"].to_numpy()
+    order = np.argsort(keys)
+    keys = np.append(keys[order], np.iinfo(np.int64).max)
+    counts = np.stack([np.append(known[side].to_numpy()[order], 0.0) for side in ("allow", "block")])
+    urls, out = table.filter(table["url"].is_valid())["url"].to_pylist(), []
+    for url in urls:
+        wanted = keys_of(_codes(url))
+        at = np.searchsorted(keys, wanted)
+        seen = np.where(keys[at] == wanted, counts[:, at], 0.0)
+        p = np.full((2, wanted.shape[1]), 1 / 256)
+        for k in range(ORDERS):
+            p = (seen[:, k] + BACKOFF * p) / (seen[:, ORDERS + k] + BACKOFF)
+        out.append(float((np.log(p[0]) - np.log(p[1])).mean()))
+    return pa.table({"url": pa.array(urls, pa.string()), "difference": pa.array(out, pa.float64())})
 
 
-def _differences(rows: DataFrame, model: MarkovRatio, columns: list[str]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def differences(urls: DataFrame, grams: DataFrame) -> DataFrame:
+    """Distinct urls(url) -> (url, difference): log P(accepted) - log P(rejected), per character."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = [shared.value.difference(u or "") for u in batch.column("url").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(d, pa.float64())], [*columns, "difference"])
-
-    kinds = dict(rows.dtypes)
-    return rows.select(*{c: None for c in [*columns, "url"]}).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", difference double")
-
-
-def calibrate(model: MarkovRatio, held: DataFrame) -> float:
-    """The threshold with the best balanced accuracy on held(url, verdict), from a histogram of BINS differences."""
+        first = TaskContext.get().partitionId() << 32
+        rows = (u for batch in batches for u in batch.column(0).to_pylist())
+        for n, (held, found) in enumerate(_chunks(rows)):
+            keys = np.unique(np.concatenate([k.ravel() for k in found]))
+            none = pa.nulls(len(keys), pa.string()), pa.nulls(len(held), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), first + n)), pa.array(held, pa.string()), none[1]], ["chunk", "url", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), first + n)), none[0], pa.array(keys)], ["chunk", "url", "key"])
+
+    chunks = materialize(urls.select("url").mapInArrow(run, "chunk long, url string, key long"), "url-chunks")
+    seen = chunks.where("key is not null").join(grams, "key").select("chunk", "url", "key", "allow", "block")
+    own = chunks.where("url is not null").withColumns({"allow": F.lit(None).cast("long"), "block": F.lit(None).cast("long")})
+    return own.unionByName(seen).groupBy("chunk").applyInArrow(_score, "url string, difference double")
+
+
+def calibrate(held: DataFrame) -> float:
+    """The threshold with the best balanced accuracy on held(verdict, difference), from a histogram of BINS differences."""
     bin_ = F.least(F.greatest(F.floor(F.col("difference") / BIN_WIDTH) + BINS // 2, F.lit(0)), F.lit(BINS - 1))
-    rows = _differences(held, model, ["verdict"]).groupBy("verdict", bin_.alias("bin")).count().collect()
+    rows = held.groupBy("verdict", bin_.alias("bin")).count().collect()
     seen = np.zeros((2, BINS))
     for r in rows:
         seen[int(r["verdict"] == "block"), int(r["bin"])] += r["count"]
@@ -149,10 +167,15 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), path.alias("path"))
     text, action = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", text.cast("string")).withColumn("action", action.cast("string"))
-    decided = rows.where("action is not null").select("url", F.col("action").alias("verdict"), (F.pmod(F.xxhash64("url"), F.lit(CALIBRATE)) == 0).alias("held"))
-    model = MarkovRatio(*_count(decided.where("not held").select("url", "verdict")))
-    model.threshold = calibrate(model, decided.where("held").select("url", "verdict"))
-    judged = _differences(rows.where("action is null"), model, ["page_id", "host", "path"])
-    judged = judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("difference") >= model.threshold, "allow").otherwise("block").alias("verdict"), "difference")
+    rows = rows.withColumn("held", F.col("action").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(CALIBRATE)) == 0))
+    grams = materialize(count_grams(rows.where("action is not null and not held").select("url", "action")), "grams")
+    # The model reads a null url as an empty one.
+    asked = rows.where("action is null or held").withColumn("url", F.coalesce("url", F.lit("")))
+    urls = materialize(asked.groupBy("url").agg(F.count("*").alias("n")), "urls")
+    scored = materialize(urls.join(differences(urls, grams), "url"), "differences")
+    total = scored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    asked = lookup(asked, scored, "url", "difference", "n", total)
+    threshold = calibrate(asked.where("held").select(F.col("action").alias("verdict"), "difference"))
+    judged = asked.where("action is null").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("difference") >= threshold, "allow").otherwise("block").alias("verdict"), "difference")
     ruled = rows.where("action is not null").select("page_id", "host", "path", "rule", F.col("action").alias("verdict"), F.lit(None).cast("double").alias("difference"))
     return ruled.unionByName(judged)

@@ -391,6 +391,36 @@ def test_url_rules_and_model(spark):
     assert all(got[i].verdict in ("allow", "block") for i in got)
 
 
+def brute_difference(url, train):
+    codes = lambda u: b"\x02" + u.split("://", 1)[-1].lower().encode() + b"\x03"
+    counts = [defaultdict(int), defaultdict(int)]
+    grams = lambda c: ((i, k, c[max(0, i - k) : i], k > i) for i in range(1, len(c)) for k in range(url_filter.ORDERS))
+    for u, verdict in train:
+        c = codes(u)
+        for i, k, before, _ in grams(c):
+            counts[verdict == "block"][k, before] += 1
+            counts[verdict == "block"][k, before, c[i]] += 1
+    c, total = codes(url), 0.0
+    p = np.full((2, len(c)), 1 / 256)
+    for i, k, before, _ in grams(c):
+        for side in (0, 1):
+            p[side, i] = (counts[side][k, before, c[i]] + url_filter.BACKOFF * p[side, i]) / (counts[side][k, before] + url_filter.BACKOFF)
+    return float((np.log(p[0, 1:]) - np.log(p[1, 1:])).mean())
+
+
+def test_url_model_keeps_every_gram_apart(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "POSITIONS", 500)
+    rnd = random.Random(9)
+    letters = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) not in "#?/:") + "éß中"
+    noise = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    train = [(f"http://a{i}.com/{noise(700)}", "allow") for i in range(60)] + [(f"http://b.net/es/{noise(700)}", "block") for i in range(60)]
+    asked = [u[:300] for u, _ in train[::20]] + ["", "x", "Http://ABC.org/" + noise(200)]
+    grams = url_filter.count_grams(spark.createDataFrame(train, "url string, verdict string"))
+    got = {r.url: r.difference for r in url_filter.differences(spark.createDataFrame([(u,) for u in asked], "url string"), grams).collect()}
+    assert grams.count() > 1 << 18
+    assert got == {u: pytest.approx(brute_difference(u, train), abs=1e-9) for u in asked}
+
+
 # ---------------------------------------------------------------- op2, op4
 
 
