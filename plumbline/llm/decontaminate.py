@@ -23,8 +23,8 @@ SLOTS = 1 << 21
 
 
 def words(text: Column) -> Column:
-    """Runs of letters, digits and non-ASCII characters, A-Z lower-cased."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Runs of letters, digits and non-ASCII characters, letters of every script lower-cased."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
     return F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 

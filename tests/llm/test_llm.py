@@ -436,6 +436,13 @@ def test_leaks_tolerate_substitutions(spark):
     assert sorted(str(r.doc_id) for r in decontaminate.remove_leaks(docs, marks).collect()) == ["3", "4", "5", "6", "None"]
 
 
+def test_leaks_in_upper_case_of_other_letters(spark):
+    item = "la niñez según él fue más difícil después también allá où l'été était à Москва это где жить ist größer für Äpfel öde über".split()
+    rows = [(1, prose(1, 30) + " " + " ".join(item).upper().replace("SS", "ß") + " " + prose(2, 30)), (2, " ".join(item)), (3, prose(3, 60))]
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.overlap) for r in got) == [(1, 1.0), (2, 1.0)]
+
+
 def test_warc_round_trip(spark):
     html = "<html lang='x'><head><title> A  b </title><script>var t='</p>';</script></head><body><p>One &amp; <b>two</b></p><!-- no --><p>three</p></body></html>"
     rows = warc.derive(warc.responses(spark.createDataFrame([(1, "http://a/", html), (2, None, None)], "page_id long, url string, html string"))).collect()
