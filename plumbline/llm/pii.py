@@ -8,6 +8,7 @@ stretches around those are decoded."""
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -132,8 +133,10 @@ sum 100 200 300 and 1 000 000
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 _TRIGGER = re.compile(r"[0-9@]|[\[({]at[\])}]", re.I)
-#: Characters on both sides of a trigger that are decoded with it, and tokens of a sequence at most.
+#: Characters on both sides of a trigger that are decoded with it at least.
 REACH = 32
+#: Tokens of a sequence, and those at a cut that the two sequences on both its sides share on each side.
+SEQUENCE, MARGIN = 512, 64
 STEPS = 200
 
 
@@ -288,51 +291,91 @@ def plausible(kind: str, value: str) -> bool:
     return kind == "email" and _ADDED_EMAIL.fullmatch(value) is not None
 
 
+_NONBLANK = re.compile(r"\S*")
+_AFTER_AT = re.compile(r"\s*[\w-]+(?:\s*(?:\.|[\[({]dot[\])}])\s*[\w-]+)*", re.I)
+
+
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around the triggers, widened to white space, merged where they meet."""
+    """Stretches around the triggers, widened to white space and to the whole domain after an "at", merged where they
+    meet."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
+        low = out[-1][1] if out else 0
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+        if len(m[0]) > 1:
+            domain = _AFTER_AT.match(text, m.end())
+            b = max(b, domain.end() if domain else 0)
+            k = m.start()
+            while k > low and text[k - 1].isspace():
+                k -= 1
+            a = min(a, max(0, k - 1))
+        elif b <= low:
+            continue
+        while a > low and not text[a - 1].isspace():
+            a -= 1
+        if b > low and not text[b - 1].isspace():
+            b = _NONBLANK.match(text, b).end()
+        if out and a <= low:
+            out[-1][1] = max(low, b)
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
 
 
+def _spans_of(part: list[tuple[int, int, str]], labels: np.ndarray) -> Iterator[tuple[int, int, Span]]:
+    """(first token, token after the last, span) of each labelled run."""
+    t = 0
+    while t < len(labels):
+        end = t + 1
+        if labels[t] % 2 == 1:
+            while end < len(labels) and labels[end] == labels[t] + 1:
+                end += 1
+            yield t, end, (KINDS[(labels[t] - 1) // 2], part[t][0], part[end - 1][1])
+        t = end
+
+
 def crf_spans(crf: CRF, texts: list[str]) -> list[list[Span]]:
-    """Spans that the CRF finds in each text, decoded over all texts together."""
+    """Spans that the CRF finds in each text, decoded over all texts together.
+
+    Long windows are decoded in sequences that overlap, so that a text of digits alone does not make one batch.  A
+    span counts in the sequence that has it at least MARGIN tokens from the cuts on both sides of its start; where it
+    reaches the end of that sequence, the window is decoded whole."""
     where, sequences, tokens = [], [], []
     cached: dict[tuple[str, ...], np.ndarray] = {}
+
+    def scores(part: list[tuple[int, int, str]]) -> np.ndarray:
+        shapes = tuple(s for _, _, s in part)
+        if shapes not in cached:
+            cached[shapes] = crf.scores(list(shapes))
+        return cached[shapes]
+
     for i, text in enumerate(texts):
         if not _TRIGGER.search(text):
             continue
         for a, b in windows(text):
             found = tokens_of(text, a, b)
-            # Sequences are cut at 512 tokens, so that a text of digits alone does not make one batch.
-            for k in range(0, len(found), 512):
-                part = found[k : k + 512]
-                shapes = tuple(s for _, _, s in part)
-                # Without a group of three digits or an "at" nothing that may be added can be here.
-                if not any(s.startswith(("d3", "at")) for s in shapes):
-                    continue
-                if shapes not in cached:
-                    cached[shapes] = crf.scores(list(shapes))
-                where.append(i)
-                tokens.append(part)
-                sequences.append(cached[shapes])
+            # Without a group of three digits or an "at" nothing that may be added can be here.
+            if not any(s.startswith(("d3", "at")) for _, _, s in found):
+                continue
+            for k in range(0, max(1, len(found) - 2 * MARGIN), SEQUENCE - 2 * MARGIN):
+                where.append((i, k, found))
+                tokens.append(found[k : k + SEQUENCE])
+                sequences.append(scores(tokens[-1]))
     spans: list[list[Span]] = [[] for _ in texts]
-    for i, part, labels in zip(where, tokens, crf.viterbi(sequences)):
-        t = 0
-        while t < len(labels):
-            if labels[t] % 2 == 1:
-                end = t + 1
-                while end < len(labels) and labels[end] == labels[t] + 1:
-                    end += 1
-                spans[i].append((KINDS[(labels[t] - 1) // 2], part[t][0], part[end - 1][1]))
-                t = end
-            else:
-                t += 1
+    whole: dict[int, tuple[int, list[tuple[int, int, str]]]] = {}
+    by_window: dict[int, list[Span]] = defaultdict(list)
+    for (i, k, found), part, labels in zip(where, tokens, crf.viterbi(sequences)):
+        last = k + SEQUENCE >= len(found)
+        whole.setdefault(id(found), (i, found))
+        for t, end, span in _spans_of(part, labels):
+            if t < (MARGIN if k else 0) or not last and t >= SEQUENCE - MARGIN:
+                continue
+            by_window[id(found)].append(span if last or end < len(part) else None)
+    for key, own in by_window.items():
+        i, found = whole[key]
+        if None in own:
+            own = [s for _, _, s in _spans_of(found, crf.viterbi([crf.scores([s for _, _, s in found])])[0])]
+        spans[i] += own
     return spans
 
 

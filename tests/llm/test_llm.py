@@ -371,6 +371,19 @@ def test_crf_adds_and_leaves_clean_text_alone():
     assert spans("in 2024-01-15 at 10:30 we met 300-400 people for 4785380592391138") == []
 
 
+def test_crf_finds_spans_at_cuts_and_of_any_length():
+    crf = pii.train()
+    spans = lambda t: [t[a:b] for _, a, b in pii.all_spans(crf, [t])[0][1]]
+    for shift in range(12):
+        numbers = [f"{200 + i % 700}-555-{1000 + i}" for i in range(400)]
+        assert spans("x " * shift + "call " + " or call ".join(numbers)) == numbers
+    for local, domain in (("jane.doe" * 8, "example [dot] org"), ("jane", "department" * 6 + " [dot] org"), ("jane", " [dot] ".join(["department"] * 9)), ("maria.luisa.fernandez.de.la.cruz.gomez", "x" * 40 + ".example.org")):
+        address = f"{local} [at] {domain}"
+        assert spans(f"mail {address} soon") == [address]
+    text = "1" * 40 + " [at] " + "word " * 50 + "7" * 3 + " x" * 30
+    assert all(a == 0 or text[a - 1].isspace() for a, _ in pii.windows(text)) and pii.windows("9" * 10**6) == [(0, 10**6)]
+
+
 def test_pii_query_and_redaction(spark, docs):
     df = spark.createDataFrame([(1, "to a.b@c.de or +1 (476) 555-6291", 5), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     r = {x.doc_id: x for x in pii.find_personal_data(df).collect()}
