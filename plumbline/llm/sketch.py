@@ -1,8 +1,9 @@
 """Threshold-scaled document sketches (operator 5), DataFrame functions only.
 
 A sketch keeps every distinct hash of a text's five-word shingles that lies below a fixed fraction of the hash
-range.  The threshold is the same for all texts, so sketches merge by set union, and the share of A's hashes that
-are in B's sketch estimates the containment of A in B however unequal the two are."""
+range.  The threshold is the same for all texts, so sketches merge, and the share of A's hashes that are in B's
+sketch estimates the containment of A in B however unequal the two are.  A text with too few hashes there keeps its
+LEAST smallest, so that short texts are told apart; two sketches are compared up to where both are complete."""
 
 from __future__ import annotations
 
@@ -15,10 +16,16 @@ from .common import materialize, tune
 SHINGLE = 5
 #: The fraction of the hash range that is retained.
 FRACTION = 1 / 8
+#: Hashes that a sketch has at least, if its text has as many shingles.
+LEAST = 16
 #: Bits of an id that the windows of next_ids share level by level; a window has at most 2 ** bits rows.
 LEVELS = (10, 14, 20, 20)
 
 
+def _limit(fraction: float) -> int:
+    return int(-(2**63) + fraction * 2**64)
+
+
 def words(text: Column) -> Column:
     """Lower-cased (A-Z) words between ASCII white space."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -30,23 +37,23 @@ def shingle_hash(w: Column, i: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(w, i + k) for k in range(size)])
 
 
-def sketch(text: Column, size: int = SHINGLE, fraction: float = FRACTION) -> Column:
-    """Sorted distinct shingle hashes below the fraction.  A text of fewer words is one shingle, retained by the
-    same rule; null and empty texts have an empty sketch."""
-    limit = int(-(2**63) + fraction * 2**64)
-    # One lambda over the word array per text: the words are computed once and shared by all positions.
-    of_words = F.transform(
-        F.array(words(F.coalesce(text, F.lit("")))),
-        lambda w: F.array_sort(
-            F.array_distinct(
-                F.filter(
-                    F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: shingle_hash(w, i, size))).otherwise(F.array().cast("array<bigint>")),
-                    lambda h: h < F.lit(limit),
-                )
-            )
-        ),
-    )
-    return of_words[0]
+def sketch(text: Column, size: int = SHINGLE, fraction: float = FRACTION, least: int = LEAST) -> Column:
+    """Sorted distinct shingle hashes below the fraction; where fewer than `least` lie there, the `least` smallest
+    (all, if there are fewer).  A text of fewer words than a shingle is one shingle; null and empty texts have an
+    empty sketch."""
+    below = F.lit(_limit(fraction))
+
+    def keep(found: Column) -> Column:
+        held = F.filter(found, lambda h: h < below)
+        # One lambda over each array, so that it is computed once however often it is named.
+        return F.transform(F.array(held), lambda x: F.when(F.size(x) >= least, F.array_sort(x)).otherwise(F.slice(F.array_sort(found), 1, least)))[0]
+
+    def shingles(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: shingle_hash(w, i, size))
+        return F.array_distinct(F.when(F.size(w) > 0, every).otherwise(F.array().cast("array<bigint>")))
+
+    hashes = F.transform(F.array(words(F.coalesce(text, F.lit("")))), shingles)
+    return F.transform(hashes, keep)[0]
 
 
 def fingerprint(hashes: Column) -> Column:
@@ -54,21 +61,36 @@ def fingerprint(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Likeness of two sketches, 0 to 1; two empty ones are alike."""
-    shared = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - shared
-    return F.when(either == 0, F.lit(1.0)).otherwise(shared.cast("double") / either)
+def horizon(a: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
+    """Up to where a sketch has every hash of its text: everywhere if it has less than `least`."""
+    return F.when(F.size(a) < least, F.lit(2**63 - 1)).otherwise(F.greatest(F.lit(_limit(fraction) - 1), F.element_at(a, -1)))
+
 
+def _shared(a: Column, b: Column, fraction: float, least: int) -> tuple[Column, Column, Column]:
+    """Sizes of a, of b and of what they share, up to the horizon of both."""
+    end = F.least(horizon(a, fraction, least), horizon(b, fraction, least))
+    a, b = (F.filter(x, lambda h: h <= end) for x in (a, b))
+    return F.size(a), F.size(b), F.size(F.array_intersect(a, b))
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 1 for an empty a."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)).cast("double") / F.size(a))
 
+def jaccard(a: Column, b: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
+    """Likeness of two sketches, 0 to 1, over the hashes that both would have kept; two texts without a word are
+    alike.  Exact for texts of less than `least` shingles."""
+    n, m, both = _shared(a, b, fraction, least)
+    return F.when(n + m == 0, F.lit(1.0)).otherwise(both.cast("double") / (n + m - both))
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of the union of two shingle sets."""
-    return F.array_sort(F.array_union(a, b))
+
+def containment(a: Column, b: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
+    """Estimated share of a's shingles that b has; null where no hash of a lies below the horizon of both."""
+    n, _, both = _shared(a, b, fraction, least)
+    return F.when(n > 0, both.cast("double") / n)
+
+
+def merge(a: Column, b: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
+    """The sketch of the union of two shingle sets, the same as if it had been taken of them."""
+    union = F.array_sort(F.array_union(a, b))
+    held = F.filter(union, lambda h: h < F.lit(_limit(fraction)))
+    return F.when(F.size(held) >= least, held).otherwise(F.slice(union, 1, least))
 
 
 def _next_lower(ids: DataFrame, levels: tuple[int, ...]) -> DataFrame:
@@ -93,23 +115,26 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return _next_lower(ids, LEVELS[:-1]).where("next is not null").union(wrap)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Each document beside the text of the next one in descending doc_id: (doc_id, text, next_text).
+def with_next(docs: DataFrame, size: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
+    """Each document beside the next one in descending doc_id: (doc_id, text, s, next_text, next_s), s the sketch.
 
-    The texts are shuffled once, by doc_id >> 10, so that a window has at most 1024 ids; only the first document of
-    each window is fetched again for the window above.  Rows that repeat a doc_id follow each other in text order."""
+    The texts and their sketches are shuffled once, by doc_id >> 10, so that a window has at most 1024 ids; only the
+    first document of each window is fetched again for the window above.  Rows that repeat a doc_id follow each other
+    in text order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("s", sketch(F.col("text"), size, fraction))
     own = rows.where("doc_id is not null").withColumn("up", F.shiftright("doc_id", LEVELS[0]))
     window = W.partitionBy("up").orderBy(F.desc("doc_id"), "text")
-    inner = own.withColumn("near", F.lead("text").over(window))
+    inner = own.withColumn("near", F.lead(F.struct("text", "s")).over(window))
     ids = own.select("up", F.col("doc_id").alias("id"))
     tops = ids.groupBy("up").agg(F.max("id").alias("top"))
     order = next_ids(tops.select(F.col("up").alias("id"))).withColumnRenamed("id", "up")
     order = materialize(order.join(tops.withColumnRenamed("up", "next"), "next").select("up", "top"), "order")
-    first = own.join(order.select(F.col("top").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("top")).agg(F.min("text").alias("far"))
+    first = own.join(order.select(F.col("top").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("top")).agg(F.min(F.struct("text", "s")).alias("far"))
     bridge = order.join(first, "top").select("up", "far")
-    linked = inner.join(bridge, "up", "left").select("doc_id", "text", F.coalesce("near", "far").alias("next_text"))
-    return linked.union(rows.where("doc_id is null").withColumn("next_text", F.lit("")))
+    linked = inner.join(bridge, "up", "left").select("doc_id", "text", "s", F.coalesce("near", "far").alias("x"))
+    alone = rows.where("doc_id is null").select("doc_id", "text", "s", F.struct(F.lit("").alias("text"), sketch(F.lit("")).alias("s")).alias("x"))
+    return linked.union(alone).select("doc_id", "text", "s", F.col("x.text").alias("next_text"), F.col("x.s").alias("next_s"))
 
 
 def edited_pairs(docs: DataFrame, size: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
@@ -124,16 +149,9 @@ def edited_pairs(docs: DataFrame, size: int = SHINGLE, fraction: float = FRACTIO
     tune(docs.sparkSession)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    df = with_next(docs).withColumn("n_chars", n.cast("long"))
+    df = with_next(docs, size, fraction).withColumn("n_chars", n.cast("long"))
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)))
-    df = df.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        sketch(F.col("text"), size, fraction).alias("s"),
-        sketch(F.col("edited"), size, fraction).alias("e"),
-        sketch(F.col("next_text"), size, fraction).alias("x"),
-    )
+    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "s", sketch(F.col("edited"), size, fraction).alias("e"), F.col("next_s").alias("x"))
     s, e, x = F.col("s"), F.col("e"), F.col("x")
     return df.select(
         "doc_id",
@@ -141,8 +159,8 @@ def edited_pairs(docs: DataFrame, size: int = SHINGLE, fraction: float = FRACTIO
         "edited_sha256",
         fingerprint(s).alias("fingerprint"),
         fingerprint(e).alias("edited_fingerprint"),
-        jaccard(s, e).alias("near_edited"),
-        jaccard(s, x).alias("near_next"),
-        containment(s, e).alias("contained_edited"),
-        containment(s, x).alias("contained_next"),
+        jaccard(s, e, fraction).alias("near_edited"),
+        jaccard(s, x, fraction).alias("near_next"),
+        containment(s, e, fraction).alias("contained_edited"),
+        containment(s, x, fraction).alias("contained_next"),
     )
