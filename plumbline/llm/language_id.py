@@ -24,9 +24,10 @@ from .common import materialize, tune
 FIT_DOCS = 400
 ROUNDS = 3
 SMOOTH = 0.02
-#: Longest piece in characters, and the length at which words are cut into parts.
-PIECE = 8
-PART = 24
+#: Words of more characters are summed in logarithms, so that no product underflows.
+LONG = 40
+#: Positions x words of one lattice, so that its memory does not depend on how long the words are.
+LATTICE = 1 << 17
 CACHE_WORDS = 300_000
 UNDETERMINED = "und"
 #: Runs of letters; numerals that this also takes have no piece and no say.
@@ -43,18 +44,24 @@ def default_path() -> str:
 
 
 class Pieces:
-    """Letter pieces of the vocabulary, found by rolling hash.  Word starts carry U+2581, as in the vocabulary."""
+    """All letter pieces of the vocabulary, found by rolling hash.  Word starts carry U+2581, as in the vocabulary."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         known = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-        fits = {p for p in known if len(p) <= PIECE and p.strip("▁") and p.lstrip("▁").isalpha() and len(p) - len(p.lstrip("▁")) <= 1}
+        fits = {p for p in known if p.strip("▁") and p.lstrip("▁").isalpha() and len(p) - len(p.lstrip("▁")) <= 1}
         self.pieces = sorted(fits)
-        hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
-        order = np.argsort(hashes)
-        self.keys, self.ids = hashes[order], order
+        self.longest = max(map(len, self.pieces))
+        #: Sorted hashes and ids of the pieces of each length.
+        self.keys, self.ids = [], []
+        for k in range(1, self.longest + 1):
+            of_length = [i for i, p in enumerate(self.pieces) if len(p) == k]
+            hashes = np.array([self._hash(self.pieces[i]) for i in of_length], np.uint64)
+            order = np.argsort(hashes)
+            self.keys.append(np.append(hashes[order], np.uint64(0xFFFFFFFFFFFFFFFF)))
+            self.ids.append(np.append(np.array(of_length, np.int32)[order], np.int32(-1)))
         self.size = len(self.pieces) + 1  # the last: any single character
 
     @staticmethod
@@ -70,18 +77,18 @@ class Pieces:
         length = np.fromiter(map(len, words), np.int64, len(words))
         width = int(length.max(initial=1))
         codes = np.zeros((width, len(words)), np.uint64)
-        flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(7)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(7)
         at = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
         codes[at, np.repeat(np.arange(len(words)), length)] = flat
-        prefix = np.zeros((width + 1, len(words)), np.uint64)
-        for j in range(width):
-            prefix[j + 1] = prefix[j] * BASE + codes[j]
-        ids = np.full((width, PIECE, len(words)), -1, np.int32)
-        for k in range(min(PIECE, width)):
-            power = np.uint64(pow(int(BASE), k + 1, 1 << 64))
-            h = prefix[k + 1 :] - prefix[: width - k] * power
-            found = np.minimum(np.searchsorted(self.keys, h.ravel()), len(self.keys) - 1).reshape(h.shape)
-            got = np.where(self.keys[found] == h, self.ids[found], -1 if k else self.size - 1)
+        ids = np.full((width, self.longest, len(words)), -1, np.int32)
+        h = np.zeros_like(codes)
+        for k in range(min(self.longest, width)):
+            # The hash of the k + 1 characters up to each position, from that of the k before it.
+            h = h[: width - k] * BASE + codes[k:] if k == 0 else h[:-1] * BASE + codes[k:]
+            found = np.searchsorted(self.keys[k], h.ravel()).reshape(h.shape)
+            got = np.where(self.keys[k][found] == h, self.ids[k][found], -1)
+            if k == 0:
+                got = np.where(got < 0, self.size - 1, got)
             inside = np.arange(k + 1, width + 1)[:, None] <= length[None, :]
             ids[k:, k] = np.where(inside, got, -1)
         return length, ids
@@ -92,52 +99,108 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-def parts_of(word: str) -> list[str]:
-    """A word as the model sees it: the start mark, lower case, long words in parts."""
-    word = "▁" + word
-    return [word] if len(word) <= PART else [word[i : i + PART] for i in range(0, len(word), PART)]
+def marked(word: str) -> str:
+    """A word as the model sees it, with the start mark."""
+    return "▁" + word
 
 
 def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """alpha[j, n, language]: probability of the first j characters over all segmentations.  prob[-1] is 0."""
-    width, _, n = ids.shape
+    width, longest, n = ids.shape
     alpha = np.zeros((width + 1, n, prob.shape[1]))
     alpha[0] = 1
     for j in range(width):
-        for k in range(min(PIECE, j + 1)):
+        for k in range(min(longest, j + 1)):
             hit = np.flatnonzero(ids[j, k] >= 0)
             if len(hit):
                 alpha[j + 1, hit] += alpha[j - k, hit] * prob[ids[j, k, hit]]
     return alpha
 
 
-def log_likelihood(vocab: Pieces, parts: list[str], prob: np.ndarray) -> np.ndarray:
-    """log P(part) in each language."""
-    out = np.empty((len(parts), prob.shape[1]))
-    for i in range(0, len(parts), 4096):
-        length, ids = vocab.lattice(parts[i : i + 4096])
-        alpha = forward(ids, prob)
-        out[i : i + len(length)] = np.log(np.maximum(alpha[length, np.arange(len(length))], 1e-300))
+def _steps(ids: np.ndarray, log_prob: np.ndarray) -> np.ndarray:
+    """Log probabilities (position, piece length, language) of one word's pieces; none has minus infinity."""
+    return np.where(ids[:, :, None] >= 0, log_prob[ids], -np.inf)
+
+
+def log_forward(vocab: Pieces, word: str, prob: np.ndarray) -> np.ndarray:
+    """The logarithm of forward() for one word of any length, block by block: log alpha[j, language]."""
+    log_prob, longest = np.log(prob), vocab.longest
+    out = np.full((len(word) + 1, prob.shape[1]), -np.inf)
+    out[0] = 0
+    for start in range(0, len(word), 1 << 14):
+        back = max(0, start - longest + 1)
+        ids = vocab.lattice([word[back : start + (1 << 14)]])[1][start - back :, :, 0]
+        step = _steps(ids, log_prob)
+        for j in range(start, start + len(ids)):
+            least = max(0, j + 1 - longest)
+            ways = out[least : j + 1][::-1] + step[j - start, : j + 1 - least]
+            top = ways.max(axis=0)
+            out[j + 1] = top + np.log(np.exp(ways - top).sum(axis=0))
     return out
 
 
-def expected_counts(vocab: Pieces, parts: list[str], weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """Expected use of each piece over all segmentations of the parts, for one language."""
+def _blocks(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of words, sorted by length, whose lattices have at most LATTICE cells."""
+    start = 0
+    while start < len(words):
+        end = start + 1
+        while end < len(words) and end - start < 4096 and len(words[end]) * (end + 1 - start) <= LATTICE:
+            end += 1
+        yield start, end
+        start = end
+
+
+def log_likelihood(vocab: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray:
+    """log P(word) in each language."""
+    out = np.empty((len(words), prob.shape[1]))
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    few = [i for i in order if len(words[i]) <= LONG]
+    for a, b in _blocks([words[i] for i in few]):
+        length, ids = vocab.lattice([words[i] for i in few[a:b]])
+        out[few[a:b]] = np.log(forward(ids, prob)[length, np.arange(len(length))])
+    for i in order[len(few) :]:
+        out[i] = log_forward(vocab, words[i], prob)[-1]
+    return out
+
+
+def _expected_of_long(vocab: Pieces, word: str, weight: float, prob: np.ndarray, total: np.ndarray) -> None:
+    """Add a long word's expected uses, for one language, in logarithms."""
+    alpha, longest = log_forward(vocab, word, prob)[:, 0], vocab.longest
+    log_prob = np.log(prob[:, 0])
+    beta = np.full(len(word) + 1, -np.inf)
+    beta[-1] = 0
+    for end in range(len(word), 0, -(1 << 14)):
+        start = max(0, end - (1 << 14))
+        back = max(0, start - longest + 1)
+        ids = vocab.lattice([word[back:end]])[1][start - back :, :, 0]
+        for j in range(end - 1, start - 1, -1):
+            k = np.flatnonzero(ids[j - start] >= 0)
+            p = ids[j - start, k]
+            through = beta[j + 1] + log_prob[p]
+            np.add.at(total, p, weight * np.exp(alpha[j - k] + through - alpha[-1]))
+            beta[j - k] = np.logaddexp(beta[j - k], through)
+
+
+def expected_counts(vocab: Pieces, words: list[str], weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Expected use of each piece over all segmentations of the words, for one language."""
     total = np.zeros(vocab.size)
-    for i in range(0, len(parts), 4096):
-        length, ids = vocab.lattice(parts[i : i + 4096])
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    few = [i for i in order if len(words[i]) <= LONG]
+    for a, b in _blocks([words[i] for i in few]):
+        length, ids = vocab.lattice([words[i] for i in few[a:b]])
         alpha = forward(ids, prob)[:, :, 0]
-        n, width = len(length), ids.shape[0]
-        whole = alpha[length, np.arange(n)]
+        width, longest, n = ids.shape
         beta = np.zeros((width + 1, n))
-        beta[length, np.arange(n)] = weight[i : i + n] / np.maximum(whole, 1e-300)
+        beta[length, np.arange(n)] = weight[few[a:b]] / alpha[length, np.arange(n)]
         for j in range(width - 1, -1, -1):
-            for k in range(min(PIECE, j + 1)):
+            for k in range(min(longest, j + 1)):
                 hit = np.flatnonzero(ids[j, k] >= 0)
                 if len(hit):
                     p, back = ids[j, k, hit], beta[j + 1, hit] * prob[ids[j, k, hit], 0]
                     np.add.at(total, p, alpha[j - k, hit] * back)
                     beta[j - k, hit] += back
+    for i in order[len(few) :]:
+        _expected_of_long(vocab, words[i], float(weight[i]), prob, total)
     return total
 
 
@@ -166,12 +229,12 @@ class Model:
         for run in runs:
             words = [w for w in WORD.findall(run.decode("utf-8", "replace")) if any(map(str.isalpha, w))]
             if words:
-                cut[run] = [p for w in words for p in parts_of(w)]
+                cut[run] = list(map(marked, words))
             else:
                 rows[run] = 0
-        parts = sorted({p for x in cut.values() for p in x}, key=len)
-        of_part = dict(zip(parts, log_likelihood(load(self.path), parts, self.prob)))
-        new = np.array([of_part[x[0]] if len(x) == 1 else np.sum([of_part[p] for p in x], axis=0) for x in cut.values()]).reshape(-1, scores.shape[1])
+        words = sorted({w for x in cut.values() for w in x})
+        of_word = dict(zip(words, log_likelihood(load(self.path), words, self.prob)))
+        new = np.array([of_word[x[0]] if len(x) == 1 else np.sum([of_word[w] for w in x], axis=0) for x in cut.values()]).reshape(-1, scores.shape[1])
         rows.update(zip(cut, range(len(scores), len(scores) + len(new))))
         return np.concatenate([scores, new])
 
@@ -228,12 +291,11 @@ def fit(docs: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS, roun
             seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for w, n in Counter(filter(str.isalpha, WORD.findall(text.lower()))).items():
-                    for p in parts_of(w):
-                        seen[lang, p] += n
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "part", "n"])
+                    seen[lang, marked(w)] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
-    sample = usable.where(draw < chosen).select("lang", "text").mapInArrow(count, "lang string, part string, n long")
-    parts = materialize(sample.groupBy("lang", "part").agg(F.sum("n").alias("n")), "lang-words")
+    sample = usable.where(draw < chosen).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
+    words = materialize(sample.groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     prob = np.full((vocab.size, len(languages)), 1.0 / vocab.size)
     for _ in range(rounds):
         now = prob
@@ -243,15 +305,14 @@ def fit(docs: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS, roun
             for batch in batches:
                 df = batch.to_pandas()
                 for lang, rows in df.groupby("lang"):
-                    rows = rows.iloc[np.argsort(rows["part"].str.len().to_numpy())]
                     k = languages.index(lang)
-                    got = expected_counts(vocab, rows["part"].tolist(), rows["n"].to_numpy(float), now[:, k : k + 1])
+                    got = expected_counts(vocab, rows["word"].tolist(), rows["n"].to_numpy(float), now[:, k : k + 1])
                     sums[k] = sums.get(k, 0) + got
             for k, got in sums.items():
                 used = np.flatnonzero(got)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k)), pa.array(used), pa.array(got[used])], ["k", "piece", "x"])
 
-        got = parts.mapInArrow(expect, "k long, piece long, x double").groupBy("k", "piece").agg(F.sum("x").alias("x")).toPandas()
+        got = words.mapInArrow(expect, "k long, piece long, x double").groupBy("k", "piece").agg(F.sum("x").alias("x")).toPandas()
         counts = np.zeros_like(prob)
         counts[got["piece"].to_numpy(int), got["k"].to_numpy(int)] = got["x"].to_numpy(float)
         prob = normalised(counts)
