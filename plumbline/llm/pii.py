@@ -1,9 +1,10 @@
 """Personal data (operator 10): fixed patterns, and a linear-chain CRF over word-shape features.
 
 The patterns give the base spans.  The CRF adds spans that no pattern has, such as phone numbers without a country
-code and addresses with a spelled-out @.  It is trained from the small labelled table below and decoded by Viterbi
-over numpy batches.  Tokens far from any digit, @ or bracketed "at" are outside by definition, so that only short
-stretches around those are decoded."""
+code, addresses with a spelled-out @, IPv6 and card numbers with other separators.  What it marks is added as it is,
+if the value can be of that kind at all.  It is trained from the small labelled table below and decoded by Viterbi
+over numpy batches.  Tokens far from any digit, @, ::, "dot" or bracketed "at" are outside by definition, so that only
+short stretches around those are decoded."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from ipaddress import IPv6Address
 
 import numpy as np
 import pyarrow as pa
@@ -103,36 +105,108 @@ office <phone>030 555 0147</> mornings
 phone <phone>+49 (30) 555-01234</> ext
 <phone>+1 (476) 555-6291</> is the line
 the number <phone>800-555-0100</> is free
+ring <phone>020 7946 0958</> after six
+<phone>020 7946 0011</> or <phone>0161 496 0123</> in the north
+mobile <phone>07700 900123</> , home <phone>01632 960 001</>
+appelez le <phone>06 12 34 56 78</> ce soir
+tél : <phone>01 23 45 67 89</> ou <phone>06.98.76.54.32</>
+le <phone>04-72-00-11-22</> est en panne
+Telefon <phone>030/5550147</> oder <phone>0170 5550147</>
+llame al <phone>91 555 01 47</> o al <phone>612 34 56 78</>
+dial <phone>555-0142</> for the desk
+call <phone>1-800-555-0199</> now
+text <phone>001 415 555 2671</> please
 write to <email>ann [at] example [dot] com</> please
 mail <email>bob.lee (at) mail.example.org</> now
 <email>info [at] example.net</> answers
 contact <email>r.23@mail3.example.com</> soon
 send it to <email>a_b@example.com</> .
 from <email>x.y (at) uni-site (dot) edu</> with love
+mail me : <email>jane at example dot com</> thanks
+reach <email>john.smith at uni dot edu</> or <email>lee at mail dot example dot org</>
+<email>sales at shop dot net</> has it
+write <email>jane @ example . com</> today
+ask <email>tom AT example DOT org</> first
 server <ip>180.194.127.198</> was up
 at <ip>10.0.0.1</> and <ip>192.168.2.44</> both
+blocked <ip>203[.]0[.]113[.]7</> and <ip>198[.]51[.]100[.]23</> today
+seen from <ip>192 . 0 . 2 . 17</> twice
+host <ip>2001:db8::1</> answers
+from <ip>fe80::1ff:fe23:4567:890a</> to <ip>2001:0db8:85a3:0000:0000:8a2e:0370:7334</>
+ping <ip>2001:db8:0:1::25</> or <ip>::1</>
+<phone>415-555-2671</>
+<phone>020 7946 0958</>
+<phone>06 12 34 56 78</>
+phone <phone>6505551234</> any time
+call <phone>4155552671</> now
+call <phone>650 555 1234</> or <phone>650-555-1235</>
+<email>jane at example dot com</>
+<email>bob [at] example [dot] org</>
+<ip>fe80::a1</>
+<ip>2001:db8::7:1</>
 card <card>4532 0151 1283 0366</> expired
 card <card>4532-0151-1283-0366</> on file
 pay with <card>4532015112830366</> today
+visa <card>4532.0151.1283.0366</> until 05 / 27
+amex <card>3782 822463 10005</> , old one <card>4222 222 222 222</>
+card no. <card>5555 / 5555 / 5555 / 4444</> please
 version 4.0.2.1234 was released on 2024-01-15 at 10:30
 in 1999 there were 1,250 of 3.5 million
 order 20240115 ref 4785380592391139 paid 12.50
+order 4785380592391139 of 2024
+the 5927243074273351 of 16 and 6249061645192177 there
 license 4.0 of 2020 , page 12 - 15
 score 12 - 10 - 8 after 3 rounds
 token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff end
+key 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde , sum e51a5499e3950eabef3742d6cf40b27b4e61a74a
 id 323994846 and 11 22 33 44
+rows 1 2 3 4 5 6 7 8 9 10 11 12
+values 12 14 15 18 22 27 31
+numbers 5 10 15 20 25 30 of 100
 from 2001-2003 , 55-60 people [at] the gate (at) noon
+in 1998 , 1999 , 2000 and 2001
 meet (at) 10 , room 4 [at] home
+we look at the dot on the map at noon
+the dot com boom at its end
+we met at the dot com party , she works at a dot com
+he looked at this dot on it
+a dot at the end of it , dot or comma
+join the dots at 10 or at 12
 pages 100-200 and 300-400
+pages 112 - 118 , 220 - 225 and 340
 ISBN 978-3-16-148410-0 and 3-540-12345-6
 dates 01.02.2003 and 12-31-1999
+on 12 / 05 / 2021 and 03 / 11 / 2022 at 09:45:30
+2024-01-15 10:30:00 INFO 200 5123
+2024-01-15T10:30:00 up 99.95
+time 10:30:15.250 and 23:59:59
 section 3.2.1 , table 4 , 5 and 6
+section 1.2.3.4.5 and 7.8.9
 sum 100 200 300 and 1 000 000
+100 200 300 400 , 150 250 350 450 550
+id 1234567890 and 9876543210 of 10
+the counts were 100 200 300 400 500 600
+1 250 000 people , 3 400 000 cars
+12,345,678 or 1.234.567,89
+price 19.99 - 24.99 , 100 000 sold
+ratio 3:4:5 and 16:9
+MAC 00:1a:2b:3c:4d:5e of eth0
+std::vector and a::b::c in C
+ratio 10::20 of x::y
 @ noon @ home @user #1
+user @ home . ok at 5
+commit 7f3a9c2 and 1b2c3d4e5f
+part no. 12-3456-78 , lot 0042-17
+zip 90210-1234 , box 12345
+coordinates 52.5200 13.4050 and 48.8566 , 2.3522
+x = 123456789 ; y = 987654321
+case 2019-0123-4567 of the file
+1/2 3/4 5/8 7/16
+chapter 12 verse 3 , 14 and 15
 """
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
-_TRIGGER = re.compile(r"[0-9@]|[\[({]at[\])}]", re.I)
+_TRIGGER = re.compile(r"[0-9@]|::|[\[({]\s*at\s*[\])}]|\bdot\b", re.I)
 #: Characters on both sides of a trigger that are decoded with it at least.
 REACH = 32
 #: Tokens of a sequence, and those at a cut that the two sequences on both its sides share on each side.
@@ -140,12 +214,22 @@ SEQUENCE, MARGIN = 512, 64
 STEPS = 200
 
 
+#: Words that announce a kind, and articles, as shapes of their own.
+CUES = {w: kind for kind, cues in {"P": "call phone tel tél telefon fax mobile dial ring number line text appelez llame", "E": "mail email write contact reach send ask", "I": "ip server host ping from blocked", "C": "card visa amex pay mastercard", "D": "the a an this that"}.items() for w in cues.split()}
+_HEX = re.compile(r"[a-f]{1,4}")
+
+
 def shape(token: str, spaced: bool) -> str:
     """The word shape: kind and length of the token, and whether white space comes before it."""
+    low = token.lower()
     if token[0].isdigit():
-        kind = f"d{min(len(token), 5)}"
-    elif token.lower() in ("at", "dot"):
-        kind = token.lower()
+        kind = ("z" if token[0] == "0" else "d") + str(min(len(token), 5) if len(token) < 13 else 9)
+    elif low in ("at", "dot"):
+        kind = low
+    elif low in CUES:
+        kind = CUES[low]
+    elif _HEX.fullmatch(low):
+        kind = "h"
     elif token[0].isalpha():
         kind = "A" if len(token) > 1 else "a"
     else:
@@ -279,20 +363,35 @@ def train(labelled: str = LABELLED, steps: int = STEPS, rate: float = 0.3, decay
     return CRF(names, emit, np.where(bad, -1e9, move))
 
 
-_ADDED_PHONE = re.compile(r"(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}")
-_ADDED_EMAIL = re.compile(r"[\w.+-]+\s*[\[({]at[\])}]\s*[\w-]+(?:\s*(?:\.|[\[({]dot[\])}])\s*[\w-]+)+", re.I)
+_NUMBERS = re.compile(r"[0-9]+")
+_AT = re.compile(r"@|\bat\b", re.I)
+_DOT = re.compile(r"\.|\bdot\b", re.I)
 
 
-def plausible(kind: str, value: str) -> bool:
-    """What the CRF may add: whole national phone numbers and spelled-out addresses.  The other kinds are exactly
-    what their patterns say, so that nothing is added to them."""
+def possible(kind: str, value: str) -> bool:
+    """Whether a value that the CRF marks can be of its kind at all, whatever it looks like: a phone number has 7 to
+    15 digits, a card number 13 to 19 that pass Luhn, an address has something before its "at" and a dot in what
+    follows, an IP is four numbers up to 255 or groups of hexadecimal digits for 128 bits."""
+    numbers = _NUMBERS.findall(value)
+    digits = "".join(numbers)
     if kind == "phone":
-        return _ADDED_PHONE.fullmatch(value) is not None
-    return kind == "email" and _ADDED_EMAIL.fullmatch(value) is not None
+        return 7 <= len(digits) <= 15
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "email":
+        at = _AT.search(value, 1)
+        return at is not None and _DOT.search(value, at.end()) is not None
+    if ":" in value:
+        try:
+            IPv6Address(value)
+        except ValueError:
+            return False
+        return True
+    return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
 
 
 _NONBLANK = re.compile(r"\S*")
-_AFTER_AT = re.compile(r"\s*[\w-]+(?:\s*(?:\.|[\[({]dot[\])}])\s*[\w-]+)*", re.I)
+_AFTER_AT = re.compile(r"\s*[\w-]+(?:\s*(?:\.|[\[({]\s*dot\s*[\])}]|\bdot\b)\s*[\w-]+)*", re.I)
 
 
 def windows(text: str) -> list[tuple[int, int]]:
@@ -354,8 +453,9 @@ def crf_spans(crf: CRF, texts: list[str]) -> list[list[Span]]:
             continue
         for a, b in windows(text):
             found = tokens_of(text, a, b)
-            # Without a group of three digits or an "at" nothing that may be added can be here.
-            if not any(s.startswith(("d3", "at")) for _, _, s in found):
+            # With fewer digits and without any of the signs nothing that is possible() can be here.
+            numbers = [b - a for a, b, s in found if s[0] in "dz"]
+            if sum(numbers) < 7 and len(numbers) < 4 and not any(s.startswith(("at", "@", ":", "dot")) for _, _, s in found):
                 continue
             for k in range(0, max(1, len(found) - 2 * MARGIN), SEQUENCE - 2 * MARGIN):
                 where.append((i, k, found))
@@ -380,11 +480,11 @@ def crf_spans(crf: CRF, texts: list[str]) -> list[list[Span]]:
 
 
 def all_spans(crf: CRF, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text.  A CRF span is added if it is plausible and meets no base span."""
+    """(base spans, all spans) of each text.  A CRF span is added if it is possible and meets no base span."""
     base = [base_spans(t) for t in texts]
     out = []
     for text, own, found in zip(texts, base, crf_spans(crf, texts)):
-        added = [s for s in found if plausible(s[0], text[s[1] : s[2]]) and all(s[2] <= b[1] or b[2] <= s[1] for b in own)]
+        added = [s for s in found if possible(s[0], text[s[1] : s[2]]) and all(s[2] <= b[1] or b[2] <= s[1] for b in own)]
         out.append((own, ordered([*own, *added])))
     return out
 
