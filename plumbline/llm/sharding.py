@@ -97,6 +97,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.substring(F.sha2(text, 256), 1, 32).alias("key"),
+        # Tells rows without an id apart, so that equal ones do not share a bucket; fixed by the table below.
+        F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row"),
     )
     rows = materialize(rows, "shard-rows")
     groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
@@ -122,7 +124,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
         split = split.withColumn("rank", rank).join(before, ["bytes", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
         past = sum((F.when((F.col("bytes") == s) & (F.col("rank") >= t), 1).otherwise(0) for s, t in inside), F.lit(0))
         split = split.withColumn("shard", F.col("first") + past)
-        plain = plain.where(~F.col("bytes").isin(cut)).select("key", "shard").union(split.select("key", "shard"))
-    placed = materialize(rows.join(plain.select("key", "shard"), "key").select("doc_id", "size", "text_crc32", "shard", "key"), "shard-placed")
-    slots = _ranked(placed, ["shard"], ["doc_id", "key"], "slot", -(-total // shards))
+        plain = plain.where(~F.col("bytes").isin(cut)).select("key", "shard", "n").union(split.select("key", "shard", "n"))
+    # The copies of a frequent text stay where they are.
+    placed = lookup(rows, materialize(plain.select("key", "shard", "n"), "shard-of-text"), "key", "shard", "n", total)
+    placed = materialize(placed.select("doc_id", "size", "text_crc32", "shard", "key", "row"), "shard-placed")
+    slots = _ranked(placed, ["shard"], ["doc_id", "key", "row"], "slot", -(-total // shards))
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
