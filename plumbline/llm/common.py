@@ -31,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a local folder that goes at exit."""
+    """The folder in spark.checkpoint.dir; where that is unset on a local master (tests), a folder that goes at exit.
+    On a cluster it has to be set, as executors do not share local folders."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="plumbline-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -48,6 +51,16 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text, empty for null."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -5,21 +5,47 @@ of the benchmark and of the documents are joined by hash; each hit names a diago
 position) at which the whole item is laid against the document, word by word.  A document is a leak of an item if
 enough of the item's words agree there, so that substituted words are tolerated.
 
+Items of eight words and more are found by three masks of five words.  For shorter ones the masks go by the item's
+length: the parts of the item that are left when the words that may differ are taken out of it in every way.
+
 Documents' seeds pass a bitmap of the benchmark's seeds before the join.  Its size is fixed, whatever the benchmark's
-size; a fuller bitmap lets more through to the join, which decides."""
+size; a fuller bitmap lets more through to the join, which decides.  Documents are known by a hash of their text, so
+that equal texts are judged once and rows without an id like any other."""
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tune
+from .common import fresh, materialize, tune
 
 #: Five words each, as fixed masks; 1 is hashed, 0 is ignored.
 MASKS = ("11111", "1101011", "10110011")
+#: Items of fewer words have masks of their own.
+SHORT = 8
 SIMILARITY = 0.8
 #: Slots of the bitmap, one byte each, and the hash bits that two probes take.
 SLOTS = 1 << 21
+#: Rows of a benchmark table that are broadcast at most; beyond it both sides are dealt by key and salt.
+BROADCAST_ROWS = 100_000
+SALTS = 16
+
+
+def masks_of(n: int, similarity: float = SIMILARITY) -> list[tuple[int, str]]:
+    """(offset, mask) of the seeds of a short item of n words, cut to their outermost 1s.  If m of its words may
+    differ, the item is cut into m + 2 blocks and every choice of m blocks is ignored once, so that one seed at least
+    has no differing word."""
+    may_differ = int(n * (1 - similarity) + 1e-9)
+    edges = [round(k * n / (may_differ + 2)) for k in range(may_differ + 3)]
+    found = []
+    for out in combinations([set(range(a, b)) for a, b in pairwise(edges)], may_differ):
+        mask = "".join("0" if any(p in block for block in out) else "1" for p in range(n))
+        seed = (mask.find("1"), mask.strip("0"))
+        if seed[1] and seed not in found:
+            found.append(seed)
+    return found
 
 
 def words(text: Column) -> Column:
@@ -28,28 +54,40 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def seed_hash(w: Column, i: Column, k: int, mask: str) -> Column:
-    """Hash of the words of w under mask number k at position i (0-based)."""
-    return F.xxhash64(F.lit(k), *[F.get(w, i + o) for o, c in enumerate(mask) if c == "1"])
+def seed_hash(w: Column, i: Column, mask: str) -> Column:
+    """Hash of the words of w under a mask at position i (0-based)."""
+    return F.xxhash64(F.lit(mask), *[F.get(w, i + o) for o, c in enumerate(mask) if c == "1"])
+
 
+def _seed(w: Column, mask: str):
+    return lambda i: F.struct(seed_hash(w, i, mask).alias("hash"), i.alias("pos"))
 
-def _seed(w: Column, k: int, mask: str):
-    return lambda i: F.struct(seed_hash(w, i, k, mask).alias("hash"), i.alias("pos"))
 
+NO_SEEDS = "array<struct<hash:bigint,pos:int>>"
 
-def seeds(w: Column, passes=None) -> Column:
-    """array<struct<hash, pos>> of all seeds of w, of those whose hash passes.  A text shorter than a mask has no
-    seed of it."""
+
+def seeds(w: Column, masks, passes=None) -> Column:
+    """array<struct<hash, pos>> of all seeds of w under the masks, of those whose hash passes.  A text shorter than a
+    mask has no seed of it."""
     found = []
-    for k, mask in enumerate(MASKS):
+    for mask in masks:
         last = F.size(w) - len(mask)
-        made = F.transform(F.sequence(F.lit(0), last), _seed(w, k, mask))
+        made = F.transform(F.sequence(F.lit(0), last), _seed(w, mask))
         if passes is not None:
             made = F.filter(made, lambda s: passes(s["hash"]))
-        found.append(F.when(last >= 0, made).otherwise(F.array().cast("array<struct<hash:bigint,pos:int>>")))
+        found.append(F.when(last >= 0, made).otherwise(F.array().cast(NO_SEEDS)))
     return F.flatten(F.array(*found))
 
 
+def item_seeds(w: Column, short: list[int], similarity: float = SIMILARITY) -> Column:
+    """The seeds of an item: of short ones by the masks of their length, which start at fixed places."""
+    out = F.when(F.size(w) >= SHORT, seeds(w, MASKS))
+    for n in short:
+        own = F.array(*[F.struct(seed_hash(w, F.lit(o), mask).alias("hash"), F.lit(o).alias("pos")) for o, mask in masks_of(n, similarity)])
+        out = out.when(F.size(w) == n, own)
+    return out.otherwise(F.array().cast(NO_SEEDS))
+
+
 def _slots(h: Column) -> list[Column]:
     return [F.pmod(h, F.lit(SLOTS)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(SLOTS)).cast("int")]
 
@@ -69,38 +107,64 @@ def _probe(bits: Column, h: Column) -> Column:
     return a & b
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_words, overlap) of every document and benchmark item of which the document has
-    an overlap of at least `similarity`: the largest share of the item's words that agree at one diagonal.
+def _join_marks(rows: DataFrame, marks: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows joined with a table of the benchmark on `key`.  The table goes to all executors if it has few rows; else
+    it is repeated for every salt and the rows of a frequent key are spread over the salts."""
+    if marks.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(marks), key)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    every = marks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, [key, "_salt"]).drop("_salt")
 
-    Null and empty texts have no seeds and so no leaks, and neither have items of fewer than five words.  Rows of
-    docs that repeat a doc_id count as one document, with its best overlap; equal items are reported each.  Null ids
-    are left out, as there is nothing to report.  Extra columns are ignored; empty tables give an empty result."""
-    tune(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item")).where("item_id is not null and size(item) >= 5")
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
+    """(_text, item_id, n_matched, n_words) of the texts, known by hash, and items that overlap enough."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item")).where("item_id is not null and size(item) > 0")
     items = materialize(items, "items")
-    marks = materialize(items.select("item_id", F.size("item").alias("n_words"), F.explode(seeds(F.col("item"))).alias("s")).select("item_id", "n_words", F.col("s.hash").alias("hash"), F.col("s.pos").alias("item_pos")), "item-seeds")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    short = sorted(r["n"] for r in items.where(F.size("item") < SHORT).select(F.size("item").alias("n")).distinct().collect())
+    masks = [*MASKS, *sorted({m for n in short for _, m in masks_of(n, similarity)} - set(MASKS))]
+    marks = items.select("item_id", F.size("item").alias("n_words"), F.explode(item_seeds(F.col("item"), short, similarity)).alias("s"))
+    marks = materialize(marks.select("item_id", "n_words", F.col("s.hash").alias("hash"), F.col("s.pos").alias("item_pos")), "item-seeds")
+    own = docs.where("text is not null").select(F.xxhash64("text").alias("_text"), "text")
     # One lambda over the word array and the bitmap: the words are split once per text, and the bitmap is a reference.
     held = F.array(F.struct(words(F.col("text")).alias("w"), F.col("bits")))
-    hits = own.withColumn("bits", _bitmap(marks)).select("doc_id", F.transform(held, lambda x: seeds(x["w"], lambda h: _probe(x["bits"], h))).alias("s"))
-    hits = hits.select("doc_id", F.explode(F.flatten("s")).alias("s"))
-    hits = hits.select("doc_id", F.col("s.hash").alias("hash"), F.col("s.pos").alias("pos"))
-    places = hits.join(marks, "hash").select("doc_id", "item_id", "n_words", (F.col("pos") - F.col("item_pos")).alias("at")).distinct()
+    hits = own.withColumn("bits", _bitmap(marks)).select("_text", F.transform(held, lambda x: seeds(x["w"], masks, lambda h: _probe(x["bits"], h))).alias("s"))
+    hits = hits.select("_text", F.explode(F.flatten("s")).alias("s"))
+    hits = hits.select("_text", F.col("s.hash").alias("hash"), F.col("s.pos").alias("pos"))
+    places = _join_marks(hits, marks, "hash", "_text").select("_text", "item_id", "n_words", (F.col("pos") - F.col("item_pos")).alias("at")).distinct()
     places = materialize(places, "diagonals")
 
     # The whole item is laid against the words from `at` on; a part of it beyond either end of the text disagrees.
-    wanted = places.select("doc_id").distinct()
-    read = own.join(wanted, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    laid = read.join(places, "doc_id").select("doc_id", "item_id", "n_words", "at", F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("n_words") + F.least(F.col("at"), F.lit(0))).alias("part"))
+    wanted = places.select("_text").distinct()
+    read = own.join(wanted, "_text", "left_semi").dropDuplicates(["_text"]).select("_text", words(F.col("text")).alias("w"))
+    laid = read.join(places, "_text").select("_text", "item_id", "n_words", "at", F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("n_words") + F.least(F.col("at"), F.lit(0))).alias("part"))
     same = F.aggregate(F.sequence(F.lit(0), F.col("n_words") - 1), F.lit(0), lambda n, i: n + F.when(F.get("item", i) == F.get("part", i + F.least(F.col("at"), F.lit(0))), 1).otherwise(0))
-    scored = laid.join(items, "item_id").select("doc_id", "item_id", "n_words", same.alias("n_matched"))
-    best = scored.groupBy("doc_id", "item_id", "n_words").agg(F.max("n_matched").alias("n_matched"))
+    scored = _join_marks(laid, items, "item_id", "_text").select("_text", "item_id", "n_words", same.alias("n_matched"))
+    best = scored.groupBy("_text", "item_id", "n_words").agg(F.max("n_matched").alias("n_matched"))
+    return materialize(best.where(F.col("n_matched").cast("double") / F.col("n_words") >= similarity), "leaks")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, item_id, n_matched, n_words, overlap) of every document and benchmark item of which the document has
+    an overlap of at least `similarity`: the largest share of the item's words that agree at one diagonal.
+
+    Null and empty texts and items have no leaks.  Rows of docs that repeat a doc_id count as one document, with its
+    best overlap; rows without a doc_id count by their text and are reported with a null doc_id.  Equal items are
+    reported each, items without an id not at all.  Items of eight words and more are found by seeds, so that an
+    overlap whose differing words break every seed is missed (none in tests at random substitutions); shorter items
+    are found always.  Extra columns are ignored; empty tables give an empty result."""
+    tune(docs.sparkSession)
+    leaks = _leaks(docs, benchmark, similarity)
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"))
+    found = rows.join(leaks, "_text").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_text")).alias("_text"), "item_id", "n_words").agg(F.max("n_matched").alias("n_matched"))
     overlap = F.col("n_matched").cast("double") / F.col("n_words")
-    return best.select("doc_id", "item_id", F.col("n_matched").cast("long"), F.col("n_words").cast("long"), overlap.alias("overlap")).where(F.col("overlap") >= similarity)
+    return found.select("doc_id", "item_id", F.col("n_matched").cast("long"), F.col("n_words").cast("long"), overlap.alias("overlap"))
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without leaks, with the columns of docs.  Documents with a null id stay."""
-    leaks = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("_leak"), "left_anti")
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows without leaks, with the columns of docs.  Every row is judged by its own text, whatever its doc_id;
+    null texts stay."""
+    tune(docs.sparkSession)
+    (leak,) = fresh(docs, "_leak")
+    leaks = _leaks(docs.select("text"), benchmark, similarity).select(F.col("_text").alias(leak)).distinct()
+    return docs.join(leaks, F.xxhash64("text") == F.col(leak), "left_anti")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize, text_bytes, tune
+from .common import fresh, lookup, materialize, text_bytes, tune
 from .components import connected_components
 
 CHUNK = 2048
@@ -468,9 +468,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     the smallest doc_id, a null one last.  A row is known by its text and doc_id, so rows that share only a doc_id, or
     only lack one, do not touch each other."""
     tune(docs.sparkSession)
-    doc_id = F.col("doc_id").cast("long")
-    own = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", F.coalesce(doc_id, F.lit(0))).withColumn("_none", doc_id.isNull())
-    parts = similar_components(own, **(STAGE | options))
-    first = parts.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("_none"), F.coalesce("least", F.lit(0)).alias("_id"), F.col("node").alias("_node"))).alias("s"))
-    key = ["_node", "_id", "_none"]
+    doc_id, key = F.col("doc_id").cast("long"), fresh(docs, "_node", "_id", "_none")
+    node, id_, none = key
+    own = docs.withColumns({node: F.xxhash64(F.coalesce("text", F.lit(""))), id_: F.coalesce(doc_id, F.lit(0)), none: doc_id.isNull()})
+    parts = similar_components(own.select(F.col(node).alias("_node"), "doc_id", "text"), **(STAGE | options))
+    row = F.struct(F.col("least").isNull().alias(none), F.coalesce("least", F.lit(0)).alias(id_), F.col("node").alias(node))
+    first = parts.groupBy("component").agg(F.min(row).alias("s"))
     return own.join(first.select("s.*"), key, "left_semi").dropDuplicates(key).drop(*key)

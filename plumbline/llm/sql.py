@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-from .decontaminate import MASKS, SIMILARITY
-from .warc import EPOCH
-
-WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
-
-
-def _seeds(source: str, key: str) -> str:
-    parts = []
-    for k, mask in enumerate(MASKS):
-        cared = " || ' ' || ".join(f"w[i + {o + 1}]" for o, c in enumerate(mask) if c == "1")
-        parts.append(f"select {key}, i, {k} as k, {cared} as seed from (select {key}, w, unnest(range(0, len(w) - {len(mask)} + 1)) as i from {source})")
-    return " union all ".join(parts)
+from .decontaminate import SIMILARITY
+from .warc import EPOCH, LANG, NAMED, REFERENCE, TAG
 
+WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+# Every diagonal with a word in common is counted, without seeds.
 OP2 = f"""
-with d as (select doc_id, {WORDS.format('text')} as w from documents where doc_id is not null and text is not null),
-b as (select * from (select item_id, {WORDS.format('text')} as w from benchmark where item_id is not null) where len(w) >= 5),
-ds as ({_seeds('d', 'doc_id')}),
-bs as ({_seeds('b', 'item_id')}),
-places as (select distinct doc_id, item_id, ds.i - bs.i as diag from ds join bs using (k, seed)),
-words_d as (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as pos from d where doc_id in (select doc_id from places)),
-words_b as (select item_id, len(w) as n_words, unnest(w) as word, unnest(range(0, len(w))) as pos from b),
-same as (select doc_id, item_id, diag, n_words, count(*) as n from places join words_b using (item_id) join words_d using (doc_id)
-         where words_d.pos = words_b.pos + diag and words_d.word = words_b.word group by all),
+with d as (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as pos from (select doc_id, {WORDS.format('text')} as w from documents where text is not null)),
+b as (select item_id, len(w) as n_words, unnest(w) as word, unnest(range(0, len(w))) as pos from (select item_id, {WORDS.format('text')} as w from benchmark where item_id is not null)),
+same as (select doc_id, item_id, n_words, d.pos - b.pos as diag, count(*) as n from d join b using (word) group by all),
 best as (select doc_id, item_id, n_words, max(n) as n from same group by all)
 select doc_id, item_id, n as n_matched, cast(n_words as bigint) as n_words, n::double / n_words as overlap from best where n::double / n_words >= {SIMILARITY}
 """
@@ -36,14 +22,24 @@ def _urn(*parts: str) -> str:
     return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _unescaped(t: str) -> str:
+    named = "map {" + ", ".join(f"'{k}': {v}" for k, v in sorted(NAMED.items())) + "}"
+    ref = f"regexp_extract(p, {_quoted(REFERENCE)}, 1)"
+    code = f"case when {ref} ilike '#x%' then ('0x' || substr({ref}, 3))::int when {ref} like '#%' then substr({ref}, 2)::int else {named}[{ref}] end"
+    char = f"case when {code} between 1 and 55295 or {code} between 57344 and 1114111 then chr({code}) || substr(p, length({ref}) + 2) end"
+    return f"replace(array_to_string(list_transform(string_split({t}, '&'), lambda p, i: case when i = 1 then p when {ref} = '' then '&' || p else coalesce({char}, '&' || p) end), ''), chr(160), ' ')"
+
+
 def _text(html: str) -> str:
     t = f"regexp_replace({html}, '(?s)<!--.*?(?:-->|\\z)', ' ', 'g')"
     for tag in ("script", "style", "noscript", "template"):
         t = f"regexp_replace({t}, '(?is)<{tag}\\b.*?(?:</{tag}[ \\t\\r\\n\\f]*>|\\z)', ' ', 'g')"
     t = f"regexp_replace({t}, '(?i)<(?:br|hr|/p|/div|/li|/tr|/table|/ul|/ol|/h[1-6]|/title|/section|/article|/nav|/footer|/header)\\b[^>]*>', chr(10), 'g')"
-    t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-        t = f"replace({t}, '{entity}', '{char}')"
+    t = _unescaped(f"regexp_replace({t}, '{TAG}', '', 'g')")
     t = f"regexp_replace({t}, '[ \\t\\r\\f]+', ' ', 'g')"
     t = f"regexp_replace({t}, ' ?\\n ?', chr(10), 'g')"
     t = f"regexp_replace({t}, '\\n+', chr(10), 'g')"
@@ -53,11 +49,11 @@ def _text(html: str) -> str:
 _CRLF = "chr(13) || chr(10)"
 OP4 = f"""
 with r as (select page_id, coalesce(url, '') as target_uri, coalesce(html, '') as payload from pages),
-s as (select *, {_urn("'response'", "coalesce(page_id::varchar, '')", 'target_uri')} as refers_to,
+s as (select *, {_urn("'response'", "coalesce(page_id::varchar, '')", 'target_uri', f"'{EPOCH}'", "'sha256:' || sha256(payload)")} as refers_to,
   'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || octet_length(encode(payload)) as source_headers,
   'sha256:' || sha256(payload) as source_digest, {_text('payload')} as body from r),
-m as (select *, 'title: ' || trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '[ \\t\\r\\n\\f]+', ' ', 'g')) || {_CRLF}
-  || 'lang: ' || lower(regexp_extract(payload, '(?is)<html[^>]*[ \\t\\r\\n\\f]lang="([^"]*)"', 1)) || {_CRLF}
+m as (select *, 'title: ' || trim(regexp_replace({_unescaped("regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1)")}, '[ \\t\\r\\n\\f]+', ' ', 'g')) || {_CRLF}
+  || 'lang: ' || lower(regexp_extract(payload, {_quoted(LANG)}, 1)) || {_CRLF}
   || 'links: ' || len(regexp_extract_all(payload, '(?i)<a[ \\t\\r\\n\\f][^>]*href')) || {_CRLF}
   || 'scripts: ' || len(regexp_extract_all(payload, '(?i)<script\\b')) || {_CRLF}
   || 'text-bytes: ' || octet_length(encode(body)) || {_CRLF}

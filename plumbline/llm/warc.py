@@ -8,9 +8,14 @@ the source id and the record type, so that a run that is repeated names its reco
 from __future__ import annotations
 
 import gzip
+import io
+import re
 from collections.abc import Iterable, Iterator
+from html.entities import name2codepoint
+from typing import BinaryIO
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A response without a date takes this one, so that results do not depend on the clock.
@@ -27,20 +32,51 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
 
+#: A reference after its ampersand; names as in HTML 4, whose code points the standard library lists.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+NAMED = {**name2codepoint, "apos": 39}
+#: What separates text from tags: a < that no letter, / or ! follows is text.
+TAG = r"</?[A-Za-z][^>]*>|<[!?][^>]*>"
+LANG = r"""(?is)<html[^>]*[ \t\r\n\f]lang[ \t\r\n\f]*=[ \t\r\n\f]*["']?([^"' \t\r\n\f>]*)"""
+
+
+def _character(reference: Column, rest: Column) -> Column:
+    """The character of a reference with what follows it; null if it names none."""
+    named = F.create_map(*[F.lit(x) for pair in sorted(NAMED.items()) for x in pair])
+    hexadecimal = F.conv(F.substring(reference, F.lit(3), F.lit(6)), 16, 10)
+    decimal = F.substring(reference, F.lit(2), F.lit(7))
+    code = F.when(reference.rlike("^#[xX]"), hexadecimal.cast("int")).when(F.startswith(reference, F.lit("#")), decimal.cast("int")).otherwise(F.try_element_at(named, reference))
+
+    def spelled(c: Column) -> Column:
+        valid = c.between(1, 0xD7FF) | c.between(0xE000, 0x10FFFF)
+        return F.when(valid, F.concat(F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"), rest))
+
+    return F.transform(F.array(code), spelled)[0]
+
+
+def unescaped(text: Column) -> Column:
+    """Character references resolved once, a no-break space as a space; what is no reference stays."""
+
+    def piece(p: Column, i: Column) -> Column:
+        found = F.transform(F.array(F.regexp_extract(p, REFERENCE, 1)), lambda r: F.when(r != "", _character(r, F.substring(p, F.length(r) + 2, F.length(p)))))
+        return F.when(i == 0, p).otherwise(F.coalesce(found[0], F.concat(F.lit("&"), p)))
+
+    whole = lambda t: F.when(F.contains(t, F.lit("&")), F.replace(F.array_join(F.transform(F.split(t, "&"), piece), ""), F.lit("\xa0"), F.lit(" "))).otherwise(t)
+    return F.transform(F.array(text), whole)[0]
+
+
 def title_of(html: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1), r"[ \t\r\n\f]+", " "))
+    return F.trim(F.regexp_replace(unescaped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)), r"[ \t\r\n\f]+", " "))
 
 
 def plain_text(html: Column) -> Column:
-    """Visible text: comments, scripts and styles go, block ends become line ends, other tags go, entities are
+    """Visible text: comments, scripts and styles go, block ends become line ends, other tags go, references are
     resolved, white space is collapsed."""
     t = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ")
     for tag in ("script", "style", "noscript", "template"):
         t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?(?:</{tag}[ \t\r\n\f]*>|\z)", " ")
     t = F.regexp_replace(t, r"(?i)<(?:br|hr|/p|/div|/li|/tr|/table|/ul|/ol|/h[1-6]|/title|/section|/article|/nav|/footer|/header)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    t = unescaped(F.regexp_replace(t, TAG, ""))
     t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
     t = F.regexp_replace(t, r" ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(t, r"\n+", "\n"), r"\A[ \n]+|[ \n]+\z", "")
@@ -50,19 +86,24 @@ def count_of(html: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(html, F.lit(pattern), 0)).cast("long")
 
 
-def responses(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) as response records: record_id, target_uri, date, source_headers, payload.  A null
-    html is an empty payload, a null url an empty URI."""
+def responses(pages: DataFrame, date: str | None = None, headers: str | None = None) -> DataFrame:
+    """pages(page_id, url, html) as response records: page_id, record_id, target_uri, date, source_headers, payload,
+    source_digest.  A null html is an empty payload, a null url an empty URI.
+
+    `date` and `headers` name columns with what the server sent; without them the date is EPOCH and the headers are
+    the three that the payload gives.  The record id is a digest of page id, URI, date and payload, so that two pages
+    with one id do not share it."""
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
-    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"))
-    return pages.select(
+    made = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"))
+    rows = pages.select(
         F.col("page_id").cast("long"),
-        urn(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), url).alias("record_id"),
         url.alias("target_uri"),
-        F.lit(EPOCH).alias("date"),
-        head.alias("source_headers"),
+        (F.coalesce(F.col(date).cast("string"), F.lit(EPOCH)) if date else F.lit(EPOCH)).alias("date"),
+        (F.coalesce(F.col(headers).cast("string"), made) if headers else made).alias("source_headers"),
         html.alias("payload"),
+        digest(html).alias("source_digest"),
     )
+    return rows.withColumn("record_id", urn(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("target_uri"), F.col("date"), F.col("source_digest")))
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -72,11 +113,11 @@ def derive(records: DataFrame) -> DataFrame:
     Nulls were resolved by responses(); a page without text still has both records, the conversion with an empty
     block.  Repeated rows give repeated records with equal ids.  Extra columns are ignored; an empty table gives an
     empty result."""
-    source = records.select("*", digest(F.col("payload")).alias("source_digest"), plain_text(F.col("payload")).alias("_text"))
+    source = records.select("page_id", "record_id", "target_uri", "date", "source_headers", "source_digest", "payload", plain_text(F.col("payload")).alias("_text"))
     fields = F.concat_ws(
         "\r\n",
         F.concat(F.lit("title: "), title_of(F.col("payload"))),
-        F.concat(F.lit("lang: "), F.lower(F.regexp_extract("payload", r'(?is)<html[^>]*[ \t\r\n\f]lang="([^"]*)"', 1))),
+        F.concat(F.lit("lang: "), F.lower(F.regexp_extract("payload", LANG, 1))),
         F.concat(F.lit("links: "), count_of(F.col("payload"), r"(?i)<a[ \t\r\n\f][^>]*href").cast("string")),
         F.concat(F.lit("scripts: "), count_of(F.col("payload"), r"(?i)<script\b").cast("string")),
         F.concat(F.lit("text-bytes: "), F.octet_length("_text").cast("string")),
@@ -104,27 +145,51 @@ def derive(records: DataFrame) -> DataFrame:
     )
 
 
-HEADERS = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("Content-Type", "content_type"), ("WARC-Block-Digest", "block_digest"), ("X-Source-Digest", "source_digest"))
+HEADERS = (
+    ("WARC-Type", "record_type"),
+    ("WARC-Record-ID", "record_id"),
+    ("WARC-Refers-To", "refers_to"),
+    ("WARC-Target-URI", "target_uri"),
+    ("WARC-Date", "date"),
+    ("Content-Type", "content_type"),
+    ("WARC-Block-Digest", "block_digest"),
+    ("X-Source-Digest", "source_digest"),
+    ("X-Source-Headers", "source_headers"),
+)
+
+
+def _in_line(value: str) -> str:
+    """A header's value on one line: control characters and % are percent-encoded."""
+    return re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
 def serialize(row: dict) -> bytes:
     """One gzip member of a WARC 1.1 file."""
     block = row["block"].encode()
-    head = "".join(f"{name}: {row[key]}\r\n" for name, key in HEADERS if row.get(key))
+    head = "".join(f"{name}: {_in_line(str(row[key]))}\r\n" for name, key in HEADERS if row.get(key))
     return gzip.compress(f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", mtime=0)
 
 
+def records_of(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each record of a plain or gzipped WARC file, one record at a time."""
+    start = file.read(2)
+    file.seek(0)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=file)) if start == b"\x1f\x8b" else file
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        head: dict[str, str] = {}
+        while (line := stream.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            head[name.strip().lower()] = value.strip()
+        yield head, stream.read(int(head.get("content-length", 0)))
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzipped by record."""
-    raw, at = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, 0
+    """The records of a file that write() made, with the columns of derive()."""
     names = {n.lower(): key for n, key in HEADERS}
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) for line in raw[at:end].decode().split("\r\n")[1:])
-        size = int(head.pop("Content-Length"))
-        row = {names.get(k.lower(), k): v for k, v in head.items()}
-        yield row | {"block": raw[end + 4 : end + 4 + size].decode()}
-        at = end + 4 + size + 4
+    for head, block in records_of(io.BytesIO(data)):
+        yield {names[k]: unquote(v) for k, v in head.items() if k in names} | {"block": block.decode()}
 
 
 def write(records: DataFrame, path: str) -> None:
@@ -137,3 +202,23 @@ def write(records: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([serialize(r) for r in batch.to_pylist()], pa.binary())], ["warc"])
 
     records.select(*[k for _, k in HEADERS], "block").mapInArrow(run, "warc binary").write.mode("overwrite").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of the WARC files at path, as responses() gives them; page_id is null.  Payloads that are
+    no UTF-8 have replacement characters, digests are of the text that is kept."""
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column(0):
+                for head, block in records_of(io.BytesIO(data.as_py())):
+                    if head.get("warc-type") == "response":
+                        top, _, payload = block.partition(b"\r\n\r\n")
+                        row = [head.get("warc-record-id", ""), head.get("warc-target-uri", ""), head.get("warc-date", EPOCH), top.decode("utf-8", "replace"), payload.decode("utf-8", "replace")]
+                        yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], ["record_id", "target_uri", "date", "source_headers", "payload"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    rows = files.mapInArrow(run, "record_id string, target_uri string, date string, source_headers string, payload string")
+    return rows.select(F.lit(None).cast("long").alias("page_id"), "target_uri", "date", "source_headers", "payload", digest(F.col("payload")).alias("source_digest"), "record_id")
