@@ -1,5 +1,6 @@
 """Brute force, round trips and edge cases of the training-data operators."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -236,6 +237,63 @@ def test_sketch_edits_and_order(docs):
     assert got[None].n_chars == 17 and got[7 * 22].near_edited > 0.3
 
 
+def brute_shingles(text, size=5):
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    out = set()
+    for k in range(max(0, len(words) - size) + 1 if words else 0):
+        h = 42
+        for w in words[k : k + size]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        out.add(h - (1 << 64) if h >> 63 else h)
+    return out
+
+
+def brute_sketch(shingles):
+    limit = -(2**63) + 2**61
+    below = sorted(h for h in shingles if h < limit)
+    return below if len(below) >= sketch.LEAST else sorted(shingles)[: sketch.LEAST]
+
+
+def brute_compare(a, b):
+    limit, end = -(2**63) + 2**61, 2**63 - 1
+    for s in (a, b):
+        if len(s) >= sketch.LEAST:
+            end = min(end, max(limit - 1, s[-1]))
+    x, y = ({h for h in s if h <= end} for s in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0, len(x & y) / len(x) if x else None
+
+
+def test_sketches_match_brute_force(docs):
+    got = {r.doc_id: r for r in sketch.edited_pairs(docs.where("doc_id != 7")).collect()}
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.where("doc_id != 7").collect()), reverse=True)
+    hexed = lambda s: "".join(f"{h & (2**64 - 1):016x}" for h in s)
+    for k, (i, t) in enumerate(rows):
+        after, third = rows[(k + 1) % len(rows)][1], len(t) // 3
+        s, e, x = (brute_sketch(brute_shingles(v)) for v in (t, t[: len(t) - third] + after[:third], after))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (hexed(s), hexed(e))
+        assert (got[i].near_edited, got[i].contained_edited) == brute_compare(s, e)
+        assert (got[i].near_next, got[i].contained_next) == brute_compare(s, x)
+
+
+def test_short_texts_are_told_apart_and_estimates_are_near(spark):
+    rnd = random.Random(31)
+    pairs = [(f"only one shingle {i}", f"another text number {i}") for i in range(20)] + [("", ""), ("", "x"), ("a b c d e f", "a b c d e g")]
+    for n in (30, 300, 3000):
+        for rate in (0.0, 0.02, 0.1):
+            a = prose(rnd.random(), n).split()
+            pairs.append((" ".join(a), " ".join(w if rnd.random() > rate else "new" for w in a)))
+    pairs.append((prose(77, 200), prose(78, 9000) + " " + prose(77, 200)))
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", sketch.sketch(F.col("a")).alias("s"), sketch.sketch(F.col("b")).alias("t"))
+    rows = df.select("a", "b", "s", "t", sketch.jaccard(F.col("s"), F.col("t")).alias("j"), sketch.containment(F.col("s"), F.col("t")).alias("c"), sketch.merge(F.col("s"), F.col("t")).alias("m")).collect()
+    for r in rows:
+        x, y = brute_shingles(r.a), brute_shingles(r.b)
+        assert (r.s, r.t, r.m) == (brute_sketch(x), brute_sketch(y), brute_sketch(x | y))
+        want = len(x & y) / len(x | y) if x | y else 1.0
+        assert r.j == pytest.approx(want, abs=1e-12 if len(x | y) < sketch.LEAST else 0.25)
+        assert not x or r.c is None or abs(r.c - len(x & y) / len(x)) <= 0.25
+    assert rows[-1].c == 1.0 and all(r.j == 0 for r in rows[:20])
+
+
 def test_next_ids_over_sparse_ids(spark):
     ids = sorted({random.Random(k).randint(-(1 << 62), 1 << 62) for k in range(50)} | set(range(2000, 3100)))
     got = {r.id: r.next for r in sketch.next_ids(spark.createDataFrame([(i,) for i in ids], "id long")).collect()}
@@ -300,16 +358,36 @@ def test_forward_sums_all_segmentations():
     index = {p: i for i, p in enumerate(vocab.pieces)}
 
     def brute(word):
-        ways = [np.ones(2)] + [np.zeros(2) for _ in word]
+        ways = [np.zeros(2)]
         for j in range(1, len(word) + 1):
-            for k in range(max(0, j - language_id.PIECE), j):
-                piece = word[k:j]
-                if piece in index or j - k == 1:
-                    ways[j] = ways[j] + ways[k] * prob[index.get(piece, vocab.size - 1)]
-        return np.log(ways[-1])
+            ends = [ways[k] + np.log(prob[index.get(word[k:j], vocab.size - 1)]) for k in range(max(0, j - vocab.longest), j) if word[k:j] in index or j - k == 1]
+            ways.append(np.logaddexp.reduce(ends))
+        return ways[-1]
 
-    words = ["▁the", "▁international", "▁ça", "▁中文", "▁x"]
+    words = ["▁the", "▁international", "▁ça", "▁中文", "▁x", "▁" + "donaudampfschiff" * 9, "▁" + "中文" * 200, "▁" + "x" * 40_000]
     assert np.allclose(language_id.log_likelihood(vocab, words, prob), [brute(w) for w in words])
+    assert vocab.longest == max(map(len, vocab.pieces)) == 16
+
+
+def test_expected_counts_are_the_gradient_of_the_likelihood():
+    vocab = language_id.load(language_id.default_path())
+    prob = language_id.normalised(np.random.default_rng(1).random((vocab.size, 1)))
+    length = np.array([*map(len, vocab.pieces), 1])
+    for word in ("▁internationale", "▁" + "überraschung" * 8):
+        used = language_id.expected_counts(vocab, [word], np.array([3.0]), prob)
+        assert (used * length).sum() == pytest.approx(3 * len(word))
+        for piece in np.flatnonzero(used)[:: max(1, np.count_nonzero(used) // 8)]:
+            more = prob.copy()
+            more[piece] *= 1 + 1e-6
+            change = (language_id.log_likelihood(vocab, [word], more) - language_id.log_likelihood(vocab, [word], prob))[0, 0] / 1e-6
+            assert 3 * change == pytest.approx(used[piece], rel=1e-3, abs=1e-4)
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred != 'und'").collect()
+    right = sum(r.lang == r.lang_pred for r in rows)
+    assert len(rows) > 200 and right / len(rows) >= 0.99
 
 
 # ---------------------------------------------------------------- op8, op10, op1
@@ -336,13 +414,45 @@ def test_license_scan(spark):
 
 def test_license_scan_finds_every_template_of_a_file():
     index, every = license_scan.Index(), [w for _, w, _ in license_scan.TEMPLATES]
+    of = lambda label, k=0: [w for a, w, _ in license_scan.TEMPLATES if a == label][k]
     scan = lambda text: set(index.scan(license_scan.words_of(text.encode()))[1])
     assert scan(" . and so on . ".join(every)) == {label for label, _, _ in license_scan.TEMPLATES}
     for a, x, _ in license_scan.TEMPLATES:
         for b, y, _ in license_scan.TEMPLATES:
             assert scan(f"{x} or else {y}") >= {a, b}
     english = "the associated binary charge code conditions file files following form free copy general creative international documentation " * 300
-    assert scan(english) == set() and scan(f"{english} {every[1]} {english} {every[9]} {english} {every[5]} {english}") == {"mit", "mpl-2", "gpl-3"}
+    assert scan(english) == set()
+    assert scan(f"{english} {of('mit', 1)} {english} {of('mpl-2')} {english} {of('gpl-3')} {english}") == {"mit", "mpl-2", "gpl-3"}
+    for label, text, phrase in license_scan.TEMPLATES:
+        assert scan(text) == {label}
+        # words put in, left out or changed outside the key phrase
+        words, key = license_scan.words_of(text.encode()), license_scan.words_of(phrase.encode())
+        at = next(k for k in range(len(words)) if words[k : k + len(key)] == key)
+        head, tail = words[:at], words[at + len(key) :]
+        if len(words) > 20:
+            assert scan(b" ".join([*head[: len(head) // 2], b"namely", b"here", *head[len(head) // 2 :], *key, b"also", *tail[:-1]]).decode()) == {label}
+            assert label not in scan(b" ".join([*head, *key[:-1], b"something", *tail]).decode()) or len(key) < 3
+
+
+def brute_scan(words):
+    """Every start against every template, by the definition."""
+    index, found = license_scan.Index(), {}
+    for t in index.templates:
+        for start in range(-len(t.words), len(words) + 1):
+            agree = t.agreeing(start, words)
+            if agree >= license_scan.AGREE:
+                found[t.label] = max(found.get(t.label, 0.0), agree)
+    return found
+
+
+def test_license_labels_match_a_search_at_every_start():
+    index, rnd = license_scan.Index(), random.Random(12)
+    every = [license_scan.words_of(w.encode()) for _, w, _ in license_scan.TEMPLATES]
+    for _ in range(60):
+        words = [w.encode() for w in prose(rnd.random(), 10).split()]
+        for part in rnd.sample(every, 2):
+            words += [w for w in part if rnd.random() > rnd.choice([0.0, 0.1, 0.3])] + [b"word"] * rnd.randint(0, 9)
+        assert set(index.scan(words)[1]) == set(brute_scan(words))
 
 
 def brute_spans(t):
@@ -369,6 +479,39 @@ def test_crf_adds_and_leaves_clean_text_alone():
     assert spans("dial 415-555-2671.") == ["415-555-2671"]
     assert spans("mail jane.doe [at] example [dot] org soon") == ["jane.doe [at] example [dot] org"]
     assert spans("in 2024-01-15 at 10:30 we met 300-400 people for 4785380592391138") == []
+    for text in ("020 7946 0958", "06 12 34 56 78", "jane at example dot com", "mary.jones at company dot co dot uk", "2001:db8:1234::99", "4111.1111.1111.1111", "8[.]8[.]8[.]8"):
+        assert spans(f"it is {text} today") == [text]
+    for text in ("we met at the dot com party", "pages 100 200 300 400", "id 1234567890", "RFC 2616 section 14.9.3", "12 13 14 15 16 17 18 19"):
+        assert pii.all_spans(crf, [text])[0][1] == pii.base_spans(text)
+
+
+def test_viterbi_is_the_best_of_all_label_sequences():
+    from itertools import product
+
+    crf, rnd = pii.train(), np.random.default_rng(3)
+    sequences = [rnd.normal(size=(n, pii.LABELS)) * 3 for n in (1, 2, 3, 4)]
+    for scores, path in zip(sequences, crf.viterbi(sequences)):
+        value = lambda y: sum(scores[t, k] + crf.move[y[t - 1] if t else pii.LABELS, k] for t, k in enumerate(y))
+        assert value(tuple(path)) == pytest.approx(max(map(value, product(range(pii.LABELS), repeat=len(scores)))))
+
+
+def test_crf_on_lines_that_it_has_not_seen():
+    lines, right, wanted, found = list(filter(None, pii.LABELLED.splitlines())), 0, 0, 0
+    for fold in range(3):
+        crf = pii.train("\n".join(x for k, x in enumerate(lines) if k % 3 != fold))
+        for line in lines[fold::3]:
+            text, want = pii.marked(line)
+            got = [s for s in pii.crf_spans(crf, [text])[0] if pii.possible(s[0], text[s[1] : s[2]])]
+            right, wanted, found = right + len(set(got) & set(want)), wanted + len(want), found + len(got)
+    # forms that the other folds do not have at all are among them: 32 of 66 spans, 32 of 39 found are right
+    assert right / wanted >= 0.45 and right / found >= 0.75, (right, wanted, found)
+
+
+def test_crf_adds_nothing_to_the_documents_of_the_tables():
+    import pyarrow.parquet as pq
+
+    crf, texts = pii.train(), pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    assert all(own == every for own, every in pii.all_spans(crf, [t or "" for t in texts]))
 
 
 def test_crf_finds_spans_at_cuts_and_of_any_length():
@@ -445,8 +588,43 @@ def test_leaks_tolerate_substitutions(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int")
     marks = spark.createDataFrame([(9, " ".join(item)), (8, "too short"), (7, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.overlap for r in decontaminate.find_leaks(docs, marks).collect()}
-    assert got == {(1, 9): 1.0, (2, 9): pytest.approx(0.875)}
-    assert sorted(str(r.doc_id) for r in decontaminate.remove_leaks(docs, marks).collect()) == ["3", "4", "5", "6", "None"]
+    assert got == {(1, 9): 1.0, (2, 9): pytest.approx(0.875), (None, 9): 1.0}
+    kept = sorted((str(r.doc_id), r.text) for r in decontaminate.remove_leaks(docs, marks).collect())
+    assert kept == sorted((str(i), t) for i, t in [rows[2], rows[3], rows[4], rows[5], (1, "x")])
+
+
+def brute_overlap(text, item):
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w]
+    a, b = words(text), words(item)
+    return max((sum(0 <= at + k < len(a) and a[at + k] == w for k, w in enumerate(b)) / len(b) for at in range(-len(b), len(a) + 1)), default=0.0)
+
+
+def test_leaks_match_every_diagonal_for_items_of_any_length(spark):
+    rnd, items, texts = random.Random(21), {}, {}
+    for n in [1, 2, 3, 4, *range(5, 13), 15, 20, 31, 44]:
+        for k in range(4):
+            words = prose(1000 * n + k, n).split()
+            items[100 * n + k] = " ".join(words)
+            changed = list(words)
+            for p in rnd.sample(range(n), min(n, rnd.choice([n // 5, n // 5, n // 5 + 1]))):
+                changed[p] = f"other{p}"
+            # at the start, within and at the end of a text; and without an id
+            around = [(0, 9), (7, 9), (7, 0)][k % 3]
+            texts[100 * n + k] = " ".join([*prose(n + k, around[0]).split(), *changed, *prose(n - k, around[1]).split()])
+            texts[100 * n + k + 50] = " ".join(changed[1:])
+    docs = spark.createDataFrame([*texts.items(), (None, "a " + items[803])], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.overlap for r in decontaminate.find_leaks(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    rows = [*texts.items(), (None, "a " + items[803])]
+    want = {(i, j): o for i, t in rows for j, b in items.items() for o in [brute_overlap(t, b)] if o >= 0.8}
+    assert got == pytest.approx(want) and (None, 803) in got
+
+
+def test_leaks_of_benchmarks_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    item = prose(50, 40)
+    docs = spark.createDataFrame([(i, f"{prose(i, 20)} {item}" if i % 2 else prose(i, 60)) for i in range(20)], "doc_id long, text string")
+    got = decontaminate.find_leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.overlap) for r in got) == [(i, 1.0) for i in range(1, 20, 2)]
 
 
 def test_leaks_in_upper_case_of_other_letters(spark):
@@ -468,6 +646,45 @@ def test_warc_round_trip(spark):
         assert r.block_digest == "sha256:" + hashlib.sha256(back["block"].encode()).hexdigest()
 
 
+def test_warc_text_keeps_comparisons_and_resolves_references(spark):
+    cases = {
+        "<p>3 < 4 and 5 > 2</p>": "3 < 4 and 5 > 2",
+        "caf&eacute; &#233; &#xE9; &mdash; &amp;lt; &unknown; & &#0; &#xD800; &#1114112; &hearts; a&nbsp;b": "café é é — &lt; &unknown; & &#0; &#xD800; &#1114112; ♥ a b",
+        "<!DOCTYPE html><a href='x'>y</a><br/>z<": "y\nz<",
+        "no markup": "no markup",
+        "": "",
+    }
+    html = "<HTML lang = 'Fr'><title>a &amp; b</title>"
+    df = spark.createDataFrame([*enumerate(cases), (99, html)], "page_id long, html string").withColumn("url", F.lit("http://a/")).withColumn("payload", F.lit("clash")).withColumn("block", F.lit(1))
+    got = {(r.page_id, r.record_type): r for r in warc.derive(warc.responses(df)).collect()}
+    assert [got[i, "conversion"].block for i in range(len(cases))] == list(cases.values())
+    assert got[99, "metadata"].block.startswith("title: a & b\r\nlang: fr\r\n")
+
+
+def test_warc_ids_headers_and_files(spark, tmp_path):
+    rows = [(1, "http://a/%41\r\nX: y", "<p>one</p>"), (1, "http://a/%41\r\nX: y", "<p>two</p>"), (2, "http://b/", "<p>long " + "x " * 200_000 + "</p>"), (3, "u", "same"), (3, "u", "same")]
+    pages = spark.createDataFrame([(*r, "2024-05-06T00:00:00Z", "HTTP/1.1 200 OK\r\nServer: 50%") for r in rows], "page_id long, url string, html string, seen string, sent string")
+    sources = warc.responses(pages, date="seen", headers="sent")
+    assert sources.select("record_id").distinct().count() == 4
+    out = warc.derive(sources)
+    warc.write(out, str(tmp_path / "out"))
+    members = [r.warc for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    back = [x for m in members for x in warc.parse(bytes(m))]
+    key = lambda r: (r["record_id"], r["block_digest"])
+    want = sorted((r.asDict() for r in out.collect()), key=key)
+    for a, b in zip(sorted(back, key=key), want, strict=True):
+        assert {k: a[k] for _, k in warc.HEADERS} | {"block": a["block"]} == {k: b[k] for _, k in warc.HEADERS} | {"block": b["block"]}
+    # a file of responses, read back as records
+    message = lambda r: f"{r.source_headers}\r\n\r\n{r.payload}".encode()
+    raw = b"".join(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {r.record_id}\r\nWARC-Target-URI: http://x/\r\nWARC-Date: {r.date}\r\nContent-Length: {len(message(r))}\r\n\r\n".encode() + message(r) + b"\r\n\r\n" for r in sources.collect())
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(raw)
+    (tmp_path / "in" / "b.warc.gz").write_bytes(gzip.compress(raw[: len(raw)]))
+    read = warc.read(spark, str(tmp_path / "in")).collect()
+    assert sorted((r.record_id, r.payload, r.source_headers, r.source_digest, r.date) for r in read) == sorted(2 * [(r.record_id, r.payload, r.source_headers, r.source_digest, r.date) for r in sources.collect()])
+    assert warc.derive(warc.read(spark, str(tmp_path / "in"))).count() == 20
+
+
 def test_sql_is_given_for_registered_queries():
     from plumbline.llm.queries import QUERIES
 
@@ -485,6 +702,46 @@ def test_empty_tables(spark, empty):
         language_id.identify(empty), bpe.encode_documents(empty), license_scan.scan_licenses(empty), sharding.shard_by_bytes(empty), pii.find_personal_data(empty),
     ]
     assert [f.count() for f in frames] == [0] * 10
+    stages = [language_id.keep_identified(empty), simhash.keep_one(empty), decontaminate.remove_leaks(empty, marks), pii.redact(empty)]
+    assert [(f.count(), f.columns) for f in stages] == [(0, empty.columns)] * 4
+
+
+def test_stages_keep_columns_that_clash_with_their_own(spark, docs):
+    names = ["_node", "_id", "_none", "_leak", "_text", "_stay", "hash", "lang_pred", "component"]
+    wide = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    marks = spark.createDataFrame([(1, prose(3, 63))], "item_id long, text string")
+    for stage in (language_id.keep_identified, simhash.keep_one, lambda d: decontaminate.remove_leaks(d, marks), pii.redact):
+        rows = stage(wide).collect()
+        assert rows and all(tuple(r)[-len(names) :] == tuple(range(len(names))) for r in rows)
+    assert decontaminate.remove_leaks(wide, marks).count() == wide.count() - 1
+
+
+def test_clashing_columns_repeats_and_long_texts(spark):
+    long = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. " + prose(5, 120_000) + " mail a@b.org"
+    texts = [long, long, None, "", "x" * 300_000, "the same text of a mail to a@b.org"] * 2
+    extra = "words string, labels string, spans string, score double, held_out string, difference string, rule string, key long, chunk long, n long, host string, payload string, block string, _text string"
+    values = ("w", "l", "s", 0.5, "h", "d", "r", 1, 2, 3, "o", "p", "b", "t")
+    docs = spark.createDataFrame([(k // 2 if k < 11 else None, t, "en", *values) for k, t in enumerate(texts)], "doc_id long, text string, lang string, " + extra)
+    assert license_scan.scan_licenses(docs).count() == pii.find_personal_data(docs).count() == language_id.identify(docs).count() == len(texts)
+    assert sum("mit" in r.labels for r in license_scan.scan_licenses(docs).collect()) == 4
+    assert sum(r.n_email for r in pii.find_personal_data(docs).collect()) == 6
+    marks = spark.createDataFrame([(1, "the same text of a mail to a b org")], "item_id long, text string")
+    assert sorted(str(r.doc_id) for r in decontaminate.find_leaks(docs, marks).collect()) == ["2", "None"]
+    pages = spark.createDataFrame([(k // 2, "http://" + (t or "")[:100_000].replace(" ", "/"), t, *values) for k, t in enumerate(texts)], "page_id long, url string, html string, " + extra)
+    assert url_filter.filter_urls(pages).count() == len(texts) and warc.derive(warc.responses(pages)).count() == 2 * len(texts)
+
+
+def test_url_model_on_urls_that_it_has_not_seen(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    host, path = url_filter.host_and_path(F.col("url"))
+    _, action = url_filter.rule_of(host, path)
+    rows = pages.select("url", action.alias("verdict")).where("verdict is not null").distinct()
+    fold = F.pmod(F.xxhash64("url"), F.lit(4))
+    grams = url_filter.count_grams(rows.where(fold > 1)).cache()
+    scored = lambda k: url_filter.differences(rows.where(fold == k), grams).join(rows, "url")
+    threshold = url_filter.calibrate(scored(0))
+    right = {r.verdict: r.right for r in scored(1).groupBy("verdict").agg(F.avg(((F.col("difference") >= threshold) == (F.col("verdict") == "allow")).cast("int")).alias("right")).collect()}
+    assert min(right.values()) >= 0.9, right
 
 
 def test_pipeline_keeps_the_columns_of_documents(spark):
