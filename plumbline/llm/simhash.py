@@ -12,9 +12,10 @@ Two ways to cells, each for its own purpose:
 Cells of more than CHUNK members are cut into chunks by hash, and every pair of chunks is a cell of its own, so that
 no task holds more than two chunks and no link is lost.  A cell returns a forest, at most one edge a member.
 
-The pipeline's stage takes the pairs within the radius as candidates only: a link is a pair whose shingle sets have
-an exact Jaccard of at least the similarity.  Candidates are verified in rounds: a member's first few in a cell,
-then, in cells that had more, those whose members are not yet in one component, until no cell has any left."""
+The pipeline's stage takes the components of the comparison as candidate groups only: a link is a pair of texts of
+one group whose shingle sets have an exact Jaccard of at least the similarity.  The sets of a group's texts, a small
+part of all, go to one task, those of a large group to one task for each pair of its chunks, and again a forest comes
+back.  So no table of pairs is ever made."""
 
 from __future__ import annotations
 
@@ -71,17 +72,18 @@ def simhash(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
 
 
 def minhash_bands(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """`bands` keys, each of `rows` minima under multiply-shift permutations; no hashes: one fixed key a band."""
+    """`bands` keys, each of `rows` minima under different mixes of the hashes; no hashes: one fixed key a band."""
     n = bands * rows
-    a = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    least = np.full(n, ONES)
+    seeds = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mix, least = np.uint64(0xD6E8FEB86659FD93), np.full(n, ONES)
     for i in range(0, len(hashes), 4096):
-        h = hashes[i : i + 4096]
-        h = h ^ (h >> np.uint64(31))
-        least = np.minimum(least, (h[None, :] * a[:, None]).min(axis=1))
+        h = (hashes[None, i : i + 4096] ^ seeds[:, None]) * mix
+        h ^= h >> np.uint64(32)
+        h *= mix
+        least = np.minimum(least, h.min(axis=1))
     key = np.zeros(bands, np.uint64)
     for r in range(rows):
-        key = (key ^ least[r::rows]) * np.uint64(0xD6E8FEB86659FD93)
+        key = (key ^ least[r::rows]) * mix
         key ^= key >> np.uint64(32)
     return key
 
@@ -221,16 +223,20 @@ def _forest(ids: np.ndarray, fps: np.ndarray, start: np.ndarray, radius: int) ->
     return ids[moved], ids[root[moved]]
 
 
-def _whole_cells(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
-    """Arrow batches sorted by cell -> arrays (cell, fp, *columns) of whole cells.  Holds one batch and the cell that
-    it ends in."""
+def _cell_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(k).to_numpy() for k in CELL], axis=1)
+
+
+def _whole_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Arrow batches sorted by cell -> arrays (cell, fp, node) of whole cells.  Holds one batch and the cell that it
+    ends in."""
     kept: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cell = np.stack([batch.column(k).to_numpy() for k in CELL], axis=1)
+        cell = _cell_of(batch)
         fps = np.asarray(batch.column("fp").flatten()).astype(np.int64).view(np.uint64).reshape(batch.num_rows, -1)
-        now = [cell, fps, *(batch.column(c).to_numpy() for c in columns)]
+        now = [cell, fps, batch.column("node").to_numpy()]
         if kept:
             now = [np.concatenate(x) for x in zip(kept, now)]
         change = np.flatnonzero((now[0][1:] != now[0][:-1]).any(axis=1))
@@ -250,80 +256,13 @@ def _link_cells(radius: int):
     """Arrow batches sorted by cell (cell, node, fp) -> edges."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, fps, ids in _whole_cells(batches, ("node",)):
+        for cell, fps, ids in _whole_cells(batches):
             u, v = _forest(ids, fps, _starts(cell), radius)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return run
 
 
-def large_cell_pairs(fps: np.ndarray, part: np.ndarray, radius: int, limit: int, queries: int = 64) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs (i, j), i < j, of one cell within the radius and in different parts, for each i the first `limit`; and
-    whether there were more."""
-    n, more = len(fps), False
-    us, vs = [np.empty(0, int)], [np.empty(0, int)]
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little").astype(bool)
-    for s in range(0, n, queries):
-        if (part[s:] == part[s]).all():
-            break
-        planes = planes_of(fps[s:])
-        q = np.where(bits[s : s + queries], ONES, np.uint64(0))
-        mismatch = (planes[p][None, :] ^ q[:, p][:, None] for p in range(planes.shape[0]))
-        hits = within_radius(mismatch, (len(q), planes.shape[1]), radius)
-        if not hits.any():
-            continue
-        for r, found in enumerate(unpack(hits, n - s)):
-            j = s + r + 1 + np.flatnonzero(found[r + 1 :] & (part[s + r + 1 :] != part[s + r]))
-            more |= len(j) > limit
-            us.append(np.full(min(len(j), limit), s + r))
-            vs.append(j[:limit])
-    return np.concatenate(us), np.concatenate(vs), more
-
-
-def small_cell_pairs(fps: np.ndarray, cell: np.ndarray, part: np.ndarray, radius: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for many small cells at once; and the cells that had more."""
-    taken, us, vs, more = np.zeros(len(fps), int), [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)]
-    for d in range(1, SMALL_CELL):
-        near = np.flatnonzero(cell[:-d] == cell[d:]) if d < len(cell) else np.empty(0, int)
-        if not len(near):
-            break
-        i = near[part[near] != part[near + d]]
-        for some in np.array_split(i, -(-len(i) // 8192)) if len(i) else ():
-            planes = planes_of(fps[some] ^ fps[some + d])
-            hit = some[unpack(within_radius(planes, planes.shape[1:], radius), len(some))]
-            more.append(cell[hit[taken[hit] >= limit]])
-            hit = hit[taken[hit] < limit]
-            taken[hit] += 1
-            us.append(hit)
-            vs.append(hit + d)
-    return np.concatenate(us), np.concatenate(vs), np.unique(np.concatenate(more))
-
-
-def _candidate_cells(radius: int, limit: int):
-    """Arrow batches sorted by cell (cell, node, fp, part) -> candidates (u, v), and a row with the cell and without
-    u and v for each cell with members that have more than `limit`."""
-    names = ["u", "v", *CELL]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, fps, ids, part in _whole_cells(batches, ("node", "part")):
-            start = _starts(cell)
-            size = np.diff(np.append(start, len(ids)))
-            at = np.flatnonzero(np.repeat(size < SMALL_CELL, size))
-            i, j, open_ = small_cell_pairs(fps[at], np.repeat(np.arange(len(size)), size)[at], part[at], radius, limit)
-            us, vs, left = [ids[at[i]]], [ids[at[j]]], list(start[open_])
-            for s, n in zip(start[size >= SMALL_CELL], size[size >= SMALL_CELL]):
-                i, j, more = large_cell_pairs(fps[s : s + n], part[s : s + n], radius, limit)
-                us.append(ids[s + i])
-                vs.append(ids[s + j])
-                left += [s] * more
-            u, v, of = np.concatenate(us), np.concatenate(vs), cell[left]
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *(pa.nulls(len(u), k) for k in kinds[2:])], names)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(of), k) for k in kinds[:2]), *(pa.array(of[:, c].astype(np.int64)).cast(k) for c, k in enumerate(kinds[2:]))], names)
-
-    return run
-
-
 # ---------------------------------------------------------------- cells
 
 
@@ -337,30 +276,31 @@ def block_masks(radius: int, distinct: int, bits: int = 64) -> list[int]:
     return [sum(c) for c in combinations(block, parts - radius)]
 
 
-CELL = ("t", "key", "a", "b")
+#: A cell: its key, and the two chunks of it that are compared.
+CELL = ("cell", "a", "b")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _cells(keyed: DataFrame) -> DataFrame:
-    """keyed(t int, key long, node long, fp) -> (t, key, a, b, node, fp), a row for each cell that a node is in."""
-    counts = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    other = F.when(chunks == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), chunks - 1), lambda j: j != F.col("own")))
-    return (
-        keyed.join(counts, ["t", "key"])
-        .withColumn("own", own)
-        .withColumn("other", F.explode(other))
-        .select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "fp")
-    )
+def _dealt(rows: DataFrame, chunks: str) -> DataFrame:
+    """rows(cell, node, …, `chunks`) -> rows(cell, a, b, node, …) once for every cell that a node is in, sorted by it."""
+    n = F.col(chunks).cast("int")
+    others = F.filter(F.sequence(F.lit(0), n - 1), lambda j: j != F.col("own"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.when(n == 1, F.array(F.lit(0))).otherwise(others)))
+    rows = rows.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("own", "other", chunks)
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL)
 
 
 def _links(keyed: DataFrame, radius: int) -> DataFrame:
     """keyed(t int, key long, node long, fp) -> edges between nodes of one (t, key) within the radius."""
-    return _cells(keyed).repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_link_cells(radius), "u long, v long")
+    keyed = keyed.select(F.xxhash64("t", "key").alias("cell"), "node", "fp")
+    counts = keyed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
+    counts = materialize(counts, "cells")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cells = lookup(keyed, counts, "cell", "chunks", "n", total).select("cell", "node", "fp", "chunks")
+    return _dealt(cells, "chunks").mapInArrow(_link_cells(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, bands: int = 0, rows: int = 3) -> DataFrame:
@@ -395,10 +335,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
 
 
 #: Five-word shingles, similarity 0.8.  At 256 bits a similarity of 0.8 gives 39 differing bits on average (deviation
-#: 6), for the shortest texts 48; unrelated texts give 128.  The radius only chooses what is verified.
-STAGE = {"shingle": 5, "similarity": 0.8, "radius": 72, "lanes": 4, "bands": 12, "rows": 3}
-#: Candidates of a member in a cell in the first round, and their growth from round to round.
-FIRST, GROWTH = 3, 16
+#: 6), for the shortest texts 48; unrelated texts give 128.  The radius only chooses what is compared exactly; of the pairs at 0.8, 14 bands of 3
+#: miss 4 in 100,000.
+STAGE = {"shingle": 5, "similarity": 0.8, "radius": 64, "lanes": 4, "bands": 14, "rows": 3}
+#: Texts and shingles of a chunk of a candidate group.
+MEMBERS, WEIGHT = 1024, 1 << 20
+#: Shingles whose bits are compared at once.
+COLUMNS = 1 << 13
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -420,46 +363,88 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs(u, v) whose shingle sets have a Jaccard of at least `similarity`; two empty sets have 1."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = materialize(_shingle_sets(texts.join(wanted, "node", "left_semi"), shingle), "shingles")
-    left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("u", "v"))
-    both = F.size(F.array_intersect("u_set", "v_set"))
-    either = F.size("u_set") + F.size("v_set") - both
-    return pairs.join(left, "u").join(right, "v").where((either == 0) | (both / either >= similarity)).select("u", "v")
-
-
-def _verified_links(keyed: DataFrame, texts: DataFrame, radius: int, shingle: int, similarity: float) -> DataFrame:
-    """keyed(t, key, node, fp) -> verified edges that connect all nodes that the verified pairs of one (t, key)
-    within the radius connect."""
-    all_cells = _cells(keyed)
-    cells, limit, edges = all_cells.withColumn("part", F.col("node")), FIRST, None
-    while True:
-        dealt = cells.repartition(*CELL).sortWithinPartitions(*CELL, "node")
-        found = materialize(dealt.mapInArrow(_candidate_cells(radius, limit), "u long, v long, t int, key long, a int, b int"), "candidates")
-        pairs = materialize(found.where("u is not null").select("u", "v").distinct(), "pairs")
-        good = materialize(_verified(pairs, texts, shingle, similarity), "verified")
-        edges = good if edges is None else edges.union(good)
-        left = found.where("u is null").select(*CELL)
-        if left.isEmpty():
-            return edges
-        part = connected_components(edges).withColumnRenamed("component", "part")
-        cells = all_cells.join(left, list(CELL), "left_semi").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        limit *= GROWTH
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, n) sizes of the intersections of the sets, of which only those with i < j are filled."""
+    n = len(sets)
+    out = np.zeros((n, n), np.int32)
+    flat, of = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    first = np.append(True, flat[1:] != flat[:-1]) if len(flat) else np.empty(0, bool)
+    name = np.cumsum(first) - 1
+    often = np.bincount(name) > 1
+    held = often[name]  # a shingle of one set alone is in no intersection
+    of, column = of[held], (np.cumsum(often) - 1)[name[held]]
+    for start in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        bits = np.zeros((n, COLUMNS), bool)
+        bits[of[a:b], column[a:b] - start] = True
+        words = pack(bits)
+        for i in range(n - 1):
+            out[i, i + 1 :] += np.bitwise_count(words[i] & words[i + 1 :]).sum(axis=1, dtype=np.int32)
+    return out
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set, the index of the first one that it is connected to by pairs with a Jaccard of at least
+    `similarity`; two empty sets have 1."""
+    size = np.array([len(x) for x in sets])
+    both = shared_counts(sets)
+    either = size[:, None] + size[None, :] - both
+    near = np.where(either > 0, both / np.maximum(either, 1), 1.0) >= similarity
+    a, b = np.nonzero(np.triu(near, 1))
+    root = np.arange(len(sets))
+    while len(a):
+        least = np.minimum(root[a], root[b])
+        if (least == root[a]).all() and (least == root[b]).all():
+            break
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+    return root
+
+
+def _link_sets(similarity: float):
+    """Arrow batches sorted by cell (cell, a, b, node, shingles) -> edges (member, root)."""
+
+    def edges(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        ids, root = np.array(nodes, np.int64), similar_forest(sets, similarity)
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["u", "v"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sets = None, [], []
+        for batch in batches:
+            cells = _cell_of(batch)
+            for k, (cell, node) in enumerate(zip(map(tuple, cells), batch.column("node").to_pylist())):
+                if cell != at and nodes:
+                    yield edges(nodes, sets)
+                    nodes, sets = [], []
+                at = cell
+                nodes.append(node)
+                sets.append(np.asarray(batch.column("shingles")[k].values).astype(np.int64))
+        if nodes:
+            yield edges(nodes, sets)
+
+    return run
 
 
 def similar_components(docs: DataFrame, shingle: int, similarity: float, radius: int, lanes: int, bands: int, rows: int) -> DataFrame:
     """(node, component, least) of every distinct text of docs(doc_id, text, _node): the components over pairs of
     texts with an exact Jaccard of at least `similarity`, and the text's smallest doc_id."""
-    own = docs.select("_node", text_bytes().alias("text"))
+    own = docs.select(F.col("_node").alias("node"), text_bytes().alias("text"))
     prints = fingerprints(docs.select(F.col("_node").alias("doc_id"), "text"), shingle, lanes, bands, rows, True)
     prints = prints.withColumnRenamed("doc_id", "node")
     nodes = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
-    keyed = nodes.select("node", "fp", F.posexplode("bands").alias("t", "key")).select("t", "key", "node", "fp")
-    edges = _verified_links(keyed, own.withColumnRenamed("_node", "node"), radius, shingle, similarity)
+    keyed = nodes.select("node", "fp", F.posexplode("bands").alias("t", "key"))
+    groups = materialize(connected_components(_links(keyed, radius)).withColumnRenamed("component", "cell"), "groups")
+    sets = _shingle_sets(own.join(groups, "node", "left_semi"), shingle)
+    sets = materialize(groups.join(sets, "node"), "shingles")
+    counts = sets.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("weight"))
+    counts = materialize(counts.withColumn("chunks", F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("weight") / WEIGHT, F.lit(1)))), "group-sizes")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = _dealt(lookup(sets, counts, "cell", "chunks", "n", total), "chunks")
+    part = connected_components(dealt.mapInArrow(_link_sets(similarity), "u long, v long"))
     least = docs.groupBy(F.col("_node").alias("node")).agg(F.min(F.col("doc_id").cast("long")).alias("least"))
-    part = connected_components(edges)
     return materialize(least.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "component", "least"), "components")
 
 

@@ -133,8 +133,8 @@ def test_keep_one_links_at_exactly_the_similarity(spark, changed, stays):
 
 def test_keep_one_matches_brute_force_over_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 16)
-    monkeypatch.setattr(simhash, "FIRST", 1)
-    monkeypatch.setattr(simhash, "GROWTH", 3)
+    monkeypatch.setattr(simhash, "MEMBERS", 9)
+    monkeypatch.setattr(simhash, "COLUMNS", 64)
     rnd, texts = random.Random(8), []
     for g in range(6):
         base = prose(700 + g, 120).split()
@@ -150,6 +150,46 @@ def test_keep_one_matches_brute_force_over_groups(spark, monkeypatch):
     assert sorted(r.doc_id for r in got.collect()) == [i for i in range(len(texts)) if find(i) == i]
 
 
+def test_minhash_bands_are_independent():
+    rnd, same = np.random.default_rng(0), []
+    for _ in range(2000):
+        a = rnd.integers(0, 1 << 63, 200, dtype=np.uint64) * np.uint64(2)
+        b = np.concatenate([a[:-22], rnd.integers(0, 1 << 63, 22, dtype=np.uint64)])
+        same.append((simhash.minhash_bands(a, 14, 3) == simhash.minhash_bands(b, 14, 3)).sum())
+    p = (178 / 222) ** 3
+    assert np.mean(same) == pytest.approx(14 * p, rel=0.02) and np.var(same) == pytest.approx(14 * p * (1 - p), rel=0.15) and min(same) > 0
+
+
+def test_intersections_and_forests_match_brute_force(monkeypatch):
+    rnd = random.Random(4)
+    for columns in (64, 8192):
+        monkeypatch.setattr(simhash, "COLUMNS", columns)
+        for n in (1, 2, 7, 40):
+            sets = [set(rnd.sample(range(300), rnd.choice([0, 1, 5, 250, 280]))) for _ in range(n)]
+            arrays = [np.array(sorted(x), np.int64) for x in sets]
+            want = np.array([[len(x & y) if i < j else 0 for j, y in enumerate(sets)] for i, x in enumerate(sets)])
+            assert (simhash.shared_counts(arrays) == want).all()
+            root = list(range(n))
+            find = lambda i: i if root[i] == i else find(root[i])
+            for i in range(n):
+                for j in range(i):
+                    if (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0) >= 0.8:
+                        a, b = sorted((find(i), find(j)))
+                        root[b] = a
+            assert simhash.similar_forest(arrays, 0.8).tolist() == [find(i) for i in range(n)]
+
+
+def test_near_copies_of_the_documents_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, simhash.shingle_hashes((r.text or "").encode(), 5)) for r in docs.collect()]
+    sets = [np.unique(h).view(np.int64) for _, h in rows]
+    root = simhash.similar_forest(sets, 0.8)
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(least.get(r, i), i)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(least.values())
+
+
 def test_keep_one_knows_rows_by_text_and_id(spark):
     near = lambda seed: prose(seed, 400) + " tail"
     rows = [(None, prose(i, 400)) for i in range(800, 806)]  # clean, without id
