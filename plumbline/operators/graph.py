@@ -1,12 +1,16 @@
 """Graph operators over nodes(id, …) and edges(src, dst, label); edges are a bag.
 
-Loops run over a frontier of the vertices found last, anti-joined with those seen, and are bounded in depth."""
+Loops run over a frontier of the vertices found last, anti-joined with those seen, and are bounded in depth.  Every
+frontier is a table in the shared folder, so that a level's plan does not hold those before it, and a loop ends with
+the first empty one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+
 
 def neighbours(edges: DataFrame, label: str | None = None, reverse: bool = False) -> DataFrame:
     """(id, neighbour) along or against the edges of a label; repeated edges repeat."""
@@ -29,11 +33,14 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = False,
     step = step.distinct()
     if allowed is not None:
         step = step.join(allowed.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
+    step = materialize(step, "steps")
+    seen = front = materialize(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
     for d in range(1, depth + 1):
-        front = seen.where(F.col("depth") == d - 1)
         reached = front.join(step, front["id"] == step["src"]).select(F.col("dst").alias("id")).distinct()
-        seen = seen.union(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
+        front = materialize(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)), "frontier")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
     return seen
 
 
@@ -44,17 +51,21 @@ def closure(edges: DataFrame, start: DataFrame, label: str, depth: int) -> DataF
 
 def shortest_path(edges: DataFrame, start, end, depth: int, label: str | None = None) -> DataFrame:
     """One row with the least path of fewest edges from start to end as an array, none if there is none within
-    `depth`.  All labels count unless one is named."""
-    e = (edges.where(F.col("label") == label) if label else edges).select("src", "dst").distinct()
+    `depth`.  All labels count unless one is named; end is a vertex or a table(id) with one."""
+    e = materialize((edges.where(F.col("label") == label) if label else edges).select("src", "dst").distinct(), "steps")
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
-    seen = spark.createDataFrame([(start, [start])], f"id {kind}, path array<{kind}>")
-    front = seen
+    ends = end.select("id") if isinstance(end, DataFrame) else spark.createDataFrame([(end,)], f"id {kind}")
+    seen = front = spark.createDataFrame([(start, [start])], f"id {kind}, path array<{kind}>")
     for _ in range(depth):
         reached = front.join(e, front["id"] == e["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        front = reached.join(seen.select("id"), "id", "left_anti")
+        front = materialize(reached.join(seen.select("id"), "id", "left_anti"), "frontier")
+        if front.isEmpty():
+            break
         seen = seen.union(front)
-    return seen.where(F.col("id") == F.lit(end)).select("path")
+        if not front.join(ends, "id", "left_semi").isEmpty():
+            break
+    return seen.join(F.broadcast(ends), "id", "left_semi").select("path")
 
 
 def induced(nodes: DataFrame, edges: DataFrame, labels: list[str]) -> DataFrame:
@@ -82,27 +93,13 @@ def resolve(calls: DataFrame, candidates: list[DataFrame], key: list[str]) -> Da
     return out.withColumn("target", F.coalesce(*names)).drop(*names)
 
 
-def unique_definitions(definitions: DataFrame, name: str, id_: str) -> DataFrame:
-    """(name, target) of the names that are defined exactly once."""
-    return definitions.groupBy(name).agg(F.count("*").alias("n"), F.min(id_).alias("target")).where("n = 1").drop("n")
-
-
-def build_edges(tags: DataFrame) -> DataFrame:
-    """Code graph edges from tags(file, name, kind, parent, receiver): containment, then calls, reads, writes and
-    inheritance resolved to the own file first, to a unique definition otherwise."""
-    defs = tags.where("kind = 'def'").select("file", "name", F.concat_ws("::", "file", "name").alias("target")).distinct()
-    contains = defs.select(F.col("file").alias("src"), F.col("target").alias("dst"), F.lit("contains").alias("label"))
-    uses = tags.where("kind in ('call', 'read', 'write', 'inherits')")
-    found = resolve(uses, [defs, unique_definitions(defs, "name", "target")], ["file", "name"]).where("target is not null")
-    label = F.create_map(*[F.lit(x) for x in ("call", "calls", "read", "reads", "write", "writes", "inherits", "inherits_from")])
-    return contains.union(found.select(F.concat_ws("::", "file", "parent").alias("src"), F.col("target").alias("dst"), label[F.col("kind")].alias("label")))
-
-
 def reply_tree(comments: DataFrame, depth: int = 10) -> DataFrame:
     """(id, root, depth) of comments(id, parent): replies below their thread's first comment, depth-bounded."""
-    level = comments.where("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    out = level
+    out = level = materialize(comments.where("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")), "frontier")
+    replies = comments.where("parent is not null").select(F.col("id").alias("child"), "parent")
     for d in range(1, depth + 1):
-        level = comments.select(F.col("id").alias("child"), "parent").join(level, F.col("parent") == level["id"]).select(F.col("child").alias("id"), "root", F.lit(d).alias("depth"))
+        level = materialize(replies.join(level, F.col("parent") == level["id"]).select(F.col("child").alias("id"), "root", F.lit(d).alias("depth")), "frontier")
+        if level.isEmpty():
+            break
         out = out.union(level)
     return out

@@ -5,7 +5,9 @@ step, one side is repeated for the buckets it can reach, and the exact predicate
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,39 +50,35 @@ def greedy_match(defects: DataFrame, findings: DataFrame, keys: list[str], toler
     """One-to-one: each defect in order takes the unconsumed finding nearest to it, the first of equals.
 
     defects(keys…, defect_id, d_line, d_ord), findings(keys…, finding_id, f_line, f_ord); keys hold the path.
-    Returns (defect_id, hit, finding_id, distance) of every defect.  Consumption depends on order, so connected
-    groups are matched in Arrow batches; candidate pairs alone get there, and runs of defects farther apart than the
-    tolerance cannot share a finding and form groups of their own, which bounds a group's size."""
+    Returns (defect_id, hit, finding_id, distance) of every defect.  Consumption depends on order, so candidate pairs
+    are read in order, path by path, with what is consumed so far; only candidate pairs get there.  Defects farther
+    apart than the tolerance cannot share a finding, so that runs of a path are dealt by themselves."""
     pairs = within_tolerance(defects, findings, keys, "d_line", "f_line", tolerance)
     order = W.partitionBy(*keys).orderBy("d_line", "defect_id")
     gap = F.col("d_line") - F.lag("d_line").over(order) > 2 * tolerance
     runs = defects.where("d_line is not null").withColumn("_run", F.sum(F.when(gap, 1).otherwise(0)).over(order)).select(*keys, "defect_id", "_run")
-    pairs = pairs.join(runs, [*keys, "defect_id"]).select(*keys, "_run", "defect_id", "finding_id", "d_ord", "f_ord", F.abs(F.col("d_line") - F.col("f_line")).alias("distance"))
+    pairs = pairs.join(runs, [*keys, "defect_id"])
     defect_type, finding_type = pairs.schema["defect_id"].dataType.simpleString(), pairs.schema["finding_id"].dataType.simpleString()
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for defect, rows in group.sort_values(["d_ord", "defect_id", "distance", "f_ord"], kind="stable").groupby("defect_id", sort=False):
-            for finding, distance in zip(rows["finding_id"], rows["distance"]):
-                if finding not in used:
+    distance = F.abs(F.col("d_line") - F.col("f_line")).cast("long").alias("distance")
+    pairs = pairs.select(F.xxhash64(*keys, "_run").alias("_group"), "defect_id", "finding_id", "d_ord", "f_ord", distance)
+
+    def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, settled, used = None, None, set()
+        for batch in batches:
+            kept = []
+            for k, (group, defect, finding) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_group", "defect_id", "finding_id")))):
+                if group != at:
+                    at, settled, used = group, None, set()
+                if (group, defect) != settled and finding not in used:
                     used.add(finding)
-                    out.append((defect, finding, distance))
-                    break
-        return pd.DataFrame(out, columns=["defect_id", "finding_id", "distance"])
+                    settled = (group, defect)
+                    kept.append(k)
+            yield batch.select(["defect_id", "finding_id", "distance"]).take(pa.array(kept, pa.int64()))
 
-    matched = pairs.groupBy(*keys, "_run").applyInPandas(take, f"defect_id {defect_type}, finding_id {finding_type}, distance long")
+    dealt = pairs.repartition("_group").sortWithinPartitions("_group", "d_ord", "defect_id", "distance", "f_ord")
+    matched = dealt.mapInArrow(take, f"defect_id {defect_type}, finding_id {finding_type}, distance long")
     return defects.select("defect_id").join(matched, "defect_id", "left").select("defect_id", F.col("finding_id").isNotNull().alias("hit"), "finding_id", "distance")
 
 
 def false_positives(findings: DataFrame, matched: DataFrame) -> DataFrame:
     return findings.join(matched.where("hit").select("finding_id"), "finding_id", "left_anti")
-
-
-def score_review(findings: DataFrame, defects: DataFrame, keys: list[str], tolerance: int = 0) -> DataFrame:
-    """Per defect: hit if a finding lies within the tolerance of its line, else findings on distractor lines are
-    counted as flags.  defects(keys…, d_line, distractors array); findings(keys…, f_line)."""
-    on = defects.join(findings, keys, "left")
-    near = F.abs(F.col("f_line") - F.col("d_line")) <= tolerance
-    decoy = F.exists("distractors", lambda x: F.abs(F.col("f_line") - x) <= tolerance)
-    s = on.groupBy(*keys, "d_line").agg(F.coalesce(F.bool_or(near), F.lit(False)).alias("hit"), F.count_if(~near & decoy).alias("flagged"))
-    return s.withColumn("precise", F.col("hit") & (F.col("flagged") == 0))

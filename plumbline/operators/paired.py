@@ -47,6 +47,16 @@ def paired_summary(pairs: DataFrame) -> DataFrame:
     return counts.withColumn("p", mcnemar_exact(F.col("b"), F.col("c")))
 
 
+def family(df: DataFrame, task: str, arm: str, base, others: list, metric: str) -> DataFrame:
+    """(arm, n, b, c, p): McNemar's test of `base` against each other arm, by one aggregation over all of them."""
+    value = lambda which: F.max(F.when(F.col(arm) == which, F.col(metric).cast("int")))
+    wide = df.where(F.col(arm).isin(base, *others)).groupBy(task).agg(value(base).alias("_x"), *[value(o).alias(f"_y{k}") for k, o in enumerate(others)])
+    x = F.col("_x")
+    counts = [F.count_if(c).alias(f"{n}{k}") for k in range(len(others)) for y in [F.col(f"_y{k}")] for n, c in (("n", x.isNotNull() & y.isNotNull()), ("b", x > y), ("c", x < y))]
+    listed = F.array(*[F.struct(F.lit(o).alias("arm"), *[F.col(f"{n}{k}").alias(n) for n in "nbc"]) for k, o in enumerate(others)])
+    return wide.agg(*counts).select(F.explode(listed).alias("r")).select("r.*").withColumn("p", mcnemar_exact(F.col("b"), F.col("c")))
+
+
 def holm(df: DataFrame, p: str, order: list[str], by: list[str] = ()) -> DataFrame:
     """Holm's step-down adjustment in column `holm`: running maximum of (m - rank + 1) * p, at most 1.  Families are
     small tables of tests; pass `by` for several."""
@@ -83,6 +93,14 @@ def balanced_means(df: DataFrame, arm: str, metric: Column, positive: Column) ->
     return out.withColumn("balanced", (F.col("defects") + F.col("twins")) / 2)
 
 
+def common_keys(df: DataFrame, arm: str, keys: list[str], arms: list) -> DataFrame:
+    """(arm, n, rate) over the keys that every one of the arms has; repeated rows of a key count once, as hit if any
+    of them is.  df(arm, keys…, hit)."""
+    once = df.where(F.col(arm).isin(*arms)).groupBy(arm, *keys).agg(F.bool_or("hit").alias("hit"))
+    whole = once.groupBy(*keys).agg(F.countDistinct(arm).alias("_n")).where(F.col("_n") == len(arms)).drop("_n")
+    return once.join(whole, keys, "left_semi").groupBy(arm).agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("rate"))
+
+
 def condition_summary(outcomes: DataFrame, by: str, task: str, hit: Column, reported: Column, tokens: Column, cost: Column) -> DataFrame:
     """Per condition: tasks, defects, hits, recall, false positives, precision, F1, tokens and cost per hit."""
     s = outcomes.groupBy(by).agg(

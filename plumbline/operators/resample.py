@@ -1,15 +1,20 @@
 """Resampling over clusters.
 
-A draw is a vector of cluster weights, and a cluster enters through its sums, so that the cost is draws x clusters
-however many rows there are.  Draws are pure hashes of (draw, slot), shared by every statistic that uses them."""
+A bootstrap draw is a vector of cluster weights, and a cluster enters through its sums, so that the cost is draws x
+clusters however many rows there are.  Label swaps and chance findings concern single rows: their draws are vectors
+within a task.  Draws are pure hashes, shared by every statistic that uses them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash32, pick, uniform
+from ..functions.hashing import coins, hash32, numbers, uniform
 
 
 def numbered(clusters: DataFrame, key: str) -> DataFrame:
@@ -76,15 +81,22 @@ def balanced_bootstrap(spark: SparkSession, rows: DataFrame, cluster: str, arm:
     return point.join(interval(spread, "e"))
 
 
-def permutation(spark: SparkSession, pairs: DataFrame, key: str, trials: int = 1000, seed: int = 0) -> DataFrame:
-    """Paired label swaps: the share of draws whose |mean difference| reaches the observed one.  Pairs enter by their
-    difference; equal differences of one sign need no swap, so only discordant pairs are carried into the draws."""
-    d = pairs.where("x is not null and y is not null").select(key, (F.col("x") - F.col("y")).alias("d"))
-    moving = d.where("d != 0")
-    sign = F.when(uniform(F.lit(seed), F.col("draw"), F.col(key)) < 0.5, 1).otherwise(-1)
-    null = spark.range(trials).withColumnRenamed("id", "draw")
-    swapped = moving.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).groupBy("draw").agg(F.sum(sign * F.col("d")).alias("s"))
-    null = null.join(swapped, "draw", "left").select(F.coalesce("s", F.lit(0.0)).alias("s"))
+def permutation(spark: SparkSession, pairs: DataFrame, key: str, trials: int = 4000, seed: int = 0) -> DataFrame:
+    """Paired label swaps: the share of draws whose |mean difference| reaches the observed one.  A task sums its pairs
+    once for all draws, as the matrix of swaps times the differences, and hands on one number a draw."""
+    d = pairs.where("x is not null and y is not null").select(F.col(key).cast("string").alias("key"), (F.col("x") - F.col("y")).alias("d"))
+
+    def swap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(trials)
+        for batch in batches:
+            moving = batch.column("d").to_numpy()
+            for k in range(0, len(moving), 4000):
+                # +1 for a coin of 0, -1 for a coin of 1
+                total += moving[k : k + 4000].sum() - 2 * (moving[k : k + 4000] @ coins(seed, batch.column("key")[k : k + 4000].to_pylist(), trials))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(trials)), pa.array(total)], ["draw", "s"])
+
+    null = d.where("d != 0").mapInArrow(swap, "draw long, s double").groupBy("draw").agg(F.sum("s").alias("s"))
+    null = spark.range(trials).withColumnRenamed("id", "draw").join(null, "draw", "left").select(F.coalesce("s", F.lit(0.0)).alias("s"))
     seen = d.agg(F.sum("d").alias("seen"), F.count("*").alias("n"))
     return null.join(F.broadcast(seen)).agg(F.first(F.col("seen") / F.col("n")).alias("observed"), F.avg((F.abs("s") >= F.abs("seen") - 1e-9).cast("double")).alias("p"))
 
@@ -113,11 +125,53 @@ def minimum_lift(spark: SparkSession, n: int, base: float, target: float, trials
     return power.agg(F.min(F.struct("lift", "power")).alias("r")).where("r is not null").select("r.*")
 
 
-def chance_hits(targets: DataFrame, id_: str, line: str, lo: str, hi: str, tolerance: int, trials: int, seed: int = 0) -> DataFrame:
-    """(id, rate): the share of draws in which a uniform line of [lo, hi] falls within the tolerance of the target."""
-    drawn = targets.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    at = F.col(lo) + pick(F.col(hi) - F.col(lo) + 1, F.lit(seed), F.col("draw"), F.col(id_))
-    return drawn.groupBy(id_).agg(F.avg((F.abs(at - F.col(line)) <= tolerance).cast("double")).alias("rate"))
+def chance_hits(targets: DataFrame, id_: str, line: str, lo: str, hi: str, tolerance: int, trials: int = 500, seed: int = 0) -> DataFrame:
+    """(id, rate): the share of draws in which a uniform line of [lo, hi] falls within the tolerance of the target.
+    The draws of a target are made where it is; nothing is shuffled."""
+    kind = dict(targets.dtypes)[id_]
+    rows = targets.select(F.col(id_).alias("id"), F.col(id_).cast("string").alias("key"), *[F.col(c).cast("long").alias(n) for n, c in (("line", line), ("lo", lo), ("hi", hi))])
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                at, low, high = (part.column(c).to_numpy()[:, None] for c in ("line", "lo", "hi"))
+                guess = low + numbers(seed, part.column("key").to_pylist(), trials) % (high - low + 1)
+                rate = (np.abs(guess - at) <= tolerance).mean(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rate)], ["id", "rate"])
+
+    return rows.mapInArrow(draw, f"id {kind}, rate double").withColumnRenamed("id", id_)
+
+
+def chance_baseline(tasks: DataFrame, tolerance: int = 5, trials: int = 500, seed: int = 0) -> DataFrame:
+    """tasks(task, condition, lines array<struct<path, line>>, defects array<struct<defect_id, path, line>>, findings)
+    -> (task, condition, defect_id, rate): how often a defect is hit when as many findings as the review had fall on
+    lines of the diff at random and are matched one to one, in order and to the nearest.  Tasks without lines give
+    no row."""
+    schema = "task string, condition string, defect_id string, rate double"
+
+    def match(defects, found) -> list[bool]:
+        free, out = list(found), []
+        for d in defects:
+            near = [(abs(f[1] - d["line"]), k) for k, f in enumerate(free) if f is not None and d["line"] is not None and f[0] == d["path"] != "" and abs(f[1] - d["line"]) <= tolerance]
+            out.append(bool(near))
+            if near:
+                free[min(near)[1]] = None
+        return out
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                lines, defects, k = r["lines"] or [], r["defects"] or [], int(r["findings"] or 0)
+                if lines and defects:
+                    picks = numbers(seed, [f"{r['task']}|{r['condition']}"], trials * k)[0].reshape(trials, k) % len(lines)
+                    hits = np.sum([match(defects, [(lines[i]["path"], lines[i]["line"]) for i in p]) for p in picks], axis=0) if k else np.zeros(len(defects))
+                    rows += [(r["task"], r["condition"], d["defect_id"], float(h) / trials) for d, h in zip(defects, hits)]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.float64()])], ["task", "condition", "defect_id", "rate"])
+
+    return tasks.select("task", "condition", "lines", "defects", "findings").mapInArrow(draw, schema)
 
 
 def difference_of_differences(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

@@ -6,11 +6,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32
+from ..functions.text import entity_source
+from ..tables import materialize
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -95,16 +98,38 @@ def budget_prefix(df: DataFrame, by: list[str], order: list[str], tokens: str, b
 
 
 def greedy_fill(df: DataFrame, by: list[str], order: list[str], id_: str, tokens: str, budget: int) -> DataFrame:
-    """Greedy fill per group: entries in order, one that does not fit is skipped and later ones still tried.  The
-    state runs over the group's ordered array of (order, id, tokens), without the entries' texts."""
-    items = F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, id_]), F.col(tokens).cast("bigint").alias("t"))))
-    kind = dict(df.dtypes)[id_]
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
-    step = lambda s, x: F.when(
-        s["used"] + x["t"] <= budget, F.struct((s["used"] + x["t"]).alias("used"), F.concat(s["kept"], F.array(x[id_])).alias("kept"))
-    ).otherwise(s)
-    filled = df.groupBy(*by).agg(items.alias("items")).withColumn("s", F.aggregate("items", start, step))
-    return filled.select(*by, F.size("items").cast("bigint").alias("offered"), F.size("s.kept").cast("bigint").alias("kept"), F.col("s.used").alias("used"), (F.lit(budget) - F.col("s.used")).alias("remaining"))
+    """Greedy fill per group: entries in order, one that does not fit is skipped and later ones still tried.  Returns
+    (by…, offered, kept, used, remaining).
+
+    Entries that alone exceed the budget are only counted.  The others are read in order with what is used so far, so
+    that no group is held; a task keeps three numbers."""
+    offered = df.groupBy(*by).agg(F.count("*").alias("offered"))
+    fits = df.where(F.col(tokens) <= budget).select(F.xxhash64(*by).alias("_group"), *by, *[c for c in dict.fromkeys([*order, id_]) if c not in by], F.col(tokens).cast("long").alias("_t"))
+    schema = ", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes) + ", kept long, used long"
+
+    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, key, kept, used = None, None, 0, 0
+        names = [f.split()[0] for f in schema.split(", ")]
+
+        def result() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*key, pa.array([kept], pa.int64()), pa.array([used], pa.int64())], names)
+
+        for batch in batches:
+            groups, sizes = batch.column("_group").to_pylist(), batch.column("_t").to_pylist()
+            for k, (group, size) in enumerate(zip(groups, sizes)):
+                if group != at:
+                    if at is not None:
+                        yield result()
+                    at, key, kept, used = group, [batch.column(c).slice(k, 1) for c in by], 0, 0
+                if used + size <= budget:
+                    kept, used = kept + 1, used + size
+        if at is not None:
+            yield result()
+
+    filled = fits.repartition("_group").sortWithinPartitions("_group", *order, id_).mapInArrow(fill, schema)
+    out = offered.join(filled, by, "left")
+    used = F.coalesce("used", F.lit(0)).cast("bigint")
+    return out.select(*by, "offered", F.coalesce("kept", F.lit(0)).cast("bigint").alias("kept"), used.alias("used"), (F.lit(budget) - used).alias("remaining"))
 
 
 def closest_prefix(df: DataFrame, by: list[str], order: list[str], size: str, target: int) -> DataFrame:
@@ -121,12 +146,23 @@ def tiered(df: DataFrame, by: list[str], tier: Column, same_file: Column, depth:
 
 
 def round_robin(df: DataFrame, order: list[Column], shards: int) -> DataFrame:
-    """Shard by position in a total order, position modulo shards, computed from per-bucket counts."""
-    w = W.orderBy(*order)
-    return df.withColumn("shard", F.pmod(F.row_number().over(w) - 1, F.lit(shards)).cast("int"))
+    """Shard by position in a total order, position modulo shards.
+
+    The order is dealt in ranges; rows are numbered within a range, and a range begins where those before it end."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.withColumn("_start", F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).drop("_n")
+    at = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    out = ranged.withColumn("_at", at).join(F.broadcast(starts), "_part")
+    return out.withColumn("shard", F.pmod(F.col("_start") + F.col("_at"), F.lit(shards)).cast("int")).drop("_part", "_at", "_start")
 
 
 def grep(files: DataFrame, text: str, needle: str, limit: int, id_: str) -> DataFrame:
     """The first `limit` lines that contain the needle, by file and line."""
     lines = files.where(F.contains(F.col(text), F.lit(needle))).select(id_, F.posexplode(F.split(text, "\n")).alias("line", "content"))
     return lines.where(F.contains("content", F.lit(needle))).orderBy(id_, "line").limit(limit).select(id_, (F.col("line") + 1).alias("line"), "content")
+
+
+def read_lines(files: DataFrame, text: str, id_: str, first: int, last: int) -> DataFrame:
+    """(id, first, last, content): the lines of each file from first to last, as far as it has them."""
+    return files.select(id_, F.lit(first).alias("first"), F.least(F.lit(last), F.size(F.split(text, "\n"))).alias("last"), entity_source(F.col(text), F.lit(first), F.lit(last)).alias("content"))

@@ -15,6 +15,7 @@ from ..functions import stats, text
 from ..operators import graph, match, paired, resample, retrieve, roc, rollup
 from ..session import ship
 from ..streaming import dedupe_events, review_state
+from .sqlmath import probit_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,12 +97,7 @@ EXACT = "least(1.0, 2 * (select sum(exp(lgamma(b + c + 1.0) - lgamma(i + 1.0) -
 
 
 def family(spark, d):
-    rows = runs(spark, d)
-    out = None
-    for arm in (2, 3, 4):
-        one = paired.paired_summary(paired.pair_arms(rows, "task", "arm", 1, arm, "hit")).select(F.lit(arm).alias("arm"), "b", "c", "p")
-        out = one if out is None else out.union(one)
-    return out
+    return paired.family(runs(spark, d), "task", "arm", 1, [2, 3, 4], "hit")
 
 
 @query(FAMILY + f" select arm, b, c, round({EXACT}, 6) as p from tests")
@@ -160,7 +156,7 @@ def wilson_interval(spark, d):
 
 # ---------------------------------------------------------------- resampling
 
-TRIALS = 500
+TRIALS = 6000
 
 
 def _u32(key: str) -> str:
@@ -195,10 +191,17 @@ def balanced_bootstrap(spark, d):
     return out.select(r6("point").alias("point"), r6("low").alias("low"), r6("high").alias("high"))
 
 
-PERMUTATIONS = 100
+PERMUTATIONS = 4000
+
 
+def _coins(source: str, key: str, rest: str) -> str:
+    """The coins of PERMUTATIONS draws for each row of source, 128 of a digest: rest…, draw, coin."""
+    digests = f"select {rest}, blk, md5('0|' || blk || '|' || {key}) as h from {source} cross join (select unnest(range(0, {-(-PERMUTATIONS // 128)})) as blk)"
+    bits = f"select {rest}, blk * 128 + i as draw, (('0x' || substr(h, i // 4 + 1, 1))::int >> (3 - i % 4)::int) & 1 as coin from ({digests}) cross join (select unnest(range(0, 128)) as i)"
+    return f"(select * from ({bits}) where draw < {PERMUTATIONS})"
 
-@query(PAIRS + f""", dd as (select task, x - y as d from pairs where x is not null and y is not null), sw as (select draw, sum(case when {_u32("'0|' || draw || '|' || task")} / 4294967296.0 < 0.5 then d else -d end) as s from dd cross join (select unnest(range(0, {PERMUTATIONS})) as draw) where d <> 0 group by draw), o as (select sum(d) as seen, count(*) as n from dd)
+
+@query(PAIRS + f""", dd as (select task, x - y as d from pairs where x is not null and y is not null), moving as (select * from dd where d <> 0), sw as (select draw, sum(case when coin = 0 then d else -d end) as s from {_coins("moving", "task", "d")} group by draw), o as (select sum(d) as seen, count(*) as n from dd)
  select (select round(seen / n, 6) from o) as observed, round(avg((abs(coalesce(s, 0)) >= abs((select seen from o)) - 1e-9)::int), 6) as p from (select unnest(range(0, {PERMUTATIONS})) as draw) left join sw using (draw)""")
 def permutation_test(spark, d):
     out = resample.permutation(spark, pairs(spark, d), "task", PERMUTATIONS)
@@ -240,14 +243,19 @@ def detection_rates(spark, d):
     return roc.detection_rates(runs(spark, d), ["arm"], F.col("hit"), F.col("is_defect")).select("arm", "nd", "nt", r6("h").alias("h"), r6("f").alias("f"))
 
 
-@query()
+RATES = RUNS + ", s as (select arm, count(*) filter (where is_defect) as nd, count(*) filter (where not is_defect) as nt, count(*) filter (where is_defect and hit) as hd, count(*) filter (where not is_defect and hit) as ht from runs group by arm), r as (select arm, nd, nt, least(greatest(hd / nd, 1 / (2 * nd)), 1 - 1 / (2 * nd)) as h, least(greatest(ht / nt, 1 / (2 * nt)), 1 - 1 / (2 * nt)) as f from s)"
+
+
+@query(RATES + f" select arm, nd, nt, round({probit_sql('h')} - {probit_sql('f')}, 6) as d_prime, round(-({probit_sql('h')} + {probit_sql('f')}) / 2, 6) as criterion from r")
 def d_prime(spark, d):
     return roc.d_prime(runs(spark, d), ["arm"], F.col("hit"), F.col("is_defect")).select("arm", "nd", "nt", r6("d_prime").alias("d_prime"), r6("criterion").alias("criterion"))
 
 
-@query()
+@query(HIST + f""", c as (select arm, score, sum(hd) over w as ch, sum(ht) over w as cf, sum(hd) over (partition by arm) as nd, sum(ht) over (partition by arm) as nt from hist window w as (partition by arm order by score desc)),
+ pts as (select distinct arm, ch / nd as h, cf / nt as f from c where score >= 1 and ch > 0 and ch < nd and cf > 0 and cf < nt), z as (select arm, {probit_sql('h')} as y, {probit_sql('f')} as x from pts)
+ select arm, round(case when count(distinct x) >= 3 then regr_slope(y, x) end, 6) as slope, count(*) as points from z group by arm""")
 def zroc_slope(spark, d):
-    return roc.zroc_slope(hist(spark, d), ["arm"], "score").select("arm", r6("slope").alias("slope"))
+    return roc.zroc_slope(hist(spark, d), ["arm"], "score").select("arm", r6("slope").alias("slope"), "points")
 
 
 @query(RUNS + ", b as (select arm, case when score * 2 <= 0 then 0 when score * 2 >= 100 then 11 else score * 2 // 10 + 1 end as bin from runs) select arm, cast(bin as int) as bin, count(*) as n from b group by all")
@@ -269,7 +277,7 @@ def long_short(spark, d):
     return labelled.groupBy("arm", "class").agg(F.count("*").alias("n"), r6(F.avg(F.col("hit").cast("int"))).alias("rate"))
 
 
-ROC_TRIALS = 200
+ROC_TRIALS = 6000
 _AUC = "sum(hd * (below + 0.5 * ht)) / (sum(hd) * sum(ht)) as auc"
 _BELOW = "coalesce(sum(ht) over (partition by {0} order by score rows between unbounded preceding and 1 preceding), 0) as below"
 
@@ -279,17 +287,17 @@ _BELOW = "coalesce(sum(ht) over (partition by {0} order by score rows between un
  drawn as (select draw, arm, score, hd, ht from picks join num using (slot) join hc using (cluster) union all select -1, arm, score, hd, ht from hc where cluster in (from shared)),
  w as (select draw, arm, score, sum(hd) as hd, sum(ht) as ht from drawn group by all), c as (select *, {_BELOW.format('draw, arm')} from w), a as (select draw, arm, {_AUC} from c group by draw, arm),
  e as (select draw, max(auc) filter (where arm = 1) - max(auc) filter (where arm = 2) as e from a group by draw),
- q as (select quantile_cont(e, 0.025) as low, quantile_cont(e, 0.975) as high, quantile_cont(e, 0.05) as low90, quantile_cont(e, 0.95) as high90 from e where draw >= 0)
- select round((select e from e where draw = -1), 6) as point, round(low, 6) as low, round(high, 6) as high, case when low90 > -0.05 and high90 < 0.05 and low > 0 then 'gain within margin' when low90 > -0.05 and high90 < 0.05 then 'equivalent' when low > 0 then 'gain' else 'inconclusive' end as reading from q""")
+ q as (select quantile_cont(e, 0.025) as low, quantile_cont(e, 0.975) as high, quantile_cont(e, 0.05) as low90, quantile_cont(e, 0.95) as high90, quantile_cont(e, 0.00625) as low9875, quantile_cont(e, 0.99375) as high9875, quantile_cont(e, 0.05 / 14) as low9929, quantile_cont(e, 1 - 0.05 / 14) as high9929 from e where draw >= 0)
+ select round((select e from e where draw = -1), 6) as point, round(low, 6) as low, round(high, 6) as high, case when low90 > -0.05 and high90 < 0.05 and low > 0 then 'gain and equivalence' when low > 0 then 'gain' when low90 > -0.05 and high90 < 0.05 then 'equivalence' else 'inconclusive' end as reading, (select round(2 * least(avg((e <= 0)::int), avg((e >= 0)::int)), 6) from e where draw >= 0) as p, round(low9875, 6) as low9875, round(high9875, 6) as high9875, round(low9929, 6) as low9929, round(high9929, 6) as high9929 from q""")
 def auc_difference(spark, d):
     out = roc.auc_difference(spark, runs(spark, d), "cluster", "arm", 1, 2, "score", F.col("is_defect"), ROC_TRIALS)
-    return out.select(r6("point").alias("point"), r6("low").alias("low"), r6("high").alias("high"), "reading")
+    return out.select(r6("point").alias("point"), r6("low").alias("low"), r6("high").alias("high"), "reading", *[r6(c).alias(c) for c in ("p", "low9875", "high9875", "low9929", "high9929")])
 
 
 @query(RUNS + f""", dd as (select task, is_defect, max(score) filter (where arm = 1) as x, max(score) filter (where arm = 2) as y from runs where arm in (1, 2) group by all having x is not null and y is not null),
- s as (select draw, is_defect, x, y, {_u32("'0|' || draw || '|' || task")} / 4294967296.0 < 0.5 as swap from dd cross join (select unnest(range(0, {PERMUTATIONS})) as draw) union all select -1, is_defect, x, y, false from dd),
- f as (select draw, 0 as side, is_defect, case when swap then y else x end as score from s union all select draw, 1, is_defect, case when swap then x else y end from s),
- w as (select draw, side, score, count(*) filter (where is_defect) as hd, count(*) filter (where not is_defect) as ht from f group by all), c as (select *, {_BELOW.format('draw, side')} from w),
+ g as (select draw, is_defect, x, y, coin, count(*) as n from {_coins("dd", "task", "is_defect, x, y")} group by all union all select -1, is_defect, x, y, 0, count(*) from dd group by all),
+ f as (select draw, 0 as side, is_defect, case when coin = 1 then y else x end as score, n from g union all select draw, 1, is_defect, case when coin = 1 then x else y end, n from g),
+ w as (select draw, side, score, coalesce(sum(n) filter (where is_defect), 0) as hd, coalesce(sum(n) filter (where not is_defect), 0) as ht from f group by all), c as (select *, {_BELOW.format('draw, side')} from w),
  a as (select draw, side, {_AUC} from c group by draw, side), e as (select draw, max(auc) filter (where side = 0) - max(auc) filter (where side = 1) as e from a group by draw)
  select round((select e from e where draw = -1), 6) as observed, round(avg((abs(e) >= abs((select e from e where draw = -1)) - 1e-9)::int), 6) as p from e where draw >= 0""")
 def auc_permutation(spark, d):
@@ -318,10 +326,11 @@ def minimum_lift(spark, d):
     return resample.minimum_lift(spark, 200, 0.35, 0.8, 100, [k / 100 for k in range(1, 31)]).select("lift", r6("power").alias("power"))
 
 
-CHANCE_DRAWS = 20
+CHANCE_DRAWS = 500
 
 
-@query(f"with d as (select o_orderkey, date_diff('day', date '1992-01-01', o_orderdate::date) as line, o_orderkey % 40 as up, o_orderkey % 25 as down from orders) select o_orderkey, round(avg((abs({_u32(chr(39) + '0|' + chr(39) + ' || draw || ' + chr(39) + '|' + chr(39) + ' || o_orderkey')} % (up + down + 1) - up) <= 5)::int), 6) as rate from d cross join (select unnest(range(0, {CHANCE_DRAWS})) as draw) group by o_orderkey")
+@query(f"""with d as (select o_orderkey, date_diff('day', date '1992-01-01', o_orderdate::date) as line, o_orderkey % 40 as up, o_orderkey % 25 as down from orders), h as (select *, md5('0|' || blk || '|' || o_orderkey) as h from d cross join (select unnest(range(0, {CHANCE_DRAWS // 4})) as blk))
+ select o_orderkey, round(avg((abs(('0x' || substr(h, i * 8 + 1, 8))::bigint % (up + down + 1) - up) <= 5)::int), 6) as rate from h cross join (select unnest(range(0, 4)) as i) group by o_orderkey""")
 def chance_baseline(spark, d):
     line = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date"))
     targets = t(spark, d, "orders").select("o_orderkey", line.alias("line"), (line - F.col("o_orderkey") % 40).alias("lo"), (line + F.col("o_orderkey") % 25).alias("hi"))
@@ -354,7 +363,11 @@ def nearest_match(spark, d):
     return match.nearest(a, b, ["path"], "defect_id", "d_line", "f_line", 5, ["finding_id"])
 
 
-@query()
+@query(SPOTS.replace("with ", "with recursive ", 1) + """, near as (select defect_id, path, list({'id': finding_id, 'distance': abs(d_line - f_line)::bigint} order by abs(d_line - f_line), finding_id) as c from defects join findings using (path) where abs(d_line - f_line) <= 5 group by all),
+ d as (select *, row_number() over (partition by path order by defect_id) as k from near),
+ walk(path, k, used, defect_id, pick) as (select distinct path, 0::bigint, []::bigint[], null::bigint, null::struct(id bigint, distance bigint) from d
+  union all select path, k, case when pick is null then used else list_append(used, pick.id) end, defect_id, pick from (select d.path, d.k, w.used, d.defect_id, list_filter(d.c, lambda x: not list_contains(w.used, x.id))[1] as pick from walk w join d on d.path = w.path and d.k = w.k + 1))
+ select o.defect_id, pick is not null as hit, pick.id as finding_id, pick.distance as distance from defects o left join (select defect_id, pick from walk where pick is not null) w on w.defect_id = o.defect_id""")
 def greedy_match(spark, d):
     a, b = spots(spark, d)
     return match.greedy_match(a.withColumn("d_ord", F.col("defect_id")), b.withColumn("f_ord", F.col("finding_id")), ["path"], 5)
@@ -428,8 +441,8 @@ def closure(spark, d):
 
 @query(f"with recursive {EDGES}, walk(id, path, depth) as (select 'c1', ['c1'], 0 union all select dst, list_append(path, dst), depth + 1 from walk join (select distinct src, dst from edges) on src = id where depth < 3) select list_aggregate(path, 'string_agg', '>') as path from walk where id = (select 'r' || n_regionkey from nation join customer on c_nationkey = n_nationkey where c_custkey = 1) order by depth, path limit 1")
 def shortest_path(spark, d):
-    end = t(spark, d, "nation").join(t(spark, d, "customer").where("c_custkey = 1"), F.col("n_nationkey") == F.col("c_nationkey")).select("n_regionkey").first()
-    return graph.shortest_path(edges(spark, d), "c1", f"r{end[0]}" if end else "", 3).select(F.array_join("path", ">").alias("path"))
+    end = t(spark, d, "nation").join(t(spark, d, "customer").where("c_custkey = 1"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat(F.lit("r"), "n_regionkey").alias("id"))
+    return graph.shortest_path(edges(spark, d), "c1", end, 3).select(F.array_join("path", ">").alias("path"))
 
 
 @query(f"with {EDGES} select src, dst, label from edges where label in ('in', 'of') and src in (select 's' || s_suppkey from supplier union select 'n' || n_nationkey from nation) and dst in (select 'n' || n_nationkey from nation where n_regionkey < 3)")
@@ -658,12 +671,6 @@ def comment_key(spark, d):
     return t(spark, d, "documents").select("doc_id", text.comment_key(F.col("text")).alias("key"), text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(r"select doc_id, len(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b'))) as camel, regexp_matches(text, 'https?://') as url, contains(lower(text), 'license') as licensed from documents")
-def scope_features(spark, d):
-    camel = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b"), 0))
-    return t(spark, d, "documents").select("doc_id", F.size(camel).cast("bigint").alias("camel"), F.col("text").rlike("https?://").alias("url"), F.contains(F.lower("text"), F.lit("license")).alias("licensed"))
-
-
 LINES = "lines as (select doc_id, source, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where text is not null)"
 
 
@@ -696,7 +703,7 @@ def parse_findings(spark, d):
     return rows.select(F.explode(text.parse_findings("reply", "task", F.lit("A"))["findings"]).alias("f")).select("f.*")
 
 
-@query("select l_orderkey, l_linenumber, cast(l_linenumber * l_quantity as int) || '.5%' as value, case when round_even(cast(l_linenumber * l_quantity as int) + 0.5, 0) <= 100 then round_even(cast(l_linenumber * l_quantity as int) + 0.5, 0)::int end as confidence from lineitem")
+@query("select l_orderkey, l_linenumber, cast(l_linenumber * l_quantity as int) || '.5%' as value, case when cast(l_linenumber * l_quantity as int) + 0.5 <= 100 and round_even(cast(l_linenumber * l_quantity as int) + 0.5, 0) <= 100 then round_even(cast(l_linenumber * l_quantity as int) + 0.5, 0)::int end as confidence from lineitem")
 def parse_confidence(spark, d):
     value = F.concat((F.col("l_linenumber") * F.col("l_quantity")).cast("int"), F.lit(".5%"))
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value")).select("*", text.parse_confidence(F.col("value")).alias("confidence"))
