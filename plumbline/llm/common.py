@@ -66,6 +66,27 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+#: Bits of the bitmap of may_hold(), whatever the number of keys: 4 MB.
+BITMAP = 1 << 25
+
+
+def may_hold(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows split in two: those that may have a key of keys(on…), and those that surely have none.
+
+    The split is by a bitmap of fixed size, which goes to all tasks, so that the rows without a key, most of them as a
+    rule, need not be shuffled for a join; with more keys than it has bits, all rows are in the first part."""
+    slot = F.pmod(F.xxhash64(*on), F.lit(BITMAP)) + 1
+    marks = keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    marks = materialize(marks, "bitmap")
+    bucket, bits, at = fresh(rows, "_bucket", "_bits", "_at")
+    marked = rows.withColumn(at, slot)
+    marked = marked.join(F.broadcast(marks.withColumnsRenamed({"_bucket": bucket, "_bits": bits})), F.bitmap_bucket_number(at) == F.col(bucket), "left")
+    place = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))
+    return tuple(marked.where(c).select(rows.columns) for c in (held, ~held))
+
+
 #: Keys that lookup() treats as hot, at most.
 HOT_KEYS = 512
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lookup, materialize, text_bytes, tune
+from .common import fresh, lookup, materialize, may_hold, text_bytes, tune
 from .components import connected_components
 
 CHUNK = 2048
@@ -428,24 +428,21 @@ def _link_sets(similarity: float):
     return run
 
 
-def similar_components(docs: DataFrame, shingle: int, similarity: float, radius: int, lanes: int, bands: int, rows: int) -> DataFrame:
-    """(node, component, least) of every distinct text of docs(doc_id, text, _node): the components over pairs of
-    texts with an exact Jaccard of at least `similarity`, and the text's smallest doc_id."""
-    own = docs.select(F.col("_node").alias("node"), text_bytes().alias("text"))
-    prints = fingerprints(docs.select(F.col("_node").alias("doc_id"), "text"), shingle, lanes, bands, rows, True)
+def similar_components(texts: DataFrame, shingle: int, similarity: float, radius: int, lanes: int, bands: int, rows: int) -> DataFrame:
+    """texts(node, text binary) -> (node, component) of every text that has a link: the components over pairs of texts
+    with an exact Jaccard of at least `similarity`."""
+    prints = fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), shingle, lanes, bands, rows, True)
     prints = prints.withColumnRenamed("doc_id", "node")
     nodes = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
     keyed = nodes.select("node", "fp", F.posexplode("bands").alias("t", "key"))
     groups = materialize(connected_components(_links(keyed, radius)).withColumnRenamed("component", "cell"), "groups")
-    sets = _shingle_sets(own.join(groups, "node", "left_semi"), shingle)
-    sets = materialize(groups.join(sets, "node"), "shingles")
+    wanted, _ = may_hold(texts, groups, ["node"])
+    sets = materialize(groups.join(_shingle_sets(wanted.join(groups, "node", "left_semi"), shingle), "node"), "shingles")
     counts = sets.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("weight"))
     counts = materialize(counts.withColumn("chunks", F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("weight") / WEIGHT, F.lit(1)))), "group-sizes")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     dealt = _dealt(lookup(sets, counts, "cell", "chunks", "n", total), "chunks")
-    part = connected_components(dealt.mapInArrow(_link_sets(similarity), "u long, v long"))
-    least = docs.groupBy(F.col("_node").alias("node")).agg(F.min(F.col("doc_id").cast("long")).alias("least"))
-    return materialize(least.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "component", "least"), "components")
+    return materialize(connected_components(dealt.mapInArrow(_link_sets(similarity), "u long, v long")), "components")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -456,7 +453,20 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     doc_id, key = F.col("doc_id").cast("long"), fresh(docs, "_node", "_id", "_none")
     node, id_, none = key
     own = docs.withColumns({node: F.xxhash64(F.coalesce("text", F.lit(""))), id_: F.coalesce(doc_id, F.lit(0)), none: doc_id.isNull()})
-    parts = similar_components(own.select(F.col(node).alias("_node"), "doc_id", "text"), **(STAGE | options))
-    row = F.struct(F.col("least").isNull().alias(none), F.coalesce("least", F.lit(0)).alias(id_), F.col("node").alias(node))
-    first = parts.groupBy("component").agg(F.min(row).alias("s"))
-    return own.join(first.select("s.*"), key, "left_semi").dropDuplicates(key).drop(*key)
+    part = similar_components(own.select(F.col(node).alias("node"), text_bytes().alias("text")), **(STAGE | options))
+
+    # What happens to the rows of a key is decided without their texts.
+    keys = own.groupBy(*key).agg(F.count("*").alias("n")).join(part.withColumnRenamed("node", node), node, "left")
+    keys = materialize(keys.withColumn("component", F.coalesce("component", node)), "row-keys")
+    first = keys.groupBy("component").agg(F.min(F.struct(none, id_, node)).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    first = materialize(first, "first-rows")
+    total = first.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    goes = F.struct(none, id_, node) != F.col("first")
+    fates = lookup(keys, first, "component", "first", "rows", total).where(goes | (F.col("n") > 1)).select(*key, goes.alias("goes"))
+    fates = materialize(fates, "fates")
+
+    (goes,) = fresh(own, "goes")
+    touched, rest = may_hold(own, fates, key)
+    told = touched.join(fates.withColumnRenamed("goes", goes), key, "left")
+    once = told.where(~F.col(goes)).dropDuplicates(key)
+    return rest.unionByName(told.where(F.col(goes).isNull()).unionByName(once).select(rest.columns)).select(docs.columns)
