@@ -95,9 +95,9 @@ def reachable(defs: DataFrame, names: DataFrame, hops: int = HOPS) -> DataFrame:
     return out
 
 
-def _at(via: DataFrame, name: str, **on: str) -> DataFrame:
-    """via with its columns renamed for a left join, and its key as `name`."""
-    return via.select("repo", *[F.col(c).alias(a) for c, a in on.items()], F.col("key").alias(name))
+def _at(via: DataFrame, key: str, **on: str) -> DataFrame:
+    """via with its columns renamed for a join, and its key as `key`."""
+    return via.select("repo", *[F.col(c).alias(a) for c, a in on.items()], F.col("key").alias(key))
 
 
 def resolve(uses: DataFrame, defs: DataFrame, via: DataFrame, names: DataFrame, deps: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
