@@ -22,11 +22,6 @@ def probit(p: pd.Series) -> pd.Series:
     return p.map(lambda v: NormalDist().inv_cdf(v) if 0 < v < 1 else None, na_action="ignore")
 
 
-def log_factorial(n: Column) -> Column:
-    """Sum of logarithms up to n; for the few-hundred counts of discordant pairs."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
-
-
 def mcnemar_exact(b: Column, c: Column) -> Column:
     """Two-sided exact binomial p of the discordant counts b and c: min(1, 2 * sum C(n, i) / 2^n), 1 if there are
     none.  Terms follow from each other by a ratio in log space, so large counts do not overflow."""

@@ -94,13 +94,6 @@ def estimate_tokens(text: Column) -> Column:
     return F.coalesce(F.ceil(F.length(text) / 4), F.lit(0)).cast("bigint")
 
 
-def query_terms(name: Column) -> Column:
-    """Lower-case terms of the last path::type::name field: camel case and snake case split, distinct."""
-    tail = F.element_at(F.split(name, "::"), -1)
-    spaced = F.regexp_replace(F.regexp_replace(tail, r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+", " ")
-    return F.array_distinct(F.filter(F.split(F.lower(F.trim(spaced)), " "), lambda t: F.length(t) > 1))
-
-
 def _all(text: Column, pattern: str, group: int = 0, flags: str = "") -> Column:
     """All matches; word characters, digits and word ends are those of every script."""
     return F.regexp_extract_all(text, F.lit(f"(?U{flags}){pattern}"), group)

@@ -7,12 +7,15 @@ nation's.  Reviews, logs and comments are made of orders and their lines."""
 from __future__ import annotations
 
 import keyword
+import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import code, text
-from ..operators import audit, bench, codegraph, context, evidence, generate, paired, retrieve, roc, rollup, store
-from ..tables import materialize
+from ..operators import audit, bench, codegraph, context, evidence, generate, paired, resample, retrieve, roc, rollup, store
+from ..sources import cached, read_labels, remaining, structure_runs, write_jsonl
+from ..tables import materialize, shared_dir
 from .registry import FIRST, RUNS, TRIALS, _boot, first_lines, query, r6, runs, t
 from .sqlmath import probit_sql
 
@@ -66,8 +69,6 @@ def sources(spark, d):
 
 
 def _parts(template: str) -> list:
-    import re
-
     return [int(x[1:-1]) if re.fullmatch(r"\{\d\}", x) else x for x in re.split(r"(\{\d\})", template) if x]
 
 
@@ -441,24 +442,13 @@ def strict_mechanism(spark, d):
 
 
 @query(f"""with {NAMES}, x as (select *, list_distinct(list_concat(paths, idents)) as names, case when o_custkey % 2 = 0 then 'B' else 'D' end as condition, 'code of load_' || o_custkey || ' and order_key in utils/part_' || o_custkey || '.py' as context from nm), y as (select *, list_filter(names, lambda n: not contains(diff, n)) as outside from x)
- select condition, count(*) as defects, count(*) filter (where len(names) > 0) as named, count(*) filter (where len(list_filter(names, lambda n: contains(context, n))) > 0) as found, count(*) filter (where len(outside) > 0) as outside_named, count(*) filter (where len(list_filter(outside, lambda n: contains(context, n))) > 0) as outside_found, count(distinct o_orderkey % 1000) filter (where len(names) > 0) as tasks_named, count(distinct o_orderkey % 1000) filter (where len(list_filter(names, lambda n: contains(context, n))) > 0) as tasks_found from y group by condition""")
+ select condition, count(*) as defects, count(*) filter (where len(names) > 0) as named, count(*) filter (where len(list_filter(names, lambda n: contains(context, n))) > 0) as found, count(*) filter (where len(outside) > 0) as outside_named, count(*) filter (where len(list_filter(outside, lambda n: contains(context, n))) > 0) as outside_found, count(distinct o_orderkey) filter (where len(names) > 0) as tasks_named, count(distinct o_orderkey) filter (where len(list_filter(names, lambda n: contains(context, n))) > 0) as tasks_found from y group by condition""")
 def evidence_recall(spark, d):
     rows = comments(spark, d)
-    defects = rows.select(F.concat_ws("-", F.col("o_orderkey") % 1000, "o_orderkey").alias("task_id"), F.col("o_orderkey").alias("defect_id"), F.col("comment").alias("text"), "diff")
+    defects = rows.select(F.col("o_orderkey").alias("task_id"), F.col("o_orderkey").alias("defect_id"), F.col("comment").alias("text"), "diff")
     c = F.col("o_custkey").cast("string")
-    contexts = rows.select(F.concat_ws("-", F.col("o_orderkey") % 1000, "o_orderkey").alias("task_id"), F.when(F.col("o_custkey") % 2 == 0, "B").otherwise("D").alias("condition"), F.concat(F.lit("code of load_"), c, F.lit(" and order_key in utils/part_"), c, F.lit(".py")).alias("context"))
-    out = bench.evidence_recall(defects, contexts)
-    names = bench.evidence_recall(defects.withColumn("task_id", F.substring_index("task_id", "-", 1)).where("false"), contexts)
-    per_task = _recall_tasks(defects, contexts)
-    return out.drop("tasks_named", "tasks_found").join(per_task, "condition").unionByName(names.where("false"))
-
-
-def _recall_tasks(defects, contexts):
-    """Tasks are the key's first part here, as a task has several defects with a context of their own."""
-    names = text.names_in(F.col("text"))
-    rows = defects.join(contexts, "task_id").withColumn("names", F.array_distinct(F.concat(names["paths"], names["idents"]))).withColumn("task", F.substring_index("task_id", "-", 1))
-    found = F.exists("names", lambda n: F.contains("context", n))
-    return rows.groupBy("condition").agg(F.countDistinct(F.when(F.size("names") > 0, F.col("task"))).alias("tasks_named"), F.countDistinct(F.when(found, F.col("task"))).alias("tasks_found"))
+    contexts = rows.select(F.col("o_orderkey").alias("task_id"), F.when(F.col("o_custkey") % 2 == 0, "B").otherwise("D").alias("condition"), F.concat(F.lit("code of load_"), c, F.lit(" and order_key in utils/part_"), c, F.lit(".py")).alias("context"))
+    return bench.evidence_recall(defects, contexts)
 
 
 ACCURACY = f"{FIRST}, g as (select l_orderkey as task_id, case when l_linenumber % 2 = 0 then 'A' else 'B' end as condition, l_orderkey || '-' || l_linenumber as finding_id, case when l_linenumber % 5 <> 0 then (l_quantity)::int end as line, case when l_linenumber % 3 = 0 then null else 'tok' || l_suppkey % 10 end as tok, l_partkey % 2 as file from first), n as (select l_orderkey as task_id, l_partkey % 2 as file, (l_linenumber * 3)::int as new_line, 'x = tok' || l_suppkey % 10 || '0' as content from first), d as (select g.*, (select min(abs(line - new_line)) from n where n.task_id = g.task_id and n.file = g.file and contains(content, tok)) as distance from g)"
@@ -507,11 +497,6 @@ def common_keys(spark, d):
     return paired.common_keys(runs(spark, d), "arm", ["task"], [1, 2, 3]).select("arm", "n", r6("rate").alias("rate"))
 
 
-def _z(c: str) -> str:
-    h, f = (f"least(greatest(h{c} / n{c}, 1 / (2 * n{c})), 1 - 1 / (2 * n{c}))" for c in "dt")
-    return f"{probit_sql(h)} as zh, {probit_sql(f)} as zf"
-
-
 _RATE = {c: f"least(greatest(h{c} / n{c}::double, 1 / (2.0::double * n{c})), 1 - 1 / (2.0::double * n{c}))" for c in "dt"}
 _AT = "list_sort(list({0}) filter (where draw >= 0 and {0} is not null))[{1}]"
 _LOW, _HIGH = "greatest(floor({q} * count({c}) filter (where draw >= 0) + 1e-9)::int, 0) + 1", "greatest(floor((1 - {q}) * count({c}) filter (where draw >= 0) + 1e-9)::int, 1)"
@@ -871,3 +856,95 @@ def with_source(spark, d):
 def read_lines(spark, d):
     rows = t(spark, d, "documents").where("doc_id % 2 = 0 and text is not null and text != ''").where(~F.contains("text", F.lit("\r"))).select("doc_id", "text")
     return retrieve.read_lines(rows, "text", "doc_id", 1, 2)
+
+
+# ---------------------------------------------------------------- loading, verdicts and records
+
+
+@query(f"with {FIRST}, r as (select 'a::r' || o_custkey % 9 || '::' || l_orderkey as task_id, l_linenumber as arm, l_returnflag = 'R' as correct, l_linestatus = 'F' as failed, l_partkey % 3 as kind, o_orderstatus = 'F' as is_defect, o_custkey % 9 as repo from first join orders on o_orderkey = l_orderkey) select 'r' || repo as repo, 'arm' || arm as arm, count(*) as n, count(*) filter (where not failed) as scored, count(*) filter (where not failed and correct) as correct, count(*) filter (where is_defect or arm = 3) as defects from r where arm in (1, 2, 3) and kind <> 1 group by all")
+def structure_load(spark, d):
+    """Structure records written as JSON lines and loaded: known arms, one kind (missing counts), failed parses without
+    a metric, a missing is_defect as true."""
+    rows = first_lines(spark, d).join(t(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    k = F.col("l_partkey") % 3
+    rows = rows.select(
+        F.concat(F.lit("a::r"), (F.col("o_custkey") % 9).cast("string"), F.lit("::"), F.col("l_orderkey").cast("string")).alias("task_id"), F.concat(F.lit("arm"), F.col("l_linenumber").cast("string")).alias("arm"),
+        (F.col("l_returnflag") == "R").alias("correct"), (F.col("l_linestatus") == "F").alias("parse_failed"), F.when(k == 0, "default_flip").when(k == 1, "tuple_order").alias("kind"), F.when(F.col("l_linenumber") != 3, F.col("o_orderstatus") == "F").alias("is_defect"),
+    )
+    path = f"{shared_dir(spark)}/plumbline/structure-{uuid.uuid4().hex}"
+    write_jsonl(rows, path, [])
+    loaded = structure_runs(spark, path, ["arm1", "arm2", "arm3"])
+    return loaded.groupBy(text.repo_of(F.col("task_id")).alias("repo"), "arm").agg(F.count("*").alias("n"), F.count("correct").alias("scored"), F.count_if("correct").alias("correct"), F.count_if("is_defect").alias("defects"))
+
+
+@query("select doc_id, quality = 1 as label from labels where quality is not null and doc_id % 3 <> 0")
+def labels_load(spark, d):
+    """Labels written as CSV with YES and NO, and others that go, and loaded."""
+    value = F.when(F.col("doc_id") % 3 == 0, "maybe").when(F.col("quality") == 1, " yes").otherwise("NO")
+    rows = t(spark, d, "labels").where("quality is not null").select("doc_id", value.alias("label"))
+    path = f"{shared_dir(spark)}/plumbline/labels-{uuid.uuid4().hex}"
+    rows.write.option("header", True).csv(path)
+    return read_labels(spark, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), "label")
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
+def resumed_work(spark, d):
+    planned = t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return remaining(planned, t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+
+
+@query("with i as (select n_nationkey as k, case when n_nationkey % 5 <> 0 then (n_nationkey - 12) / 10 end::double as low, (n_nationkey - 8)::double / 10 as high from nation) select k, case when low is not null then case when low > 0 then 'higher' when high < 0 then 'lower' else 'not distinguishable' end end as verdict, case when low is not null then low > 0 or high < 0 end as excludes, case when low > -0.5 and high < 0.5 and low > 0 then 'gain and equivalence' when low > 0 then 'gain' when low > -0.5 and high < 0.5 then 'equivalence' else 'inconclusive' end as reading from i")
+def interval_verdicts(spark, d):
+    n = F.col("n_nationkey")
+    rows = t(spark, d, "nation").select(n.alias("k"), F.when(n % 5 != 0, ((n - 12) / 10).cast("double")).alias("low"), ((n - 8) / 10).cast("double").alias("high"))
+    low, high = F.col("low"), F.col("high")
+    return rows.select("k", roc.verdict(low, high).alias("verdict"), roc.excludes_zero(low, high).alias("excludes"), roc.reading(low, low, high, 0.5).alias("reading"))
+
+
+@query(f"with {FIRST}, c as (select l_orderkey as task_id, l_linenumber as k, 'f' || l_suppkey % 4 as answer, 'f' || l_partkey % 4 as expected, l_returnflag = 'R' as pinned, l_quantity::int as tokens, repeat('e', (l_quantity * 10)::int) as error from first) select task_id, k, case when k <> 4 then answer = expected end as right_, case when pinned then tokens end as reasoning_tokens, length(substr(error, 1, 300)) as error from c")
+def call_records(spark, d):
+    rows = first_lines(spark, d).select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("k"), F.when(F.col("l_linenumber") != 4, F.concat(F.lit(" f"), (F.col("l_suppkey") % 4).cast("string"), F.lit(" "))).alias("answer"), F.concat(F.lit("f"), (F.col("l_partkey") % 4).cast("string")).alias("expected"), (F.col("l_returnflag") == "R").alias("pinned"), F.col("l_quantity").cast("int").alias("reasoning_tokens"), F.repeat(F.lit("e"), (F.col("l_quantity") * 10).cast("int")).alias("why"))
+    out = audit.failed_record(audit.call_meta(audit.manipulation_check(rows), F.col("pinned"), ["reasoning_tokens"]), F.lit("review"), F.col("why"))
+    return out.select("task_id", "k", F.col("right").alias("right_"), "reasoning_tokens", F.length("error").cast("bigint").alias("error"))
+
+
+@query(f"with {FIRST}, dd as (select o_orderkey as task, (o_custkey % 50)::int as line from orders), f as (select l_orderkey as task, case when l_linenumber <= 3 then 'A' else 'B' end as condition, l_linenumber as pos, l_quantity::int as line from first where l_partkey % 2 = 0), c as (select distinct task, condition from f), h as (select task, condition, arg_min(abs(f.line - dd.line), (abs(f.line - dd.line), pos)) as best from f join dd using (task) group by all) select c.task::varchar as task_id, c.condition, 'd' || c.task as defect_id, coalesce(best <= 5, false) as hit from c join dd using (task) left join h using (task, condition)")
+def model_hits(spark, d):
+    """One defect a task, findings of two conditions matched to it."""
+    defects = t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("task_id"), F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("defect_id"), F.lit("a/src/x.py").alias("path"), (F.col("o_custkey") % 50).cast("int").alias("line"))
+    found = first_lines(spark, d).where("l_partkey % 2 = 0").select(F.col("l_orderkey").cast("string").alias("task_id"), F.when(F.col("l_linenumber") <= 3, "A").otherwise("B").alias("condition"), F.lit("src/x.py").alias("path"), F.col("l_quantity").cast("int").alias("line"), F.col("l_linenumber").alias("pos"))
+    return bench.hits_of(defects, found)
+
+
+@query("""with o as (select o_orderkey as task, (o_custkey % 60 + 1)::int as line, (o_custkey % 3)::int as k from orders where o_orderkey % 20 = 0), h as (select task, line, k, md5('0|' || blk || '|' || task || '|A') as h, blk from o cross join (select unnest(range(0, 375)) as blk)),
+ n as (select task, line, k, blk * 4 + i as j, ('0x' || substr(h, i * 8 + 1, 8))::bigint % 60 + 1 as found from h cross join (select unnest(range(0, 4)) as i)), u as (select task, j // k as draw, bool_or(abs(found - line) <= 5) as hit from n where k > 0 and j < 500 * k group by all)
+ select o.task::varchar as task, round(coalesce((select avg(hit::int) from u where u.task = o.task), 0), 6) as rate from o""")
+def chance_rematch(spark, d):
+    """Random findings on the lines of a diff, as many as the review had, matched to the task's defect."""
+    lines = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.struct(F.lit("x.py").alias("path"), i.alias("line")))
+    defects = F.array(F.struct(F.lit("d").alias("defect_id"), F.lit("x.py").alias("path"), (F.col("o_custkey") % 60 + 1).cast("int").alias("line")))
+    tasks = t(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").cast("string").alias("task"), F.lit("A").alias("condition"), lines.alias("lines"), defects.alias("defects"), (F.col("o_custkey") % 3).cast("int").alias("findings"))
+    return resample.chance_baseline(tasks, 5, 500).select("task", r6("rate").alias("rate"))
+
+
+@query("with f as (select p_brand as repo, 'tests/test_p' || p_partkey || '.py' as path, (p_size % 4)::int as n from part where p_partkey % 3 <> 0), t as (select p_brand as task_id from part group by 1) select task_id, path, n as score, row_number() over (partition by task_id order by n desc, path desc)::int as rank from t join f on f.repo = task_id where n > 0 qualify rank <= 10")
+def select_tests(spark, d):
+    path = F.concat(F.when(F.col("p_partkey") % 3 == 0, "src/p").otherwise("tests/test_p"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    files = t(spark, d, "part").select(F.col("p_brand").alias("repo"), path.alias("path"), F.concat(F.repeat(F.lit("find(x) ; "), (F.col("p_size") % 4).cast("int")), F.lit("finder find_all")).alias("text"))
+    words = files.groupBy(F.col("repo").alias("task_id")).agg(F.first("repo").alias("repo")).withColumn("words", F.array(F.lit("find"), F.lit("m.x")))
+    return audit.select_tests(files, words)
+
+
+@query(detection_sql(0.95).rsplit(" select arm, ", 1)[0] + f", mm as (select z.draw, avg(z.d) - any_value(b.d) as dd from z join (select draw, d from z where arm = 1) b using (draw) where arm in (2, 3) group by z.draw having count(*) = 2) select round(max(dd) filter (where draw = -1), 6) as change, round({_AT.format('dd', _LOW.format(q=0.025, c='dd'))}, 6) as low, round({_AT.format('dd', _HIGH.format(q=0.025, c='dd'))}, 6) as high from mm")
+def mean_detection_change(spark, d):
+    out = roc.detection_intervals(spark, runs(spark, d), "cluster", "arm", 1, F.col("hit"), F.col("is_defect"), TRIALS, mean_of=[2, 3])
+    return out.where("arm is null").select(r6("dd").alias("change"), r6("dd_low").alias("low"), r6("dd_high").alias("high"))
+
+
+@query("with g as (select c_nationkey as repo, count(*) as nodes from customer group by 1) select repo, nodes, 'built' as version from g")
+def cached_table(spark, d):
+    """A table built once under its key and read again from the cache."""
+    root = f"{shared_dir(spark)}/plumbline/cache-{uuid.uuid4().hex}"
+    build = lambda: t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("repo")).agg(F.count("*").alias("nodes")).withColumn("version", F.lit("built"))
+    cached(spark, root, {"commit": "abc", "hops": 3}, build)
+    return cached(spark, root, {"commit": "abc", "hops": 3}, lambda: build().withColumn("version", F.lit("again")))

@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +83,20 @@ def remaining(planned: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
 def write_jsonl(df: DataFrame, path: str, by: list[str] = ()) -> None:
     writer = df.write.mode("append")
     (writer.partitionBy(*by) if by else writer).json(path)
+
+
+def cached(spark: SparkSession, root: str, key: dict, build) -> DataFrame:
+    """The table kept under a key, as root/name=value/…; it is built and written where there is none."""
+    path = "/".join([root, *(f"{k}={v}" for k, v in sorted(key.items()))])
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        build().write.parquet(path)
+        return spark.read.parquet(path)
+
+
+def flat_paths(files: DataFrame) -> DataFrame:
+    """files(path, …) with its folders as an array, its name and its suffix."""
+    name = F.substring_index("path", "/", -1)
+    parts = F.split("path", "/")
+    return files.select("*", F.slice(parts, 1, F.size(parts) - 1).alias("folders"), name.alias("name"), F.regexp_extract(name, r".(\.[^.]*)$", 1).alias("suffix"))
