@@ -38,7 +38,7 @@ def mcnemar_exact(b: Column, c: Column) -> Column:
 
 def mcnemar_corrected(b: Column, c: Column) -> Column:
     """Continuity-corrected chi-square p with one degree of freedom; 1 without discordant pairs."""
-    root = F.greatest(F.abs(b - c) - 1, F.lit(0)) / F.sqrt((b + c).cast("double"))
+    root = F.greatest(F.abs(b - c) - 1, F.lit(0)) / F.sqrt(F.nullif((b + c).cast("double"), F.lit(0.0)))
     return F.when(b + c == 0, F.lit(1.0)).otherwise(2 * (1 - normal_cdf(root)))
 
 
