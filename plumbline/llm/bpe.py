@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import tune
 
 #: Words kept with their encodings, and the longest of them in bytes.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 CACHE_BYTES = 64
 #: How byte-level BPE cuts texts into words, a fixed value of the vocabulary; below, the same for Latin-1 texts.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")

@@ -28,7 +28,7 @@ SMOOTH = 0.02
 LONG = 40
 #: Positions x words of one lattice, so that its memory does not depend on how long the words are.
 LATTICE = 1 << 17
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 UNDETERMINED = "und"
 #: Runs of letters; numerals that this also takes have no piece and no say.
 WORD = re.compile(r"[^\W\d_]+")

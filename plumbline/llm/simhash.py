@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
 #: miss 4 in 100,000.
 STAGE = {"shingle": 5, "similarity": 0.8, "radius": 64, "lanes": 4, "bands": 14, "rows": 3}
 #: Texts and shingles of a chunk of a candidate group.
-MEMBERS, WEIGHT = 1024, 1 << 20
+MEMBERS, WEIGHT = 512, 1 << 19
 #: Shingles whose bits are compared at once.
 COLUMNS = 1 << 13
 
@@ -389,10 +389,13 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each set, the index of the first one that it is connected to by pairs with a Jaccard of at least
     `similarity`; two empty sets have 1."""
     size = np.array([len(x) for x in sets])
-    both = shared_counts(sets)
-    either = size[:, None] + size[None, :] - both
-    near = np.where(either > 0, both / np.maximum(either, 1), 1.0) >= similarity
-    a, b = np.nonzero(np.triu(near, 1))
+    both, near = shared_counts(sets), [np.empty((2, 0), np.int64)]
+    for i in range(len(sets) - 1):
+        either = size[i] + size[i + 1 :] - both[i, i + 1 :]
+        j = np.flatnonzero(np.where(either > 0, both[i, i + 1 :] / np.maximum(either, 1), 1.0) >= similarity)
+        if len(j):
+            near.append(np.stack([np.full(len(j), i), i + 1 + j]))
+    a, b = np.concatenate(near, axis=1)
     root = np.arange(len(sets))
     while len(a):
         least = np.minimum(root[a], root[b])
