@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Each round is two aggregations with map-side combine and two joins that leave the pairs of a hot vertex where they
-are, so no vertex's neighbours are gathered in one task.  What a round leaves is a table in the shared folder."""
+are, so no vertex's neighbours are gathered in one task.  The aggregations and what a round leaves are tables in the
+shared folder, so that each is computed once and its size is known to the join."""
 
 from __future__ import annotations
 
@@ -13,9 +14,19 @@ from .common import lookup, materialize
 MAX_ROUNDS = 60
 
 
+#: Pairs that a task of a round takes on average; small tables are not spread over many tasks.
+TASK_PAIRS = 200_000
+
+
+def _few(df: DataFrame, total: int) -> DataFrame:
+    """df in as many tasks as `total` pairs need, if these are fewer than it has."""
+    return df.coalesce(8 + total // TASK_PAIRS)
+
+
 def _hang(pairs: DataFrame, total: int) -> DataFrame:
     """pairs(u, v), at most `total` of them: join every pair to the smallest of u and its neighbours (column m)."""
     least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    least = materialize(_few(least, total), "least")
     return lookup(pairs, least, "u", "m", "n", total)
 
 
@@ -38,7 +49,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("u != v").select("u", "v").distinct(), "edges")
     stamp, count = None, now.count()
     for _ in range(MAX_ROUNDS):
-        now = materialize(_small_star(_large_star(now, count), count), "edges")
+        now = materialize(_few(_small_star(_large_star(now, count), count), count), "edges")
         count, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if (count, total) == stamp or not count:
             break

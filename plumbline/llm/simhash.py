@@ -297,9 +297,8 @@ def _links(keyed: DataFrame, radius: int) -> DataFrame:
     """keyed(t int, key long, node long, fp) -> edges between nodes of one (t, key) within the radius."""
     keyed = keyed.select(F.xxhash64("t", "key").alias("cell"), "node", "fp")
     counts = keyed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
-    counts = materialize(counts, "cells")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cells = lookup(keyed, counts, "cell", "chunks", "n", total).select("cell", "node", "fp", "chunks")
+    # A large cell's rows are dealt over its chunks right after this join, which adaptive execution splits if skewed.
+    cells = keyed.join(materialize(counts, "cells"), "cell").select("cell", "node", "fp", "chunks")
     return _dealt(cells, "chunks").mapInArrow(_link_cells(radius), "u long, v long")
 
 
