@@ -122,18 +122,17 @@ def with_next(docs: DataFrame, size: int = SHINGLE, fraction: float = FRACTION)
     first document of each window is fetched again for the window above.  Rows that repeat a doc_id follow each other
     in text order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("s", sketch(F.col("text"), size, fraction))
     own = rows.where("doc_id is not null").withColumn("up", F.shiftright("doc_id", LEVELS[0]))
     window = W.partitionBy("up").orderBy(F.desc("doc_id"), "text")
-    inner = own.withColumn("near", F.lead(F.struct("text", "s")).over(window))
+    inner = own.withColumn("s", sketch(F.col("text"), size, fraction)).withColumn("near", F.lead(F.struct("text", "s")).over(window))
     ids = own.select("up", F.col("doc_id").alias("id"))
     tops = ids.groupBy("up").agg(F.max("id").alias("top"))
     order = next_ids(tops.select(F.col("up").alias("id"))).withColumnRenamed("id", "up")
     order = materialize(order.join(tops.withColumnRenamed("up", "next"), "next").select("up", "top"), "order")
-    first = own.join(order.select(F.col("top").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("top")).agg(F.min(F.struct("text", "s")).alias("far"))
-    bridge = order.join(first, "top").select("up", "far")
+    first = own.join(order.select(F.col("top").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("top")).agg(F.min("text").alias("far"))
+    bridge = order.join(first, "top").select("up", F.struct(F.col("far").alias("text"), sketch(F.col("far"), size, fraction).alias("s")).alias("far"))
     linked = inner.join(bridge, "up", "left").select("doc_id", "text", "s", F.coalesce("near", "far").alias("x"))
-    alone = rows.where("doc_id is null").select("doc_id", "text", "s", F.struct(F.lit("").alias("text"), sketch(F.lit("")).alias("s")).alias("x"))
+    alone = rows.where("doc_id is null").select("doc_id", "text", sketch(F.col("text"), size, fraction).alias("s"), F.struct(F.lit("").alias("text"), sketch(F.lit("")).alias("s")).alias("x"))
     return linked.union(alone).select("doc_id", "text", "s", F.col("x.text").alias("next_text"), F.col("x.s").alias("next_s"))
 
 
