@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, license_scan, pii, sharding, simhash, sketch, url_filter, warc
+from . import bpe, collocations, decontaminate, language_id, license_scan, pii, sharding, simhash, sketch, url_filter, warc
 from .common import table
 
 
@@ -48,4 +48,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_simhash, op4_warc, op5_sketch, op6_language_id, op7_bpe, op8_license_scan, op9_sharding, op10_pii)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_simhash, op4_warc, op5_sketch, op6_language_id, op7_bpe, op8_license_scan, op9_sharding, op10_pii, op11_collocations)}

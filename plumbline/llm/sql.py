@@ -1,4 +1,4 @@
-"""DuckDB SQL for the operators that SQL can express: decontamination and WARC derivatives."""
+"""DuckDB SQL for the operators that SQL can express: decontamination, WARC derivatives and collocations."""
 
 from __future__ import annotations
 
@@ -65,4 +65,21 @@ select page_id, record_type, {_urn('record_type', 'refers_to')} as record_id, re
   'sha256:' || sha256(block) as block_digest, octet_length(encode(block)) as block_length, block from u
 """
 
-ORACLES = {"op2_decontaminate": OP2, "op4_warc": OP4}
+# All phrases are counted, without sketch or automaton.
+OP11 = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+n as (select lang, sum(len(ws))::bigint as n from w group by lang),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase from w, range(1, 4) t(k)),
+f as (select lang, k, phrase, count(*) as a from g group by all having count(*) >= 10),
+cuts as (select c.lang, c.phrase, c.k, c.a, j, string_split(c.phrase, ' ') as ws from f c, range(1, 3) t(j) where c.k > 1 and j < c.k),
+scored as (select c.lang, c.phrase, c.k, c.a, j, x.a as l, y.a as r, (1000000::hugeint * c.a * c.a) // (x.a::hugeint * y.a) as score from cuts c
+  join f x on x.lang = c.lang and x.phrase = array_to_string(ws[1:j], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(ws[j + 1:], ' ')),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+held as (select lang, phrase, max(a) as over from (select lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) as phrase from cuts where k = 3) group by all),
+kept as (select best.* from best left join held using (lang, phrase) where k = 3 or over is null or 100 * over < 50 * best.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join n using (lang) where rank <= 2000
+"""
+
+ORACLES = {"op2_decontaminate": OP2, "op4_warc": OP4, "op11_collocations": OP11}
