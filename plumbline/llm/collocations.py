@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from .common import materialize, tune
 
 #: Bytes of a chunk; longer texts are cut between pieces, so only a longer piece makes a longer chunk.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Bytes that a task holds for all languages together before it gives them away.
 HELD = 3 * CHUNK
 #: Sketch entries of a range, on average at most.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collocations, decontaminate, language_id, license_scan, pii, sharding, simhash, sketch, url_filter, warc
+from . import bpe, collocations, decontaminate, language_id, lexical, license_scan, pii, recurrent, sharding, simhash, sketch, url_filter, warc
 from .common import table
 
 
@@ -52,4 +52,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_simhash, op4_warc, op5_sketch, op6_language_id, op7_bpe, op8_license_scan, op9_sharding, op10_pii, op11_collocations)}
+def op12_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.score(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.postings(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_simhash, op4_warc, op5_sketch, op6_language_id, op7_bpe, op8_license_scan, op9_sharding, op10_pii, op11_collocations, op12_recurrent, op13_lexical)}

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the operators that SQL can express: decontamination, WARC derivatives and collocations."""
+"""DuckDB SQL for the operators that SQL can express: decontamination, WARC derivatives, collocations and lexical search."""
 
 from __future__ import annotations
 
@@ -67,12 +67,15 @@ select page_id, record_type, {_urn('record_type', 'refers_to')} as record_id, re
 
 # All phrases are counted, without sketch or automaton.
 OP11 = r"""
-with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
-w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
-n as (select lang, sum(len(ws))::bigint as n from w group by lang),
-g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase from w, range(1, 4) t(k)),
+with p as (select row_number() over () as pid, coalesce(lang, 'und') as lang, piece from (select lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+s as (select pid, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+w as (select pid, lang, unnest(ws) as word, generate_subscripts(ws, 1) as pos from s),
+n as (select lang, count(*) as n from w group by lang),
+t as (select *, lead(word) over o as w2, lead(word, 2) over o as w3 from w window o as (partition by pid order by pos)),
+g as (select lang, 1 as k, word as phrase from t union all select lang, 2, word || ' ' || w2 from t where w2 is not null
+  union all select lang, 3, word || ' ' || w2 || ' ' || w3 from t where w3 is not null),
 f as (select lang, k, phrase, count(*) as a from g group by all having count(*) >= 10),
-cuts as (select c.lang, c.phrase, c.k, c.a, j, string_split(c.phrase, ' ') as ws from f c, range(1, 3) t(j) where c.k > 1 and j < c.k),
+cuts as (select c.lang, c.phrase, c.k, c.a, j, string_split(c.phrase, ' ') as ws from f c, range(1, 3) u(j) where c.k > 1 and j < c.k),
 scored as (select c.lang, c.phrase, c.k, c.a, j, x.a as l, y.a as r, (1000000::hugeint * c.a * c.a) // (x.a::hugeint * y.a) as score from cuts c
   join f x on x.lang = c.lang and x.phrase = array_to_string(ws[1:j], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(ws[j + 1:], ' ')),
 best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, j) = 1),
@@ -82,4 +85,15 @@ ranked as (select *, row_number() over (partition by lang order by score desc, a
 select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join n using (lang) where rank <= 2000
 """
 
-ORACLES = {"op2_decontaminate": OP2, "op4_warc": OP4, "op11_collocations": OP11}
+OP13 = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+b as (select item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as term from benchmark),
+c as (select count(*) as nd, sum(len(ts))::bigint as lt from d where len(ts) > 0),
+p as (select doc_id, n, term, count(*) as tf from (select doc_id, len(ts) as n, unnest(ts) as term from d) group by all),
+w as (select term, floor(1000 * ln((2 * nd + 2)::double / (2 * count(*) + 1)::double))::bigint as w from p, c group by term, nd),
+s as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nd) // lt)))))::bigint as score from b join w using (term) join p using (term), c group by all),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 10
+"""
+
+ORACLES = {"op2_decontaminate": OP2, "op4_warc": OP4, "op11_collocations": OP11, "op13_lexical": OP13}
