@@ -1,7 +1,7 @@
 """Resampling over clusters.
 
-A bootstrap draw is a vector of cluster weights, and a cluster enters through its sums, so that the cost is draws x
-clusters however many rows there are.  Label swaps and chance findings concern single rows: their draws are vectors
+A bootstrap draw is a vector of cluster weights, made within a task, and a cluster enters through its sums, so that the
+cost is draws x clusters however many rows there are, and no table holds a row for each of them.  Label swaps and chance findings concern single rows: their draws are vectors
 within a task.  Draws are pure hashes, shared by every statistic that uses them."""
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import coins, hash32, numbers, uniform
+from ..functions.hashing import coins, drawn_slots, hash32, numbers, uniform
 
 
 def numbered(clusters: DataFrame, key: str) -> DataFrame:
@@ -32,12 +32,77 @@ def draws(spark: SparkSession, clusters: DataFrame, trials: int, seed: int = 0)
     return picks.select("draw", slot.alias("slot")).groupBy("draw", "slot").agg(F.count("*").alias("m"))
 
 
+#: Entries that one task weighs at a time, and numbers that it holds of its draws.
+ENTRIES = 1 << 22
+HELD = 1 << 22
+DRAW_BLOCK = 250
+
+
+def drawn_sums(entries: DataFrame, width: int, trials: int, seed: int = 0, by: str | None = None) -> DataFrame:
+    """entries(by, slot, k, column, value) -> (by, draw, sums): for each draw of k of k slots with replacement, the sums
+    of the columns 0 to width - 1 over the drawn slots, as an array of doubles.
+
+    A group of entries is packed once and meets each block of draws in a task, which makes the weights of one draw as
+    a vector, multiplies and adds up; no row is made for a pair of draw and slot.  Groups of many slots are packed in
+    several blocks, whose sums add up."""
+    spark, key = entries.sparkSession, by or "_all"
+    kind = dict(entries.dtypes).get(key, "int")
+    block = max(1, min(DRAW_BLOCK, HELD // max(width, 1)))
+    span = max(1, ENTRIES // max(width, 1))
+    packed = entries if by else entries.withColumn(key, F.lit(0))
+    packed = packed.where("value != 0").groupBy(key, "k", (F.col("slot") / span).cast("long").alias("part")).agg(F.sort_array(F.collect_list(F.struct("column", "slot", "value"))).alias("entries"))
+    # A group whose values are all 0 has its draws too.
+    packed = packed.unionByName(entries.select(F.col(by) if by else F.lit(0).alias(key), "k").distinct().withColumns({"part": F.lit(-1).cast("long"), "entries": F.array().cast("array<struct<column:int,slot:bigint,value:double>>")}))
+    packed = packed.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(max(trials - 1, 0)), F.lit(block)))).repartition("first", key, "part")
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k, first = batch.column("k")[i].as_py(), batch.column("first")[i].as_py()
+                own = batch.column("entries")[i].values
+                column, slot, value = (own.field(n).to_numpy() for n in ("column", "slot", "value"))
+                start = np.flatnonzero(np.diff(column, prepend=-1))
+                numbers = np.arange(first, min(first + block, trials))
+                out = np.zeros((len(numbers), width))
+                if len(start):
+                    for d, n in enumerate(numbers.tolist()):
+                        weight = np.bincount(drawn_slots(seed, n, k), minlength=k)
+                        out[d, column[start]] = np.add.reduceat(weight[slot] * value, start)
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(i, 1), pa.array([first], pa.int64()), pa.array([out.tobytes()], pa.binary())], [key, "first", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in table["sums"])
+        first, n = table["first"][0].as_py(), len(total) // width
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(total))
+        return pa.table({key: table[key].take(pa.array(np.zeros(n, int))), "draw": pa.array(np.arange(first, first + n)), "sums": lists})
+
+    weighed = packed.select(key, "k", "entries", F.col("first").cast("long").alias("first")).mapInArrow(weigh, f"`{key}` {kind}, first long, sums binary")
+    drawn = weighed.groupBy(key, "first").applyInArrow(add, f"`{key}` {kind}, draw long, sums array<double>")
+    return drawn if by else drawn.drop(key)
+
+
 def bootstrap_sums(spark: SparkSession, rows: DataFrame, cluster: str, sums: dict[str, Column], trials: int, seed: int = 0) -> DataFrame:
     """Per draw, the weighted sums of the given columns over the drawn clusters."""
-    per = rows.groupBy(cluster).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    per = numbered(per, cluster)
-    drawn = draws(spark, per, trials, seed).join(per, "slot")
-    return drawn.groupBy("draw").agg(*[F.sum(F.col("m") * F.col(n)).alias(n) for n in sums])
+    per = numbered(rows.groupBy(cluster).agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()]), cluster)
+    entries = per.select("slot", "k", F.posexplode(F.array(*sums)).alias("column", "value")).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return drawn_sums(entries, len(sums), trials, seed).select("draw", *[F.get("sums", F.lit(i)).alias(n) for i, n in enumerate(sums)])
+
+
+def clustered_rates(outcomes: DataFrame, by: str, task: str, hit: Column, trials: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(by, tasks, defects, hits, recall, recall_low, recall_high): each condition's share of hits, with the interval
+    from draws of its own tasks, all rows of a task together, by position in the sorted draws (one below, one up)."""
+    per = outcomes.groupBy(by, task).agg(F.count("*").alias("n"), F.count_if(hit).alias("h"))
+    own = W.partitionBy(by)
+    per = per.withColumn("slot", (F.row_number().over(own.orderBy(task)) - 1).cast("long")).withColumn("k", F.count("*").over(own))
+    entries = per.select(by, "slot", "k", F.posexplode(F.array(F.col("h").cast("double"), F.col("n").cast("double"))).alias("column", "value"))
+    spread = drawn_sums(entries, 2, trials, seed, by).select(by, (F.get("sums", F.lit(0)) / F.get("sums", F.lit(1))).alias("e"))
+    listed = spread.groupBy(by).agg(F.sort_array(F.collect_list("e")).alias("v"))
+    tail = (1 - level) / 2
+    at = lambda q, shift: F.get("v", F.least(F.greatest(F.floor(q * F.size("v") + 1e-9).cast("int") + shift, F.lit(0)), F.size("v") - 1))
+    ends = listed.select(F.col(by).alias("_by"), at(tail, -1).alias("recall_low"), at(1 - tail, 0).alias("recall_high"))
+    total = per.groupBy(by).agg(F.count("*").alias("tasks"), F.sum("n").alias("defects"), F.sum("h").alias("hits"))
+    total = total.withColumn("recall", F.col("hits") / F.col("defects"))
+    return total.join(ends, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def cluster_bootstrap(spark: SparkSession, pairs: DataFrame, cluster: str, trials: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:

@@ -6,17 +6,16 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import coins, drawn_slots
+from ..functions.hashing import coins
 from ..functions.stats import clamp_rate, probit
 from ..tables import materialize
 from .paired import complete_tasks
-from .resample import draws, interval, numbered
+from .resample import drawn_sums, draws, interval, numbered
 
 
 def score_histogram(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
@@ -77,36 +76,34 @@ def _side_difference(curves: DataFrame, by: list[str], side: str, a, b) -> DataF
     return curves.groupBy(*by).agg((of(a) - of(b)).alias("e")).where("e is not null")
 
 
-#: Rows of cluster histograms that go to all tasks at most.
-HISTOGRAM_ROWS = 1_000_000
+#: Distinct scores up to which a draw's histograms are one vector; beyond, histograms are joined with the draws.
+SCORES = 100_000
 
 
 def _drawn_differences(spark: SparkSession, hist: DataFrame, cluster: str, arm: str, a, b, score: str, trials: int, seed: int) -> DataFrame:
-    """(draw, e): the AUC difference of each draw of clusters.  Histograms of few rows are one matrix, which every
-    task multiplies with the weights of its draws; larger ones are joined with the draws."""
+    """(draw, e): the AUC difference of each draw of clusters, from the drawn clusters' histograms, which are vectors
+    of the draw."""
     clusters = numbered(hist.select(cluster).distinct(), cluster)
-    if hist.count() > HISTOGRAM_ROWS:
+    levels = materialize(hist.select(score).distinct(), "levels")
+    n = levels.count()
+    if n > SCORES:
         weights = draws(spark, clusters, trials, seed).join(clusters, "slot").select("draw", cluster, "m")
         return _side_difference(auc(hist.join(weights, cluster), ["draw", arm], score, "m"), ["draw"], arm, a, b)
-    rows = hist.join(clusters, cluster).select("slot", (F.col(arm) == b).cast("int").alias("side"), score, "hd", "ht").toPandas()
-    k, scores = int(rows["slot"].max()) + 1 if len(rows) else 0, np.sort(rows[score].unique())
-    counts = np.zeros((4, k, len(scores)))
-    for c, column in enumerate(("hd", "ht")):
-        counts[rows["side"] * 2 + c, rows["slot"], np.searchsorted(scores, rows[score])] = rows[column]
-    shared = spark.sparkContext.broadcast(counts)
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = shared.value
+    levels = levels.withColumn("_level", F.row_number().over(W.orderBy(score)) - 1)
+    side = (F.col(arm) == b).cast("int") * (2 * n) + F.col("_level")
+    both = F.explode(F.array(*[F.struct((side + k * n).alias("column"), F.col(c).cast("double").alias("value")) for k, c in enumerate(("hd", "ht"))])).alias("x")
+    entries = hist.join(levels, score).join(clusters, cluster).select("slot", "k", both).select("slot", "k", F.col("x.column").cast("int").alias("column"), "x.value")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = batch["id"].to_numpy()
-            weight = np.stack([np.bincount(drawn_slots(seed, n, k), minlength=k) for n in numbers]) if k else np.zeros((len(numbers), 0))
-            hd0, ht0, hd1, ht1 = (weight @ c for c in counts)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                side = [(hd * (np.cumsum(ht, 1) - ht + 0.5 * ht)).sum(1) / (hd.sum(1) * ht.sum(1)) for hd, ht in ((hd0, ht0), (hd1, ht1))]
-            out = pd.DataFrame({"draw": numbers, "e": side[0] - side[1]})
-            yield out[np.isfinite(out["e"])]
+            if batch.num_rows:
+                hd, ht = np.stack(batch.column("sums").to_numpy(zero_copy_only=False)).reshape(-1, 2, 2, n).transpose(2, 0, 1, 3)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    curve = (hd * (np.cumsum(ht, -1) - 0.5 * ht)).sum(-1) / (hd.sum(-1) * ht.sum(-1))
+                e = curve[:, 0] - curve[:, 1]
+                yield pa.RecordBatch.from_arrays([batch.column("draw"), pa.array(e)], ["draw", "e"]).filter(pa.array(np.isfinite(e)))
 
-    return spark.range(trials).mapInPandas(run, "draw long, e double")
+    return drawn_sums(entries, 4 * n, trials, seed).mapInArrow(run, "draw long, e double")
 
 
 def auc_difference(spark: SparkSession, rows: DataFrame, cluster: str, arm: str, a, b, score: str, positive: Column, trials: int = 6000, margin: float = 0.05, seed: int = 0) -> DataFrame:
@@ -181,10 +178,17 @@ def detection_intervals(spark: SparkSession, rows: DataFrame, cluster: str, arm:
     less that of the base."""
     whole = complete_tasks(rows, cluster, arm)
     sums = whole.groupBy(cluster, arm).agg(F.count_if(positive).alias("nd"), F.count_if(~positive).alias("nt"), F.count_if(positive & flagged).alias("hd"), F.count_if(~positive & flagged).alias("ht"))
-    clusters = numbered(sums.select(cluster).distinct(), cluster)
-    weights = draws(spark, clusters, trials, seed).join(clusters, "slot").select("draw", cluster, "m")
-    own = clusters.select(F.lit(-1).cast("long").alias("draw"), cluster, F.lit(1).cast("long").alias("m"))
-    drawn = sums.join(weights.union(own), cluster).groupBy("draw", arm).agg(*[F.sum(F.col("m") * F.col(c)).alias(c) for c in ("nd", "nt", "hd", "ht")]).where("nd > 0 and nt > 0")
+    sums = materialize(sums, "detection-sums")
+    clusters, four = numbered(sums.select(cluster).distinct(), cluster), ("nd", "nt", "hd", "ht")
+    arms = materialize(sums.select(arm).distinct().withColumn("_at", F.row_number().over(W.orderBy(arm)) - 1), "arms")
+    n_arms = arms.count()
+    listed = F.posexplode(F.array(*[F.col(c).cast("double") for c in four])).alias("_c", "value")
+    entries = sums.join(arms, arm).join(clusters, cluster).select("slot", "k", "_at", listed).select("slot", "k", (F.col("_at") * 4 + F.col("_c")).alias("column"), "value")
+    drawn = drawn_sums(entries, 4 * n_arms, trials, seed)
+    drawn = drawn.select("draw", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(max(n_arms - 1, 0))), lambda a: F.slice("sums", 4 * a + 1, 4))).alias("_at", "_s"))
+    drawn = drawn.join(arms, "_at").select("draw", arm, *[F.get("_s", F.lit(i)).cast("long").alias(c) for i, c in enumerate(four)])
+    own = sums.groupBy(arm).agg(*[F.sum(c).alias(c) for c in four]).select(F.lit(-1).cast("long").alias("draw"), arm, *four)
+    drawn = drawn.union(own).where("nd > 0 and nt > 0")
     rates = drawn.select("draw", arm, "nd", "nt", clamp_rate(F.col("hd"), F.col("nd")).alias("h"), clamp_rate(F.col("ht"), F.col("nt")).alias("f"))
     z = rates.withColumn("zh", probit("h")).withColumn("zf", probit("f"))
     z = materialize(z.select("draw", arm, "nd", "nt", "h", "f", (F.col("zh") - F.col("zf")).alias("d"), (-(F.col("zh") + F.col("zf")) / 2).alias("c")), "draws")
