@@ -3,7 +3,7 @@
 A posting is a row (bucket, term, row, doc_id, n, tf); one more row a document, in bucket -1 with an empty term, holds
 its length, so that an index also gives the number of documents and of all terms.  A search takes from the index the
 buckets and terms that some item asks for, weighs terms by their document frequency, joins item terms, scores every
-match in integers, sums by item and document and ranks by row_number."""
+match in integers, sums by item and document and ranks by row_number.  Terms of any frequency are spread, since the matches are dealt by document."""
 
 from __future__ import annotations
 
@@ -98,7 +98,9 @@ def search(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     weights = held.groupBy("term").agg(F.count("*").alias("df")).select("term", F.floor(1000 * F.log(ratio)).cast("long").alias("w"))
     weighted = materialize(terms.join(weights, "term").where("w > 0").select("item", "item_id", "term", "w"), "item-weights")
     matches = held.withColumn("m", F.expr(f"100 - 90 + ((90 * n * {n_docs}L) div {max(n_terms, 1)}L)"))
-    matches = matches.select("term", "row", "doc_id", F.expr("(1000000000L * tf) div (1000 * tf + 8 * m)").alias("gain")).join(weighted, "term")
+    # A document's postings meet before they are joined, so that the many more pairs of item and document that come of
+    # it are summed and ranked where they are; only each task's best are shuffled.
+    matches = matches.select("term", "row", "doc_id", F.expr("(1000000000L * tf) div (1000L * tf + 8 * m)").alias("gain")).repartition("row").join(weighted, "term")
     sums = matches.groupBy("item", "item_id", "row", "doc_id").agg(F.sum(F.col("w") * F.col("gain")).alias("score")).where("score > 0")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
