@@ -1,11 +1,12 @@
-"""More registered queries: run comparison and clustered intervals."""
+"""More registered queries: run comparison, clustered intervals, reviews as state."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import resample, rundiff
-from .registry import RUNS, _boot, query, r6, runs
+from ..streaming import reviews
+from .registry import RUNS, _boot, query, r6, runs, t
 from .sqlmath import probit_sql
 
 # ---------------------------------------------------------------- runs and conditions
@@ -58,3 +59,28 @@ def auc_run_difference(spark, d):
     rows = runs(spark, d).where("arm <= 4").withColumn("run", F.when(F.col("arm") <= 2, "A").otherwise("B")).withColumn("arm", ((F.col("arm") - 1) % 2 + 1).cast("int")).withColumn("score", F.floor(F.col("score") / 10))
     out = rundiff.compare_runs(rows, [1, 2], F.col("is_defect"), scores=6)
     return out.select("statistic", "run", "arm", "base", "nd", "nt", *[r6(c).alias(c) for c in ("value", "low", "high")])
+
+
+# ---------------------------------------------------------------- reviews as state
+
+_ACTION = "case event_type when 'signup' then case event_id % 3 when 0 then 'opened' when 1 then 'reopened' else 'synchronize' end when 'view' then 'closed' when 'click' then 'start' when 'purchase' then 'complete' else 'fail' end"
+
+
+@query(f"""with recursive e as (select user_id as number, event_id, ts, {_ACTION} as action, 't' || event_id % 7 as title, row_number() over (partition by user_id order by ts, event_id::varchar) as i from events where event_type is not null),
+ s as (select number, 0::bigint as i, null::varchar as title, 0::bigint as reviews, null::bigint as pending, []::bigint[] as started, null::bigint as event_id, null::varchar as action, null::varchar as change, null::bigint as review from (select distinct user_id as number from events)
+  union all select e.number, e.i, case when e.action in ('start', 'complete', 'fail') then s.title else e.title end,
+   case when e.action = 'start' and pending is null or e.action in ('opened', 'reopened', 'synchronize') and pending is null and len(started) = 0 then reviews + 1 else reviews end,
+   case when e.action = 'start' then null when e.action in ('opened', 'reopened', 'synchronize') and pending is null and len(started) = 0 then reviews + 1 else pending end,
+   case when e.action = 'start' then list_append(started, coalesce(pending, reviews + 1)) when e.action in ('complete', 'fail') and len(started) > 0 then started[:len(started) - 1] else started end, e.event_id, e.action,
+   case when e.action in ('opened', 'reopened', 'synchronize') then case when pending is not null then 'enqueued' when len(started) = 0 then 'created' end when e.action = 'start' then 'started' when len(started) > 0 then case e.action when 'complete' then 'completed' when 'fail' then 'failed' end end,
+   case when e.action in ('opened', 'reopened', 'synchronize') then case when pending is not null then pending when len(started) = 0 then reviews + 1 end when e.action = 'start' then coalesce(pending, reviews + 1) when e.action in ('complete', 'fail') then started[len(started)] end
+  from s join e on e.number = s.number and e.i = s.i + 1),
+ c as (select number, i, 1 as k, title, event_id, 'updated' as change, null::bigint as review from s where action not in ('start', 'complete', 'fail') union all select number, i, 2, title, event_id, change, review from s where change is not null)
+ select number, row_number() over (partition by number order by i, k) as seq, event_id::varchar as event_id, review, change, case change when 'created' then 'pending' when 'enqueued' then 'pending' when 'started' then 'in_progress' when 'completed' then 'completed' when 'failed' then 'failed' end as review_status, title, case when change = 'failed' then 'e' || event_id % 5 end as error from c""")
+def review_life(spark, d):
+    """Every event of a user as one of a pull request, each of them sent twice."""
+    action = F.expr(_ACTION)
+    events = t(spark, d, "events").where("event_type is not null").select(F.col("event_id").cast("string").alias("event_id"), action.alias("action"), F.lit("r").alias("repository"), F.col("user_id").alias("number"), F.expr("concat('t', event_id % 7)").alias("title"), F.lit("open").alias("status"), F.expr("concat('e', event_id % 5)").alias("error"), F.col("ts").cast("timestamp").alias("received"))
+    reviews.use_state_store(spark)
+    out = reviews.review_changes(events.union(events))
+    return out.select("number", "seq", "event_id", "review", "change", "review_status", "title", "error")
