@@ -22,6 +22,8 @@ BUCKETS = 256
 TOP = 10
 #: Terms are runs of digits, letters and non-ASCII characters; only A-Z are lower-cased.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Rows of a file of the items' terms.
+FILE_ROWS = 200_000
 LENGTHS = -1  # bucket of the rows with documents' lengths
 
 
@@ -88,7 +90,10 @@ def search(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     ignored; empty tables give an empty result."""
     terms = _item_terms(items)
     asked = terms.select("bucket", "term").union(items.sparkSession.createDataFrame([(LENGTHS, "")], "bucket int, term string")).distinct()
-    asked = materialize(asked, "asked-terms")  # its size is known to the join, which sends it along only if small
+    # Small tables are few files, so that a file's own overhead does not count as data when the join, which knows the
+    # size, decides whether to send the table along.
+    files = 1 + terms.count() // FILE_ROWS
+    asked = materialize(asked.coalesce(files), "asked-terms")
     buckets = [r[0] for r in asked.select("bucket").distinct().collect()]
     held = materialize(index.where(F.col("bucket").isin(buckets)).join(asked, ["bucket", "term"], "left_semi"), "postings")
     lengths, held = held.where(F.col("bucket") == LENGTHS), held.where(F.col("bucket") != LENGTHS)
@@ -96,7 +101,7 @@ def search(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
 
     ratio = F.lit(2 * n_docs + 2).cast("double") / (2 * F.col("df") + 1).cast("double")
     weights = held.groupBy("term").agg(F.count("*").alias("df")).select("term", F.floor(1000 * F.log(ratio)).cast("long").alias("w"))
-    weighted = materialize(terms.join(weights, "term").where("w > 0").select("item", "item_id", "term", "w"), "item-weights")
+    weighted = materialize(terms.join(weights, "term").where("w > 0").select("item", "item_id", "term", "w").coalesce(files), "item-weights")
     matches = held.withColumn("m", F.expr(f"100 - 90 + ((90 * n * {n_docs}L) div {max(n_terms, 1)}L)"))
     # A document's postings meet before they are joined, so that the many more pairs of item and document that come of
     # it are summed and ranked where they are; only each task's best are shuffled.
