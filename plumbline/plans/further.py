@@ -1,10 +1,10 @@
-"""More registered queries: run comparison, clustered intervals, reviews as state."""
+"""More registered queries: run comparison, clustered intervals, reviews as state, selections."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import resample, rundiff
+from ..operators import resample, rundiff, selection
 from ..streaming import reviews
 from .registry import RUNS, _boot, query, r6, runs, t
 from .sqlmath import probit_sql
@@ -84,3 +84,106 @@ def review_life(spark, d):
     reviews.use_state_store(spark)
     out = reviews.review_changes(events.union(events))
     return out.select("number", "seq", "event_id", "review", "change", "review_status", "title", "error")
+
+
+# ---------------------------------------------------------------- selections
+
+_CALLS = "case when role = 'user' or turn % 5 = 4 then [] else list_transform(range(1, length(text) % 3 + 2), lambda i: {'name': case i % 2 when 1 then 'search_code' else 'read_file' end, 'hit': (length(text) + i) % 4 = 0}) end"
+
+
+@query(f"""with t as (select conv_id as task, turn + 1 as turn, case when turn > 0 and length(text) % 11 = 0 then 'timeout' end as error, length(text) as n, {_CALLS} as calls from conversations where conv_id is not null),
+ e as (select *, min(case when error is not null or len(calls) = 0 then turn end) over (partition by task) as stop from (select * from t where turn <= 8)), k as (select * from e where stop is null or turn <= stop), u as (select *, error is null as ok from k)
+ select task, max(turn) as turns, sum(case when ok then len(calls) else 0 end)::bigint as tool_calls, sum(case when ok then len(list_filter(calls, lambda c: c.name = 'search_code')) else 0 end)::bigint as searches, sum(case when ok then len(list_filter(calls, lambda c: c.name = 'read_file')) else 0 end)::bigint as reads,
+ coalesce(bool_or(ok and len(list_filter(calls, lambda c: c.name = 'search_code')) > 0), false) as searched_at_all, bool_or(ok and len(list_filter(calls, lambda c: c.hit)) > 0) as found_the_caller, min(case when ok and len(list_filter(calls, lambda c: c.hit)) > 0 then turn end) as first_found, sum(case when ok then n end)::bigint as input_tokens,
+ case when max(stop) is null then 'did not finish within 8 turns' else max(case when turn = stop then error end) end as error from u group by task""")
+def agent_transcripts(spark, d):
+    """Conversations as agents' turns: a turn of the user, and each fifth, calls no tool."""
+    talk, n = t(spark, d, "conversations").where("conv_id is not null"), F.length("text")
+    call = lambda i: F.struct(F.when(i % 2 == 1, "search_code").otherwise("read_file").alias("name"), F.lit("q").alias("query"), F.when((i % 2 == 0) & ((n + i) % 4 == 0), "src/caller.py").otherwise("other.py").alias("path"), F.when((i % 2 == 1) & ((n + i) % 4 == 0), "src/caller.py:3: f()").otherwise("no matches").alias("output"))
+    calls = F.when(~((F.col("role") == "user") | (F.col("turn") % 5 == 4)), F.transform(F.sequence(F.lit(1), n % 3 + 1), call))
+    turns = talk.select(F.col("conv_id").alias("task"), F.lit("AGENT").alias("condition"), (F.col("turn") + 1).alias("turn"), F.when((F.col("turn") > 0) & (n % 11 == 0), "timeout").alias("error"), "text", n.alias("input_tokens"), F.lit(0).alias("output_tokens"), calls.alias("calls"))
+    out = selection.transcripts(turns, talk.select(F.col("conv_id").alias("task"), F.lit("src/caller.py").alias("caller_path")).distinct())
+    return out.drop("condition", "text", "output_tokens")
+
+
+_TARGETS = "select p_brand as repo, p_type as file, 'f' || p_size as name from part group by all"
+
+
+@query(f"""with g as ({_TARGETS}), c as (select p_brand as repo, p_type as file, 'f' || p_size as name, list_sort(list(distinct 'c' || p_partkey % 4)) as callers from part where p_partkey % 3 = 0 group by all),
+ u as (select repo, name, count(*) = 1 as unique_name from g group by all), o as (select *, row_number() over (partition by repo order by ('0x' || substr(md5('0|' || repo || '|' || file || '|' || name), 1, 8))::bigint, file, name) as place from g left join c using (repo, file, name) join u using (repo, name)),
+ h as (select *, row_number() over (partition by repo order by place) as k from o where callers is not null), s as (select * from h where k <= 5)
+ select repo, (select count(*) from g where g.repo = r.repo) as definitions, (select count(*) from s where s.repo = r.repo) as sampled_with_callers, (select count(*) from s where s.repo = r.repo and unique_name) as unique_name_targets,
+ (select count(*) from o where o.repo = r.repo and callers is null and (place < (select max(place) from s where s.repo = r.repo) or (select count(*) from s where s.repo = r.repo) < 5)) as sampled_without_callers from (select distinct repo from g) r""")
+def validation_summary(spark, d):
+    return _validation(spark, d)[1]
+
+
+@query(f"""with g as ({_TARGETS}), c as (select p_brand as repo, p_type as file, 'f' || p_size as name, list_sort(list(distinct 'c' || p_partkey % 4)) as callers from part where p_partkey % 3 = 0 group by all)
+ select repo, file, name, array_to_string(callers, ',') as callers from g join c using (repo, file, name) qualify row_number() over (partition by repo order by ('0x' || substr(md5('0|' || repo || '|' || file || '|' || name), 1, 8))::bigint, file, name) <= 5""")
+def validation_targets(spark, d):
+    return _validation(spark, d)[0].select("repo", "file", "name", F.array_join("callers", ",").alias("callers"))
+
+
+def _validation(spark, d):
+    part = t(spark, d, "part").select(F.col("p_brand").alias("repo"), F.col("p_type").alias("file"), F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("name"), "p_partkey")
+    callers = part.where("p_partkey % 3 = 0").withColumn("caller", F.concat(F.lit("c"), (F.col("p_partkey") % 4).cast("string")))
+    return selection.validation_sample(part.select("repo", "file", "name").distinct(), callers.select("repo", "file", "name", "caller"), 5)
+
+
+_SYMBOLS = """s as (select o_custkey % 50 as task, o_orderkey as identity, 'm' || o_custkey % 4 || '.py' as path, o_orderkey % 40 as first, o_orderkey % 40 + o_orderkey % 9 as last,
+  'm' || o_custkey % 4 || '.py' || case o_orderkey % 5 when 0 then '' when 1 then '::C' || o_orderkey % 7 when 2 then '::C' || o_orderkey % 7 || '.f' || o_orderkey % 3 when 3 then '::C' || o_orderkey % 7 || '.D.g' else '::h' || o_orderkey end as qualified_name,
+  case when o_orderkey % 5 = 1 then 'class' when o_orderkey % 11 = 0 then 'other' when o_orderkey % 5 = 0 then 'file' else 'function' end as kind from orders)"""
+
+
+@query(f"""with {_SYMBOLS}, ch as (select distinct o_custkey % 50 as task, 'm' || o_custkey % 6 || '.py' as path, o_custkey % 30 + 5 as lo, o_custkey % 30 + 9 as hi from orders where o_orderkey % 7 = 0),
+ f as (select distinct s.* from s join ch using (task, path) where s.qualified_name <> path and kind in ('class', 'function') and first <= hi and last >= lo),
+ kept as (select * from f where not exists (select 1 from f g where g.task = f.task and starts_with(g.qualified_name, f.qualified_name || '.'))),
+ hub as (select task, path, min(identity) as identity from s where qualified_name = path and (task, path) in (select (task, path) from ch) and (task, path) not in (select (task, path) from f) group by all),
+ a as (select task, identity, qualified_name, path, kind, 0 as hub, first, last - first as n from kept union all select task, identity, path, path, 'file', 1, 0, 0 from hub)
+ select task, row_number() over (partition by task order by hub, first, n, qualified_name, identity)::int as rank, identity, qualified_name, path, kind from a""")
+def symbol_seeds(spark, d):
+    """Orders as symbols of an index that gives no kinds: they are read from the sources."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = lambda x: x.cast("string")
+    path = F.concat(F.lit("m"), s(c % 4), F.lit(".py"))
+    below = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit("::C"), s(k % 7))).when(k % 5 == 2, F.concat(F.lit("::C"), s(k % 7), F.lit(".f"), s(k % 3))).when(k % 5 == 3, F.concat(F.lit("::C"), s(k % 7), F.lit(".D.g"))).otherwise(F.concat(F.lit("::h"), s(k)))
+    text = F.when(k % 5 == 1, "\n@final\nclass C:\n    pass\n").when(k % 11 == 0, "x = 1\n").when(k % 5 == 0, None).otherwise("@cached\n  async def f(x):\n    return x\n")
+    orders = t(spark, d, "orders")
+    symbols = orders.select((c % 50).alias("task"), k.alias("identity"), F.concat(path, below).alias("qualified_name"), path.alias("path"), F.lit(None).cast("string").alias("kind"), text.alias("text"), (k % 40).alias("first"), (k % 40 + k % 9).alias("last"))
+    changed = orders.where("o_orderkey % 7 = 0").select((c % 50).alias("task"), F.concat(F.lit("m"), s(c % 6), F.lit(".py")).alias("path"), (c % 30 + 5).alias("first"), (c % 30 + 9).alias("last")).distinct()
+    return selection.symbol_seeds(symbols, changed)
+
+
+@query("select o_orderkey as k, count(*) as lines, sum(l_quantity) as quantity from orders join lineitem on l_orderkey = o_orderkey group by 1 having sum(l_quantity) > 150 order by 1 limit 25")
+def first_large_orders(spark, d):
+    """The first 25 orders, by key, whose lines sum up to more than 150: lines are read for few orders only."""
+    lines = t(spark, d, "lineitem")
+
+    def large(block):
+        return block.join(lines, F.col("k") == F.col("l_orderkey")).groupBy("k").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity")).where("quantity > 150")
+
+    return selection.first_qualifying(t(spark, d, "orders").select(F.col("o_orderkey").alias("k")).distinct(), "k", large, 25)
+
+
+_FILES = "select c_nationkey as repo, case when c_custkey % 3 = 0 then '' else 'src/' || case when c_custkey % 3 = 1 then '' else 'm' || c_custkey % 4 || '/' end end || 'f' || c_custkey || '.py' as path, c_custkey as bytes from customer"
+
+
+def tree_files(spark, d):
+    k = F.col("c_custkey")
+    deep = F.when(k % 3 == 0, "").when(k % 3 == 1, "src/").otherwise(F.concat(F.lit("src/m"), (k % 4).cast("string"), F.lit("/")))
+    return t(spark, d, "customer").select(F.col("c_nationkey").alias("repo"), F.concat(deep, F.lit("f"), k.cast("string"), F.lit(".py")).alias("path"), k.alias("bytes"))
+
+
+@query(f"""with f as ({_FILES}), p as (select repo, bytes, string_split(path, '/') as ps from f), s as (select repo, bytes, ps, unnest(range(0, len(ps))) as depth from p)
+ select repo, array_to_string(ps[1:depth], '/') as folder, depth::int as depth, count(*) as files, sum(bytes)::bigint as bytes, array_to_string(list_sort(list(distinct ps[depth + 1])), ',') as children from s group by all""")
+def folder_sizes(spark, d):
+    out = selection.folders(tree_files(spark, d))
+    return out.select("repo", "folder", "depth", "files", "bytes", F.array_join("children", ",").alias("children"))
+
+
+@query(f"""with f as ({_FILES}), p as (select repo, bytes, string_split(path, '/') as ps from f),
+ two as (select repo, ps[1] as a, ps[2] as name, '{{' || string_agg('"' || ps[3] || '":' || bytes, ',' order by ps[3]) || '}}' as info from p where len(ps) = 3 group by all),
+ one as (select repo, a as name, '{{' || string_agg('"' || name || '":' || info, ',' order by name) || '}}' as info from (select * from two union all select repo, ps[1], ps[2], bytes::varchar from p where len(ps) = 2) group by all)
+ select repo, '{{' || string_agg('"' || name || '":' || info, ',' order by name) || '}}' as structure from (select * from one union all select repo, ps[1], bytes::varchar from p where len(ps) = 1) group by repo""")
+def nested_structure(spark, d):
+    return selection.structure(tree_files(spark, d).withColumn("info", F.col("bytes").cast("string")))
