@@ -117,30 +117,40 @@ def _join_marks(rows: DataFrame, marks: DataFrame, key: str, spread: str) -> Dat
     return salted.join(every, [key, "_salt"]).drop("_salt")
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that a text is known by; different texts do not share them."""
+    return F.unhex(F.md5(text))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, _item, item): each row of the benchmark that has a word, its words, and 128 bits of these."""
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item")).where("size(item) > 0")
+    return own.select("item_id", text_key(F.array_join("item", " ")).alias("_item"), "item")
+
+
 def _leaks(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
-    """(_text, item_id, n_matched, n_words) of the texts, known by hash, and items that overlap enough."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item")).where("item_id is not null and size(item) > 0")
-    items = materialize(items, "items")
+    """(_text, _item, n_matched, n_words) of the texts and the different items that overlap enough."""
+    items = materialize(_items(benchmark).groupBy("_item").agg(F.first("item").alias("item")), "items")
     short = sorted(r["n"] for r in items.where(F.size("item") < SHORT).select(F.size("item").alias("n")).distinct().collect())
     masks = [*MASKS, *sorted({m for n in short for _, m in masks_of(n, similarity)} - set(MASKS))]
-    marks = items.select("item_id", F.size("item").alias("n_words"), F.explode(item_seeds(F.col("item"), short, similarity)).alias("s"))
-    marks = materialize(marks.select("item_id", "n_words", F.col("s.hash").alias("hash"), F.col("s.pos").alias("item_pos")), "item-seeds")
-    own = docs.where("text is not null").select(F.xxhash64("text").alias("_text"), "text")
+    marks = items.select("_item", F.size("item").alias("n_words"), F.explode(item_seeds(F.col("item"), short, similarity)).alias("s"))
+    marks = materialize(marks.select("_item", "n_words", F.col("s.hash").alias("hash"), F.col("s.pos").alias("item_pos")), "item-seeds")
+    own = docs.where("text is not null").select(text_key(F.col("text")).alias("_text"), "text")
     # One lambda over the word array and the bitmap: the words are split once per text, and the bitmap is a reference.
     held = F.array(F.struct(words(F.col("text")).alias("w"), F.col("bits")))
     hits = own.withColumn("bits", _bitmap(marks)).select("_text", F.transform(held, lambda x: seeds(x["w"], masks, lambda h: _probe(x["bits"], h))).alias("s"))
     hits = hits.select("_text", F.explode(F.flatten("s")).alias("s"))
     hits = hits.select("_text", F.col("s.hash").alias("hash"), F.col("s.pos").alias("pos"))
-    places = _join_marks(hits, marks, "hash", "_text").select("_text", "item_id", "n_words", (F.col("pos") - F.col("item_pos")).alias("at")).distinct()
+    places = _join_marks(hits, marks, "hash", "_text").select("_text", "_item", "n_words", (F.col("pos") - F.col("item_pos")).alias("at")).distinct()
     places = materialize(places, "diagonals")
 
     # The whole item is laid against the words from `at` on; a part of it beyond either end of the text disagrees.
     wanted = places.select("_text").distinct()
     read = own.join(wanted, "_text", "left_semi").dropDuplicates(["_text"]).select("_text", words(F.col("text")).alias("w"))
-    laid = read.join(places, "_text").select("_text", "item_id", "n_words", "at", F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("n_words") + F.least(F.col("at"), F.lit(0))).alias("part"))
+    laid = read.join(places, "_text").select("_text", "_item", "n_words", "at", F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("n_words") + F.least(F.col("at"), F.lit(0))).alias("part"))
     same = F.aggregate(F.sequence(F.lit(0), F.col("n_words") - 1), F.lit(0), lambda n, i: n + F.when(F.get("item", i) == F.get("part", i + F.least(F.col("at"), F.lit(0))), 1).otherwise(0))
-    scored = _join_marks(laid, items, "item_id", "_text").select("_text", "item_id", "n_words", same.alias("n_matched"))
-    best = scored.groupBy("_text", "item_id", "n_words").agg(F.max("n_matched").alias("n_matched"))
+    scored = _join_marks(laid, items, "_item", "_text").select("_text", "_item", "n_words", same.alias("n_matched"))
+    best = scored.groupBy("_text", "_item", "n_words").agg(F.max("n_matched").alias("n_matched"))
     return materialize(best.where(F.col("n_matched").cast("double") / F.col("n_words") >= similarity), "leaks")
 
 
@@ -152,19 +162,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     best overlap; rows without a doc_id count by their text and are reported with a null doc_id.  Equal items are
     reported each, items without an id not at all.  Items of eight words and more are found by seeds, so that an
     overlap whose differing words break every seed is missed (none in tests at random substitutions); shorter items
-    are found always.  Extra columns are ignored; empty tables give an empty result."""
+    are found always.  Texts and items of any length are read whole.  Extra columns are ignored; empty tables give an empty
+    result."""
     tune(docs.sparkSession)
-    leaks = _leaks(docs, benchmark, similarity)
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"))
+    ids = _items(benchmark).where("item_id is not null").select("_item", "item_id").distinct()
+    leaks = _leaks(docs, benchmark, similarity).join(ids, "_item")
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_text"))
     found = rows.join(leaks, "_text").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_text")).alias("_text"), "item_id", "n_words").agg(F.max("n_matched").alias("n_matched"))
     overlap = F.col("n_matched").cast("double") / F.col("n_words")
     return found.select("doc_id", "item_id", F.col("n_matched").cast("long"), F.col("n_words").cast("long"), overlap.alias("overlap"))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows without leaks, with the columns of docs.  Every row is judged by its own text, whatever its doc_id;
-    null texts stay."""
+    """The rows without leaks, with the columns of docs.  Every row is judged by its own text, whatever its doc_id, and
+    every item counts, with an id or without; null texts stay."""
     tune(docs.sparkSession)
     (leak,) = fresh(docs, "_leak")
     leaks = _leaks(docs.select("text"), benchmark, similarity).select(F.col("_text").alias(leak)).distinct()
-    return docs.join(leaks, F.xxhash64("text") == F.col(leak), "left_anti")
+    return docs.join(leaks, text_key(F.col("text")) == F.col(leak), "left_anti")

@@ -5,7 +5,8 @@ of its words could not reach half of the share that must agree.  Their occurrenc
 which the paragraph would start, with the weight of the IDF; places up to 2 * SLACK words apart count together, so
 that inserted and left-out words are tolerated.  Where the votes reach what the other words cannot make up for, the
 whole paragraph is laid against the file.  It stands if enough of its weight agrees and its mandatory key phrase is
-there.  The IDF is that of the words among the paragraphs."""
+there, and if no word stands in it that makes another licence of it.  The IDF is that of the words among the
+paragraphs."""
 
 from __future__ import annotations
 
@@ -39,6 +40,8 @@ TEMPLATES = [
     ("gpl-3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "either version 3 of the license"),
     ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
     ("gpl-2", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "either version 2 of the license"),
+    ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license version 3"),
+    ("agpl-3", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "gnu affero general public license"),
     ("lgpl", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "gnu lesser general public license"),
     ("cc-by-nc", "licensed under cc by nc 4.0", "cc by nc"),
     ("cc-by-nc", "creative commons attribution noncommercial 4.0 international license", "creative commons attribution noncommercial"),
@@ -48,10 +51,12 @@ TEMPLATES = [
     ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "to alter it and redistribute it freely"),
     ("bsl-1", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software", "person or organization obtaining a copy of the software and accompanying documentation"),
 ]
+# Words that make another licence of a paragraph in which they stand.
+CONTRARY = set("affero lesser library organization".split())
 COMMON = set("a an and any are as at be by can for from in into is it its may not of on one or so such that the this to use was with you your".split())
 
-#: The share of a template's indexed weight that agrees.
-AGREE = 0.5
+#: The share of a template's indexed weight that agrees, and that of templates of fewer than SHORT words.
+AGREE, SHORT_AGREE, SHORT = 0.5, 0.75, 12
 #: Words by which places of one template may differ and still count together.
 SLACK = 4
 
@@ -72,14 +77,16 @@ class Template:
         self.total = sum(x for _, _, x in self.weights)
         self.key_at = next(q for q in range(len(words)) if words[q : q + len(phrase)] == phrase)
         self.key_words = {w for w in phrase if w in idf}
+        self.agree = SHORT_AGREE if len(words) < SHORT else AGREE
+        self.contrary = {w.encode() for w in CONTRARY} - set(words)
         self.rare, left = [], self.total
         for q, w, x in sorted(self.weights, key=lambda v: (-v[2], v[0])):
-            if left <= AGREE / 2 * self.total:
+            if left <= self.agree / 2 * self.total:
                 break
             self.rare.append((q, w, x))
             left -= x
         #: The votes that a place needs, as the words that are not looked up cannot make up for more.
-        self.needed = AGREE * self.total - left
+        self.needed = self.agree * self.total - left
 
     def places(self, at: dict[bytes, list[int]]) -> Iterator[int]:
         """Starts at which the votes of the rare words suffice."""
@@ -97,7 +104,9 @@ class Template:
             weight -= x * (seen[q] == 0)
 
     def agreeing(self, start: int, words: list[bytes]) -> float:
-        """The share of the weight that agrees at a start, 0 if the key phrase is not there."""
+        """The share of the weight that agrees at a start, 0 if the key phrase is not there or a contrary word is."""
+        if not self.contrary.isdisjoint(words[max(0, start) : max(0, start) + len(self.words)]):
+            return 0.0
         low, n = start + self.key_at - SLACK, len(self.phrase)
         if not any(words[k : k + n] == self.phrase for k in range(max(0, low), low + 2 * SLACK + 1)):
             return 0.0
@@ -135,7 +144,7 @@ class Index:
                     best = max(best, t.agreeing(start, words))
                     if best == 1:
                         break
-                if best >= AGREE:
+                if best >= t.agree:
                     found[t.label] = max(found.get(t.label, 0.0), best)
         return places, found
 

@@ -470,5 +470,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     (goes,) = fresh(own, "goes")
     touched, rest = may_hold(own, fates, key)
     told = touched.join(fates.withColumnRenamed("goes", goes), key, "left")
-    once = told.where(~F.col(goes)).dropDuplicates(key)
-    return rest.unionByName(told.where(F.col(goes).isNull()).unionByName(once).select(rest.columns)).select(docs.columns)
+    # Of rows that are one by text and doc_id, the same is kept in every run, whatever their order.
+    whole = F.struct(*own.columns)
+    once = told.where(~F.col(goes)).groupBy(*key).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("_kept")).select("_kept.*")
+    alone = told.where(F.col(goes).isNull()).select(rest.columns)
+    return rest.unionByName(alone).unionByName(once.select(rest.columns)).select(docs.columns)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import gzip
 import io
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from html.entities import name2codepoint
 from typing import BinaryIO
@@ -170,19 +171,118 @@ def serialize(row: dict) -> bytes:
     return gzip.compress(f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", mtime=0)
 
 
-def records_of(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record of a plain or gzipped WARC file, one record at a time."""
+class Broken(Exception):
+    """A compressed file is damaged here; reading goes on behind it."""
+
+
+class _Inflated(io.RawIOBase):
+    """The text of a gzip file of any number of members; behind a damaged one it goes on with the next."""
+
+    MAGIC = b"\x1f\x8b\x08"
+
+    def __init__(self, file: BinaryIO):
+        self.file, self.rest, self.member = file, b"", None
+
+    def readable(self) -> bool:
+        return True
+
+    def _next_member(self) -> None:
+        """Pass over bytes up to what looks like a member's begin."""
+        self.member = None
+        while (at := self.rest.find(self.MAGIC, 1)) < 0:
+            more = self.file.read(1 << 16)
+            if not more:
+                self.rest = b""
+                return
+            self.rest = self.rest[-2:] + more
+            if self.rest.startswith(self.MAGIC):
+                return
+        self.rest = self.rest[at:]
+
+    def readinto(self, out) -> int:
+        while True:
+            if not self.rest:
+                self.rest = self.file.read(1 << 16)
+                if not self.rest:
+                    if self.member is not None:
+                        self.member = None
+                        raise Broken("the file ends within a member")
+                    return 0
+            if self.member is None:
+                self.member = zlib.decompressobj(31)
+            try:
+                text = self.member.decompress(self.rest, len(out))
+            except zlib.error as e:
+                self._next_member()
+                raise Broken(str(e)) from None
+            if self.member.eof:
+                self.rest, self.member = self.member.unused_data.lstrip(b"\0"), None
+            else:
+                self.rest = self.member.unconsumed_tail
+            if text:
+                out[: len(text)] = text
+                return len(text)
+
+
+class _Lines:
+    """Lines and blocks of a stream; what was read too far is given back."""
+
+    def __init__(self, stream):
+        self.stream, self.back = stream, b""
+
+    def line(self) -> bytes:
+        at = self.back.find(b"\n")
+        if at >= 0:
+            line, self.back = self.back[: at + 1], self.back[at + 1 :]
+            return line
+        held, self.back = self.back, b""
+        return held + self.stream.readline()
+
+    def block(self, n: int) -> bytes:
+        held, self.back = self.back[:n], self.back[n:]
+        return held + (self.stream.read(n - len(held)) if n > len(held) else b"")
+
+
+#: What a record begins with, behind the end of the one before.
+_BEGIN = re.compile(rb"\r\n\r\n(?=WARC/\d)")
+
+
+def records_of(file: BinaryIO, faults: list[str] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each whole record of a plain or gzipped WARC file, one record at a time.
+
+    A record whose length is no number, negative or beyond the end of the file, and one in a damaged or cut member, is
+    left out, and its fault is added to `faults`; reading goes on with the next record, so none that is whole is lost
+    to a bad one before it."""
+    faults = [] if faults is None else faults
     start = file.read(2)
     file.seek(0)
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=file)) if start == b"\x1f\x8b" else file
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
+    lines = _Lines(io.BufferedReader(_Inflated(file)) if start == b"\x1f\x8b" else file)
+    while True:
+        try:
+            line = lines.line()
+            if not line:
+                return
+            if not line.startswith(b"WARC/"):
+                continue
+            head: dict[str, str] = {}
+            while (line := lines.line()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                head[name.strip().lower()] = value.strip()
+            length = head.get("content-length", "")
+            if not re.fullmatch(r"[0-9]{1,18}", length):
+                faults.append(f"no length: {length[:40]!r}")
+                continue
+            block = lines.block(int(length))
+            if len(block) < int(length):
+                faults.append("the file ends within a record")
+                if m := _BEGIN.search(block):
+                    lines.back = block[m.end() :]
+                continue
+        except Broken as e:
+            faults.append(str(e))
+            lines.back = b""
             continue
-        head: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.strip().lower()] = value.strip()
-        yield head, stream.read(int(head.get("content-length", 0)))
+        yield head, block
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -206,7 +306,8 @@ def write(records: DataFrame, path: str) -> None:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The response records of the WARC files at path, as responses() gives them; page_id is null.  Payloads that are
-    no UTF-8 have replacement characters, digests are of the text that is kept."""
+    no UTF-8 have replacement characters, digests are of the text that is kept.  Bad records are left out; faults()
+    tells of them."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -222,3 +323,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = files.mapInArrow(run, "record_id string, target_uri string, date string, source_headers string, payload string")
     return rows.select(F.lit(None).cast("long").alias("page_id"), "target_uri", "date", "source_headers", "payload", digest(F.col("payload")).alias("source_digest"), "record_id")
+
+
+def faults(spark: SparkSession, path: str) -> DataFrame:
+    """(path, records, faults, first): of each WARC file at path the whole records, the faulty ones and the first fault."""
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, data in zip(batch.column(0), batch.column(1)):
+                found: list[str] = []
+                whole = sum(1 for _ in records_of(io.BytesIO(data.as_py()), found))
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.string()), pa.array([whole], pa.int64()), pa.array([len(found)], pa.int64()), pa.array(found[:1] or [None], pa.string())], ["path", "records", "faults", "first"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, records long, faults long, first string")
