@@ -55,8 +55,8 @@ TEMPLATES = [
 CONTRARY = set("affero lesser library organization".split())
 COMMON = set("a an and any are as at be by can for from in into is it its may not of on one or so such that the this to use was with you your".split())
 
-#: The share of a template's indexed weight that agrees, and that of templates of fewer than SHORT words.
-AGREE, SHORT_AGREE, SHORT = 0.5, 0.75, 12
+#: The share of a template's indexed weight that agrees, and where its key phrase has fewer than SHORT words.
+AGREE, SHORT_AGREE, SHORT = 0.5, 0.75, 3
 #: Words by which places of one template may differ and still count together.
 SLACK = 4
 
@@ -77,7 +77,7 @@ class Template:
         self.total = sum(x for _, _, x in self.weights)
         self.key_at = next(q for q in range(len(words)) if words[q : q + len(phrase)] == phrase)
         self.key_words = {w for w in phrase if w in idf}
-        self.agree = SHORT_AGREE if len(words) < SHORT else AGREE
+        self.agree = SHORT_AGREE if len(phrase) < SHORT else AGREE
         self.contrary = {w.encode() for w in CONTRARY} - set(words)
         self.rare, left = [], self.total
         for q, w, x in sorted(self.weights, key=lambda v: (-v[2], v[0])):
@@ -104,13 +104,15 @@ class Template:
             weight -= x * (seen[q] == 0)
 
     def agreeing(self, start: int, words: list[bytes]) -> float:
-        """The share of the weight that agrees at a start, 0 if the key phrase is not there or a contrary word is."""
+        """The share of the weight that agrees at a start, 0 if that is too little, if the key phrase is not there or a
+        contrary word is."""
         if not self.contrary.isdisjoint(words[max(0, start) : max(0, start) + len(self.words)]):
             return 0.0
         low, n = start + self.key_at - SLACK, len(self.phrase)
         if not any(words[k : k + n] == self.phrase for k in range(max(0, low), low + 2 * SLACK + 1)):
             return 0.0
-        return sum(x for q, w, x in self.weights if w in words[max(0, start + q - SLACK) : max(0, start + q + SLACK + 1)]) / self.total
+        share = sum(x for q, w, x in self.weights if w in words[max(0, start + q - SLACK) : max(0, start + q + SLACK + 1)]) / self.total
+        return share if share >= self.agree else 0.0
 
 
 class Index:
@@ -144,7 +146,7 @@ class Index:
                     best = max(best, t.agreeing(start, words))
                     if best == 1:
                         break
-                if best >= t.agree:
+                if best:
                     found[t.label] = max(found.get(t.label, 0.0), best)
         return places, found
 
