@@ -253,3 +253,20 @@ def collect_sources(first: DataFrame, links: DataFrame, known: DataFrame, hops:
 @F.pandas_udf(T.BooleanType())
 def parses(text: pd.Series) -> pd.Series:
     return text.map(lambda t: _tree(t) is not None, na_action="ignore")
+
+
+def matrix_cells(models: DataFrame, seeds: list[int], conditions: list[str], depths: list[int], budget: int, graph: str = "B", whole: str = "E") -> DataFrame:
+    """models(…) -> a row for each model, seed and condition, and for the graph condition each depth; other conditions
+    have no depth, and whole files no budget."""
+    kinds = [(c, d) for c in conditions for d in (depths if c == graph else [None])]
+    cell = lambda c, d: F.struct(F.lit(c).alias("condition"), F.lit(d).cast("int").alias("depth"), F.lit(None if c == whole else budget).cast("int").alias("budget"))
+    rows = models.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).withColumn("_c", F.explode(F.array(*[cell(*k) for k in kinds])))
+    return rows.select("*", "_c.*").drop("_c")
+
+
+def matrix_cost(cells: DataFrame, usage: DataFrame, by: list[str]) -> DataFrame:
+    """cells(by…, input_1k, output_1k) and one row of usage(input_tokens, output_tokens, tasks), the tokens of a task on
+    average -> (by…, cells, runs, input_tokens, output_tokens, cost) of running every task in every cell."""
+    every = cells.join(F.broadcast(usage))
+    cost = F.col("tasks") * (F.col("input_tokens") * F.col("input_1k") + F.col("output_tokens") * F.col("output_1k")) / 1000
+    return every.groupBy(*by).agg(F.count("*").alias("cells"), F.sum("tasks").alias("runs"), F.sum(F.col("tasks") * F.col("input_tokens")).alias("input_tokens"), F.sum(F.col("tasks") * F.col("output_tokens")).alias("output_tokens"), F.sum(cost).alias("cost"))

@@ -166,28 +166,39 @@ def permutation(spark: SparkSession, pairs: DataFrame, key: str, trials: int = 4
     return null.join(F.broadcast(seen)).agg(F.first(F.col("seen") / F.col("n")).alias("observed"), F.avg((F.abs("s") >= F.abs("seen") - 1e-9).cast("double")).alias("p"))
 
 
-def simulate_power(spark: SparkSession, n: int, base: float, lift: float, trials: int, critical: float = 3.841458820694124, seed: int = 0) -> DataFrame:
-    """Power of a paired design: the share of simulated experiments whose corrected McNemar statistic is critical."""
-    u = lambda arm: uniform(F.lit(seed), F.lit(arm), F.col("id"))
-    cells = spark.range(trials * n).select((F.col("id") / n).cast("bigint").alias("trial"), (u("a") < base + lift).alias("a"), (u("b") < base).alias("b"))
-    per = cells.groupBy("trial").agg(F.count_if(F.col("a") & ~F.col("b")).alias("p"), F.count_if(~F.col("a") & F.col("b")).alias("m"))
+def _trials(cells: DataFrame, trials: int, seed: int) -> DataFrame:
+    """cells(…, n) -> a row for each simulated item, with two uniform numbers, which cells of one size share."""
+    u = lambda arm: uniform(F.lit(seed), F.lit(arm), F.col("_trial") * F.col("n") + F.col("_item"))
+    rows = cells.where("n > 0").withColumn("_trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).repartition("_trial")
+    return rows.withColumn("_item", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1))).withColumns({"_a": u("a"), "_b": u("b")})
+
+
+def _critical(per: DataFrame, critical: float) -> Column:
+    """Whether the corrected McNemar statistic of p and m is critical, as 0 or 1."""
     total = F.col("p") + F.col("m")
     statistic = F.when(total > 0, F.pow(F.greatest(F.abs(F.col("p") - F.col("m")) - 1, F.lit(0)).cast("double"), 2) / total).otherwise(0.0)
-    return per.agg(F.avg((statistic > critical).cast("double")).alias("power"), F.count("*").alias("trials"))
+    return (statistic > critical).cast("double")
+
 
+def simulate_power(cells: DataFrame, by: list[str], trials: int, critical: float = 3.841458820694124, seed: int = 0) -> DataFrame:
+    """cells(by…, n, base, lift) -> (by…, power, trials): the power of paired designs of n items, as the share of
+    simulated experiments whose corrected McNemar statistic is critical."""
+    a, b = F.col("_a") < F.col("base") + F.col("lift"), F.col("_b") < F.col("base")
+    per = _trials(cells, trials, seed).groupBy(*by, "_trial").agg(F.count_if(a & ~b).alias("p"), F.count_if(~a & b).alias("m"))
+    return per.groupBy(*by).agg(F.avg(_critical(per, critical)).alias("power"), F.count("*").alias("trials"))
 
-def minimum_lift(spark: SparkSession, n: int, base: float, target: float, trials: int, lifts: list[float], critical: float = 3.841458820694124, seed: int = 0) -> DataFrame:
-    """(lift, power) of the smallest of `lifts` whose simulated power reaches the target, no row if none does.  All
-    lifts share the draws of simulate_power, so every cell is drawn once and counted against each lift."""
-    u = lambda arm: uniform(F.lit(seed), F.lit(arm), F.col("id"))
-    cells = spark.range(trials * n).select((F.col("id") / n).cast("bigint").alias("trial"), u("a").alias("a"), u("b").alias("b"))
-    counts = [c for k, lift in enumerate(lifts) for c in (F.count_if((F.col("a") < base + lift) & (F.col("b") >= base)).alias(f"p{k}"), F.count_if((F.col("a") >= base + lift) & (F.col("b") < base)).alias(f"m{k}"))]
+
+def minimum_lift(cells: DataFrame, by: list[str], target: float, trials: int, lifts: list[float], critical: float = 3.841458820694124, seed: int = 0) -> DataFrame:
+    """cells(by…, n, base) -> (by…, lift, power) of the smallest of `lifts` whose simulated power reaches the target; a
+    cell of which none does gives no row.  All lifts share the draws of simulate_power, so every item is drawn once
+    and counted against each lift."""
+    a = lambda lift: F.col("_a") < F.col("base") + lift
+    b = F.col("_b") < F.col("base")
+    counts = [c for k, lift in enumerate(lifts) for c in (F.count_if(a(lift) & ~b).alias(f"p{k}"), F.count_if(~a(lift) & b).alias(f"m{k}"))]
     listed = F.array(*[F.struct(F.lit(lift).alias("lift"), F.col(f"p{k}").alias("p"), F.col(f"m{k}").alias("m")) for k, lift in enumerate(lifts)])
-    per = cells.groupBy("trial").agg(*counts).select(F.explode(listed).alias("r")).select("r.*")
-    total = F.col("p") + F.col("m")
-    statistic = F.when(total > 0, F.pow(F.greatest(F.abs(F.col("p") - F.col("m")) - 1, F.lit(0)).cast("double"), 2) / total).otherwise(0.0)
-    power = per.groupBy("lift").agg(F.avg((statistic > critical).cast("double")).alias("power")).where(F.col("power") >= target)
-    return power.agg(F.min(F.struct("lift", "power")).alias("r")).where("r is not null").select("r.*")
+    per = _trials(cells, trials, seed).groupBy(*by, "_trial").agg(*counts).select(*by, F.explode(listed).alias("r")).select(*by, "r.*")
+    power = per.groupBy(*by, "lift").agg(F.avg(_critical(per, critical)).alias("power")).where(F.col("power") >= target)
+    return power.groupBy(*by).agg(F.min(F.struct("lift", "power")).alias("r")).select(*by, "r.*")
 
 
 def chance_hits(targets: DataFrame, id_: str, line: str, lo: str, hi: str, tolerance: int, trials: int = 500, seed: int = 0) -> DataFrame:
@@ -215,14 +226,22 @@ def chance_baseline(tasks: DataFrame, tolerance: int = 5, trials: int = 500, see
     no row."""
     schema = "task string, condition string, defect_id string, rate double"
 
-    def match(defects, found) -> list[bool]:
-        free, out = list(found), []
+    def match(defects, lines, picks: np.ndarray) -> np.ndarray:
+        """Share of draws (rows of picks) that hit each defect: all draws of a task at once, defect by defect."""
+        codes = {p: k for k, p in enumerate({x["path"] for x in lines if x["path"]})}
+        path = np.array([codes.get(x["path"], -1) for x in lines])[picks]
+        at = np.array([-(1 << 40) if x["line"] is None else x["line"] for x in lines])[picks]
+        free, out, every = np.ones(picks.shape, bool), [], np.arange(len(picks))
         for d in defects:
-            near = [(abs(f[1] - d["line"]), k) for k, f in enumerate(free) if f is not None and d["line"] is not None and f[0] == d["path"] != "" and abs(f[1] - d["line"]) <= tolerance]
-            out.append(bool(near))
-            if near:
-                free[min(near)[1]] = None
-        return out
+            if d["line"] is None or d["path"] not in codes:
+                out.append(0.0)
+                continue
+            far = np.where(free & (path == codes[d["path"]]), np.abs(at - d["line"]), 1 << 50)
+            best = far.argmin(axis=1)
+            hit = far[every, best] <= tolerance
+            free[every[hit], best[hit]] = False
+            out.append(float(hit.mean()))
+        return np.array(out)
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,8 +250,8 @@ def chance_baseline(tasks: DataFrame, tolerance: int = 5, trials: int = 500, see
                 lines, defects, k = r["lines"] or [], r["defects"] or [], int(r["findings"] or 0)
                 if lines and defects:
                     picks = numbers(seed, [f"{r['task']}|{r['condition']}"], trials * k)[0].reshape(trials, k) % len(lines)
-                    hits = np.sum([match(defects, [(lines[i]["path"], lines[i]["line"]) for i in p]) for p in picks], axis=0) if k else np.zeros(len(defects))
-                    rows += [(r["task"], r["condition"], d["defect_id"], float(h) / trials) for d, h in zip(defects, hits)]
+                    hits = match(defects, lines, picks) if k else np.zeros(len(defects))
+                    rows += [(r["task"], r["condition"], d["defect_id"], float(h)) for d, h in zip(defects, hits)]
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.float64()])], ["task", "condition", "defect_id", "rate"])
 

@@ -1,9 +1,10 @@
-"""More registered queries: run comparison, clustered intervals, reviews as state, selections."""
+"""More registered queries: run comparison, clustered intervals, reviews as state, selections, sources with braces."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import code
 from ..operators import resample, rundiff, selection
 from ..streaming import reviews
 from .registry import RUNS, _boot, query, r6, runs, t
@@ -187,3 +188,40 @@ def folder_sizes(spark, d):
  select repo, '{{' || string_agg('"' || name || '":' || info, ',' order by name) || '}}' as structure from (select * from one union all select repo, ps[1], bytes::varchar from p where len(ps) = 1) group by repo""")
 def nested_structure(spark, d):
     return selection.structure(tree_files(spark, d).withColumn("info", F.col("bytes").cast("string")))
+
+
+# ---------------------------------------------------------------- sources in languages with braces
+
+_KEY = "c_custkey"
+BRACED = {
+    "js": "import lib from './lib{0}'\nclass Shape{0} extends Base{0} {{\n  area(r) {{ this.total = scale{0}(r); return this.unit.of(r); }}\n}}\nconst make{0} = (a) => {{\n  return new Shape{0}(lift{0}(a));\n}};\n",
+    "java": "import lib.Tool{0};\n/* class No {{}} */\npublic class Box{0}<T> extends Base{0}<T> {{\n  @Override\n  int size(List<T> all, int n) throws E {{\n    int k = n + all.size();\n    return Tool{0}.clip(k, \"}}\");\n  }}\n}}\n",
+    "c": "#include \"tool{0}.h\"\nint run{0}(struct node *n, int k) {{\n  n->count += k;\n  return step{0}(n, '}}');\n}}\n",
+}
+#: kind, name, owner, receiver, first and last line of what each file has; @ stands for its key.
+_EXPECTED = {
+    "js": [
+        ("def", "Shape@", None, None, 2, 4), ("inherits", "Base@", "Shape@", None, 2, 4), ("def", "area", "Shape@", None, 3, 3), ("read", "r", "area", None, 3, 3), ("write", "this.total", "area", None, 3, 3), ("call", "scale@", "area", None, 3, 3), ("read", "scale@", "area", None, 3, 3), ("read", "r", "area", None, 3, 3), ("read", "this.unit", "area", None, 3, 3), ("call", "of", "area", "this.unit", 3, 3), ("read", "r", "area", None, 3, 3),
+        ("def", "make@", None, None, 5, 7), ("read", "a", "make@", None, 5, 5), ("read", "Shape@", "make@", None, 6, 6), ("call", "lift@", "make@", None, 6, 6), ("read", "lift@", "make@", None, 6, 6), ("read", "a", "make@", None, 6, 6), ("import", "import lib from './lib@'", None, None, 1, 1),
+    ],
+    "java": [
+        ("def", "Box@", None, None, 3, 9), ("inherits", "Base@", "Box@", None, 3, 9), ("def", "size", "Box@", None, 4, 8), ("read", "all", "size", None, 5, 5), ("read", "n", "size", None, 5, 5), ("write", "k", "size", None, 6, 6), ("read", "n", "size", None, 6, 6), ("read", "all", "size", None, 6, 6), ("call", "size", "size", "all", 6, 6),
+        ("read", "Tool@", "size", None, 7, 7), ("call", "clip", "size", "Tool@", 7, 7), ("read", "k", "size", None, 7, 7), ("import", "import lib.Tool@;", None, None, 1, 1),
+    ],
+    "c": [
+        ("def", "run@", None, None, 2, 5), ("read", "n", "run@", None, 2, 2), ("read", "k", "run@", None, 2, 2), ("read", "n", "run@", None, 3, 3), ("write", "n->count", "run@", None, 3, 3), ("read", "k", "run@", None, 3, 3), ("call", "step@", "run@", None, 4, 4), ("read", "step@", "run@", None, 4, 4), ("read", "n", "run@", None, 4, 4), ("import", "#include \"tool@.h\"", None, None, 1, 1),
+    ],
+}
+_quoted = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
+_ROWS = ", ".join(f"({_quoted(lang)}, {_quoted(kind)}, {_quoted(name)}, {_quoted(owner)}, {_quoted(receiver)}, {first}, {last})" for lang, rows in _EXPECTED.items() for kind, name, owner, receiver, first, last in rows)
+
+
+@query(f"""select c_custkey || '.' || lang as file, kind, replace(name, '@', c_custkey::varchar) as name, replace(owner, '@', c_custkey::varchar) as owner, replace(receiver, '@', c_custkey::varchar) as receiver, first, last, count(*) as n
+ from customer cross join (values {_ROWS}) as x(lang, kind, name, owner, receiver, first, last) group by all""")
+def brace_tags(spark, d):
+    """A file in each language for every customer."""
+    key = F.col(_KEY).cast("string")
+    fill = lambda text: F.concat(*[x for k, part in enumerate(text.replace("{{", "{").replace("}}", "}").split("{0}")) for x in ([key] if k else []) + [F.lit(part)]])
+    files = F.array(*[F.struct(F.concat(key, F.lit("." + lang)).alias("path"), fill(body).alias("text")) for lang, body in BRACED.items()])
+    sources = t(spark, d, "customer").select(F.lit("r").alias("repo"), F.explode(files).alias("f")).select("repo", "f.*")
+    return code.parse_tags(sources).groupBy("file", "kind", "name", "owner", "receiver", "first", "last").agg(F.count("*").alias("n"))

@@ -674,10 +674,10 @@ def rendered_evidence(spark, d):
     return relations(spark, d).select("k", evidence.rendered(F.col("snippets")).alias("shown"))
 
 
-@query("with l as (select doc_id, string_split(text, chr(10)) as lines, 1 + doc_id % 9 as mid from documents where text is not null) select doc_id, greatest(1, mid - 2)::int as first, least(len(lines), mid + 2)::int as last, array_to_string(lines[greatest(1, mid - 2) : greatest(least(len(lines), mid + 2), greatest(1, mid - 2) - 1)], chr(10)) as text, array_to_string(lines[1:3], chr(10)) || case when len(lines) - (lines[-1] = '')::int > 3 then chr(10) || '    # ... ' || (len(lines) - (lines[-1] = '')::int - 3) || ' more lines' else '' end as head from l where mid - 2 <= len(lines) and not contains(array_to_string(lines, ''), chr(13))")
+@query("with l as (select doc_id, string_split(text, chr(10)) as lines, 1 + doc_id % 9 as mid from documents where text is not null) select doc_id, greatest(1, mid - 2)::int as first, least(len(lines), mid + 2)::int as last, array_to_string(lines[greatest(1, mid - 2) : greatest(least(len(lines), mid + 2), greatest(1, mid - 2) - 1)], chr(10)) as text, array_to_string(lines[1:3], chr(10)) || case when len(lines) - (lines[-1] = '')::int > 3 then chr(10) || '    # ... ' || (len(lines) - (lines[-1] = '')::int - 3) || ' more lines' else '' end as head from l where mid - 2 <= len(lines)")
 def source_windows(spark, d):
     rows = t(spark, d, "documents").where("text is not null").withColumn("at", (1 + F.col("doc_id") % 9).cast("int")).withColumn("w", text.window(F.col("text"), F.col("at"), 2))
-    rows = rows.where((F.col("at") - 2 <= F.size(F.split("text", "\n"))) & ~F.contains("text", F.lit("\r")))
+    rows = rows.where(F.col("at") - 2 <= F.size(F.split("text", "\n")))
     head = F.regexp_replace(text.cut(F.col("text"), 3), r"\n$", "")
     return rows.select("doc_id", "w.first", "w.last", F.col("w.text").alias("text"), text.cut(F.col("text"), 3).alias("head"))
 
@@ -776,11 +776,11 @@ def find_chains(spark, d):
     return generate.find_chains(src, code.parse_tags(src), 8, least=1).select("repo", "kind", "via_path", "via_line", "caller_path", "caller_line")
 
 
-@query("select o_orderkey as k, 'diff --git a/x.py b/x.py' || chr(10) || '--- a/x.py' || chr(10) || '+++ b/x.py' || chr(10) || case when o_custkey % 20 < 7 then '@@ -' || o_custkey % 20 || ',1 +' || o_custkey % 20 || ',1 @@' || chr(10) || '-old' || chr(10) || '+new' || chr(10) else '' end || '@@ -7,1 +7,1 @@' || chr(10) || '-a' || chr(10) || '+b' || chr(10) || case when o_custkey % 20 > 7 then '@@ -' || o_custkey % 20 || ',1 +' || o_custkey % 20 || ',1 @@' || chr(10) || '-old' || chr(10) || '+new' || chr(10) else '' end as diff from orders where o_custkey % 20 <> 7")
+@query("select o_orderkey as k, 'diff --git a/x.py b/x.py' || chr(10) || '--- a/x.py' || chr(10) || '+++ b/x.py' || chr(10) || case when o_custkey % 20 < 7 then '@@ -' || o_custkey % 20 || ',1 +' || o_custkey % 20 || ',1 @@' || chr(10) || '-old' || chr(10) || '+new' || chr(10) else '' end || '@@ -7,1 +7,1 @@' || chr(10) || '-a' || chr(10) || '+b' || chr(10) || case when o_custkey % 20 >= 7 then '@@ -' || o_custkey % 20 || ',1 +' || o_custkey % 20 || ',1 @@' || chr(10) || '-old' || chr(10) || '+new' || chr(10) else '' end as diff from orders")
 def build_diff(spark, d):
     line = (F.col("o_custkey") % 20).cast("int")
     others = F.array(F.struct(F.lit(7).alias("line"), F.lit("a").alias("before"), F.lit("b").alias("after")))
-    return t(spark, d, "orders").where("o_custkey % 20 != 7").select(F.col("o_orderkey").alias("k"), generate.build_diff(F.lit("x.py"), line, F.lit("old"), F.lit("new"), others).alias("diff"))
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), generate.build_diff(F.lit("x.py"), line, F.lit("old"), F.lit("new"), others).alias("diff"))
 
 
 # ---------------------------------------------------------------- the store
@@ -852,9 +852,9 @@ def with_source(spark, d):
     return store.with_source(part, extra, "p_partkey", ["author"], "remote")
 
 
-@query("select doc_id, 1 as first, least(2, len(string_split(text, chr(10))))::int as last, array_to_string(string_split(text, chr(10))[1:2], chr(10)) as content from documents where doc_id % 2 = 0 and text is not null and not contains(text, chr(13)) and text <> ''")
+@query("select doc_id, 1 as first, least(2, len(string_split(text, chr(10))))::int as last, array_to_string(string_split(text, chr(10))[1:2], chr(10)) as content from documents where text is not null")
 def read_lines(spark, d):
-    rows = t(spark, d, "documents").where("doc_id % 2 = 0 and text is not null and text != ''").where(~F.contains("text", F.lit("\r"))).select("doc_id", "text")
+    rows = t(spark, d, "documents").where("text is not null").select("doc_id", "text")
     return retrieve.read_lines(rows, "text", "doc_id", 1, 2)
 
 
@@ -916,14 +916,14 @@ def model_hits(spark, d):
     return bench.hits_of(defects, found)
 
 
-@query("""with o as (select o_orderkey as task, (o_custkey % 60 + 1)::int as line, (o_custkey % 3)::int as k from orders where o_orderkey % 20 = 0), h as (select task, line, k, md5('0|' || blk || '|' || task || '|A') as h, blk from o cross join (select unnest(range(0, 375)) as blk)),
+@query("""with o as (select o_orderkey as task, (o_custkey % 60 + 1)::int as line, (o_custkey % 3)::int as k from orders), h as (select task, line, k, md5('0|' || blk || '|' || task || '|A') as h, blk from o cross join (select unnest(range(0, 375)) as blk)),
  n as (select task, line, k, blk * 4 + i as j, ('0x' || substr(h, i * 8 + 1, 8))::bigint % 60 + 1 as found from h cross join (select unnest(range(0, 4)) as i)), u as (select task, j // k as draw, bool_or(abs(found - line) <= 5) as hit from n where k > 0 and j < 500 * k group by all)
  select o.task::varchar as task, round(coalesce((select avg(hit::int) from u where u.task = o.task), 0), 6) as rate from o""")
 def chance_rematch(spark, d):
     """Random findings on the lines of a diff, as many as the review had, matched to the task's defect."""
     lines = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.struct(F.lit("x.py").alias("path"), i.alias("line")))
     defects = F.array(F.struct(F.lit("d").alias("defect_id"), F.lit("x.py").alias("path"), (F.col("o_custkey") % 60 + 1).cast("int").alias("line")))
-    tasks = t(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").cast("string").alias("task"), F.lit("A").alias("condition"), lines.alias("lines"), defects.alias("defects"), (F.col("o_custkey") % 3).cast("int").alias("findings"))
+    tasks = t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("task"), F.lit("A").alias("condition"), lines.alias("lines"), defects.alias("defects"), (F.col("o_custkey") % 3).cast("int").alias("findings"))
     return resample.chance_baseline(tasks, 5, 500).select("task", r6("rate").alias("rate"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import graph, match, paired, resample, retrieve, roc, rollup
+from ..operators import audit, graph, match, paired, resample, retrieve, roc, rollup
 from ..session import ship
 from ..streaming import dedupe_events, review_state
 from .sqlmath import probit_sql
@@ -208,10 +208,20 @@ def permutation_test(spark, d):
     return out.select(r6("observed").alias("observed"), r6("p").alias("p"))
 
 
-@query(f"""with c as (select i // 200 as trial, {_u32("'0|a|' || i")} / 4294967296.0 < 0.5 as a, {_u32("'0|b|' || i")} / 4294967296.0 < 0.35 as b from (select unnest(range(0, 20000)) as i)), s as (select trial, count(*) filter (where a and not b) as p, count(*) filter (where b and not a) as m from c group by trial)
- select round(avg((case when p + m > 0 then power(greatest(abs(p - m) - 1, 0), 2) / (p + m) else 0 end > 3.841458820694124)::int), 6) as power, count(*) as trials from s""")
+#: Power cells: an arm with as many items as there are clusters in it, and its rate of hits.
+POWER_CELLS = RUNS + f""", cells as (select arm, count(distinct cluster) as n, round(avg(hit::int), 2) as base from runs group by arm),
+ items as (select arm, n, base, trial, trial * n + item as id from (select *, unnest(range(0, n)) as item from (select *, unnest(range(0, 100)) as trial from cells))), c as (select *, {_u32("'0|a|' || id")} / 4294967296.0 as a, {_u32("'0|b|' || id")} / 4294967296.0 as b from items)"""
+_CRITICAL = "avg((case when p + m > 0 then power(greatest(abs(p - m) - 1, 0), 2) / (p + m) else 0 end > 3.841458820694124)::int)"
+
+
+def power_cells(spark, d):
+    return runs(spark, d).groupBy("arm").agg(F.countDistinct("cluster").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 2).alias("base"))
+
+
+@query(POWER_CELLS + f", s as (select arm, trial, count(*) filter (where a < base + 0.25 and b >= base) as p, count(*) filter (where b < base and a >= base + 0.25) as m from c group by arm, trial) select arm, round({_CRITICAL}, 6) as power, count(*) as trials from s group by arm")
 def power(spark, d):
-    return resample.simulate_power(spark, 200, 0.35, 0.15, 100).select(r6("power").alias("power"), "trials")
+    cells = power_cells(spark, d).withColumn("lift", F.lit(0.25))
+    return resample.simulate_power(cells, ["arm"], 100).select("arm", r6("power").alias("power"), "trials")
 
 
 # ---------------------------------------------------------------- ROC and signal detection
@@ -318,12 +328,11 @@ def difference_of_differences(spark, d):
     return out.select(r6("point").alias("point"), "n", r6("low").alias("low"), r6("high").alias("high"))
 
 
-@query(f"""with c as (select i // 200 as trial, {_u32("'0|a|' || i")} / 4294967296.0 as a, {_u32("'0|b|' || i")} / 4294967296.0 as b from (select unnest(range(0, 20000)) as i)), l as (select unnest(range(1, 31)) / 100.0 as lift),
- s as (select lift, trial, count(*) filter (where a < 0.35 + lift and b >= 0.35) as p, count(*) filter (where b < 0.35 and a >= 0.35 + lift) as m from c cross join l group by lift, trial),
- w as (select lift, avg((case when p + m > 0 then power(greatest(abs(p - m) - 1, 0), 2) / (p + m) else 0 end > 3.841458820694124)::int) as power from s group by lift)
- select lift, round(power, 6) as power from w where power >= 0.8 order by lift limit 1""")
+@query(POWER_CELLS + f""", l as (select unnest(range(1, 51)) / 100.0 as lift), s as (select arm, lift, trial, count(*) filter (where a < base + lift and b >= base) as p, count(*) filter (where b < base and a >= base + lift) as m from c cross join l group by arm, lift, trial),
+ w as (select arm, lift, {_CRITICAL} as power from s group by arm, lift) select arm, round(lift::double, 6) as lift, round(power, 6) as power from w where power >= 0.5 qualify row_number() over (partition by arm order by lift) = 1""")
 def minimum_lift(spark, d):
-    return resample.minimum_lift(spark, 200, 0.35, 0.8, 100, [k / 100 for k in range(1, 31)]).select("lift", r6("power").alias("power"))
+    out = resample.minimum_lift(power_cells(spark, d), ["arm"], 0.5, 100, [k / 100 for k in range(1, 51)])
+    return out.select("arm", r6("lift").alias("lift"), r6("power").alias("power"))
 
 
 CHANCE_DRAWS = 500
@@ -645,10 +654,16 @@ def day_patterns(spark, d):
     return p.groupBy("pattern").agg(F.count("*").alias("users"))
 
 
-@query("select d as depth, round(sum(case when g = 'A' then 0 else 0.25 * d end + 1.5)::double, 6) as cost, count(*) as cells from (select unnest(['A', 'B', 'C', 'D']) as g), (select unnest([1, 2, 3]) as d) group by 1")
+@query("""with m as (select n_nationkey as model, (n_nationkey + 1) / 100.0 as in_1k, (n_nationkey + 1) / 25.0 as out_1k from nation), c as (select model, in_1k, out_1k, seed, condition, depth, case when condition <> 'E' then 1500 end as budget from m, (select unnest([0, 1, 2]) as seed), (select 'B' as condition, unnest([1, 2, 3]) as depth union all select unnest(['A', 'C', 'E']), null)),
+ u as (select floor(avg(l_quantity) * 100)::bigint as tin, floor(avg(l_tax) * 5000)::bigint as tout, count(distinct l_orderkey) as tasks from lineitem) select model, condition, depth, budget, count(*) as cells, sum(tasks)::bigint as runs, sum(tin * tasks)::bigint as input_tokens, round(sum(tasks * (tin * in_1k + tout * out_1k) / 1000)::double, 4) as cost from c, u group by model, condition, depth, budget""")
 def run_matrix(spark, d):
-    cells = spark.range(1).select(F.explode(F.array(*map(F.lit, "ABCD"))).alias("g")).select("g", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("depth"))
-    return cells.groupBy("depth").agg(r6(F.sum(F.when(F.col("g") == "A", 0.0).otherwise(0.25 * F.col("depth")) + 1.5)).alias("cost"), F.count("*").alias("cells"))
+    """Nations as models with prices; usage and tasks are those of the order lines."""
+    n = F.col("n_nationkey")
+    models = t(spark, d, "nation").select(n.alias("model"), ((n + 1) / 100).alias("input_1k"), ((n + 1) / 25).alias("output_1k"))
+    usage = t(spark, d, "lineitem").agg(F.floor(F.avg("l_quantity") * 100).alias("input_tokens"), F.floor(F.avg("l_tax") * 5000).alias("output_tokens"), F.countDistinct("l_orderkey").alias("tasks"))
+    cells = audit.matrix_cells(models, [0, 1, 2], ["A", "B", "C", "E"], [1, 2, 3], 1500)
+    out = audit.matrix_cost(cells, usage, ["model", "condition", "depth", "budget"])
+    return out.select("model", "condition", "depth", "budget", "cells", "runs", "input_tokens", F.round("cost", 4).alias("cost"))
 
 
 @query("select r_name, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_acctbal > 0 group by 1")
