@@ -199,10 +199,17 @@ def flipped(tests: DataFrame, by: list[str]) -> DataFrame:
 
 def select_tests(files: DataFrame, words: DataFrame, limit: int = 10) -> DataFrame:
     """files(repo, path, text), words(task_id, repo, words array) -> (task_id, path, score, rank): the test files that
-    have a task's words most often, as whole words; later paths first among equals."""
-    tests = files.where(F.col("path").rlike(r"(^|/)test_[^/]*\.py$"))
+    have a task's words most often, as whole words; later paths first among equals.
+
+    Test files are split into tokens once, and a task meets only the files that have the first token of one of its
+    words; a word without letters and digits meets all.  In these the words are counted as they are written."""
+    tests = files.where(F.col("path").rlike(r"(^|/)test_[^/]*\.py$")).select("repo", "path", "text")
+    token = r"(?U)\w+"
+    known = tests.select("repo", "path", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(token), 0)))).alias("_token"))
+    asked = words.select("task_id", "repo", F.explode(F.array_distinct(F.transform("words", lambda w: F.regexp_extract(w, token, 0)))).alias("_token"))
+    pairs = asked.join(known, ["repo", "_token"]).select("task_id", "repo", "path").distinct()
     pattern = F.concat(F.lit(r"(?U)\b(?:\Q"), F.array_join("words", r"\E|\Q"), F.lit(r"\E)\b"))
-    scored = words.join(tests, "repo").withColumn("score", F.regexp_count("text", pattern)).where("score > 0")
+    scored = pairs.join(words, ["task_id", "repo"]).join(tests, ["repo", "path"]).withColumn("score", F.regexp_count("text", pattern)).where("score > 0")
     order = W.partitionBy("task_id").orderBy(F.desc("score"), F.desc("path"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("task_id", "path", "score", "rank")
 

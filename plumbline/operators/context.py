@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,13 +94,22 @@ def query_terms(node: Column) -> Column:
     return F.transform(words, lambda w: F.lower(w))
 
 
+#: Letters of a term by whose beginning it looks up names.
+GRAM = 3
+
+
 def lexical(nodes: DataFrame, queries: DataFrame, found: DataFrame, limit: int, types: list[str] | None = None) -> DataFrame:
     """(query, repo, id, rank): nodes of the query's repository whose names have most of its terms, shorter names and
-    then smaller ids first; seeds and names without a term are left out."""
+    then smaller ids first; seeds and names without a term are left out.
+
+    A term meets the names that hold its first letters, in an equi-join on the names' parts, not all of a repository."""
     pool = _pool(nodes, types).select("repo", "id", F.lower("name").alias("low"))
-    asked = queries.select("query", "repo", query_terms(F.coalesce("node", F.lit(""))).alias("terms")).where("size(terms) > 0")
-    score = F.size(F.filter("terms", lambda t: F.contains("low", t)))
-    scored = asked.join(pool, "repo").withColumn("score", score).where("score > 0")
+    places = F.sequence(F.lit(1), F.length("low"))
+    of_length = lambda n: F.transform(places, lambda i: F.substring("low", i, F.lit(n)))
+    parts = F.array_distinct(F.flatten(F.array(*map(of_length, range(1, GRAM + 1)))))
+    held = pool.where("low != ''").select("repo", "id", "low", F.explode(parts).alias("_part"))
+    asked = queries.select("query", "repo", F.posexplode(query_terms(F.coalesce("node", F.lit("")))).alias("_k", "_term")).withColumn("_part", F.substring("_term", 1, GRAM))
+    scored = asked.join(held, ["repo", "_part"]).where(F.contains("low", F.col("_term"))).groupBy("query", "repo", "id", "low").agg(F.count("*").cast("int").alias("score"))
     scored = _without(scored, found)
     order = W.partitionBy("query").orderBy(F.desc("score"), F.length("low"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "repo", "id", "score", "rank")
@@ -131,14 +141,49 @@ def hashing_embedder(text: pd.Series) -> pd.Series:
     return text.fillna("").map(lambda t: hashing_vector(t).tolist())
 
 
+#: Nodes of a repository whose vectors are one matrix.
+MATRIX = 16_384
+
+
+def _best_of_matrix(limit: int):
+    """Nodes (id, v) and queries (query, q, seeds) of one block of a repository -> each query's best nodes there."""
+
+    def run(pool: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if pool.num_rows and asked.num_rows:
+            of = lambda table, name: np.stack(table[name].combine_chunks().to_numpy(zero_copy_only=False))
+            ids = np.array(pool["id"].to_pylist(), object)
+            vectors = of(pool, "v").T
+            by_id = np.argsort(np.argsort(ids.astype(str), kind="stable"))
+            for a in range(0, asked.num_rows, 256):
+                part = asked.slice(a, 256)
+                scores = np.round(of(part, "q") @ vectors, 9)
+                for query, repo, seeds, row in zip(part["query"].to_pylist(), part["repo"].to_pylist(), part["seeds"].to_pylist(), scores):
+                    gone = set(seeds or ())
+                    order = np.lexsort((by_id, -row))[: limit + len(gone)]
+                    out += [(query, repo, ids[k], float(row[k])) for k in order if ids[k] not in gone][:limit]
+        columns = list(zip(*out)) or [()] * 4
+        return pa.table({n: pa.array(c, kind) for n, c, kind in zip(("query", "repo", "id", "score"), columns, (asked.schema.field("query").type, asked.schema.field("repo").type, pool.schema.field("id").type, pa.float64()))})
+
+    return run
+
+
 def dense(nodes: DataFrame, queries: DataFrame, found: DataFrame, limit: int, types: list[str] | None = None, embed=hashing_embedder) -> DataFrame:
     """(query, repo, id, score, rank): nodes of the query's repository by the cosine of the embeddings of their name,
-    type and path and of the query's terms; equal scores by id, seeds are left out."""
+    type and path and of the query's terms; equal scores by id, seeds are left out.
+
+    The nodes of a repository are matrices of bounded size, each of which meets the repository's queries in one task
+    and gives its own best; these are merged."""
     pool = _pool(nodes, types).select("repo", "id", embed(F.concat_ws(" ", "name", "type", "relative_path")).alias("v"))
+    blocks = _pool(nodes, types).groupBy("repo").agg(F.ceil(F.count("*") / MATRIX).cast("int").alias("_blocks"))
     terms = F.array_join(query_terms(F.coalesce("node", F.lit(""))), " ")
-    asked = queries.select("query", "repo", embed(F.when(terms != "", terms).otherwise(F.coalesce("node", F.lit("")))).alias("q"))
-    cosine = F.round(F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 9)
-    scored = _without(asked.join(materialize(pool, "vectors"), "repo").select("query", "repo", "id", cosine.alias("score")), found)
+    seeds_ = found.groupBy("query").agg(F.collect_set("id").alias("seeds"))
+    asked = queries.select("query", "repo", embed(F.when(terms != "", terms).otherwise(F.coalesce("node", F.lit("")))).alias("q")).join(seeds_, "query", "left")
+    pool = pool.join(blocks, "repo").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    asked = asked.join(blocks, "repo").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    kinds = {**dict(nodes.dtypes), **dict(queries.dtypes)}
+    schema = f"query {kinds['query']}, repo {kinds['repo']}, id {dict(nodes.dtypes)['id']}, score double"
+    scored = pool.groupBy("repo", "_block").cogroup(asked.groupBy("repo", "_block")).applyInArrow(_best_of_matrix(limit), schema)
     order = W.partitionBy("query").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
