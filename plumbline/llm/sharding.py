@@ -90,15 +90,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of docs.
 
     Null texts count as empty: 0 bytes, CRC 0, one group with the empty texts.  Equal texts share a shard, whatever
-    their doc_id; rows that repeat a doc_id or have none each get a slot.  An empty table gives an empty result."""
+    their doc_id; rows that repeat a doc_id or have none each get a slot.  Texts of any length are read for their size, CRC and hash
+    only.  Texts of one size go in the order of their hashes, so ties are decided by content; extra columns are
+    ignored; an empty table gives an empty result."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
         F.col("doc_id").cast("long"),
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.substring(F.sha2(text, 256), 1, 32).alias("key"),
-        # Tells rows without an id apart, so that equal ones do not share a bucket; fixed by the table below.
-        F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row"),
+        # Tells equal rows apart, so that they do not share a bucket; fixed by the table below.
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = materialize(rows, "shard-rows")
     groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")

@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from plumbline.llm import decontaminate, license_scan, simhash, warc
+from plumbline.llm import decontaminate, license_scan, sharding, simhash, warc
 
 ITEM = "what is the capital city of the small country that lies between the two great lakes"
 
@@ -88,3 +88,17 @@ def test_of_rows_with_one_text_and_id_the_same_is_kept_in_every_order(spark):
     schema = "doc_id long, text string, source string"
     kept = [sorted(map(tuple, simhash.keep_one(spark.createDataFrame(order, schema).repartition(n)).collect())) for order, n in ((rows, 1), (rows[::-1], 3), (sorted(rows, key=lambda r: r[2]), 5))]
     assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+
+
+def test_equal_rows_of_one_id_are_numbered_without_meeting_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 10)
+    docs = spark.createDataFrame([(7, "the same text")] * 600 + [(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    got = sharding.shard_by_bytes(docs, 6).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 900 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert len({r.shard for r in got if r.doc_id == 7 and r.size == 13 + 16}) == 1
+    rows = spark.createDataFrame([(0, 7, "k", i) for i in range(600)], "shard int, doc_id long, key string, row long")
+    buckets = sharding._ranked(rows, ["shard"], ["doc_id", "key", "row"], "slot", 600)
+    assert sorted(r.slot for r in buckets.collect()) == list(range(600))
