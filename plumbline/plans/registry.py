@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import audit, graph, match, paired, resample, retrieve, roc, rollup
+from ..operators import audit, graph, match, paired, resample, retrieve, roc, rollup, summary
 from ..session import ship
 from ..streaming import dedupe_events, review_state
 from .sqlmath import probit_sql
@@ -132,9 +132,7 @@ def condition_summary(spark, d):
 
 @query(RUNS + ", m as (select arm, avg(score) as context from runs group by arm) select round((max(context) - min(context)) / max(context), 6) as spread, (max(context) - min(context)) / max(context) <= 0.1 as parity from m")
 def context_parity(spark, d):
-    m = runs(spark, d).groupBy("arm").agg(F.avg("score").alias("context"))
-    spread = (F.max("context") - F.min("context")) / F.max("context")
-    return m.agg(r6(spread).alias("spread"), (spread <= 0.1).alias("parity"))
+    return summary.parity(runs(spark, d), "arm", "score").select(r6("spread").alias("spread"), "parity")
 
 
 @query("select count(*) as n, round(avg((quality = toxic)::int), 6) as agreement, round((avg((quality = toxic)::int) - (avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)))) / (1 - (avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)))), 6) as kappa from labels where quality is not null and toxic is not null")
@@ -144,7 +142,7 @@ def kappa(spark, d):
 
 @query("select quality, toxic, count(*) as n from labels group by all")
 def confusion(spark, d):
-    return t(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+    return summary.confusion(t(spark, d, "labels"), "quality", "toxic")
 
 
 @query("with s as (select count(*) as n, count(*) filter (where quality = 1) as k from labels), p as (select n, k, k / n as p, 1.959963984540054 as z from s) select n, k, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) as low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) as high from p")
@@ -281,10 +279,7 @@ def top_values(spark, d):
 
 @query(RUNS + ", m as (select arm, quantile_cont(score::double, 0.5) as med from runs group by arm) select r.arm, case when score > med then 'long' else 'short' end as class, count(*) as n, round(avg(hit::int), 6) as rate from runs r join m on r.arm = m.arm group by all union all select arm, 'all', count(*), round(avg(hit::int), 6) from runs group by arm")
 def long_short(spark, d):
-    rows = runs(spark, d)
-    med = rows.groupBy("arm").agg(F.percentile("score", 0.5).alias("med"))
-    labelled = rows.join(med, "arm").withColumn("class", F.explode(F.array(F.lit("all"), F.when(F.col("score") > F.col("med"), "long").otherwise("short"))))
-    return labelled.groupBy("arm", "class").agg(F.count("*").alias("n"), r6(F.avg(F.col("hit").cast("int"))).alias("rate"))
+    return summary.long_short(runs(spark, d), "arm", "score", F.col("hit").cast("int")).select("arm", "class", "n", r6("rate").alias("rate"))
 
 
 ROC_TRIALS = 6000
@@ -406,11 +401,8 @@ def innermost_interval(spark, d):
 
 @query("with f as (select l_orderkey as task, array_agg(distinct l_suppkey) as names from lineitem group by 1) select count(*) filter (where len(list_intersect(f.names, g.names)) > 0) as tp, count(*) filter (where len(list_intersect(f.names, g.names)) = 0) as fn from f join (select l_orderkey as task, array_agg(distinct l_suppkey) as names from lineitem where l_returnflag = 'R' group by 1) g using (task)")
 def set_compare(spark, d):
-    li = t(spark, d, "lineitem")
-    got = li.groupBy(F.col("l_orderkey").alias("task")).agg(F.collect_set("l_suppkey").alias("a"))
-    truth = li.where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("task")).agg(F.collect_set("l_suppkey").alias("b"))
-    both = got.join(truth, "task").select(F.arrays_overlap("a", "b").alias("hit"))
-    return both.agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fn"))
+    li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), "l_suppkey", "l_returnflag")
+    return summary.overlap_counts(li, li.where("l_returnflag = 'R'"), "task", "l_suppkey")
 
 
 # ---------------------------------------------------------------- graphs
@@ -584,7 +576,7 @@ def upsert_non_null(spark, d):
 
 @query("select conv_id, max(turn) as last_turn, count(*) as comments, count(*) filter (where role = 'user') as asked from conversations group by 1")
 def thread_last_activity(spark, d):
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count("*").alias("comments"), F.count_if(F.col("role") == "user").alias("asked"))
+    return summary.last_activity(t(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "user").withColumnRenamed("last", "last_turn")
 
 
 @query("select c_custkey, coalesce(n, 0) as orders from customer left join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey")
@@ -629,7 +621,7 @@ def admin_search(spark, d):
 @query("select (select count(*) from customer) as users, (select count(*) from orders) as repositories, (select count(*) from lineitem) as reviews, (select count(*) from events) as events")
 def table_counts(spark, d):
     names = {"users": "customer", "repositories": "orders", "reviews": "lineitem", "events": "events"}
-    return spark.range(1).select(*[t(spark, d, table).select(F.count("*")).scalar().alias(name) for name, table in names.items()])
+    return summary.table_counts({name: t(spark, d, table) for name, table in names.items()})
 
 
 @query("select event_id, user_id, event_type from (select * from events union all select * from events) qualify row_number() over (partition by event_id order by ts, user_id) = 1")
@@ -645,13 +637,13 @@ def review_states(spark, d):
 
 @query("select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(max(value), 6) as highest, round(quantile_cont(value::double, 0.5), 6) as median from events group by all")
 def day_split(spark, d):
-    return t(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), r6(F.max("value")).alias("highest"), r6(F.percentile("value", 0.5)).alias("median"))
+    out = summary.day_split(t(spark, d, "events"), "ts", "event_type", "value")
+    return out.select("day", "event_type", "n", r6("highest").alias("highest"), r6("median").alias("median"))
 
 
 @query("select pattern, count(*) as users from (select user_id, string_agg(distinct event_type, ',' order by event_type) as pattern from events group by 1) group by 1")
 def day_patterns(spark, d):
-    p = t(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("pattern"))
-    return p.groupBy("pattern").agg(F.count("*").alias("users"))
+    return summary.patterns(t(spark, d, "events"), "user_id", "event_type").withColumnRenamed("n", "users")
 
 
 @query("""with m as (select n_nationkey as model, (n_nationkey + 1) / 100.0 as in_1k, (n_nationkey + 1) / 25.0 as out_1k from nation), c as (select model, in_1k, out_1k, seed, condition, depth, case when condition <> 'E' then 1500 end as budget from m, (select unnest([0, 1, 2]) as seed), (select 'B' as condition, unnest([1, 2, 3]) as depth union all select unnest(['A', 'C', 'E']), null)),
@@ -668,8 +660,8 @@ def run_matrix(spark, d):
 
 @query("select r_name, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_acctbal > 0 group by 1")
 def language_histogram(spark, d):
-    nations = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    return t(spark, d, "customer").where("c_acctbal > 0").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name").agg(F.count("*").alias("n"))
+    nations = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "r_name")
+    return summary.histogram(t(spark, d, "customer").where("c_acctbal > 0"), nations, "c_nationkey", "r_name")
 
 
 # ---------------------------------------------------------------- text
