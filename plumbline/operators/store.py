@@ -117,3 +117,25 @@ def preferences(memory: DataFrame, by: list[str], value: str, order: list[str])
     """(by…, preferences): the confident preferences of each user in order."""
     rows = memory.withColumn("_line", preference_line(F.col(value))).where("_line is not null")
     return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_line"))), lambda x: x["_line"]).alias("preferences"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def episode_lines(value: pd.Series) -> pd.Series:
+    """What a stored episode says of earlier feedback and answers; nothing of what is no JSON object."""
+
+    def one(text):
+        try:
+            got = json.loads(text)
+        except (TypeError, ValueError):
+            return []
+        said = (("feedback_received", "Previous feedback"), ("ai_response_snippet", "Previous response"))
+        return [f"{title}: {got[key]}" for key, title in said if key in got] if isinstance(got, dict) else []
+
+    return pd.Series([one(v) for v in value], dtype=object)
+
+
+def episodes(memory: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
+    """(by…, episodes): the lines of each user's episodes in order."""
+    rows = memory.withColumn("_lines", episode_lines(F.col(value))).where(F.size("_lines") > 0)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, "_lines"))), lambda x: x["_lines"])
+    return rows.groupBy(*by).agg(F.flatten(listed).alias("episodes"))

@@ -1,13 +1,17 @@
-"""More registered queries: run comparison, clustered intervals, reviews as state, selections, sources with braces."""
+"""More registered queries: run comparison, clustered intervals, reviews as state, selections, sources with braces, loading."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions import code
-from ..operators import resample, rundiff, selection
+from ..functions import code, text
+from ..operators import bench, resample, rundiff, selection, store
+from ..sources import hits, load_run
 from ..streaming import reviews
-from .registry import RUNS, _boot, query, r6, runs, t
+from ..tables import shared_dir
+from .registry import FIRST, RUNS, _boot, first_lines, query, r6, runs, t
 from .sqlmath import probit_sql
 
 # ---------------------------------------------------------------- runs and conditions
@@ -225,3 +229,55 @@ def brace_tags(spark, d):
     files = F.array(*[F.struct(F.concat(key, F.lit("." + lang)).alias("path"), fill(body).alias("text")) for lang, body in BRACED.items()])
     sources = t(spark, d, "customer").select(F.lit("r").alias("repo"), F.explode(files).alias("f")).select("repo", "f.*")
     return code.parse_tags(sources).groupBy("file", "kind", "name", "owner", "receiver", "first", "last").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- loading and small rules
+
+
+def _run_folder(spark, d):
+    """Order lines as the outcomes and reviews of a run, written and read again."""
+    root = f"{shared_dir(spark)}/plumbline/run-{uuid.uuid4().hex}"
+    first = first_lines(spark, d)
+    k = F.col("l_orderkey").cast("string")
+    first.select(F.concat(F.lit("d"), F.col("l_linenumber").cast("string")).alias("defect_id"), F.concat(F.lit("org-"), k).alias("task_id"), F.lit("B").alias("condition"), (F.col("l_returnflag") == "R").alias("hit"), F.when(F.col("l_returnflag") == "R", (F.col("l_partkey") % 3).cast("int")).alias("line_distance")).write.json(f"{root}/outcomes.jsonl")
+    first.where("l_linenumber = 1").select(F.concat(F.lit("org-"), k).alias("task_id"), F.lit("B").alias("condition"), F.col("l_quantity").cast("int").alias("context_chars")).write.json(f"{root}/raw.jsonl")
+    return load_run(spark, root)
+
+
+@query(f"with {FIRST} select 'org-' || l_orderkey as task_id, 'd' || l_linenumber as defect_id, l_returnflag = 'R' as hit, l_returnflag = 'R' and l_partkey % 3 = 0 as exact, 'org' as repo from first")
+def outcome_hits(spark, d):
+    outcomes, _ = _run_folder(spark, d)
+    exact = hits(outcomes, exact=True).withColumnRenamed("hit", "exact")
+    return hits(outcomes).join(exact, ["task_id", "defect_id"]).withColumn("repo", text.repo_prefix(F.col("task_id")))
+
+
+@query(f"with {FIRST} select 'org-' || l_orderkey as task_id, l_quantity::int as context_chars, (select count(*) from first f where f.l_orderkey = first.l_orderkey) as outcomes from first where l_linenumber = 1")
+def run_folder(spark, d):
+    outcomes, raw = _run_folder(spark, d)
+    n = outcomes.groupBy("task_id").agg(F.count("*").alias("outcomes"))
+    return raw.join(n, "task_id").select("task_id", "context_chars", "outcomes")
+
+
+@query("select o_orderkey as k, o_custkey % 90 || ',' || o_orderkey % 1000 as starts from orders")
+def hunk_starts(spark, d):
+    c, k = (F.col(x) for x in ("o_custkey", "o_orderkey"))
+    s = lambda x: x.cast("string")
+    diff = F.concat(F.lit("diff --git a/x b/x\n@@ -1,2 +"), s(c % 90), F.lit(",3 @@ def f\n+@@ -9 +9 @@\n context\n@@ -7 +"), s(k % 1000), F.lit(" @@\n-a"))
+    return t(spark, d, "orders").select(k.alias("k"), F.array_join(F.transform(text.hunk_headers(diff), s), ",").alias("starts"))
+
+
+@query("select o_orderkey as query, case o_custkey % 3 when 0 then 'a.py' else 'b.py' end as path, (o_custkey % 50)::int as line from orders where o_custkey % 3 < 2 and o_custkey % 50 > 0")
+def fault_targets(spark, d):
+    c = F.col("o_custkey")
+    defects = t(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.when(c % 3 == 0, "a.py").when(c % 3 == 1, "b.py").otherwise("").alias("path"), F.when(c % 50 != 0, (c % 50).cast("int")).alias("line"))
+    return bench.targets(defects)
+
+
+@query("""with m as (select user_id, event_id, case event_id % 4 when 0 then 'Previous feedback: f' || event_id % 9 when 1 then 'Previous feedback: f' || event_id % 9 || '|Previous response: r' || event_id % 5 end as line from events where user_id is not null)
+ select user_id, string_agg(line, '|' order by event_id) as episodes from m where line is not null group by user_id""")
+def episodic_memory(spark, d):
+    k = F.col("event_id")
+    feedback, answer = F.concat(F.lit('"feedback_received": "f'), (k % 9).cast("string"), F.lit('"')), F.concat(F.lit('"ai_response_snippet": "r'), (k % 5).cast("string"), F.lit('"'))
+    value = F.when(k % 4 == 0, F.concat(F.lit("{"), feedback, F.lit("}"))).when(k % 4 == 1, F.concat(F.lit("{"), answer, F.lit(", "), feedback, F.lit("}"))).when(k % 4 == 2, "{broken").otherwise('["feedback_received"]')
+    memory = t(spark, d, "events").where("user_id is not null").select("user_id", "event_id", value.alias("value"))
+    return store.episodes(memory, ["user_id"], "value", ["event_id"]).select("user_id", F.array_join("episodes", "|").alias("episodes"))

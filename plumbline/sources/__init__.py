@@ -45,6 +45,19 @@ def rescore(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~failed, F.col(c)) for c in ("correct", "mechanism", "correct_precise") if c in df.columns})
 
 
+def load_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, reviews) of a run's folder: outcomes.jsonl and raw.jsonl."""
+    return read_jsonl(spark, f"{folder}/outcomes.jsonl", OUTCOME), read_jsonl(spark, f"{folder}/raw.jsonl", RAW_REVIEW)
+
+
+def hits(outcomes: DataFrame, exact: bool = False) -> DataFrame:
+    """(task_id, defect_id, hit): the last outcome of each defect; with exact, a hit is a finding on its very line."""
+    hit = F.coalesce("hit", F.lit(False))
+    hit = hit & F.coalesce(F.col("line_distance") == 0, F.lit(False)) if exact else hit
+    order = F.struct("file", "ordinal")
+    return outcomes.groupBy("task_id", "defect_id").agg(F.max_by(hit, order).alias("hit"))
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """A CSV whose last column is YES or NO; other rows go."""
     df = spark.read.option("header", True).csv(path)

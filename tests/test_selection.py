@@ -139,3 +139,23 @@ def test_filters_on_the_suffix_are_pushed_down():
 
 def test_a_folder_without_archives_is_empty(spark, tmp_path):
     assert archives.read_archives(spark, str(tmp_path)).collect() == []
+
+
+def test_episodes_tell_what_is_stored_and_skip_the_rest(spark):
+    from plumbline.operators import store
+
+    rows = [("u", 3, '{"feedback_received": "good", "ai_response_snippet": 5}'), ("u", 1, '{"ai_response_snippet": "first"}'), ("u", 2, "{broken"), ("u", 4, None), ("u", 5, '["feedback_received"]'), ("v", 1, "{}")]
+    got = store.episodes(spark.createDataFrame(rows, "user string, at int, value string"), ["user"], "value", ["at"]).collect()
+    assert [(r.user, r.episodes) for r in got] == [("u", ["Previous response: first", "Previous feedback: good", "Previous response: 5"])]
+
+
+def test_a_runs_last_outcome_counts_and_exact_hits_stand_on_the_line(spark, tmp_path):
+    from plumbline.sources import hits, load_run
+
+    lines = [("t", "d", True, 0), ("t", "d", True, 2), ("t", "e", False, None), ("t", "f", True, 0), ("t", "g", None, 0)]
+    (tmp_path / "outcomes.jsonl").write_text("\n\n".join(json.dumps(dict(zip(("task_id", "defect_id", "hit", "line_distance"), x))) for x in lines))
+    (tmp_path / "raw.jsonl").write_text(json.dumps({"task_id": "t", "condition": "B", "usage": {"input_tokens": 7}}))
+    outcomes, raw = load_run(spark, str(tmp_path))
+    assert {r.defect_id: r.hit for r in hits(outcomes).collect()} == {"d": True, "e": False, "f": True, "g": False}
+    assert {r.defect_id: r.hit for r in hits(outcomes, exact=True).collect()} == {"d": False, "e": False, "f": True, "g": False}
+    assert raw.first().usage.input_tokens == 7
