@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.code import corrupt_targets, enclosing_name, jitter, shuffle_labels
 from ..functions.hashing import hash32
 from ..functions.text import window
+from ..tables import materialize
 
 # Arms, encodings, and the relation that a defect's kind stands for.
 ARMS = ("1-diff", "2-evidence", "3-topology", "4-typed", "5-attributed", "6-corrupted", "7-random", "8-header", "2b-snippets")
@@ -157,7 +158,7 @@ def random_evidence(tasks: DataFrame, pool: DataFrame, draws: int = DRAWS) -> Da
     n = pool.count()
     sized = tasks.select("task_id", "snippets", F.size("snippets").alias("k"), F.aggregate("snippets", F.lit(0), lambda s, x: s + F.length(x["text"])).alias("target"))
     fits = sized.where(F.col("k") <= n)
-    drawn = _draws(fits, "task_id", F.col("k"), n, draws, "foreign").join(F.broadcast(_numbered(pool)), "slot")
+    drawn = _draws(fits, "task_id", F.col("k"), n, draws, "foreign").join(materialize(_numbered(pool), "pool"), "slot")
     sample = drawn.groupBy("task_id", "draw").agg(F.sum(F.length("text")).alias("size"), F.array_sort(F.collect_list(F.struct("place", F.struct("path", "first", "last", "text", "label").alias("s")))).alias("picked"))
     off = F.abs(F.col("size") - F.col("target"))
     best = sample.join(fits.select("task_id", "target"), "task_id").groupBy("task_id").agg(F.min_by("picked", F.struct(off, "draw")).alias("picked"))
@@ -169,6 +170,6 @@ def with_noise(tasks: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     has fewer."""
     if k <= 0 or pool.count() < k:
         return tasks.select("task_id", "snippets")
-    drawn = _draws(tasks, "task_id", F.lit(k), pool.count(), 1, f"noise{k}").join(F.broadcast(_numbered(pool)), "slot")
+    drawn = _draws(tasks, "task_id", F.lit(k), pool.count(), 1, f"noise{k}").join(materialize(_numbered(pool), "pool"), "slot")
     extra = drawn.groupBy("task_id").agg(F.collect_list(F.struct("path", "first", "last", "text", "label")).alias("extra"))
     return tasks.join(extra, "task_id").select("task_id", ordered(F.concat("snippets", "extra")).alias("snippets"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -99,13 +100,20 @@ def write_jsonl(df: DataFrame, path: str, by: list[str] = ()) -> None:
 
 
 def cached(spark: SparkSession, root: str, key: dict, build) -> DataFrame:
-    """The table kept under a key, as root/name=value/…; it is built and written where there is none."""
+    """The table kept under a key, as root/name=value/…; it is built and written where there is none.
+
+    Each builder writes a folder of its own, so that two at once do not mix; all readers take the same of them.  A
+    table that is there but cannot be read is an error, not a reason to build it anew."""
     path = "/".join([root, *(f"{k}={v}" for k, v in sorted(key.items()))])
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.parquet(path)
-        return spark.read.parquet(path)
+        table = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        build().write.parquet(f"{path}/built=b{uuid.uuid4().hex}")
+        table = spark.read.parquet(path)
+    first = table.agg(F.min("built")).first()[0]
+    return table.where(F.col("built") == first).drop("built")
 
 
 def flat_paths(files: DataFrame) -> DataFrame:
