@@ -76,8 +76,9 @@ def _side_difference(curves: DataFrame, by: list[str], side: str, a, b) -> DataF
     return curves.groupBy(*by).agg((of(a) - of(b)).alias("e")).where("e is not null")
 
 
-#: Distinct scores up to which a draw's histograms are one vector; beyond, histograms are joined with the draws.
-SCORES = 100_000
+#: Distinct scores up to which a draw's histograms are one vector; beyond, the rows of histograms are joined with the
+#: draws.
+HISTOGRAM_ROWS = 100_000
 
 
 def _drawn_differences(spark: SparkSession, hist: DataFrame, cluster: str, arm: str, a, b, score: str, trials: int, seed: int) -> DataFrame:
@@ -86,7 +87,7 @@ def _drawn_differences(spark: SparkSession, hist: DataFrame, cluster: str, arm:
     clusters = numbered(hist.select(cluster).distinct(), cluster)
     levels = materialize(hist.select(score).distinct(), "levels")
     n = levels.count()
-    if n > SCORES:
+    if n > HISTOGRAM_ROWS:
         weights = draws(spark, clusters, trials, seed).join(clusters, "slot").select("draw", cluster, "m")
         return _side_difference(auc(hist.join(weights, cluster), ["draw", arm], score, "m"), ["draw"], arm, a, b)
     levels = levels.withColumn("_level", F.row_number().over(W.orderBy(score)) - 1)
