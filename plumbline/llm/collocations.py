@@ -29,6 +29,9 @@ HELD = 3 * CHUNK
 #: Sketch entries of a range, on average at most.
 RANGE_ENTRIES = 1 << 21
 
+#: Parts of a language's phrases of which each gives its first ones.
+SHARES = 64
+
 LEAST = 10
 LONGEST = 3
 TOP = 2000
@@ -249,10 +252,9 @@ def _independent(candidates: DataFrame, absorbed: int, longest: int) -> DataFram
 
 def _first(rows: DataFrame, top: int) -> DataFrame:
     """The first rows of each language with their rank; first within shares of a language, so that no task orders all
-    of one."""
+    of one, and the last task of a language orders SHARES * top rows at most."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = rows.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
+    share = rows.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
     some = share.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
     return some.drop("share").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
