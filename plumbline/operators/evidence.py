@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.code import corrupt_targets, enclosing_name, jitter, shuffle_labels
 from ..functions.hashing import hash32
 from ..functions.text import window
-from ..tables import materialize
+from ..tables import materialize, placed, spread
 
 # Arms, encodings, and the relation that a defect's kind stands for.
 ARMS = ("1-diff", "2-evidence", "3-topology", "4-typed", "5-attributed", "6-corrupted", "7-random", "8-header", "2b-snippets")
@@ -134,35 +134,35 @@ def metadata_block(snippets: Column, relations: Column, arm: str, encoding: str
     return F.lit("")
 
 
-def _draws(tasks: DataFrame, key: str, k: Column, n: int, draws: int, what: str) -> DataFrame:
-    """(key, draw, place, slot): for each task and draw, k of n slots without repeats, picked by hashes."""
-    rows = tasks.select(key, k.alias("_k")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picks = F.array_distinct(F.transform(F.sequence(F.lit(0), 8 * F.col("_k") + 32), lambda i: F.pmod(hash32(F.lit(what), F.col(key), F.col("draw"), i), F.lit(n)).cast("int")))
-    rows = rows.withColumn("_p", picks)
+def _slots(rows: DataFrame, key: str, k: Column, n: int, what: str) -> DataFrame:
+    """(key, draw, place, slot) of rows with a key and a draw: k of n slots without repeats, picked by hashes."""
+    picks = lambda last: F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.pmod(hash32(F.lit(what), F.col(key), F.col("draw"), i), F.lit(n)).cast("int")))
+    rows = rows.select(key, "draw", k.alias("_k")).withColumn("_few", picks(F.col("_k") + 1))
+    # Two picks more than needed mostly do; the others are hashed only where they do not.
+    rows = rows.withColumn("_p", F.when(F.size("_few") >= F.col("_k"), F.col("_few")).otherwise(picks(8 * F.col("_k") + 32)))
     # So many picks leave k different slots unless n is about k; then the rest is taken in order.
     filled = F.when(F.size("_p") >= F.col("_k"), F.col("_p")).otherwise(F.array_distinct(F.concat("_p", F.sequence(F.lit(0), F.lit(n - 1)))))
     return rows.select(key, "draw", F.posexplode(F.slice(filled, 1, F.col("_k"))).alias("place", "slot"))
 
 
-def _numbered(pool: DataFrame) -> DataFrame:
-    """The pool with slots from 0 by label and text; a pool is a small table of foreign code."""
-    from pyspark.sql import Window as W
-
-    return pool.withColumn("slot", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("label", "path", "first", "text")) - 1)
-
-
 def random_evidence(tasks: DataFrame, pool: DataFrame, draws: int = DRAWS) -> DataFrame:
     """tasks(task_id, snippets), pool(path, first, last, text, label) -> (task_id, snippets): as many foreign snippets,
     of `draws` samples the one whose text is nearest in length to the task's own.  A task with more snippets than the
-    pool keeps its own."""
+    pool keeps its own.
+
+    Samples are judged by lengths; texts are joined to the chosen ones only."""
     n = pool.count()
     sized = tasks.select("task_id", "snippets", F.size("snippets").alias("k"), F.aggregate("snippets", F.lit(0), lambda s, x: s + F.length(x["text"])).alias("target"))
-    fits = sized.where(F.col("k") <= n)
-    drawn = _draws(fits, "task_id", F.col("k"), n, draws, "foreign").join(materialize(_numbered(pool), "pool"), "slot")
-    sample = drawn.groupBy("task_id", "draw").agg(F.sum(F.length("text")).alias("size"), F.array_sort(F.collect_list(F.struct("place", F.struct("path", "first", "last", "text", "label").alias("s")))).alias("picked"))
+    fits = sized.where(F.col("k") <= n).select("task_id", "k", "target")
+    numbered = materialize(placed(pool, ["label", "path", "first", "text"], "slot").withColumn("size", F.length("text")), "pool")
+    all_draws = spread(fits, "task_id").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    drawn = _slots(all_draws, "task_id", F.col("k"), n, "foreign").join(numbered.select("slot", "size"), "slot")
     off = F.abs(F.col("size") - F.col("target"))
-    best = sample.join(fits.select("task_id", "target"), "task_id").groupBy("task_id").agg(F.min_by("picked", F.struct(off, "draw")).alias("picked"))
-    return sized.join(best, "task_id", "left").select("task_id", F.coalesce(F.transform("picked", lambda x: x["s"]), F.col("snippets")).alias("snippets"))
+    sample = drawn.groupBy("task_id", "draw").agg(F.sum("size").alias("size")).join(fits, "task_id")
+    best = sample.groupBy("task_id", "k").agg(F.min(F.struct(off, "draw"))["draw"].alias("draw"))
+    chosen = _slots(best, "task_id", F.col("k"), n, "foreign").join(numbered, "slot")
+    picked = chosen.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("place", F.struct("path", "first", "last", "text", "label").alias("s")))).alias("picked"))
+    return sized.join(picked, "task_id", "left").select("task_id", F.coalesce(F.transform("picked", lambda x: x["s"]), F.col("snippets")).alias("snippets"))
 
 
 def with_noise(tasks: DataFrame, pool: DataFrame, k: int) -> DataFrame:
@@ -170,6 +170,7 @@ def with_noise(tasks: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     has fewer."""
     if k <= 0 or pool.count() < k:
         return tasks.select("task_id", "snippets")
-    drawn = _draws(tasks, "task_id", F.lit(k), pool.count(), 1, f"noise{k}").join(materialize(_numbered(pool), "pool"), "slot")
+    rows = spread(tasks.select("task_id"), "task_id").withColumn("draw", F.lit(0))
+    drawn = _slots(rows, "task_id", F.lit(k), pool.count(), f"noise{k}").join(placed(pool, ["label", "path", "first", "text"], "slot"), "slot")
     extra = drawn.groupBy("task_id").agg(F.collect_list(F.struct("path", "first", "last", "text", "label")).alias("extra"))
     return tasks.join(extra, "task_id").select("task_id", ordered(F.concat("snippets", "extra")).alias("snippets"))

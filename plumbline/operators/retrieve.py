@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32
 from ..functions.text import entity_source
-from ..tables import materialize
+from ..tables import placed
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -146,15 +146,8 @@ def tiered(df: DataFrame, by: list[str], tier: Column, same_file: Column, depth:
 
 
 def round_robin(df: DataFrame, order: list[Column], shards: int) -> DataFrame:
-    """Shard by position in a total order, position modulo shards.
-
-    The order is dealt in ranges; rows are numbered within a range, and a range begins where those before it end."""
-    ranged = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_start", F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).drop("_n")
-    at = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    out = ranged.withColumn("_at", at).join(F.broadcast(starts), "_part")
-    return out.withColumn("shard", F.pmod(F.col("_start") + F.col("_at"), F.lit(shards)).cast("int")).drop("_part", "_at", "_start")
+    """Shard by position in a total order, position modulo shards."""
+    return placed(df, order, "_place").withColumn("shard", F.pmod("_place", F.lit(shards)).cast("int")).drop("_place")
 
 
 def grep(files: DataFrame, text: str, needle: str, limit: int, id_: str) -> DataFrame:

@@ -7,7 +7,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +31,23 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt by a key to several tasks a core.  For rows that are small but become much work: a small file is one
+    task, and adaptive execution joins small shuffles to few, unless their number is given."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
+
+
+def placed(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """df with each row's place, from 0, in a total order.
+
+    The order is dealt in ranges; rows are numbered within a range, and a range begins where those before it end."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.withColumn("_start", F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).drop("_n")
+    at = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    out = ranged.withColumn("_at", at).join(F.broadcast(starts), "_part")
+    return out.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
