@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import hash32
 from ..functions.text import TEST_PATH, entity_source
-from ..tables import materialize
+from ..tables import materialize, spread
 from .codegraph import matches
 
 #: Conditions: none, graph, random, lexical, whole file, fault location, dense.
@@ -94,23 +94,30 @@ def query_terms(node: Column) -> Column:
     return F.transform(words, lambda w: F.lower(w))
 
 
-#: Letters of a term by whose beginning it looks up names.
-GRAM = 3
+#: Letters of a term by whose beginning it looks up names, at most.
+GRAM = 32
 
 
 def lexical(nodes: DataFrame, queries: DataFrame, found: DataFrame, limit: int, types: list[str] | None = None) -> DataFrame:
     """(query, repo, id, rank): nodes of the query's repository whose names have most of its terms, shorter names and
     then smaller ids first; seeds and names without a term are left out.
 
-    A term meets the names that hold its first letters, in an equi-join on the names' parts, not all of a repository."""
-    pool = _pool(nodes, types).select("repo", "id", F.lower("name").alias("low"))
-    places = F.sequence(F.lit(1), F.length("low"))
-    of_length = lambda n: F.transform(places, lambda i: F.substring("low", i, F.lit(n)))
-    parts = F.array_distinct(F.flatten(F.array(*map(of_length, range(1, GRAM + 1)))))
-    held = pool.where("low != ''").select("repo", "id", "low", F.explode(parts).alias("_part"))
-    asked = queries.select("query", "repo", F.posexplode(query_terms(F.coalesce("node", F.lit("")))).alias("_k", "_term")).withColumn("_part", F.substring("_term", 1, GRAM))
-    scored = asked.join(held, ["repo", "_part"]).where(F.contains("low", F.col("_term"))).groupBy("query", "repo", "id", "low").agg(F.count("*").cast("int").alias("score"))
-    scored = _without(scored, found)
+    A term meets the names that hold it, in an equi-join on the names' parts of the lengths that terms have.  Nodes of
+    one name are met in the order of their ids, in blocks, only as far as a query can keep them."""
+    pool = _pool(nodes, types).select("repo", "id", F.lower("name").alias("low")).where("low != ''")
+    cut = F.substring("_term", 1, GRAM)
+    asked = queries.select("query", "repo", F.posexplode(query_terms(F.coalesce("node", F.lit("")))).alias("_k", "_term")).withColumn("_part", cut)
+    lengths = asked.groupBy("repo", F.length("_part").alias("_n")).agg(F.lit(1).alias("_one")).drop("_one")
+    names = spread(pool.select("repo", "low").distinct(), "repo", "low").join(lengths, "repo").where(F.length("low") >= F.col("_n"))
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("_n") + 1), lambda i: F.substring("low", i, F.col("_n"))))
+    held = names.select("repo", "low", F.explode(parts).alias("_part")).join(asked.select("repo", "_part").distinct(), ["repo", "_part"], "left_semi")
+    named = asked.join(held, ["repo", "_part"]).where(F.contains("low", F.col("_term"))).groupBy("query", "repo", "low").agg(F.count("*").cast("int").alias("score"))
+    place = F.row_number().over(W.partitionBy("repo", "low").orderBy("id")) - 1
+    placed = pool.select("repo", "low", "id", F.floor(place / limit).alias("_block"))
+    known = found.groupBy("query").agg(F.countDistinct("id").alias("_seeds"))
+    last = F.floor(F.coalesce("_seeds", F.lit(0)) / limit) + 1
+    named = named.join(known, "query", "left").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    scored = _without(named.join(placed, ["repo", "low", "_block"]).select("query", "repo", "id", "low", "score"), found)
     order = W.partitionBy("query").orderBy(F.desc("score"), F.length("low"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "repo", "id", "score", "rank")
 

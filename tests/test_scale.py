@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import evidence
+from plumbline.operators import context, evidence
 from plumbline.tables import placed
 
 
@@ -22,3 +22,31 @@ def test_evidence_draws_are_dealt_to_tasks_and_weighed_by_length(spark):
     assert [s["path"] for s in got["2"]] == ["m"] * 31
     slots = placed(pool.select("label"), ["label"], "slot").collect()
     assert sorted(r["slot"] for r in slots) == list(range(30)) and all(r["label"] == f"l{r['slot']:02d}" for r in slots)
+
+
+def dealt(spark) -> int:
+    """Records that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def star(spark, n: int):
+    """n functions that call one hub, in a repository with a query of each."""
+    f = spark.range(n).select(F.lit("r").alias("repo"), F.format_string("s/f%04d.py::function::go", "id").alias("id"), F.lit("function").alias("type"), F.lit("go").alias("name"), F.format_string("s/f%04d.py", "id").alias("relative_path"), F.lit(1).alias("first"), F.lit(2).alias("last"), F.lit(0).alias("ord"))
+    hub = f.limit(1).withColumn("id", F.lit("h.py::function::hub")).withColumn("name", F.lit("hub")).withColumn("relative_path", F.lit("h.py"))
+    edges = f.select("repo", F.col("id").alias("src"), F.lit("h.py::function::hub").alias("dst"), F.lit("calls").alias("label"))
+    queries = f.select(F.col("id").alias("query"), "repo", F.col("id").alias("node"))
+    return f.union(hub), edges, queries
+
+
+def test_names_that_many_nodes_share_are_met_as_far_as_they_can_be_kept(spark):
+    nodes, _, queries = star(spark, 400)
+    found = context.seeds(nodes, queries)
+    before = dealt(spark)
+    rows = context.lexical(nodes, queries, found, 3).collect()
+    assert dealt(spark) - before < 40_000  # 160,000 pairs
+    ids = sorted(r["id"] for r in nodes.where("name = 'go'").collect())
+    for r in rows:
+        assert r["id"] == [x for x in ids if x != r["query"]][r["rank"] - 1]
+    assert len(rows) == 1200
