@@ -46,29 +46,68 @@ def steps(edges: DataFrame) -> DataFrame:
     return there.union(back).groupBy("repo", "id", "to").agg(F.min("way").alias("way"))
 
 
+#: Vertices of a query, and neighbours of a vertex, that rows carry along as arrays; vertices of one block of a join.
+FEW, BLOCK = 64, 512
+
+
 def walk(nodes: DataFrame, edges: DataFrame, found: DataFrame, depth: int = DEPTH, types: list[str] | None = None, exclude_tests: bool = False, limit: int | None = None) -> DataFrame:
     """(query, repo, id, depth, pos): breadth first from all seeds of a query at once, along and against the edges.
 
     pos numbers the vertices in the order of discovery: by depth, by the vertex that leads there, callers before
     callees, then by node order; a query's first `limit` are kept.  Vertices of other types, and in test files if
-    these are excluded, are neither given nor walked through; seeds are not given.  Each level is a table."""
+    these are excluded, are neither given nor walked through; seeds are not given.  Each level but the last is a table."""
     allowed = nodes.select("repo", F.col("id").alias("to"), "ord", "type", "relative_path")
     allowed = allowed.where(F.col("type").isin(types)) if types else allowed
     allowed = allowed.where(~F.col("relative_path").rlike(TEST_PATH)) if exclude_tests else allowed
-    step = steps(edges).join(allowed.select("repo", "to", "ord"), ["repo", "to"])
+    step = _blocked(steps(edges).join(allowed.select("repo", "to", "ord"), ["repo", "to"]))
     front = found.groupBy("query", "repo", "id").agg(F.min("pos").alias("pos"))
     seen = front = materialize(front.select("query", "repo", "id", "pos").withColumn("depth", F.lit(0)), "walk")
     for d in range(1, depth + 1):
-        reached = front.select("query", "repo", "id", "pos").join(step, ["repo", "id"])
-        new = reached.groupBy("query", "repo", F.col("to").alias("id")).agg(F.min(F.struct("pos", "way", "ord")).alias("by")).join(seen.select("query", "repo", "id"), ["query", "repo", "id"], "left_anti")
-        front = materialize(new.select("query", "repo", "id", F.row_number().over(W.partitionBy("query").orderBy("by", "id")).alias("pos"), F.lit(d).alias("depth")), "walk")
-        if front.isEmpty():
-            break
+        front = _next_level(front, seen, step).select("query", "repo", "id", F.row_number().over(W.partitionBy("query").orderBy("by", "id")).alias("pos"), F.lit(d).alias("depth"))
+        # What comes after the first `limit` of a level is not among the first of all, nor is what it leads to.
+        front = front.where(F.col("pos") <= limit) if limit else front
+        if d < depth:
+            front = materialize(front, "walk")
+            if front.isEmpty():
+                break
         seen = seen.union(front)
     out = seen.where("depth > 0").withColumn("pos", F.row_number().over(W.partitionBy("query").orderBy("depth", "pos")))
     return out.where(F.col("pos") <= limit) if limit else out
 
 
+def _blocked(step: DataFrame) -> DataFrame:
+    """step as a table, a vertex's neighbours in blocks of about BLOCK, with all that lead to a neighbour as `froms`
+    where these are at most FEW, else null."""
+    step = materialize(step, "steps")
+    few = step.groupBy("repo", "to").agg(F.count("*").alias("_n")).where(F.col("_n") <= FEW).select("repo", "to")
+    froms = step.join(few, ["repo", "to"]).groupBy("repo", "to").agg(F.collect_list("id").alias("froms"))
+    blocks = step.groupBy("repo", "id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    step = step.join(froms, ["repo", "to"], "left").join(blocks, ["repo", "id"])
+    return materialize(step.withColumn("block", F.pmod(F.xxhash64("to"), F.col("blocks")).cast("int")), "steps")
+
+
+def _next_level(front: DataFrame, seen: DataFrame, step: DataFrame) -> DataFrame:
+    """(query, repo, id, by): what the front leads to and was not seen, by its first step (pos, way, ord).
+
+    A pair of query and vertex is met once for each vertex that leads there.  Queries that have seen few vertices carry
+    them along, so that of a vertex with few neighbours they keep the first meeting at once, and nothing is dealt
+    anew: pairs may be as many as queries times vertices.  All other meetings are grouped."""
+    few = seen.groupBy("query", "repo").agg(F.count("*").alias("_n")).where(F.col("_n") <= FEW).select("query", "repo")
+    last = F.max("depth").over(W.partitionBy("query", "repo"))
+    mine = seen.join(few, ["query", "repo"]).withColumn("_last", last).groupBy("query", "repo")
+    mine = mine.agg(F.collect_list("id").alias("_seen"), F.collect_list(F.when(F.col("depth") == F.col("_last"), F.struct("pos", "id"))).alias("_front"))
+    hubs = step.select("repo", "id", "blocks").distinct()
+    rows = front.select("query", "repo", "id", "pos").join(mine, ["query", "repo"], "left").join(hubs, ["repo", "id"])
+    ahead = F.transform(F.filter("_front", lambda x: x["pos"] < F.col("pos")), lambda x: x["id"])
+    rows = rows.withColumn("_ahead", ahead).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "_front")
+    met = spread(rows, "repo", "id", "block").join(spread(step.drop("blocks"), "repo", "id", "block"), ["repo", "id", "block"])
+    by = F.struct("pos", "way", "ord").alias("by")
+    alone = F.col("_seen").isNotNull() & F.col("froms").isNotNull()
+    first = met.where(alone & ~F.array_contains("_seen", F.col("to")) & ~F.arrays_overlap("_ahead", "froms")).select("query", "repo", F.col("to").alias("id"), by)
+    others = met.where(~alone).groupBy("query", "repo", F.col("to").alias("id")).agg(F.min(by).alias("by"))
+    return first.union(others.join(seen.select("query", "repo", "id"), ["query", "repo", "id"], "left_anti"))
+
+
 def ranked(nodes: DataFrame, edges: DataFrame, found: DataFrame, walked: DataFrame, limit: int, cross_file: bool = False, callers_first: bool = False) -> DataFrame:
     """A walk's first `limit` vertices a query, as (query, repo, id, depth, rank).  With callers_first, direct callers
     of a seed come first, then direct callees, then the rest of depth 1; with cross_file, files other than the seeds'

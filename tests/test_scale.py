@@ -50,3 +50,13 @@ def test_names_that_many_nodes_share_are_met_as_far_as_they_can_be_kept(spark):
     for r in rows:
         assert r["id"] == [x for x in ids if x != r["query"]][r["rank"] - 1]
     assert len(rows) == 1200
+
+
+def test_a_walk_through_a_hub_deals_no_pair_of_query_and_vertex(spark):
+    nodes, edges, queries = star(spark, 400)
+    found = context.seeds(nodes, queries)
+    before = dealt(spark)
+    rows = context.walk(nodes, edges, found, 2).select("query", "id", "depth").collect()
+    assert dealt(spark) - before < 40_000  # 160,000 pairs
+    assert len(rows) == 400 * 400 and len(set(rows)) == len(rows)
+    assert all((r["depth"] == 1) == (r["id"] == "h.py::function::hub") and r["id"] != r["query"] for r in rows)
