@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import hash32
+from ..functions.hashing import hex32
 from ..functions.text import TEST_PATH, entity_source
 from ..tables import materialize, spread
 from .codegraph import matches
@@ -236,16 +236,39 @@ def dense(nodes: DataFrame, queries: DataFrame, found: DataFrame, limit: int, ty
 
 def random_matched(nodes: DataFrame, found: DataFrame, reference: DataFrame, types: list[str] | None = None, other_files: bool = False, exclude_tests: bool = False, seed: int = 0) -> DataFrame:
     """(query, repo, id, rank): as many random nodes of each type as `reference`(query, repo, id) has, not seeds; with
-    other_files, of files without a seed.  The draw is the order of a hash of seed, query and id."""
+    other_files, of files without a seed.  The draw is the order of a hash of seed, query and id.
+
+    Every node of the type is hashed for every query; only hashes below a bound, which holds more than enough of them
+    nearly always, are dealt on.  Queries for which it does not are drawn again without a bound."""
     pool = _pool(nodes, types)
     pool = pool.where(~F.col("relative_path").rlike(TEST_PATH)) if exclude_tests else pool
+    sizes = pool.groupBy("repo", "type").agg(F.count("*").alias("_size")).withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
+    pool = pool.select("repo", "type", "id", "relative_path").join(sizes.drop("_size"), ["repo", "type"]).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    pool = materialize(spread(pool, "repo", "type", "_block"), "pool")
     wanted = reference.join(nodes.select("repo", "id", "type"), ["repo", "id"]).groupBy("query", "repo", "type").agg(F.count("*").alias("n"))
-    rows = _without(wanted.join(pool.select("repo", "type", "id", "relative_path"), ["repo", "type"]), found)
-    if other_files:
-        homes = found.join(nodes.select("repo", "id", "relative_path"), ["repo", "id"]).select("query", "relative_path").distinct()
-        rows = rows.join(homes, ["query", "relative_path"], "left_anti")
-    draw = hash32(F.lit(seed), F.col("query"), F.col("id"))
-    rows = rows.withColumn("_d", draw).withColumn("_k", F.row_number().over(W.partitionBy("query", "type").orderBy("_d", "id"))).where(F.col("_k") <= F.col("n"))
+    wanted = materialize(wanted.join(sizes, ["repo", "type"]), "wanted")
+    homes = found.join(nodes.select("repo", "id", "relative_path"), ["repo", "id"]).select("query", "relative_path").distinct()
+
+    def drawn(asked: DataFrame, bound: Column | None) -> DataFrame:
+        digits = hex32(F.lit(seed), F.col("query"), F.col("id"))
+        asked = asked.withColumn("_bound", bound) if bound is not None else asked
+        asked = spread(asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))), "repo", "type", "_block")
+        rows = asked.join(pool, ["repo", "type", "_block"])
+        rows = rows.where(digits <= F.col("_bound")) if bound is not None else rows
+        rows = _without(rows.select("query", "repo", "type", "n", "id", "relative_path", digits.alias("_d")), found)
+        rows = rows.join(homes, ["query", "relative_path"], "left_anti") if other_files else rows
+        rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("query", "repo", "type").orderBy("_d", "id"))).where(F.col("_k") <= F.col("n"))
+        return materialize(rows.select("query", "repo", "type", "n", "id", "_d"), "drawn")
+
+    many = (F.col("n") + 6 * F.sqrt("n") + 24) / F.col("_size") * float(1 << 32)
+    rows = drawn(wanted, F.lower(F.lpad(F.hex(F.least(many, F.lit(float((1 << 32) - 1))).cast("bigint")), 8, "0")))
+    full = rows.groupBy("query", "repo", "type", "n").agg(F.count("*").alias("_got")).where(F.col("_got") == F.col("n"))
+    full = materialize(full.select("query", "repo", "type"), "full")
+    # A bound of all hashes has nothing to add.
+    short = wanted.where(many < float((1 << 32) - 1)).join(full, ["query", "repo", "type"], "left_anti")
+    if not short.isEmpty():
+        short = materialize(short, "wanted")
+        rows = rows.join(short.select("query", "repo", "type"), ["query", "repo", "type"], "left_anti").union(drawn(short, None))
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("_d", "id"))).select("query", "repo", "id", "rank")
 
 

@@ -1,5 +1,7 @@
 """What keeps work spread and small: shares of tasks, bounds and blocks."""
 
+from hashlib import md5
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import context, evidence
@@ -60,3 +62,20 @@ def test_a_walk_through_a_hub_deals_no_pair_of_query_and_vertex(spark):
     assert dealt(spark) - before < 40_000  # 160,000 pairs
     assert len(rows) == 400 * 400 and len(set(rows)) == len(rows)
     assert all((r["depth"] == 1) == (r["id"] == "h.py::function::hub") and r["id"] != r["query"] for r in rows)
+
+
+def test_random_nodes_deal_no_pair_of_query_and_node_and_are_the_first_by_hash(spark):
+    nodes, _, queries = star(spark, 1500)
+    queries = queries.limit(100)
+    found = context.seeds(nodes, queries)
+    before = dealt(spark)
+    rows = context.random_matched(nodes, found, found, other_files=True).collect()
+    assert dealt(spark) - before < 60_000  # 150,000 pairs
+    ids = [r["id"] for r in nodes.collect()]
+    order = lambda q: min((x for x in ids if x != q), key=lambda x: (md5(f"0|{q}|{x}".encode()).hexdigest()[:8], x))
+    assert {r["query"]: r["id"] for r in rows} == {r["query"]: order(r["query"]) for r in queries.collect()}
+    # All nodes with a hash below the bound lie in the seeds' file: the query is drawn again.
+    first = sorted(ids, key=lambda x: (md5(f"0|q|{x}".encode()).hexdigest()[:8], x))
+    home = nodes.withColumn("relative_path", F.when(F.col("id").isin(first[:200]), "home.py").otherwise(F.col("relative_path")))
+    seed = spark.createDataFrame([("q", "r", 0, first[0])], "query string, repo string, pos int, id string")
+    assert [r["id"] for r in context.random_matched(home, seed, seed, other_files=True).collect()] == [first[200]]
