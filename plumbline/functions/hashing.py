@@ -10,9 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def hex32(*parts: Column) -> Column:
+    """The first 32 bits of the MD5 of the parts joined by a bar, as eight hex digits; they sort as hash32 does."""
+    return F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8)
+
+
 def hash32(*parts: Column) -> Column:
     """Unsigned 32 bits of the MD5 of the parts joined by a bar."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
+    return F.conv(hex32(*parts), 16, 10).cast("bigint")
 
 
 def uniform(*parts: Column) -> Column:
