@@ -7,11 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import mcnemar_exact, ratio
+from ..tables import spread
 
 
-def dedupe(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
+def dedupe(df: DataFrame, keys: list[str], order: list[str], last: bool = False, deal: list[str] = ()) -> DataFrame:
     """One row per key: the first in `order`, or the last.  A struct maximum or minimum, so repeats are combined
-    before the shuffle instead of being sorted after it."""
+    before the shuffle instead of being sorted after it.
+
+    With `deal`, some of the keys of which each has few rows, rows are dealt by these at once: whole splits are not
+    sorted before the shuffle, and what joins or groups by these keys later needs no shuffle of its own.  The number
+    of tasks is given, as their sorts stay in memory side by side and joined partitions would make them large."""
+    if deal:
+        df = spread(df, *deal)
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(*order, *[c for c in rest if c not in order])
     best = F.max(row) if last else F.min(row)

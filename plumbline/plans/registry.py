@@ -49,7 +49,7 @@ PAIRS = RUNS + """, pairs as (select task, cluster, is_defect, max(case when arm
 
 
 def first_lines(spark, d):
-    return paired.dedupe(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ORDER)
+    return paired.dedupe(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ORDER, deal=["l_orderkey"])
 
 
 def runs(spark, d):
