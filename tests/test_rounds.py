@@ -14,3 +14,10 @@ def test_dealt_rows_are_not_shuffled_again(spark):
     assert sorted(map(tuple, first.collect())) == [(1, 1, 4), (1, 2, 3), (2, 1, 9)]
     plan = first.groupBy("task").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_split_by_reach_computes_scores_once(spark):
+    scores = spark.createDataFrame([(1, "A", 1), (1, "B", 2), (2, "A", 3), (3, "A", 4), (3, "B", 5), (3, "C", 6), (None, "A", 7)], "task_id long, condition string, n int")
+    out = bench.split_by_reach(scores, spark.createDataFrame([(3,)], "task_id long"), ["A", "B"])
+    assert sorted((r.n, r.reached) for r in out.collect()) == [(1, False), (2, False), (4, True), (5, True), (6, True)]
+    assert optimized(out).count("LogicalRDD") == 2
