@@ -166,8 +166,11 @@ def line_accuracy(distances: DataFrame) -> DataFrame:
     share = lambda c: F.avg(F.when(F.col("distance").isNotNull(), c.cast("double")))
     d = F.col("distance")
     out = both.groupBy("condition").agg(F.count("*").alias("findings"), F.count_if("quoting").alias("quoting"), F.count("distance").alias("located"), share(d == 0).alias("exact"), share(d <= 5).alias("within_5"), share(d > 5).alias("beyond_5"))
-    w = W.partitionBy("condition").orderBy("distance")
-    middle = both.where("distance is not null").withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count("*").over(W.partitionBy("condition"))).where(F.col("_k") == F.floor(F.col("_n") / 2) + 1)
+    # Only the counts of equal distances are sorted, not the findings.
+    counts = both.where("distance is not null").groupBy("condition", "distance").agg(F.count("*").alias("_c"))
+    w = W.partitionBy("condition")
+    counts = counts.withColumn("_to", F.sum("_c").over(w.orderBy("distance"))).withColumn("_at", F.floor(F.sum("_c").over(w) / 2) + 1)
+    middle = counts.where((F.col("_at") > F.col("_to") - F.col("_c")) & (F.col("_at") <= F.col("_to")))
     return out.join(middle.select("condition", F.col("distance").alias("median")), "condition", "left")
 
 

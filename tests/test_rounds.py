@@ -21,3 +21,10 @@ def test_split_by_reach_computes_scores_once(spark):
     out = bench.split_by_reach(scores, spark.createDataFrame([(3,)], "task_id long"), ["A", "B"])
     assert sorted((r.n, r.reached) for r in out.collect()) == [(1, False), (2, False), (4, True), (5, True), (6, True)]
     assert optimized(out).count("LogicalRDD") == 2
+
+
+def test_line_accuracy_sorts_counts(spark):
+    rows = [("A", True, d) for d in (7, 0, 0, 3)] + [("B", True, None), ("B", False, None)]
+    out = bench.line_accuracy(spark.createDataFrame(rows, "condition string, quoting boolean, distance int"))
+    assert {r.condition: (r.located, r.median) for r in out.collect()} == {"A": (4, 3), "B": (0, None), "all": (4, 3)}
+    assert "row_number" not in optimized(out)
