@@ -347,7 +347,9 @@ HUNKS = f"{FIRST}, h as (select l_orderkey, l_linenumber as k, l_linenumber % 2
 
 @query(f"with {HUNKS}, x as (select l_orderkey, case when even then 'src/even.py' else 'doc/odd.md' end as path, unnest(range(top, greatest(top, top + n - 1) + 1)) as line from h) select l_orderkey, count(*) as lines, sum(line)::bigint as total, count(distinct path) as files, bool_or(path = 'src/even.py') as source from x group by l_orderkey")
 def hunk_lines(spark, d):
-    rows = _hunks(spark, d).select("l_orderkey", F.explode(text.hunk_lines(F.col("diff"))).alias("x"), (F.size(text.paths_in_diff(F.col("diff"))) > 0).alias("source"))
+    # What is asked of a diff is computed before its lines are rows.
+    rows = _hunks(spark, d).select("l_orderkey", text.hunk_lines(F.col("diff")).alias("lines"), (F.size(text.paths_in_diff(F.col("diff"))) > 0).alias("source"))
+    rows = rows.select("l_orderkey", F.explode("lines").alias("x"), "source")
     return rows.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.sum("x.line").alias("total"), F.countDistinct("x.path").alias("files"), F.bool_or("source").alias("source"))
 
 

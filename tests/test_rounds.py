@@ -1,5 +1,9 @@
 """Work that a query does once, or where it belongs: held by its plan."""
 
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from plumbline.functions import text
 from plumbline.operators import bench, paired
 
 SMALL = "/root/testdata/sf0.001"
@@ -28,3 +32,14 @@ def test_line_accuracy_sorts_counts(spark):
     out = bench.line_accuracy(spark.createDataFrame(rows, "condition string, quoting boolean, distance int"))
     assert {r.condition: (r.located, r.median) for r in out.collect()} == {"A": (4, 3), "B": (0, None), "all": (4, 3)}
     assert "row_number" not in optimized(out)
+
+
+def test_a_diff_is_read_once_not_for_each_line(spark):
+    plan = optimized(entry.queries()["hunk_lines"](spark, SMALL))
+    assert "(.+?)" not in plan[: plan.index("Generate")]
+
+
+def test_changed_ranges(spark):
+    diff = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +4 @@ f()\n+a\n@@ -1,2 +9,3 @@\n+b\n@@ -1,2 +20,0 @@\ndiff --git a/y b/y\n+++ /dev/null\n@@ -1 +0,0 @@\ndiff --git a/z.c b/z.c\n@@ -3 +7 @@\n"
+    got = spark.createDataFrame([(diff,)], "d string").select(F.explode(text.changed_ranges(F.col("d"))).alias("r")).select("r.*").collect()
+    assert [tuple(r) for r in got] == [("x.py", 4, 4), ("x.py", 9, 11), ("x.py", 20, 20), ("z.c", 7, 7)]
