@@ -86,7 +86,6 @@ def review_life(spark, d):
     """Every event of a user as one of a pull request, each of them sent twice."""
     action = F.expr(_ACTION)
     events = t(spark, d, "events").where("event_type is not null").select(F.col("event_id").cast("string").alias("event_id"), action.alias("action"), F.lit("r").alias("repository"), F.col("user_id").alias("number"), F.expr("concat('t', event_id % 7)").alias("title"), F.lit("open").alias("status"), F.expr("concat('e', event_id % 5)").alias("error"), F.col("ts").cast("timestamp").alias("received"))
-    reviews.use_state_store(spark)
     out = reviews.review_changes(events.union(events))
     return out.select("number", "seq", "event_id", "review", "change", "review_status", "title", "error")
 

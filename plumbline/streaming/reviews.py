@@ -12,7 +12,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OPENING = ("opened", "reopened", "synchronize")
@@ -136,6 +138,29 @@ class Reviews(StatefulProcessor):
         pass
 
 
+def _folded(events: DataFrame) -> DataFrame:
+    """The changes of a batch: the events of a pull request lie together in a task, in order, and are folded as they
+    come, so that a task holds the state of one pull request only.  Of an id's replays the first counts."""
+    key = ["repository", "number"]
+    said = F.struct(F.unix_micros("received").alias("at"), "action", "title", "status", "error")
+    once = events.where("event_id is not null").repartition(*key).groupBy(*key, "event_id").agg(F.min(said).alias("e"))
+    ordered = once.select(*key, "event_id", "e.*").sortWithinPartitions(*key, "at", "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, pr = None, PullRequest()
+        for batch in batches:
+            out: list[tuple] = []
+            for repository, number, event_id, at, action, title, status, error in zip(*(c.to_pylist() for c in batch.columns)):
+                if (repository, number) != of:
+                    of, pr = (repository, number), PullRequest()
+                out += [(repository, number, *c) for c in pr.advance(event_id, action, title, status, error, at or 0)]
+            columns = list(zip(*out)) or [()] * len(COLUMNS)
+            kinds = [pa.int64() if c in ("number", "seq", "review", "received") else pa.string() for c in COLUMNS]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], COLUMNS)
+
+    return ordered.mapInArrow(run, CHANGE.replace("received timestamp", "received bigint")).withColumn("received", F.timestamp_micros("received"))
+
+
 def review_changes(events: DataFrame, delay: str = "1 hour", limit: int = 3_600_000, keep: int = 86_400_000) -> DataFrame:
     """events(event_id, action, repository, number, title, status, error, received) -> one row for each change of a pull
     request or of its reviews, numbered by pull request.
@@ -144,7 +169,10 @@ def review_changes(events: DataFrame, delay: str = "1 hour", limit: int = 3_600_
     pull request, change nothing.  In a stream a review in progress fails `limit` milliseconds after its start, once
     the watermark has passed that; ids are kept `keep` milliseconds behind the watermark.  Streams need the RocksDB
     state store (use_state_store)."""
-    known = events.where("repository is not null and number is not null").withWatermark("received", delay)
+    known = events.where("repository is not null and number is not null")
+    if not events.isStreaming:
+        return _folded(known)
+    known = known.withWatermark("received", delay)
     return known.groupBy("repository", "number").transformWithStateInPandas(statefulProcessor=Reviews(limit, keep), outputStructType=CHANGE, outputMode="Append", timeMode="EventTime")
 
 

@@ -1,10 +1,13 @@
 """Work that a query does once, or where it belongs: held by its plan."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plumbline.functions import text
 from plumbline.operators import bench, paired
+from plumbline.streaming import reviews
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -34,6 +37,14 @@ def test_line_accuracy_sorts_counts(spark):
     assert "row_number" not in optimized(out)
 
 
+def test_a_batch_of_reviews_needs_no_state_store(spark):
+    at = datetime(2024, 1, 1)
+    rows = [("2", "start", "r", 1, "u", "open", None, None), ("1", "opened", "r", 1, "t", "open", None, at), ("1", "opened", "r", 1, "t", "open", None, at), (None, "opened", "r", 1, "x", "open", None, at), ("3", "opened", None, 1, "x", "open", None, at)]
+    out = reviews.review_changes(spark.createDataFrame(rows, reviews.EVENT))
+    assert "TransformWithState" not in optimized(out)
+    assert [(r.seq, r.event_id, r.review, r.change, r.title) for r in out.orderBy("seq").collect()] == [(1, "2", 1, "started", None), (2, "1", None, "updated", "t")]
+
+
 def test_a_diff_is_read_once_not_for_each_line(spark):
     plan = optimized(entry.queries()["hunk_lines"](spark, SMALL))
     assert "(.+?)" not in plan[: plan.index("Generate")]
