@@ -226,12 +226,9 @@ def chance_baseline(tasks: DataFrame, tolerance: int = 5, trials: int = 500, see
     no row."""
     schema = "task string, condition string, defect_id string, rate double"
 
-    def match(defects, lines, picks: np.ndarray) -> np.ndarray:
-        """Share of draws (rows of picks) that hit each defect: all draws of a task at once, defect by defect."""
-        codes = {p: k for k, p in enumerate({x["path"] for x in lines if x["path"]})}
-        path = np.array([codes.get(x["path"], -1) for x in lines])[picks]
-        at = np.array([-(1 << 40) if x["line"] is None else x["line"] for x in lines])[picks]
-        free, out, every = np.ones(picks.shape, bool), [], np.arange(len(picks))
+    def match(defects, codes: dict[str, int], path: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Share of draws (rows of path and line) that hit each defect: all draws of a task at once, defect by defect."""
+        free, out, every = np.ones(path.shape, bool), [], np.arange(len(path))
         for d in defects:
             if d["line"] is None or d["path"] not in codes:
                 out.append(0.0)
@@ -246,12 +243,24 @@ def chance_baseline(tasks: DataFrame, tolerance: int = 5, trials: int = 500, see
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                lines, defects, k = r["lines"] or [], r["defects"] or [], int(r["findings"] or 0)
-                if lines and defects:
-                    picks = numbers(seed, [f"{r['task']}|{r['condition']}"], trials * k)[0].reshape(trials, k) % len(lines)
-                    hits = match(defects, lines, picks) if k else np.zeros(len(defects))
-                    rows += [(r["task"], r["condition"], d["defect_id"], float(h)) for d, h in zip(defects, hits)]
+            # The lines of a batch stay arrays; a row's are a part of them.
+            lines = batch.column("lines")
+            flat, size = lines.flatten(), lines.value_lengths().fill_null(0).to_numpy()
+            start = np.cumsum(size) - size
+            paths = flat.field("path").dictionary_encode()
+            codes = {p: k for k, p in enumerate(paths.dictionary.to_pylist()) if p}
+            path = paths.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            at = flat.field("line").cast(pa.int64()).fill_null(-(1 << 40)).to_numpy(zero_copy_only=False)
+            rest = (batch.column(c).to_pylist() for c in ("task", "condition", "defects", "findings"))
+            for task, condition, defects, k, first, n in zip(*rest, start.tolist(), size.tolist()):
+                defects, k = defects or [], int(k or 0)
+                if n and defects:
+                    if k:
+                        picks = numbers(seed, [f"{task}|{condition}"], trials * k)[0].reshape(trials, k) % n + first
+                        hits = match(defects, codes, path[picks], at[picks]).tolist()
+                    else:
+                        hits = [0.0] * len(defects)
+                    rows += [(task, condition, d["defect_id"], h) for d, h in zip(defects, hits)]
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.float64()])], ["task", "condition", "defect_id", "rate"])
 

@@ -54,3 +54,8 @@ def test_changed_ranges(spark):
     diff = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +4 @@ f()\n+a\n@@ -1,2 +9,3 @@\n+b\n@@ -1,2 +20,0 @@\ndiff --git a/y b/y\n+++ /dev/null\n@@ -1 +0,0 @@\ndiff --git a/z.c b/z.c\n@@ -3 +7 @@\n"
     got = spark.createDataFrame([(diff,)], "d string").select(F.explode(text.changed_ranges(F.col("d"))).alias("r")).select("r.*").collect()
     assert [tuple(r) for r in got] == [("x.py", 4, 4), ("x.py", 9, 11), ("x.py", 20, 20), ("z.c", 7, 7)]
+
+
+def test_few_large_splits_become_many_tasks(spark):
+    plan = optimized(entry.queries()["chance_rematch"](spark, SMALL))
+    assert "RepartitionByExpression [o_orderkey" in plan
