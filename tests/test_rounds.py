@@ -6,15 +6,27 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plumbline.functions import text
+from plumbline.llm import components
 from plumbline.operators import bench, paired
 from plumbline.streaming import reviews
 
 SMALL = "/root/testdata/sf0.001"
 
+
 def optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_stars_are_seen_at_once(spark, monkeypatch):
+    """Edges that are stars after a round end the loop: no second round only shows that nothing changes."""
+    names = []
+    monkeypatch.setattr(components, "materialize", lambda df, name, f=components.materialize: (names.append(name), f(df, name))[1])
+    edges = [(0, i) for i in range(1, 9)] + [(20, 21)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(9)}, 20: 20, 21: 20}
+    assert names.count("edges") == 2
+
+
 def test_dealt_rows_are_not_shuffled_again(spark):
     rows = spark.createDataFrame([(1, 1, 5), (1, 1, 4), (1, 2, 3), (2, 1, 9)], "task long, arm int, ord int")
     first = paired.dedupe(rows, ["task", "arm"], ["ord"], deal=["task"])
