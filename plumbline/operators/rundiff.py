@@ -11,6 +11,7 @@ from statistics import NormalDist
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..tables import materialize
@@ -80,16 +81,21 @@ def compare_runs(rows: DataFrame, arms: list, positive: Column, scores: int = 10
     spark = rows.sparkSession
     place = F.coalesce(*[F.when(F.col("arm") == a, F.lit(k)) for k, a in enumerate(arms)])
     cell = rows.where(F.col("run").isin("A", "B") & F.col("arm").isin(*arms))
-    cell = cell.select("task", "cluster", F.col("score").cast("int").alias("score"), "hit", positive.alias("positive"), (F.when(F.col("run") == "A", 0).otherwise(len(arms)) + place).alias("cell"))
-    scored = cell.where(F.col("score").between(0, scores - 1))
-    in_all = lambda key: scored.groupBy(key).agg(F.countDistinct("cell").alias("_n")).where(F.col("_n") == 2 * len(arms)).select(key)
-    clusters = numbered(in_all("cluster"), "cluster")
-    side = F.when(F.col("positive"), 0).otherwise(1)
-    ratings = scored.select("cluster", ((F.col("cell") * 2 + side) * scores + F.col("score")).alias("column"), "task")
-    common = ratings.join(in_all("task"), "task", "left_semi").withColumn("column", F.col("column") + 4 * len(arms) * scores)
+    rating = F.col("score").cast("int")
+    cell = cell.select("task", "cluster", F.when(rating.between(0, scores - 1), rating).alias("score"), "hit", F.when(positive, 0).otherwise(1).alias("side"), (F.when(F.col("run") == "A", 0).otherwise(len(arms)) + place).alias("cell"))
+    # A task's cells are the bits of a number, so that the rows are read once and meet no other copy of themselves.
+    bits = F.bit_or(F.when(F.col("score").isNotNull(), F.expr("shiftleft(1L, cell)"))).over(W.partitionBy("task"))
+    cell = cell.withColumn("common", F.coalesce(F.col("task").isNotNull() & (bits == (1 << 2 * len(arms)) - 1), F.lit(False)))
+    counts = materialize(cell.groupBy("cluster", "cell", "side", "score", "hit", "common").agg(F.count("*").alias("n")), "run-counts")
+    scored = counts.where("score is not null")
+    in_all = scored.groupBy("cluster").agg(F.countDistinct("cell").alias("_n")).where(F.col("_n") == 2 * len(arms)).select("cluster")
+    clusters = numbered(in_all, "cluster")
+    n = F.col("n").cast("double").alias("value")
+    ratings = scored.select("cluster", ((F.col("cell") * 2 + F.col("side")) * scores + F.col("score")).alias("column"), n, "common")
+    common = ratings.where("common").withColumn("column", F.col("column") + 4 * len(arms) * scores)
     last = 8 * len(arms) * scores
-    flags = cell.where("hit is not null").select("cluster", F.explode(F.array(*[F.struct((F.lit(last) + F.col("cell") * 4 + side + 2 * k).alias("column"), on.cast("double").alias("value")) for k, on in enumerate((F.lit(1), F.col("hit")))])).alias("x")).select("cluster", "x.column", "x.value")
-    counted = ratings.unionByName(common).select("cluster", "column", F.lit(1.0).alias("value")).unionByName(flags)
+    flags = counts.where("hit is not null").select("cluster", F.explode(F.array(*[F.struct((F.lit(last) + F.col("cell") * 4 + F.col("side") + 2 * k).alias("column"), (on.cast("double") * n).alias("value")) for k, on in enumerate((F.lit(1), F.col("hit")))])).alias("x")).select("cluster", "x.column", "x.value")
+    counted = ratings.unionByName(common).drop("common").unionByName(flags)
     entries = counted.groupBy("cluster", "column").agg(F.sum("value").alias("value")).join(clusters, "cluster")
     entries = materialize(entries.select("slot", "k", F.col("column").cast("int").alias("column"), "value"), "run-cells")
     width, named = last + 8 * len(arms), statistics(arms)
@@ -112,13 +118,13 @@ def compare_runs(rows: DataFrame, arms: list, positive: Column, scores: int = 10
     tail = (1 - level) / 2
     at = lambda q, shift: F.get("v", F.least(F.greatest(F.floor(q * F.size("v") + 1e-9).cast("int") + shift, F.lit(0)), F.size("v") - 1))
     ends = listed.select("id", at(tail, 0).alias("low"), at(1 - tail, -1).alias("high"))
-    hist, counts = point[0, : last // 2].reshape(2 * len(arms), 2, scores).sum(-1), point[0, last:].reshape(2 * len(arms), 4)
+    hist, flagged = point[0, : last // 2].reshape(2 * len(arms), 2, scores).sum(-1), point[0, last:].reshape(2 * len(arms), 4)
     table = []
     for k, ((name, run, arm, base), value) in enumerate(zip(named, values)):
         of = None
         if run and base is None:
             c = arm + len(arms) * (run == "B")
-            of = (hist if name == "auc" else counts)[c]
+            of = (hist if name == "auc" else flagged)[c]
         table.append((k, name, run, arms[arm], None if base is None else arms[base], *(map(int, of[:2]) if of is not None else (None, None)), None if np.isnan(value) else float(value)))
     kind = dict(rows.dtypes)["arm"]
     stated = spark.createDataFrame(table, f"id long, statistic string, run string, arm {kind}, base {kind}, nd long, nt long, value double")

@@ -4,7 +4,7 @@ from hashlib import md5
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import context, evidence
+from plumbline.operators import context, evidence, rundiff
 from plumbline.tables import placed
 
 
@@ -79,3 +79,18 @@ def test_random_nodes_deal_no_pair_of_query_and_node_and_are_the_first_by_hash(s
     home = nodes.withColumn("relative_path", F.when(F.col("id").isin(first[:200]), "home.py").otherwise(F.col("relative_path")))
     seed = spark.createDataFrame([("q", "r", 0, first[0])], "query string, repo string, pos int, id string")
     assert [r["id"] for r in context.random_matched(home, seed, seed, other_files=True).collect()] == [first[200]]
+
+
+def test_compared_runs_are_read_once(spark):
+    rows = [(run, arm, f"t{k}", f"c{k % 3}", (k + len(arm)) % 5, bool(k % 2), k % 4 < 2) for run in "AB" for arm in ("x", "yy") for k in range(12)]
+    df = spark.createDataFrame(rows, "run string, arm string, task string, cluster string, score int, hit boolean, defect boolean").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = rundiff.compare_runs(df.mapInArrow(note, df.schema), ["x", "yy"], F.col("defect"), scores=5, trials=5)
+    assert got.where("statistic = 'd_auc_common'").first()["value"] is not None
+    assert seen.value == len(rows)
