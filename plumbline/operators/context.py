@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -192,24 +194,37 @@ MATRIX = 16_384
 
 
 def _best_of_matrix(limit: int):
-    """Nodes (id, v) and queries (query, q, seeds) of one block of a repository -> each query's best nodes there."""
-
-    def run(pool: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if pool.num_rows and asked.num_rows:
-            of = lambda table, name: np.stack(table[name].combine_chunks().to_numpy(zero_copy_only=False))
-            ids = np.array(pool["id"].to_pylist(), object)
-            vectors = of(pool, "v").T
-            by_id = np.argsort(np.argsort(ids.astype(str), kind="stable"))
-            for a in range(0, asked.num_rows, 256):
-                part = asked.slice(a, 256)
-                scores = np.round(of(part, "q") @ vectors, 9)
-                for query, repo, seeds, row in zip(part["query"].to_pylist(), part["repo"].to_pylist(), part["seeds"].to_pylist(), scores):
-                    gone = set(seeds or ())
-                    order = np.lexsort((by_id, -row))[: limit + len(gone)]
-                    out += [(query, repo, ids[k], float(row[k])) for k in order if ids[k] not in gone][:limit]
-        columns = list(zip(*out)) or [()] * 4
-        return pa.table({n: pa.array(c, kind) for n, c, kind in zip(("query", "repo", "id", "score"), columns, (asked.schema.field("query").type, asked.schema.field("repo").type, pool.schema.field("id").type, pa.float64()))})
+    """Rows of blocks of repositories, sorted so that a block's nodes (id, v) come before its queries (query, v, seeds)
+    -> each query's best nodes of the block.  A task holds one block's nodes, and queries only as they come."""
+    names = ("query", "repo", "id", "score")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, parts, vectors, by_id = None, [], [], None, None
+        for batch in batches:
+            keys, a = list(zip(*(batch.column(n).to_pylist() for n in ("repo", "_block", "_asked")))), 0
+            for (repo, block, asked), same in groupby(keys):
+                rows = batch.slice(a, len(list(same)))
+                a += rows.num_rows
+                v = rows.column("v").flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+                if not asked:
+                    if held != (repo, block):
+                        held, ids, parts, vectors = (repo, block), [], [], None
+                    ids += rows.column("id").to_pylist()
+                    parts.append(v)
+                elif held == (repo, block):
+                    if vectors is None:
+                        vectors, parts = np.concatenate(parts).T, []
+                        by_id = np.argsort(np.argsort(np.array(ids, object).astype(str), kind="stable"))
+                    for k in range(0, rows.num_rows, 256):
+                        out: list[tuple] = []
+                        scores = np.round(v[k : k + 256] @ vectors, 9)
+                        part = rows.slice(k, 256)
+                        for query, seeds, row in zip(part.column("query").to_pylist(), part.column("seeds").to_pylist(), scores):
+                            gone = set(seeds or ())
+                            order = np.lexsort((by_id, -row))[: limit + len(gone)]
+                            out += [(query, repo, ids[i], float(row[i])) for i in order if ids[i] not in gone][:limit]
+                        columns = list(zip(*out)) or [()] * 4
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "score" else batch.schema.field(n).type) for n, c in zip(names, columns)], names)
 
     return run
 
@@ -218,8 +233,8 @@ def dense(nodes: DataFrame, queries: DataFrame, found: DataFrame, limit: int, ty
     """(query, repo, id, score, rank): nodes of the query's repository by the cosine of the embeddings of their name,
     type and path and of the query's terms; equal scores by id, seeds are left out.
 
-    The nodes of a repository are matrices of bounded size, each of which meets the repository's queries in one task
-    and gives its own best; these are merged."""
+    The nodes of a repository are matrices of bounded size, each of which meets the repository's queries in one task,
+    where they stream by, and gives its own best; these are merged."""
     pool = _pool(nodes, types).select("repo", "id", embed(F.concat_ws(" ", "name", "type", "relative_path")).alias("v"))
     blocks = _pool(nodes, types).groupBy("repo").agg(F.ceil(F.count("*") / MATRIX).cast("int").alias("_blocks"))
     terms = F.array_join(query_terms(F.coalesce("node", F.lit(""))), " ")
@@ -229,7 +244,9 @@ def dense(nodes: DataFrame, queries: DataFrame, found: DataFrame, limit: int, ty
     asked = asked.join(blocks, "repo").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
     kinds = {**dict(nodes.dtypes), **dict(queries.dtypes)}
     schema = f"query {kinds['query']}, repo {kinds['repo']}, id {dict(nodes.dtypes)['id']}, score double"
-    scored = pool.groupBy("repo", "_block").cogroup(asked.groupBy("repo", "_block")).applyInArrow(_best_of_matrix(limit), schema)
+    rows = pool.withColumn("_asked", F.lit(False)).unionByName(asked.withColumnRenamed("q", "v").withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    rows = spread(rows, "repo", "_block").sortWithinPartitions("repo", "_block", "_asked")
+    scored = rows.mapInArrow(_best_of_matrix(limit), schema)
     order = W.partitionBy("query").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

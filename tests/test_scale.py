@@ -2,9 +2,11 @@
 
 from hashlib import md5
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from plumbline.operators import context, evidence, rundiff
+from plumbline.operators import audit, context, evidence, rundiff
+from plumbline.plans import registry
 from plumbline.tables import placed
 
 
@@ -94,3 +96,20 @@ def test_compared_runs_are_read_once(spark):
     got = rundiff.compare_runs(df.mapInArrow(note, df.schema), ["x", "yy"], F.col("defect"), scores=5, trials=5)
     assert got.where("statistic = 'd_auc_common'").first()["value"] is not None
     assert seen.value == len(rows)
+
+
+def test_queries_stream_by_a_block_of_nodes():
+    node = {"repo": "r", "_block": 0, "_asked": False, "query": None, "id": "a", "v": [1.0, 0.0], "seeds": None}
+    rows = [node, node | {"id": "b", "v": [0.6, 0.8]}] + [node | {"_asked": True, "query": f"q{k}", "id": None, "v": [0.0, 1.0], "seeds": ["b"] if k else None} for k in range(3)]
+    schema = pa.schema([("repo", pa.string()), ("_block", pa.int32()), ("_asked", pa.bool_()), ("query", pa.string()), ("id", pa.string()), ("v", pa.list_(pa.float64())), ("seeds", pa.list_(pa.string()))])
+    read = []
+
+    def batches():
+        for row in rows:
+            read.append(row["query"])
+            yield pa.RecordBatch.from_pylist([row], schema)
+
+    out = context._best_of_matrix(1)(batches())
+    assert next(out).to_pylist() == [{"query": "q0", "repo": "r", "id": "b", "score": 0.8}]
+    assert read == [None, None, "q0"]
+    assert [r["id"] for b in out for r in b.to_pylist()] == ["a", "a"]
