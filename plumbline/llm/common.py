@@ -5,24 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ARROW_BYTES, ARROW_ROWS, tune  # noqa: F401
 from ..tables import materialize
 
-#: Rows and bytes of one Arrow batch, so that a worker's memory does not depend on how long the texts are.
-ARROW_ROWS = 1000
-ARROW_BYTES = 16 << 20
-
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches of this session and make the package known to its executors."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import audit, graph, match, paired, resample, retrieve, roc, rollup, summary
-from ..session import ship
+from ..session import tune
 from ..streaming import dedupe_events, review_state
 from .sqlmath import probit_sql
 
@@ -31,8 +31,7 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return tune(spark).read.parquet(f"{d}/{name}.parquet")
 
 
 def r6(c):

@@ -113,3 +113,11 @@ def test_queries_stream_by_a_block_of_nodes():
     assert next(out).to_pylist() == [{"query": "q0", "repo": "r", "id": "b", "score": 0.8}]
     assert read == [None, None, "q0"]
     assert [r["id"] for b in out for r in b.to_pylist()] == ["a", "a"]
+
+
+def test_workers_get_bounded_batches(spark, tmp_path):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.range(5000).repartition(1).write.parquet(f"{tmp_path}/x.parquet")
+    rows = registry.t(spark, str(tmp_path), "x").repartition(1)
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pylist([{"n": b.num_rows}]) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 5000 and max(r["n"] for r in sizes) <= 1000
