@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.code import python_tags
 from ..functions.text import TEST_PATH_ANY
-from ..tables import materialize
+from ..tables import materialize, spread
 from .rollup import cost_of
 
 CALL = ("structure", "manipulation", "failed")
@@ -207,9 +207,10 @@ def select_tests(files: DataFrame, words: DataFrame, limit: int = 10) -> DataFra
     token = r"(?U)\w+"
     known = tests.select("repo", "path", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(token), 0)))).alias("_token"))
     asked = words.select("task_id", "repo", F.explode(F.array_distinct(F.transform("words", lambda w: F.regexp_extract(w, token, 0)))).alias("_token"))
-    pairs = asked.join(known, ["repo", "_token"]).select("task_id", "repo", "path").distinct()
+    # Texts that repeat make small shuffles, which adaptive execution would join to few large tasks.
+    pairs = spread(asked.join(known, ["repo", "_token"]).select("task_id", "repo", "path"), "repo", "path").distinct()
     pattern = F.concat(F.lit(r"(?U)\b(?:\Q"), F.array_join("words", r"\E|\Q"), F.lit(r"\E)\b"))
-    scored = pairs.join(words, ["task_id", "repo"]).join(tests, ["repo", "path"]).withColumn("score", F.regexp_count("text", pattern)).where("score > 0")
+    scored = pairs.join(words, ["task_id", "repo"]).join(spread(tests, "repo", "path"), ["repo", "path"]).withColumn("score", F.regexp_count("text", pattern)).where("score > 0")
     order = W.partitionBy("task_id").orderBy(F.desc("score"), F.desc("path"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("task_id", "path", "score", "rank")
 

@@ -121,3 +121,11 @@ def test_workers_get_bounded_batches(spark, tmp_path):
     rows = registry.t(spark, str(tmp_path), "x").repartition(1)
     sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pylist([{"n": b.num_rows}]) for b in batches), "n long").collect()
     assert sum(r["n"] for r in sizes) == 5000 and max(r["n"] for r in sizes) <= 1000
+
+
+def test_texts_of_tests_are_dealt_to_tasks(spark):
+    files = spark.range(40).select(F.lit("r").alias("repo"), F.format_string("test_%02d.py", "id").alias("path"), F.repeat(F.lit("find "), F.col("id").cast("int")).alias("text"))
+    words = spark.createDataFrame([("t", "r", ["find"])], "task_id string, repo string, words array<string>")
+    out = audit.select_tests(files, words)
+    assert repartitions(out) >= 2
+    assert [r["path"] for r in out.orderBy("rank").collect()] == [f"test_{k}.py" for k in range(39, 29, -1)]
