@@ -3,8 +3,8 @@
 Words of all training documents are counted in Spark.  The most frequent are the heads of the model: they are dealt to
 classes by frequency, and P(word) = P(class | state) P(word | class, state).  All other words share one class, in
 which a word has the probability that the counts of the whole corpus give it; so the distribution covers every text,
-and what it rests on grows with the corpus.  The recurrent part is trained by truncated backpropagation in numpy, in
-shards side by side whose parameters are averaged after each round.  Scoring runs many documents in lanes and carries
+and what it rests on grows with the corpus.  The recurrent part is trained on all training documents by truncated
+backpropagation in numpy, in shards side by side whose parameters are averaged after each round.  Scoring runs many documents in lanes and carries
 the state from window to window, so a document of any length is scored whole."""
 
 from __future__ import annotations
@@ -29,11 +29,16 @@ SUFFIXES = 512
 STATE = 32
 #: Words whose counts go along with the tasks, at most; the counts of all others are joined.
 CARRIED = 50_000
-#: The recurrent part is fitted on about FIT_DOCS documents, and on no more tokens than FIT_TOKENS a shard and round.
-FIT_DOCS = 2000
-FIT_TOKENS = 400_000
-SHARDS = 4
+#: Rounds of training, between which the shards' parameters are averaged.  A round takes all training documents, or if
+#: there are several times ROUND_DOCS an equal part of them, up to one in ROUNDS, so that all have their turn.
 ROUNDS = 4
+ROUND_DOCS = 2000
+#: Documents of a shard and round, about, and the least and most shards.
+SHARD_DOCS = 1000
+SHARDS = (4, 256)
+#: Tokens that a shard lays out in lanes together, and parameters that are averaged together.
+TRAIN_TOKENS = 1 << 19
+PIECE = 1 << 14
 WINDOW = 32
 LANES = 256
 #: Tokens that are scored together, at least as long as the task has them; a document is not cut.
@@ -256,14 +261,14 @@ def log_likelihoods(p: dict, docs: list[tuple[np.ndarray, np.ndarray]], vocab: V
     return out
 
 
-def train(p: dict, texts: list[bytes], vocab: Vocabulary, most: int = FIT_TOKENS, rate: float = 0.01, width: int = 32) -> tuple[dict, int]:
-    """Parameters after one pass of Adam over the texts, window by window with the state carried on, and the tokens
-    used."""
-    docs = [vocab.encode(t)[:2] for t in texts]
-    x, target, reset, _, active = laid_out(docs, width, vocab.heads)
+def train(p: dict, docs: list[tuple[np.ndarray, np.ndarray]], vocab: Vocabulary, moments: dict | None = None, rate: float = 0.01) -> tuple[dict, int]:
+    """Parameters after one pass of Adam over the documents (known, inputs), window by window with the state carried
+    on, and the tokens used.  moments holds what Adam goes on with from call to call."""
+    x, target, reset, _, active = laid_out(docs, 32 if sum(len(k) for k, _ in docs) < 1 << 17 else 64, vocab.heads)
     p = {k: v.copy() for k, v in p.items()}
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    h, used, n = np.zeros((x.shape[1], len(p["U"])), p["U"].dtype), 0, 0
+    moments = {} if moments is None else moments
+    first, second = (moments.setdefault(m, {k: np.zeros_like(v) for k, v in p.items()}) for m in ("first", "second"))
+    h, used, n = np.zeros((x.shape[1], len(p["U"])), p["U"].dtype), 0, moments.get("steps", 0)
     for a in range(0, len(x), WINDOW):
         w = slice(a, a + WINDOW)
         _, grad, h = gradient(p, h, x[w], target[w], reset[w], active[w], vocab.members)
@@ -277,8 +282,7 @@ def train(p: dict, texts: list[bytes], vocab: Vocabulary, most: int = FIT_TOKENS
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.01 * (g * g - second[k])
             p[k] -= rate * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)
-        if used >= most:
-            break
+    moments["steps"] = n
     return p, used
 
 
@@ -287,7 +291,49 @@ class Model:
         self.vocab, self.parameters = vocab, parameters
 
 
-def fit(texts: DataFrame, words: DataFrame, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS, shards: int = SHARDS) -> Model:
+def trained(p: dict, texts: DataFrame, vocab: Vocabulary, shards: int) -> dict:
+    """The mean of the parameters that the shards of texts(key, text) come to, each weighted by its tokens."""
+    spark, names = texts.sparkSession, list(p)
+    shared = spark.sparkContext.broadcast((vocab, p))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, p = shared.value
+        moments, held, size, used = {}, [], 0, 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                known, inputs, _ = vocab.encode(text)
+                held.append((known.astype(np.int32), inputs.astype(np.int32)))
+                size += len(known) + 1
+                if size >= TRAIN_TOKENS:
+                    p, n = train(p, held, vocab, moments)
+                    held, size, used = [], 0, used + n
+        if held:
+            p, n = train(p, held, vocab, moments)
+            used += n
+        if used:
+            flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float32)
+            pieces = [flat[a : a + PIECE].tobytes() for a in range(0, len(flat), PIECE)]
+            columns = [pa.array(np.arange(len(pieces)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(pieces), pa.int32()), pa.array([used] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["piece", "shard", "used", "values"])
+
+    def mean(own: pa.Table) -> pa.Table:
+        rows = sorted(own.to_pylist(), key=lambda r: r["shard"])
+        total = sum(r["used"] for r in rows)
+        with np.errstate(invalid="ignore"):
+            values = sum(np.frombuffer(r["values"], np.float32) * (r["used"] / total) for r in rows).astype(np.float32)
+        return pa.table({"piece": own["piece"].slice(0, 1), "values": pa.array([values.tobytes()], pa.binary())})
+
+    dealt = texts.repartition(shards, "key").sortWithinPartitions("key").select("text")
+    means = dealt.mapInArrow(run, "piece int, shard int, used long, values binary").groupBy("piece").applyInArrow(mean, "piece int, values binary")
+    flat = b"".join(bytes(r["values"]) for r in sorted(means.collect(), key=lambda r: r["piece"]))
+    shared.unpersist()
+    if not flat:
+        return p
+    ends = np.cumsum([v.size for v in p.values()])[:-1]
+    return {k: v.reshape(p[k].shape).copy() for k, v in zip(names, np.split(np.frombuffer(flat, np.float32), ends))}
+
+
+def fit(texts: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> Model:
     """Fit the model to texts(doc_id, held_out, text) and their word counts(word, c)."""
     spark = texts.sparkSession
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -305,26 +351,11 @@ def fit(texts: DataFrame, words: DataFrame, fit_docs: int = FIT_DOCS, rounds: in
     if not total:
         return Model(vocab, p)
     n_docs = words.where(F.col("word") == END).first()["c"]
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(1 << 20)) / float(1 << 20)
-    # A hot id may be drawn with all its rows; the limit holds the sample's bound then.
-    sample = texts.where(~F.col("held_out") & (draw < min(1.0, fit_docs / n_docs))).select("text").limit(2 * fit_docs)
-    sample = materialize(sample.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")), "lm-sample")
-    names = list(p)
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((vocab, p))
-
-        def run(own: pa.Table) -> pa.Table:
-            vocab, p = shared.value
-            texts = sorted(own["text"].to_pylist(), key=crc32)
-            after, used = train(p, texts, vocab)
-            return pa.table({"shard": own["shard"].slice(0, 1), "used": pa.array([used], pa.int64()), **{"p" + k: pa.array([after[k].astype(np.float32).tobytes()], pa.binary()) for k in names}})
-
-        got = sample.groupBy("shard").applyInArrow(run, "shard int, used long, " + ", ".join(f"p{k} binary" for k in names)).collect()
-        got.sort(key=lambda r: r["shard"])
-        used = sum(r["used"] for r in got)
-        with np.errstate(invalid="ignore"):
-            p = {k: sum(np.frombuffer(r["p" + k], np.float32).reshape(p[k].shape) * (r["used"] / used) for r in got).astype(np.float32) for k in names}
-        shared.unpersist()
+    parts = max(1, min(rounds, n_docs // ROUND_DOCS))
+    shards = min(SHARDS[1], max(SHARDS[0], n_docs // parts // SHARD_DOCS))
+    learnt = texts.where("not held_out").select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    for k in range(rounds):
+        p = trained(p, learnt.where(F.pmod("key", F.lit(parts)) == k % parts), vocab, shards)
     return Model(vocab, p)
 
 
