@@ -1,5 +1,8 @@
 """LM scoring (operator 12): a gated recurrent model with a class-factored softmax, and counts beside it.
 
+The recurrent part is a minimal gated unit: each input has a share of the state that stays and a new state that takes
+the rest, so that both are computed once an input and not once a token.
+
 Words of all training documents are counted in Spark.  The most frequent are the heads of the model: they are dealt to
 classes by frequency, and P(word) = P(class | state) P(word | class, state).  All other words share one class, in
 which a word has the probability that the counts of the whole corpus give it; so the distribution covers every text,
@@ -9,13 +12,14 @@ the state from window to window, so a document of any length is scored whole."""
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,22 +32,24 @@ CLASSES = 32
 SUFFIXES = 512
 STATE = 32
 #: Words whose counts go along with the tasks, at most; the counts of all others are joined.
-CARRIED = 50_000
+CARRIED = 200_000
 #: Rounds of training, between which the shards' parameters are averaged.  A round takes all training documents, or if
 #: there are several times ROUND_DOCS an equal part of them, up to one in ROUNDS, so that all have their turn.
 ROUNDS = 4
 ROUND_DOCS = 2000
 #: Documents of a shard and round, about, and the least and most shards.
-SHARD_DOCS = 1000
+SHARD_DOCS = 4000
 SHARDS = (4, 256)
 #: Tokens that a shard lays out in lanes together, and parameters that are averaged together.
-TRAIN_TOKENS = 1 << 19
+TRAIN_TOKENS = 1 << 21
 PIECE = 1 << 14
+#: Steps of a window, lanes at most, and the updates that training is to come to at least with fewer lanes.
 WINDOW = 32
 LANES = 256
+UPDATES = 256
 #: Tokens that are scored together, at least as long as the task has them; a document is not cut.
 BLOCK_TOKENS = 1 << 21
-#: Distinct words that a counting task holds before it gives them away.
+#: Words and counts that a counting task holds before it adds them up and gives them away.
 HELD_WORDS = 500_000
 END = b""  # no word is empty
 
@@ -57,6 +63,16 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """tokens() of all texts, one after the other, and the bounds between the texts."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string(), safe=False)))
+    words = lists.flatten()
+    real = pc.not_equal(words, "")  # white space at a text's ends sets off empty words
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    bounds = lists.offsets.to_numpy()
+    return before[bounds - bounds[0]], words.filter(real).cast(pa.binary())
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
@@ -65,19 +81,18 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) over all training texts; the end of a text counts as the empty word."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def give() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+        def give() -> list[pa.RecordBatch]:
+            return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"]).to_batches() if held else []
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(tokens(text))
-                seen[END] += 1
-                if len(seen) > HELD_WORDS:
-                    yield give()
-                    seen.clear()
-        yield give()
+            found = split(batch.column(0))[1].value_counts()
+            held += [pa.table([found.field(0), found.field(1)], ["word", "c"]), pa.table([pa.array([END]), pa.array([len(batch)])], ["word", "c"])]
+            if sum(map(len, held)) > HELD_WORDS:
+                yield from give()
+                held.clear()
+        yield from give()
 
     return texts.where("not held_out").select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -89,69 +104,97 @@ class Vocabulary:
         order = sorted(range(len(words)), key=lambda i: (words[i] != END, -counts[i], words[i]))
         self.words = [END] * (END not in words) + [words[i] for i in order]
         self.counts = np.array([0] * (END not in words) + [counts[i] for i in order], np.int64)
+        self.table = pa.array(self.words, pa.binary())
         self.total, self.distinct, self.suffixes = total, distinct, suffixes
         self.heads = min(heads, len(self.words))
         self.members = -(-self.heads // classes)
         self.classes = -(-self.heads // self.members)
         #: Counts and number of the words that are no heads, and the smoothed mass of their class.
         self.rare = total + distinct + 1 - int(self.counts[: self.heads].sum()) - min(self.heads, distinct)
-        self._index()
-
-    def _index(self):
-        self.index = {w: k for k, w in enumerate(self.words) if w != END}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "index"}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._index()
+        return {k: v for k, v in self.__dict__.items() if k != "words"}  # which tasks have as the table
 
     @property
     def inputs(self) -> int:
         return self.heads + self.suffixes
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(bounds, known, input, words) of the words of all texts, END left out: the bounds between the texts and of
+        each word its place among the carried words or -1, and its input."""
+        bounds, words = split(texts)
+        known = pc.index_in(words, value_set=self.table).fill_null(-1).to_numpy()
+        inputs = known.astype(np.int32)
+        other = (known < 0) | (known >= self.heads)
+        ends = pc.binary_slice(words.filter(pa.array(other)), -3).dictionary_encode()
+        inputs[other] = np.array([self.heads + crc32(w) % self.suffixes for w in ends.dictionary.to_pylist()], np.int32)[ends.indices.to_numpy()]
+        return bounds, known, inputs, words
+
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(known, input): of each word its place among the carried words or -1, and its input; END is left out.
-        Also the words that are not carried."""
-        words, get = tokens(text), self.index.get
-        known = np.array([get(w, -1) for w in words], np.int64)
-        inputs = known.copy()
-        other = np.flatnonzero((known < 0) | (known >= self.heads))
-        inputs[other] = [self.heads + crc32(words[i][-3:]) % self.suffixes for i in other.tolist()]
-        return known, inputs, [words[i] for i in np.flatnonzero(known < 0).tolist()]
+        """(known, input) of the words of one text, and the words that are not carried."""
+        _, known, inputs, words = self.encode_all(pa.array([text], pa.binary()))
+        return known, inputs, words.filter(pa.array(known < 0)).to_pylist()
 
 
 def initial(vocab: Vocabulary, state: int = STATE, seed: int = 12, kind=np.float32) -> dict[str, np.ndarray]:
     rnd = np.random.default_rng(seed)
-    shapes = {"E": (vocab.inputs, 3 * state), "U": (state, 3 * state), "C": (state, vocab.classes + 1), "c": (vocab.classes + 1,), "O": (vocab.classes, state, vocab.members), "o": (vocab.classes, vocab.members)}
+    shapes = {"E": (vocab.inputs, state), "W": (2, state, state), "b": (2, 1, state), "C": (state, vocab.classes + 1), "c": (vocab.classes + 1,), "O": (vocab.classes, state, vocab.members), "o": (vocab.classes, vocab.members)}
     out = {k: (rnd.standard_normal(s) * (0.1 if k == "E" else s[-2] ** -0.5) if k.isupper() else np.zeros(s)).astype(kind) for k, s in shapes.items()}
+    out["b"][0, 0] = np.linspace(-4, 4, state)  # units that forget soon and units that remember long
     out["o"].ravel()[vocab.heads :] = -np.inf  # places of the last class that no word has
     return out
 
 
-def steps(p: dict, h: np.ndarray, x: np.ndarray, reset: np.ndarray, active: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def room(held: dict, name: str, shape: tuple, kind: np.dtype) -> np.ndarray:
+    """An array of that shape, not filled, in memory that held keeps from call to call."""
+    size = math.prod(shape)
+    if name not in held or held[name].size < size:
+        held[name] = np.empty(size, kind)
+    return held[name][:size].reshape(shape)
+
+
+def gates(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of each input the share of the state that stays and the new state that takes the rest, and their slopes.
+    Both are a / (1 + |a|), the share moved to 0..1: numpy has no fast tanh on all machines."""
+    a = p["E"] @ p["W"] + p["b"]
+    scale = 1 / (1 + np.abs(a))
+    both, slope = a * scale, scale * scale
+    both[0] *= 0.5
+    both[0] += 0.5
+    slope[0] *= 0.5
+    return both, slope
+
+
+def steps(p: dict, h: np.ndarray, x: np.ndarray, reset: np.ndarray, active: np.ndarray, keep: dict | None = None, held: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """States after each step (steps, lanes, state) and the last state.  reset: lanes whose document begins; active:
-    number of lanes, the first ones, that go on at each step.  keep gets what backpropagation needs."""
-    size = h.shape[1]
-    out = np.zeros((len(x), *h.shape), h.dtype)
+    number of lanes, the first ones, that go on at each step.  keep gets what backpropagation needs, in memory of held."""
+    held, out = {} if held is None else held, np.zeros((len(x), *h.shape), h.dtype)
+    (stay_of, new_of), slope = gates(p)
+    stay, new = (np.take(of, x, axis=0, out=room(held, name, out.shape, h.dtype), mode="clip") for of, name in ((stay_of, "stay"), (new_of, "new")))
+    before = room(held, "before", out.shape, h.dtype)
     for t in range(len(x)):
         n = active[t]
-        prev = np.where(reset[t, :n, None], h.dtype.type(0), h[:n])
-        into, back = p["E"][x[t, :n]], prev @ p["U"]
-        gates = 0.5 + 0.5 * np.tanh(0.5 * (into[:, : 2 * size] + back[:, : 2 * size]))
-        z, r = gates[:, :size], gates[:, size:]
-        new = np.tanh(into[:, 2 * size :] + r * back[:, 2 * size :])
-        now = new + z * (prev - new)
-        if keep is not None:
-            keep.append((prev, z, r, new, back[:, 2 * size :]))
-        h[:n] = out[t, :n] = now
+        prev, now = before[t, :n], out[t, :n]
+        prev[:] = h[:n]
+        prev[reset[t, :n]] = 0
+        np.subtract(prev, new[t, :n], out=now)
+        now *= stay[t, :n]
+        now += new[t, :n]
+        h[:n] = now
+        before[t, n:] = 0
+    if keep is not None:
+        keep.update(before=before, stay=stay, new=new, slope=slope)
     return out, h
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each column the log of the softmax at the row that is chosen, and the sum by which x gives the softmax."""
+    x -= x.max(axis=0)
+    columns = np.arange(x.shape[1])
+    score = x[chosen, columns]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    return score - np.log(total), total
 
 
 def outputs(p: dict, states: np.ndarray, target: np.ndarray, members: int, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -159,57 +202,63 @@ def outputs(p: dict, states: np.ndarray, target: np.ndarray, members: int, grad:
     class gives its words; with grad, the gradient of the negative sum is added there and returned for the states."""
     classes = p["C"].shape[1] - 1
     which = np.where(target < 0, classes, target // members)
-    logs, all_rows = _log_softmax(states @ p["C"] + p["c"]), np.arange(len(target))
-    score = logs[all_rows, which].astype(np.float64)
-    d_states = None
+    order = np.argsort(which.astype(np.uint16), kind="stable")
+    states, which, target = states[order], which[order], target[order]
+    ends = np.searchsorted(which, np.arange(classes + 1))
+    d = p["C"].T @ states.T + p["c"][:, None]
+    found, total = _softmax(d, which)
+    score, d_states = found.astype(np.float64), None
     if grad is not None:
-        d = np.exp(logs)
-        d[all_rows, which] -= 1
-        grad["C"] += states.T @ d
-        grad["c"] += d.sum(axis=0)
-        d_states = d @ p["C"].T
-    order = np.argsort(which, kind="stable")
-    ends = np.searchsorted(which[order], np.arange(classes + 1))
+        d /= total
+        d[which, np.arange(len(which))] -= 1
+        grad["C"] += (d @ states).T
+        grad["c"] += d.sum(axis=1)
+        d_states = d.T @ p["C"].T
     for k in range(classes):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            own, member, rows = states[at], target[at] - k * members, np.arange(len(at))
-            logs = _log_softmax(own @ p["O"][k] + p["o"][k])
-            score[at] += logs[rows, member]
+        at = slice(ends[k], ends[k + 1])
+        if at.start < at.stop:
+            own, member = states[at], target[at] - k * members
+            d = p["O"][k].T @ own.T + p["o"][k][:, None]
+            found, total = _softmax(d, member)
+            score[at] += found
             if grad is not None:
-                d = np.exp(logs)
-                d[rows, member] -= 1
-                grad["O"][k] += own.T @ d
-                grad["o"][k] += d.sum(axis=0)
-                d_states[at] += d @ p["O"][k].T
-    return score, d_states
+                d /= total
+                d[member, np.arange(len(own))] -= 1
+                grad["O"][k] += (d @ own).T
+                grad["o"][k] += d.sum(axis=1)
+                d_states[at] += d.T @ p["O"][k].T
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return score[back], None if d_states is None else d_states[back]
 
 
-def gradient(p: dict, h: np.ndarray, x: np.ndarray, target: np.ndarray, reset: np.ndarray, active: np.ndarray, members: int) -> tuple[float, dict, np.ndarray]:
+def gradient(p: dict, h: np.ndarray, x: np.ndarray, target: np.ndarray, reset: np.ndarray, active: np.ndarray, members: int, held: dict | None = None) -> tuple[float, dict, np.ndarray]:
     """Log-likelihood of a window, its negative gradient within the window, and the state after it."""
-    keep: list = []
-    states, h = steps(p, h.copy(), x, reset, active, keep)
+    keep: dict = {}
+    states, h = steps(p, h.copy(), x, reset, active, keep, held)
     on = np.arange(x.shape[1])[None, :] < active[:, None]
     grad = {k: np.zeros_like(v) for k, v in p.items()}
     score, d_on = outputs(p, states[on], target[on], members, grad)
     d_states = np.zeros_like(states)
     d_states[on] = d_on
-    into, d_into, d_next = [], [], np.zeros_like(h)
+    before, stay, new, d_next = keep["before"], keep["stay"], keep["new"], np.zeros_like(h)
     for t in range(len(x) - 1, -1, -1):
         n = active[t]
-        prev, z, r, new, back = keep[t]
-        d = d_states[t, :n] + d_next[:n]
-        d_new = d * (1 - z) * (1 - new * new)
-        d_z, d_r, d_back = d * (prev - new) * z * (1 - z), d_new * back * r * (1 - r), d_new * r
-        d_gates = np.concatenate([d_z, d_r, d_back], axis=1)
-        grad["U"] += prev.T @ d_gates
-        d_next[:n] = np.where(reset[t, :n, None], 0, d * z + d_gates @ p["U"].T)
-        into.append(x[t, :n])
-        d_into.append(np.concatenate([d_z, d_r, d_new], axis=1))
-    into, d_into = np.concatenate(into), np.concatenate(d_into)
-    order = np.argsort(into, kind="stable")
-    first = np.flatnonzero(np.diff(into[order], prepend=-1))
-    grad["E"][into[order][first]] = np.add.reduceat(d_into[order], first)
+        d_states[t, :n] += d_next[:n]
+        np.multiply(d_states[t, :n], stay[t, :n], out=d_next[:n])
+        d_next[:n][reset[t, :n]] = 0
+    # All that reaches the same input's gates is summed first, then carried on to its weights.
+    before -= new
+    before *= d_states
+    np.subtract(1, stay, out=stay)
+    stay *= d_states
+    into = x.ravel().astype(np.intp)
+    for k, part in enumerate((before, stay)):
+        columns = np.ascontiguousarray(part.reshape(-1, h.shape[1]).T)
+        d = np.stack([np.bincount(into, column, len(p["E"])) for column in columns], axis=1).astype(h.dtype) * keep["slope"][k]
+        grad["E"] += d @ p["W"][k].T
+        grad["W"][k] += p["E"].T @ d
+        grad["b"][k] += d.sum(axis=0)
     return float(score.sum()), grad, h
 
 
@@ -252,36 +301,46 @@ def log_likelihoods(p: dict, docs: list[tuple[np.ndarray, np.ndarray]], vocab: V
     if not docs:
         return out
     x, target, reset, number, active = laid_out(docs, most, vocab.heads)
-    h = np.zeros((x.shape[1], len(p["U"])), p["U"].dtype)
+    h, held = np.zeros((x.shape[1], p["E"].shape[1]), p["E"].dtype), {}
     for a in range(0, len(x), window):
-        w = slice(a, a + window)
-        states, h = steps(p, h, x[w], reset[w], active[w])
-        on = np.arange(x.shape[1])[None, :] < active[w, None]
+        w = slice(a, a + window), slice(active[a])
+        states, h = steps(p, h[w[1]], x[w], reset[w], active[w[0]], held=held)
+        on = np.arange(active[a])[None, :] < active[w[0], None]
         out += np.bincount(number[w][on], outputs(p, states[on], target[w][on], vocab.members)[0], len(docs))
     return out
 
 
 def train(p: dict, docs: list[tuple[np.ndarray, np.ndarray]], vocab: Vocabulary, moments: dict | None = None, rate: float = 0.01) -> tuple[dict, int]:
     """Parameters after one pass of Adam over the documents (known, inputs), window by window with the state carried
-    on, and the tokens used.  moments holds what Adam goes on with from call to call."""
-    x, target, reset, _, active = laid_out(docs, 32 if sum(len(k) for k, _ in docs) < 1 << 17 else 64, vocab.heads)
+    on, and the tokens used.  A window in which few lanes go on moves the parameters by its share.  moments holds what
+    Adam goes on with from call to call."""
+    most = min(LANES, max(8, sum(len(k) + 1 for k, _ in docs) // (WINDOW * UPDATES)))
+    x, target, reset, _, active = laid_out(docs, most, vocab.heads)
     p = {k: v.copy() for k, v in p.items()}
-    moments = {} if moments is None else moments
+    moments, held = {} if moments is None else moments, {}
     first, second = (moments.setdefault(m, {k: np.zeros_like(v) for k, v in p.items()}) for m in ("first", "second"))
-    h, used, n = np.zeros((x.shape[1], len(p["U"])), p["U"].dtype), 0, moments.get("steps", 0)
+    h, used, n = np.zeros((x.shape[1], p["E"].shape[1]), p["E"].dtype), 0, moments.get("steps", 0)
     for a in range(0, len(x), WINDOW):
-        w = slice(a, a + WINDOW)
-        _, grad, h = gradient(p, h, x[w], target[w], reset[w], active[w], vocab.members)
-        n, size = n + 1, int(active[w].sum())
+        w = slice(a, a + WINDOW), slice(active[a])
+        _, grad, h = gradient(p, h[w[1]], x[w], target[w], reset[w], active[w[0]], vocab.members, held)
+        n, size = n + 1, int(active[w[0]].sum())
         used += size
         scale = 1 / size
         norm = scale * math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         scale *= min(1.0, 1 / max(norm, 1e-9))
         for k, g in grad.items():
             g *= scale
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            p[k] -= rate * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)
+            first[k] *= 0.9
+            first[k] += 0.1 * g
+            g *= g
+            g *= 0.01
+            second[k] *= 0.99
+            second[k] += g
+            np.sqrt(second[k], out=g)
+            g += 1e-8
+            np.divide(first[k], g, out=g)
+            g *= rate * size / (WINDOW * x.shape[1]) * math.sqrt(1 - 0.99**n) / (1 - 0.9**n)
+            p[k] -= g
     moments["steps"] = n
     return p, used
 
@@ -300,13 +359,12 @@ def trained(p: dict, texts: DataFrame, vocab: Vocabulary, shards: int) -> dict:
         vocab, p = shared.value
         moments, held, size, used = {}, [], 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                known, inputs, _ = vocab.encode(text)
-                held.append((known.astype(np.int32), inputs.astype(np.int32)))
-                size += len(known) + 1
-                if size >= TRAIN_TOKENS:
-                    p, n = train(p, held, vocab, moments)
-                    held, size, used = [], 0, used + n
+            bounds, known, inputs, _ = vocab.encode_all(batch.column(0))
+            held += [(known[a:b], inputs[a:b]) for a, b in itertools.pairwise(bounds.tolist())]
+            size += len(known) + len(batch)
+            if size >= TRAIN_TOKENS:
+                p, n = train(p, held, vocab, moments)
+                held, size, used = [], 0, used + n
         if held:
             p, n = train(p, held, vocab, moments)
             used += n
@@ -323,7 +381,8 @@ def trained(p: dict, texts: DataFrame, vocab: Vocabulary, shards: int) -> dict:
             values = sum(np.frombuffer(r["values"], np.float32) * (r["used"] / total) for r in rows).astype(np.float32)
         return pa.table({"piece": own["piece"].slice(0, 1), "values": pa.array([values.tobytes()], pa.binary())})
 
-    dealt = texts.repartition(shards, "key").sortWithinPartitions("key").select("text")
+    # Whatever number of partitions a shuffle is held to, there are that many shards: each gives all parameters.
+    dealt = texts.repartition(shards, "key").coalesce(shards).sortWithinPartitions("key").select("text")
     means = dealt.mapInArrow(run, "piece int, shard int, used long, values binary").groupBy("piece").applyInArrow(mean, "piece int, values binary")
     flat = b"".join(bytes(r["values"]) for r in sorted(means.collect(), key=lambda r: r["piece"]))
     shared.unpersist()
@@ -345,8 +404,8 @@ def fit(texts: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> Model:
         if n > CARRIED:
             break
         least = r["level"]
-    carried = words.where((F.col("word") == END) | (level >= least if least is not None else F.lit(False))).collect()
-    vocab = Vocabulary([bytes(r["word"]) for r in carried], [r["c"] for r in carried], total, distinct)
+    carried = words.where((F.col("word") == END) | (level >= least if least is not None else F.lit(False))).select("word", "c").toArrow()
+    vocab = Vocabulary(carried["word"].to_pylist(), carried["c"].to_pylist(), total, distinct)
     p = initial(vocab)
     if not total:
         return Model(vocab, p)
@@ -378,29 +437,28 @@ def _passed(texts: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, NAMES)
 
         for batch in batches:
-            rare_rows, rare_words, rare_counts = [], [], []
-            for doc_id, out, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                known, inputs, others = vocab.encode(text)
-                carried = known[known >= 0]
-                base = float(logs[carried].sum() + logs[0])
-                # Words of the shared class that are carried; the others' log counts are added after the join.
-                mid = known[known >= vocab.heads]
-                n_shared = len(mid) + len(others)
-                in_class = float(logs[mid].sum()) - n_shared * math.log10(vocab.rare)
-                held.append(((known.astype(np.int32), inputs.astype(np.int32)), base, in_class, len(carried) + int(vocab.counts[0] > 0), len(known) + 1, row, doc_id, out))
-                size += len(known) + 1
-                for w, n in Counter(others).items():
-                    rare_rows.append(row)
-                    rare_words.append(w)
-                    rare_counts.append(n)
-                row += 1
-                if size >= BLOCK_TOKENS:
-                    yield from give()
-                    held.clear()
-                    size = 0
-            if rare_rows:
-                none = [pa.nulls(len(rare_rows), kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(rare_rows, pa.int64()), none[0], none[1], pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64()), none[2], none[3], none[4]], NAMES)
+            bounds, known, inputs, words = vocab.encode_all(batch.column(2))
+            docs, sizes = np.repeat(np.arange(len(batch)), np.diff(bounds)), np.diff(bounds) + 1
+            is_known, in_rest = known >= 0, known >= vocab.heads
+            base = np.bincount(docs, np.where(is_known, logs[known], 0), len(batch)) + logs[0]
+            n_known = np.bincount(docs[is_known], minlength=len(batch)) + int(vocab.counts[0] > 0)
+            # Words of the shared class that are carried; the others' log counts are added after the join.
+            in_class = np.bincount(docs, np.where(in_rest, logs[known], 0), len(batch)) - np.bincount(docs[in_rest | ~is_known], minlength=len(batch)) * math.log10(vocab.rare)
+            for k, (doc_id, out) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                at = slice(bounds[k], bounds[k + 1])
+                held.append(((known[at], inputs[at]), base[k], in_class[k], n_known[k], sizes[k], row + k, doc_id, out))
+            size += int(sizes.sum())
+            others = words.filter(pa.array(~is_known)).dictionary_encode()
+            if len(others):
+                found, n = np.unique(docs[~is_known] * len(others.dictionary) + others.indices.to_numpy(), return_counts=True)
+                of, word = np.divmod(found, len(others.dictionary))
+                none = [pa.nulls(len(found), kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(row + of), none[0], none[1], others.dictionary.take(pa.array(word)), pa.array(n), none[2], none[3], none[4]], NAMES)
+            row += len(batch)
+            if size >= BLOCK_TOKENS:
+                yield from give()
+                held.clear()
+                size = 0
         if held:
             yield from give()
 
